@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioframe.llm import mixing, sharding, simhash, topk
+from folioframe.llm import mixing, passages, sharding, simhash, suffixes, topk
 from folioframe.llm.common import table
 
 
@@ -18,10 +18,18 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeated_passages(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner(table(spark, sf_dir, "embeddings"))
 
@@ -30,7 +38,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": op2_simhash,
         "op3_mixing": op3_mixing,
+        "op5_passages": op5_passages,
         "op6_sharding": op6_sharding,
+        "op9_suffixes": op9_suffixes,
         "op10_topk": op10_topk,
     }
 
