@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioframe.llm import mixing, passages, sharding, simhash, suffixes, topk
+from folioframe.llm import decontaminate, mixing, passages, sharding, simhash, suffixes, topk
 from folioframe.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents")).drop("starts", "ends")
 
@@ -40,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": op3_mixing,
         "op5_passages": op5_passages,
         "op6_sharding": op6_sharding,
+        "op7_decontamination": op7_decontamination,
         "op9_suffixes": op9_suffixes,
         "op10_topk": op10_topk,
     }
