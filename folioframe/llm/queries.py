@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioframe.llm import decontaminate, mixing, passages, sharding, simhash, suffixes, topk
+from folioframe.llm import decontaminate, language, mixing, passages, quality, sharding, simhash, suffixes, topk
 from folioframe.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_repeated_passages(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
@@ -30,6 +34,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents")).drop("starts", "ends")
 
@@ -42,9 +50,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": op2_simhash,
         "op3_mixing": op3_mixing,
+        "op4_quality": op4_quality,
         "op5_passages": op5_passages,
         "op6_sharding": op6_sharding,
         "op7_decontamination": op7_decontamination,
+        "op8_language": op8_language,
         "op9_suffixes": op9_suffixes,
         "op10_topk": op10_topk,
     }
