@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioframe.llm import decontaminate, language, mixing, passages, quality, sharding, simhash, suffixes, topk
+from folioframe.llm import decontaminate, language, licences, mixing, passages, quality, sharding, simhash, suffixes, topk
 from folioframe.llm.common import table
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_report(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licences": op1_licences,
         "op2_simhash": op2_simhash,
         "op3_mixing": op3_mixing,
         "op4_quality": op4_quality,
