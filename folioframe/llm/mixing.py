@@ -48,38 +48,45 @@ def tilts(targets: DataFrame, steps: int = 60) -> DataFrame:
     return targets.withColumn("rate", F.when(F.col("source_size") > 0, F.round(rate, 9)).otherwise(1.0))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """Copies of each document that bring every source to its target.
-
-    Adds size (words; null text 0), source_size, target, taken (words taken, copies times size) and copies. All documents
-    take the whole part of their source's rate; the fraction is rounded by walking the source's documents in the order
-    of md5(doc_id), and those whose middle lies before the fraction's end take one more, so a source misses its target
-    by half a document at most. The order is cut into blocks whose sums come first: no task holds a whole source. Null
-    doc_id counts as empty; repeated rows are taken each for itself, and which one takes a copy makes no difference.
-    """
-    drop = [c for c in docs.columns if c in ("size", "source_size", "target", "rate", "taken", "copies")]
-    sized = docs.drop(*drop).withColumn("size", word_count("text")).withColumn("_o", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+def _placed(docs: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """The documents with all their columns, and _size, _source_size, _target, _copies of the mix."""
+    sized = docs.withColumns({"_size": word_count("text"), "_o": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))})
     sized = sized.withColumn("_b", F.substring("_o", 1, BLOCK_DIGITS))
-    bare = sized.select("source", "_b", "size")
-    goals = tilts(source_targets(bare, weights, most))
+    bare = sized.select("source", "_b", F.col("_size").alias("size"))
+    goals = tilts(source_targets(bare.select("source", "size"), weights, most))
     block = bare.groupBy("source", "_b").agg(F.sum("size").alias("_block"))
     before = W.partitionBy("source").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     block = block.withColumn("_before", F.coalesce(F.sum("_block").over(before), F.lit(0))).drop("_block")
-    info = block.join(goals, block["source"].eqNullSafe(goals["source"])).select(block["source"].alias("_s"), F.col("_b").alias("_sb"), "_before", "source_size", "target", "rate")
-    rank = W.partitionBy("source", "_b").orderBy("_o", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = sized.withColumn("_in", F.coalesce(F.sum("size").over(rank), F.lit(0)))
+    info = block.join(goals, block["source"].eqNullSafe(goals["source"])).select(block["source"].alias("_s"), F.col("_b").alias("_sb"), "_before", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
+    rank = W.partitionBy("source", "_b").orderBy("_o", F.col("doc_id").asc_nulls_first(), "_size").rowsBetween(W.unboundedPreceding, -1)
+    placed = sized.withColumn("_in", F.coalesce(F.sum("_size").over(rank), F.lit(0)))
     j = placed.join(info, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_sb")))
-    whole = F.floor("rate").cast("long")
-    part = F.when(F.col("rate") == whole, 0).otherwise(F.round(F.col("target") - whole * F.col("source_size")).cast("long"))
-    extra = (2 * (F.col("_before") + F.col("_in")) + F.col("size") <= 2 * part).cast("long")
-    copies = F.when(F.col("size") > 0, F.least(F.lit(most), whole + F.when(F.col("rate") > whole, extra).otherwise(0))).otherwise(1)
-    return j.withColumn("copies", copies.cast("int")).withColumn("taken", F.col("copies") * F.col("size")).drop("_o", "_b", "_in", "_s", "_sb", "_before", "rate")
+    whole = F.floor("_rate").cast("long")
+    part = F.round(F.col("_target") - whole * F.col("_source_size")).cast("long")
+    extra = F.when(F.col("_rate") > whole, (2 * (F.col("_before") + F.col("_in")) + F.col("_size") <= 2 * part).cast("long")).otherwise(0)
+    copies = F.when(F.col("_size") > 0, F.least(F.lit(most), whole + extra)).otherwise(1)
+    return j.withColumn("_copies", copies.cast("int"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """Copies of each document that bring every source to its target.
+
+    Adds size (words; null text 0), source_size, target, taken (words taken, copies times size) and copies; columns of those
+    names are replaced. All documents take the whole part of their source's rate; the fraction is rounded by walking the
+    source's documents in the order of md5(doc_id), and those whose middle lies before the fraction's end take one more, so a
+    source misses its target by half a document at most. The order is cut into blocks whose sums come first: no task holds a
+    whole source. Texts without words are taken once. Null doc_id counts as empty; repeated rows are taken each for itself,
+    and which one takes a copy makes no difference.
+    """
+    new = {"size": F.col("_size"), "source_size": F.col("_source_size"), "target": F.col("_target"), "taken": F.col("_copies") * F.col("_size"), "copies": F.col("_copies")}
+    placed = _placed(docs, weights, most)
+    return placed.select(*[c for c in docs.columns if c not in new], *(v.alias(k) for k, v in new.items()))
 
 
 def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mixed documents: each row of ``docs`` as often as its copies say."""
-    mixed = mix(docs, weights, most).filter("copies > 0")
-    return mixed.withColumn("_i", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
+    placed = _placed(docs, weights, most).filter("_copies > 0")
+    return placed.withColumn("_i", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 ORACLE = r"""

@@ -178,7 +178,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The documents, less all but one of each near-duplicate group: the row of the smallest doc_id stays."""
+    """The documents, less all but one of each near-duplicate group: the row of the smallest doc_id stays (rows that repeat an id are one document)."""
     group = simhash_groups(docs, shingle)
     gone = group.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
