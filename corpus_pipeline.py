@@ -1,7 +1,64 @@
-"""Corpus pipeline."""
-STAGES = []
+"""Corpus pipeline: quality filter, near-duplicates, decontamination, mixing and sharding, each stage on what the last one kept.
+
+Every stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next stage's documents.
+All but the last return the columns of ``documents``; the last adds where each row goes. Documents that mixing takes
+several times are repeated rows from there on.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from folioframe.llm import decontaminate, mixing, quality, sharding, simhash
+from folioframe.llm.common import table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, that of the smallest doc_id."""
+    return simhash.keep_one(docs).select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.clean_only(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.take(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of each row: shard and slot."""
+    return sharding.shard_documents(docs)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("mixing", mixed),
+    ("sharding", sharded),
+]
+
+#: SQL can't express the classifier or the fingerprint components; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies STAGES to documents. What the stages keep is written to the shared checkpoint folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folio-pipeline-")
+    at = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        docs = spark.read.parquet(f"{at}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
