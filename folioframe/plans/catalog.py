@@ -1,11 +1,23 @@
-"""Registered queries and the SQL they are compared with."""
+"""Registered queries, each on whole tables, and the SQL they are compared with."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from folioframe.plans import q_documents, q_fields, q_quality
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _all() -> dict[str, tuple[Query, str | None]]:
+    return {**q_fields.QUERIES, **q_documents.QUERIES, **q_quality.QUERIES}
+
+
+def queries() -> dict[str, Query]:
+    return {k: q for k, (q, _) in _all().items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for k, (_, s) in _all().items() if s}
