@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from folioframe.functions.text import eval_text
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratcliff(a, b):
     """Ratcliff-Obershelp ratio, batch-wise; meant for short strings."""
     import pandas as pd
@@ -16,7 +17,7 @@ def ratcliff(a, b):
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(a):
     """Unicode compatibility composition; Spark has no built-in for it."""
     import unicodedata

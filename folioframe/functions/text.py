@@ -18,6 +18,11 @@ def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def fold_digits(c: Column | str) -> Column:
     return F.translate(text(c), P.DEVANAGARI_DIGITS, "0123456789")
 
@@ -129,8 +134,7 @@ def valid_positive(c: Column | str) -> Column:
     return n.rlike("^[0-9]+([.,][0-9]+)?$") & (F.coalesce(F.replace(n, F.lit(","), F.lit(".")).try_cast("double"), F.lit(0.0)) > 0)
 
 
-def looks_like_label(c: Column | str, generic=P.GENERIC_HEADERS, words=P.LABEL_WORDS, numberless=P.NUMBERLESS_WORDS, phrases=P.LABEL_PHRASES) -> Column:
-    n = normalize_label(c)
+def _is_label(n: Column, generic, words, numberless, phrases) -> Column:
     out = n.isin(*generic) | ((n != "") & (F.size(F.array_except(F.split(n, " "), F.array(*map(F.lit, words)))) == 0))
     for w in numberless:
         out = out | (n.contains(w) & ~n.rlike("[0-9]"))
@@ -139,13 +143,16 @@ def looks_like_label(c: Column | str, generic=P.GENERIC_HEADERS, words=P.LABEL_W
     return out
 
 
+def looks_like_label(c: Column | str, generic=P.GENERIC_HEADERS, words=P.LABEL_WORDS, numberless=P.NUMBERLESS_WORDS, phrases=P.LABEL_PHRASES) -> Column:
+    return let(normalize_label(c), lambda n: _is_label(n, generic, words, numberless, phrases))
+
+
 def valid_text(c: Column | str, field: Column | str, generic=P.GENERIC_HEADERS, labels=P.LABELS_IN_VALUE, named=P.NAMED_FIELDS) -> Column:
-    x = clean_candidate(c)
     field = F.lit(field) if isinstance(field, str) else field
-    n = normalize_label(x)
-    ok = F.length(x).between(1, 120) & (n != "") & ~n.isin(*generic) & ~looks_like_label(x)
-    ok = ok & ~x.rlike(f"(?i)({'|'.join(labels)})\\s*[:|/-]")
-    return ok & (~field.isin(*named) | has_letter(x))
+    return let(F.array(clean_candidate(c), normalize_label(clean_candidate(c))), lambda p: (
+        F.length(p[0]).between(1, 120) & (p[1] != "") & ~_is_label(p[1], generic, P.LABEL_WORDS, P.NUMBERLESS_WORDS, P.LABEL_PHRASES)
+        & ~p[0].rlike(f"(?i)({'|'.join(labels)})\\s*[:|/-]") & (~field.isin(*named) | has_letter(p[0]))
+    ))
 
 
 def valid_table_value(field: Column | str, c: Column | str, generic=P.TABLE_GENERIC, header_words=P.TABLE_HEADER_WORDS) -> Column:

@@ -63,20 +63,18 @@ def _normal(name: Column, value: Column) -> Column:
 
 
 def extract_inline(blocks: DataFrame, patterns: dict = P.INLINE_PATTERNS) -> DataFrame:
-    """"label: value" in one block: for each field the first label whose value is valid."""
-    x = clean_candidate("text")
+    """"label: value" in one block: a field's labels are alternatives of one pattern; values that aren't valid are dropped."""
+    forms = {"survey": "([0-9०-९]+(?:\\s*/\\s*[0-9०-९]+)*)", "digits": "([0-9०-९]+)", "amount": f"([0-9०-९]+(?:[.,][0-9०-९]+)?)\\s*{P.AREA_UNITS}"}
+    own = blocks.withColumn("_c", clean_candidate("text")).filter(F.col("_c").rlike("[:|/-]"))
     found = []
     for name, (labels, kind) in patterns.items():
-        form = {"survey": "([0-9०-९]+(?:\\s*/\\s*[0-9०-९]+)*)", "digits": "([0-9०-९]+)", "amount": f"([0-9०-९]+(?:[.,][0-9०-९]+)?)\\s*{P.AREA_UNITS}"}.get(kind, "(.+)")
-        valid = {"survey": valid_survey, "digits": lambda v: fold_digits(v).rlike("^[0-9]+$"), "amount": valid_positive}.get(kind, lambda v, n=name: valid_text(v, n))
-        tries = []
-        for label in labels:
-            v = clean_candidate(F.regexp_extract(x, f"(?i)^(?:{label})\\s*[:|/-]\\s*{form}$", 1))
-            tries.append(F.when((v != "") & valid(v), v))
-        found.append(F.when(F.coalesce(*tries).isNotNull(), F.struct(F.lit(name).alias("name"), F.coalesce(*tries).alias("value"))))
-    hit = blocks.filter(x.rlike("[:|/-]")).withColumn("_f", F.explode(F.array_compact(F.array(*found))))
+        v = F.regexp_extract("_c", f"(?i)^(?:{'|'.join(labels)})\\s*[:|/-]\\s*{forms.get(kind, '(.+)')}$", 1)
+        found.append(F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), v.alias("value")))
+    hit = own.withColumn("_f", F.explode(F.filter(F.array(*found), lambda x: x["value"] != "")))
+    hit = hit.withColumns({"_n": F.col("_f.name"), "_k": F.col("_f.kind"), "_v": clean_candidate(F.col("_f.value"))}).filter("_v <> ''")
+    valid = F.when(F.col("_k") == "survey", valid_survey("_v")).when(F.col("_k") == "digits", F.lit(True)).when(F.col("_k") == "amount", valid_positive("_v")).otherwise(valid_text("_v", F.col("_n")))
     method = F.lit("regex_label")
-    return _field(hit, F.col("_f.name"), F.col("_f.value"), _normal(F.col("_f.name"), F.col("_f.value")), method_confidence(F.col("confidence"), method), method)
+    return _field(hit.filter(valid), F.col("_n"), F.col("_v"), _normal(F.col("_n"), F.col("_v")), method_confidence(F.col("confidence"), method), method)
 
 
 def label_list(labels: dict) -> Column:
@@ -89,9 +87,8 @@ def extract_adjacent(blocks: DataFrame, labels: dict = P.ADJACENT_LABELS) -> Dat
 
     Mutation and registration values that look like headers are kept at confidence 25, method spatial_label_value_suspect.
     """
-    n = normalize_label("text")
-    name = F.coalesce(*[F.when(n.isin(*xs), F.lit(f)) for f, xs in labels.items()])
-    own = with_next(blocks).withColumn("_name", name).filter(F.col("_name").isNotNull() & F.col("next_block").isNotNull())
+    name = F.coalesce(*[F.when(F.col("_l").isin(*xs), F.lit(f)) for f, xs in labels.items()])
+    own = with_next(blocks).withColumn("_l", normalize_label("text")).withColumn("_name", name).filter(F.col("_name").isNotNull() & F.col("next_block").isNotNull())
     own = own.filter(right_of_same_row(F.col("bbox"), F.col("next_block.bbox"))).withColumn("_v", clean_candidate(F.col("next_block.text"))).filter("_v <> ''")
     n, v = F.col("_name"), F.col("_v")
     valid = F.when(n == "survey_number", valid_survey(v)).when(n == "khata_number", fold_digits(v).rlike("^[0-9]+$")).when(n == "area", valid_positive(v)).otherwise(valid_text(v, n))
@@ -104,7 +101,7 @@ def extract_adjacent(blocks: DataFrame, labels: dict = P.ADJACENT_LABELS) -> Dat
 
 def values_below(headers: DataFrame, blocks: DataFrame, dy: float, width: float, left: float = 20.0, right: float = 40.0) -> DataFrame:
     """(header columns as h, block columns): blocks at most ``dy`` under a header whose x is in its column, on the same page."""
-    h = headers.filter(has_box(F.col("bbox"))).select("page_id", F.struct("block_id", "bbox", "position").alias("h"))
+    h = headers.filter(has_box(F.col("bbox"))).select("page_id", F.struct("block_id", "bbox").alias("h"))
     bottom = F.col("h.bbox.y") + F.col("h.bbox.height")
     gap = F.col("bbox.y") - bottom
     inside = F.col("bbox.x").between(F.col("h.bbox.x") - left, F.col("h.bbox.x") + F.greatest(F.col("h.bbox.width"), F.lit(width)) + right)
@@ -192,7 +189,7 @@ def resolve_header_values(headers: DataFrame, rows: DataFrame, labels: dict = P.
     and the block isn't a header itself.
     """
     h = headers.select("page_id", "label_field", "header_score", F.struct("block_id", "bbox", "row_idx", "row_size", "confidence").alias("h"))
-    v = rows.select("page_id", F.struct("block_id", "text", "bbox", "row_idx", "confidence", "position").alias("v"))
+    v = rows.select("page_id", F.struct("block_id", "text", "bbox", "row_idx", "confidence", "position").alias("v"), normalize_label("text", "–—-").alias("_vn"))
     j = h.join(v, "page_id").filter((F.col("h.block_id") != F.col("v.block_id")) & (F.col("v.row_idx") - F.col("h.row_idx")).between(0, 4))
     j = j.filter(valid_table_value(F.col("label_field"), F.col("v.text")))
     hb, vb = F.col("h.bbox"), F.col("v.bbox")
@@ -203,8 +200,7 @@ def resolve_header_values(headers: DataFrame, rows: DataFrame, labels: dict = P.
     below = 0.55 * (1 - step / 5) + 0.45 * (1 - dx / limit)
     gap = vb["x"] - (hb["x"] + hb["width"])
     level = F.abs((vb["y"] + vb["height"] / 2) - (hb["y"] + hb["height"] / 2)) <= F.greatest(F.lit(24.0), F.least(hb["height"], vb["height"]))
-    n = normalize_label(F.col("v.text"), "–—-")
-    known = F.exists(F.array(*[normalize_label(F.lit(x), "–—-") for xs in labels.values() for x in xs]), lambda x: label_score(n, x) >= 0.82)
+    known = F.exists(F.transform(label_list(labels), lambda x: x["label"]), lambda x: label_score(F.col("_vn"), x) >= 0.82)
     beside = (step == 0) & (F.col("h.row_size") <= 2) & (gap >= -10) & level & ~known
     score = F.when(under, below).when(beside, 0.65 + 0.35 * F.greatest(F.lit(0.0), 1 - gap / 1000))
     j = j.withColumn("relation_score", score).filter("relation_score IS NOT NULL")

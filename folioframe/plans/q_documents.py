@@ -1 +1,317 @@
+"""Queries on documents, OCR blocks, words, tables and files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from folioframe import presets as P
+from folioframe.functions import text as T
+from folioframe.functions.geometry import box, has_box, normalize_bbox, right_of_same_row
+from folioframe.functions.similarity import label_score
+from folioframe.operators import extract, metrics, runs, tables
+from folioframe.plans.views import frame, sql
+from folioframe.sources import readers
+
 QUERIES: dict = {}
+
+
+def register(name: str, oracle: str | None, *views: str):
+    def wrap(f):
+        QUERIES[name] = (lambda spark, sf_dir: f(*[frame(spark, sf_dir, v) for v in views]), sql(oracle, *views) if oracle else None)
+        return f
+
+    return wrap
+
+
+# Blocks are the lines of documents, laid out on a grid; every tenth line is a label, so that extraction finds something.
+LABELS = ("Village", "Survey No", "Khata No", "Owner Name", "Area", "Mutation", "भूमापन क्रमांक", "खाते क्रमांक")
+
+
+def blocks_of(docs):
+    lines = docs.select(F.col("doc_id").alias("page_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    k, p = (F.col("page_id") * 7 + F.col("pos") * 3) % 10, F.col("pos")
+    label = F.element_at(F.array(*map(F.lit, LABELS)), ((F.col("page_id") * 3 + F.floor(p / 3)) % len(LABELS) + 1).cast("int"))
+    number = F.concat(((F.col("page_id") + p) % 400).cast("string"), F.lit("/"), (p % 5).cast("string"))
+    text = F.when(k == 0, label).when(k == 3, number).when(k == 2, F.concat(label, F.lit(": "), number)).when(k == 1, F.concat(F.lit("Village : "), F.col("line"))).otherwise(F.col("line"))
+    b = box((p % 4) * 250, F.floor(p / 4) * 40, 100 + F.length("line") % 5 * 20, 20 + p % 5)
+    return lines.select("page_id", (F.col("page_id") * 100000 + p).alias("block_id"), p.alias("block_number"), text.alias("text"), ((F.col("page_id") * 31 + p * 17) % 101).cast("double").alias("confidence"), b.alias("bbox"))
+
+
+LABEL_SQL = "[" + ", ".join(f"'{x}'" for x in LABELS) + "]"
+BLOCKS = f"""l AS (SELECT doc_id AS page_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
+k AS (SELECT *, (page_id * 7 + pos * 3) % 10 AS k, ({LABEL_SQL})[(page_id * 3 + pos // 3) % {len(LABELS)} + 1] AS label, ((page_id + pos) % 400) || '/' || (pos % 5) AS number FROM l),
+blocks AS (SELECT page_id, page_id * 100000 + pos AS block_id, pos AS block_number, CASE k WHEN 0 THEN label WHEN 3 THEN number WHEN 2 THEN label || ': ' || number WHEN 1 THEN 'Village : ' || line ELSE line END AS text,
+ ((page_id * 31 + pos * 17) % 101)::DOUBLE AS confidence, ((pos % 4) * 250)::DOUBLE AS x, (pos // 4 * 40)::DOUBLE AS y, (100 + length(line) % 5 * 20)::DOUBLE AS width, (20 + pos % 5)::DOUBLE AS height FROM k)"""
+
+
+def b(body: str) -> str:
+    return f"WITH {BLOCKS} {body}"
+
+
+@register("p8_valid_boxes", b("SELECT block_id, width > 100 AND height > 21 AS ok FROM blocks"), "documents")
+def p8(docs):
+    own = blocks_of(docs)
+    small = box(F.col("bbox.x"), F.col("bbox.y"), F.col("bbox.width") - 100, F.col("bbox.height") - 21)
+    return own.select("block_id", has_box(small).alias("ok"))
+
+
+@register("p11_has_letter", "SELECT doc_id, regexp_matches(coalesce(text, ''), '[A-Za-z\\x{900}-\\x{97F}]') AS lettered FROM documents", "documents")
+def p11(docs):
+    return docs.select("doc_id", T.has_letter("text").alias("lettered"))
+
+
+@register("n15_normalize_bbox", """SELECT page_id, CASE page_id % 5 WHEN 4 THEN NULL ELSE (page_id % 40)::DOUBLE END AS x, CASE page_id % 5 WHEN 4 THEN NULL ELSE 3::DOUBLE END AS y, CASE page_id % 5 WHEN 4 THEN NULL ELSE 20::DOUBLE END AS width, CASE page_id % 5 WHEN 4 THEN NULL ELSE 7::DOUBLE END AS height FROM pages""", "pages")
+def n15(pages):
+    x = (F.col("page_id") % 40).cast("string")
+    x2 = (F.col("page_id") % 40 + 20).cast("string")
+    k = F.col("page_id") % 5
+    shape = F.when(k == 0, F.concat(F.lit('{"x":'), x, F.lit(',"y":3,"width":20,"height":7}'))).when(k == 1, F.concat(F.lit('{"left":'), x, F.lit(',"top":3,"right":'), x2, F.lit(',"bottom":10}')))
+    shape = shape.when(k == 2, F.concat(F.lit('{"bbox":{"x":"'), x, F.lit('","y":3,"width":20,"height":7}}'))).when(k == 3, F.concat(F.lit("["), x, F.lit(",3,"), x2, F.lit(",10]"))).otherwise(F.concat(F.lit("["), x2, F.lit(",3,"), x, F.lit(",10]")))
+    n = normalize_bbox(shape)
+    return pages.select("page_id", n["x"].alias("x"), n["y"].alias("y"), n["width"].alias("width"), n["height"].alias("height"))
+
+
+@register("w4_n17_next_on_row", b(""", o AS (SELECT *, lead(struct_pack(id := block_id, x := x, y := y, h := height)) OVER (PARTITION BY page_id ORDER BY y, x, block_number) AS n FROM blocks)
+ SELECT block_id, n.id AS next_id, n.x - (x + width) BETWEEN 0 AND 1400 AND abs(n.y + n.h / 2 - (y + height / 2)) <= greatest(18.0, 0.9 * least(height, n.h)) AS right_of FROM o WHERE n IS NOT NULL"""), "documents")
+def w4(docs):
+    own = extract.with_next(extract.in_reading_order(blocks_of(docs))).filter("next_block IS NOT NULL")
+    return own.select("block_id", F.col("next_block.block_id").alias("next_id"), right_of_same_row(F.col("bbox"), F.col("next_block.bbox")).alias("right_of"))
+
+
+CLUSTERED = """c AS (SELECT *, y + height / 2 AS cy FROM blocks), f AS (SELECT *, CASE WHEN cy - lag(cy) OVER w > greatest(18.0, 0.9 * least(height, lag(height) OVER w)) THEN 1 ELSE 0 END AS nw FROM c WINDOW w AS (PARTITION BY page_id ORDER BY cy, x, block_number)),
+ r AS (SELECT *, sum(nw) OVER (PARTITION BY page_id ORDER BY cy, x, block_number ROWS UNBOUNDED PRECEDING)::INT AS row_idx FROM f)"""
+
+
+@register("w5_row_clusters", b(f", {CLUSTERED} SELECT block_id, row_idx, count(*) OVER (PARTITION BY page_id, row_idx) AS row_size FROM r"), "documents")
+def w5(docs):
+    return extract.cluster_rows(blocks_of(docs)).select("block_id", "row_idx", "row_size")
+
+
+@register("w5_row_clusters_greedy", None, "documents")
+def w5_greedy(docs):
+    return extract.cluster_rows_greedy(blocks_of(docs))
+
+
+@register("j7_l6_area_rows", b(r""", h AS (SELECT * FROM blocks WHERE lower(trim(text)) = 'area'), v AS (SELECT *, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '^[ .,:;|/\-]+|[ .,:;|/\-]+$', '', 'g') AS c FROM blocks),
+ g AS (SELECT * FROM v WHERE regexp_matches(regexp_replace(c, '\s+', '', 'g'), '^[0-9]+([.,][0-9]+)?$') AND coalesce(try_cast(replace(regexp_replace(c, '\s+', '', 'g'), ',', '.') AS DOUBLE), 0) > 0),
+ j AS (SELECT g.block_id, g.c, h.block_id AS header, row_number() OVER (PARTITION BY h.block_id ORDER BY g.y, g.x, g.block_number) AS rn FROM h JOIN g ON h.page_id = g.page_id AND g.block_id <> h.block_id AND g.y > h.y + h.height AND g.y - (h.y + h.height) <= 280 AND g.x BETWEEN h.x - 20 AND h.x + greatest(h.width, 180) + 40)
+ SELECT block_id AS evidence_block_id, c AS value FROM j WHERE rn <= 10"""), "documents")
+def x6(docs):
+    own = extract.extract_area_rows(extract.in_reading_order(blocks_of(docs)))
+    return own.select("evidence_block_id", "value")
+
+
+def _numbers_below(docs):
+    own = blocks_of(docs)
+    headers = own.filter(F.lower(F.trim("text")) == "khata no")
+    values = own.filter(F.col("text").rlike("^[0-9]+/[0-9]+$"))
+    return extract.top_below(extract.values_below(headers, values, 260, 240), 2).select(F.col("h.block_id").alias("header"), "block_id")
+
+
+@register("j7_values_below", b(""", h AS (SELECT * FROM blocks WHERE lower(trim(text)) = 'khata no'), g AS (SELECT * FROM blocks WHERE regexp_matches(text, '^[0-9]+/[0-9]+$')),
+ j AS (SELECT h.block_id AS header, g.block_id, row_number() OVER (PARTITION BY h.block_id ORDER BY g.y, g.x, g.block_number) AS rn FROM h JOIN g ON h.page_id = g.page_id AND g.y > h.y + h.height AND g.y - (h.y + h.height) <= 260 AND g.x BETWEEN h.x - 20 AND h.x + greatest(h.width, 240) + 40)
+ SELECT header, block_id FROM j WHERE rn <= 2"""), "documents")
+def j7(docs):
+    return _numbers_below(docs)
+
+
+@register("x3_extract_inline_survey", b(r""", x AS (SELECT block_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '^[ .,:;|/\-]+|[ .,:;|/\-]+$', '', 'g') AS c FROM blocks)
+ SELECT block_id AS evidence_block_id, 'survey_number' AS field_name, regexp_extract(c, '(?i)^survey\s*(?:number|no\.?|#)\s*[:|/\-]\s*([0-9]+(?:\s*/\s*[0-9]+)*)$', 1) AS value FROM x WHERE regexp_matches(c, '(?i)^survey\s*(?:number|no\.?|#)\s*[:|/\-]\s*([0-9]+(?:\s*/\s*[0-9]+)*)$')"""), "documents")
+def x3(docs):
+    own = extract.extract_inline(extract.in_reading_order(blocks_of(docs)))
+    return own.filter("field_name = 'survey_number'").select("evidence_block_id", "field_name", "value")
+
+
+@register("x4_extract_adjacent_survey", b(r""", o AS (SELECT *, lead(struct_pack(id := block_id, t := text, x := x, y := y, h := height)) OVER (PARTITION BY page_id ORDER BY y, x, block_number) AS n FROM blocks),
+ x AS (SELECT n.id AS evidence_block_id, regexp_replace(trim(regexp_replace(n.t, '\s+', ' ', 'g')), '^[ .,:;|/\-]+|[ .,:;|/\-]+$', '', 'g') AS value FROM o WHERE lower(trim(text)) = 'survey no' AND n.x - (x + width) BETWEEN 0 AND 1400 AND abs(n.y + n.h / 2 - (y + height / 2)) <= greatest(18.0, 0.9 * least(height, n.h)))
+ SELECT * FROM x WHERE regexp_matches(value, '^[0-9]+(\s*/\s*[0-9]+)*$')"""), "documents")
+def x4(docs):
+    own = extract.extract_adjacent(extract.in_reading_order(blocks_of(docs)))
+    return own.filter("field_name = 'survey_number'").select("evidence_block_id", "value")
+
+
+@register("x5_owner_rows", None, "documents")
+def x5(docs):
+    return extract.extract_owner_rows(extract.in_reading_order(blocks_of(docs)))
+
+
+@register("j8_w8_x7_table_fields", None, "documents")
+def x7(docs):
+    return extract.extract_table_fields(extract.in_reading_order(blocks_of(docs)))
+
+
+@register("l8_u1_x8_extract_fields", None, "documents")
+def x8(docs):
+    return extract.reading_order(extract.extract_fields(blocks_of(docs)))
+
+
+@register("j13_link_evidence", None, "documents")
+def j13(docs):
+    own = blocks_of(docs)
+    return extract.link_evidence(extract.extract_inline(extract.in_reading_order(own)), own)
+
+
+@register("x9_extract_documents", None, "documents")
+def x9(docs):
+    pages = docs.select(F.col("doc_id").alias("page_id"), (F.col("doc_id") % 50).alias("document_id"))
+    made = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("status")) for k, s in ((0, "COMPLETED"), (1, "FAILED"))])
+    vruns = pages.select("page_id", F.explode(made).alias("r")).select("page_id", (F.col("page_id") * 2 + F.col("r.k")).alias("run_id"), "r.status", F.col("r.k").alias("created_at"))
+    blocks = blocks_of(docs).withColumn("run_id", F.col("page_id") * 2)
+    fields, per = extract.extract_documents(pages, vruns, blocks)
+    return per.join(fields.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_fields")), "run_id", "left")
+
+
+@register("j9_label_scores", b(r""", n AS (SELECT block_id, trim(regexp_replace(regexp_replace(lower(trim(text)), '[/|.:,;()\[\]{}#\\]', ' ', 'g'), '[\s]+', ' ', 'g')) AS n FROM blocks WHERE length(text) < 40 AND regexp_full_match(text, '[ -~]*') AND NOT contains(text, '-')), lab AS (SELECT unnest(['owner name', 'holder name']) AS label),
+ s AS (SELECT block_id, label, CASE WHEN n = label THEN 1.0 WHEN contains(n, label) OR contains(label, n) THEN 0.94 ELSE 0.65 * (1 - levenshtein(n, label)::DOUBLE / greatest(length(n), length(label))) + 0.35 * len(list_intersect(list_distinct(string_split(n, ' ')), string_split(label, ' ')))::DOUBLE / len(list_distinct(list_concat(string_split(n, ' '), string_split(label, ' ')))) END AS score FROM n, lab WHERE n <> '')
+ SELECT block_id, label, round(score, 9) AS score FROM s WHERE score >= 0.3"""), "documents")
+def j9(docs):
+    own = blocks_of(docs).filter((F.length("text") < 40) & F.col("text").rlike("^[ -~]*$") & ~F.col("text").contains("-"))
+    s = extract.score_headers(own, {"holder_name": ("owner name", "holder name")})
+    return s.filter("header_score >= 0.3").select("block_id", "label", F.round("header_score", 9).alias("score"))
+
+
+@register("n11_label_score", None, "v_fields")
+def n11(fields):
+    return fields.select("field_id", label_score(T.normalize_label("value"), F.lit("owner name")).alias("score"))
+
+
+SIGNALS = {"GPL": (("general public license", 8), ("gnu", 3), ("version 3", 2)), "APACHE": (("apache license", 10), ("version 2.0", 2)), "RESERVED": (("all rights reserved", 7),), "COMMON": (("the", 3), ("and", 2), ("licensed", 2))}
+WEIGHT = {k: " + ".join(f"CASE WHEN contains(n, '{p}') THEN {w} ELSE 0 END" for p, w in v) for k, v in SIGNALS.items()}
+
+
+@register("x1_classify", "WITH t AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')) AS n FROM documents), s AS (SELECT doc_id, " + ", ".join(f"{w} AS {k}" for k, w in WEIGHT.items()) + " FROM t), m AS (SELECT *, greatest(GPL, APACHE, RESERVED, COMMON) AS m FROM s) SELECT doc_id, CASE WHEN m < 7 THEN 'UNKNOWN' WHEN GPL = m THEN 'GPL' WHEN APACHE = m THEN 'APACHE' WHEN RESERVED = m THEN 'RESERVED' ELSE 'COMMON' END AS document_type, CASE WHEN m < 7 THEN least(100.0, m * 8.0) ELSE least(98.0, 55.0 + m * 4.0) END::DOUBLE AS class_confidence FROM m", "documents")
+def x1(docs):
+    return extract.classify(docs, SIGNALS).select("doc_id", "document_type", F.col("class_confidence").cast("double").alias("class_confidence"))
+
+
+@register("x2_detect_language", r"""WITH c AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\x{C0}-\x{FF}]')) AS a, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]')) AS b FROM documents)
+ SELECT doc_id, CASE WHEN a + b = 0 THEN 'unknown' WHEN a::DOUBLE / (a + b) >= 0.35 AND b::DOUBLE / (a + b) >= 0.08 THEN 'both' WHEN a::DOUBLE / (a + b) >= 0.55 THEN 'accented' WHEN b::DOUBLE / (a + b) >= 0.55 THEN 'plain' ELSE 'both' END AS script FROM c""", "documents")
+def x2(docs):
+    return docs.select("doc_id", extract.detect_language(F.col("text"), "[\\u00C0-\\u00FF]", "[A-Za-z]", ("accented", "plain", "both")).alias("script"))
+
+
+def words_of(docs):
+    w = docs.select(F.col("doc_id").alias("page_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), " ")).alias("pos", "text"))
+    p = F.col("pos")
+    conf = F.when(p % 13 == 0, "-1").when(p % 17 == 0, "n/a").otherwise(((F.col("page_id") * 3 + p) % 97).cast("string"))
+    cols = {"block_num": F.floor(p / 40).cast("int"), "par_num": F.floor(p / 24).cast("int"), "line_num": F.floor(p / 8).cast("int"), "word_num": p % 8, "left": (p % 8) * 60, "top": F.floor(p / 8).cast("int") * 20, "width": 10 + F.length("text") % 50, "height": 10 + p % 7, "conf": conf}
+    return w.select("page_id", "text", *[c.alias(n) for n, c in cols.items()])
+
+
+WORDS = """w AS (SELECT doc_id AS page_id, unnest(string_split(coalesce(text, ''), ' ')) AS text, generate_subscripts(string_split(coalesce(text, ''), ' '), 1) - 1 AS pos FROM documents),
+ww AS (SELECT page_id, text, pos // 40 AS block_num, pos // 24 AS par_num, pos // 8 AS line_num, pos % 8 AS word_num, (pos % 8) * 60 AS l, pos // 8 * 20 AS t, 10 + length(text) % 50 AS wd, 10 + pos % 7 AS ht, CASE WHEN pos % 13 = 0 THEN -1 WHEN pos % 17 = 0 THEN -1 ELSE (page_id * 3 + pos) % 97 END AS conf FROM w),
+ok AS (SELECT * FROM ww WHERE trim(text) <> '' AND conf >= 0)"""
+
+
+@register("s4_usable_words", f"WITH {WORDS} SELECT page_id, count(*) AS words, sum(conf)::DOUBLE AS conf FROM ok GROUP BY 1", "documents")
+def s4(docs):
+    return readers.usable_words(words_of(docs)).groupBy("page_id").agg(F.count(F.lit(1)).alias("words"), F.sum("conf").alias("conf"))
+
+
+@register("a8_assemble_lines", f"WITH {WORDS} SELECT page_id, block_num, par_num, line_num, string_agg(text, ' ' ORDER BY word_num) AS text, avg(conf) AS confidence, min(l) AS x, min(t) AS y, max(l + wd) - min(l) AS width, max(t + ht) - min(t) AS height FROM ok GROUP BY 1, 2, 3, 4", "documents")
+def a8(docs):
+    return metrics.assemble_lines(readers.usable_words(words_of(docs)))
+
+
+@register("a9_assemble_text", b("SELECT page_id, md5(string_agg(text, chr(10) ORDER BY block_number)) AS digest, avg(confidence) AS confidence FROM blocks GROUP BY 1"), "documents")
+def a9(docs):
+    return metrics.assemble_text(blocks_of(docs)).select("page_id", F.md5("text").alias("digest"), "confidence")
+
+
+@register("w9_best_pass", r"""WITH p AS (SELECT doc_id AS page_id, k AS pass_no, CASE k WHEN 0 THEN 4 WHEN 1 THEN 6 ELSE 11 END AS psm, CASE WHEN k = 2 THEN 'gray' ELSE 'plain' END AS variant, ((doc_id * 7 + k * 11) % 9)::DOUBLE AS confidence, CASE k WHEN 0 THEN text WHEN 1 THEN upper(text) || ' survey owner 0000' ELSE coalesce(text, '') || ' [[ ]] 7/12' END AS text FROM documents, range(3) r(k)),
+ s AS (SELECT page_id, pass_no, confidence + 3 * len(list_filter(['गाव नमुना', '७/१२', '7/12', 'सर्वे', 'गट', 'खातेदार', 'फेरफार', 'जिल्हा', 'तालुका', 'village', 'survey', 'owner', 'property card', 'mutation'], lambda x: contains(lower(coalesce(text, '')), x))) + least(6.0, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9\x{900}-\x{97F}]')) / 500) + CASE WHEN psm = 4 THEN 1.0 ELSE 0.0 END + CASE WHEN variant = 'gray' THEN 0.5 ELSE 0.0 END - 0.08 * len(regexp_extract_all(coalesce(text, ''), '[\[\]{}]{2,}|[oO0]{4,}')) AS score FROM p)
+ SELECT page_id, pass_no FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pass_no) AS rn FROM s) WHERE rn = 1""", "documents")
+def w9(docs):
+    k = F.col("k")
+    p = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    text = F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.upper("text"), F.lit(" survey owner 0000"))).otherwise(F.concat(F.coalesce("text", F.lit("")), F.lit(" [[ ]] 7/12")))
+    p = p.select(F.col("doc_id").alias("page_id"), k.alias("pass_no"), F.when(k == 0, 4).when(k == 1, 6).otherwise(11).alias("psm"), F.when(k == 2, "gray").otherwise("plain").alias("variant"), ((F.col("doc_id") * 7 + k * 11) % 9).cast("double").alias("confidence"), text.alias("text"))
+    return tables.best_pass(p).select("page_id", "pass_no")
+
+
+@register("s1_admit_files", r"""WITH x AS (SELECT file_id, name, content_type, body, lower(regexp_extract(name, '\.([^./]+)$', 1)) AS ext FROM v_uploads)
+ SELECT file_id, CASE WHEN name = '' THEN 'A filename is required.' WHEN ext NOT IN ('pdf', 'jpg', 'jpeg', 'png', 'tif', 'tiff') THEN 'Unsupported file extension.' WHEN content_type <> 'application/pdf' THEN 'Unsupported content type.' WHEN body = '' THEN 'Uploaded file is empty.'
+ WHEN NOT CASE WHEN ext = 'pdf' THEN starts_with(body, '%PDF-') ELSE false END THEN 'File content does not match its format.' END AS reason FROM x""".replace("WITH x", ", x"), "v_uploads")
+def s1(uploads):
+    return readers.admit_files(uploads.withColumn("content", F.encode("body", "UTF-8"))).select("file_id", "reason")
+
+
+@register("s2_content_hash", "SELECT page_id, sha256(html) AS sha256 FROM pages", "pages")
+def s2(pages):
+    return pages.select("page_id", readers.content_hash(F.encode("html", "UTF-8")).alias("sha256"))
+
+
+@register("j5_new_or_existing", """SELECT file_id, CASE WHEN h IN (SELECT sha256(body) FROM v_incoming WHERE file_id % 3 = 0) THEN 'ALREADY_EXISTS' WHEN row_number() OVER (PARTITION BY h ORDER BY file_id) > 1 THEN 'DUPLICATE_IN_BATCH' ELSE 'NEW' END AS outcome FROM (SELECT file_id, sha256(body) AS h FROM v_incoming WHERE file_id % 3 <> 0)""", "v_incoming")
+def j5(incoming):
+    hashed = incoming.select("file_id", readers.content_hash(F.encode("body", "UTF-8")).alias("sha256"))
+    return runs.split_new_existing(hashed.filter("file_id % 3 <> 0"), hashed.filter("file_id % 3 = 0")).select("file_id", "outcome")
+
+
+@register("n21_clean_html", r"""SELECT n AS table_id, trim(regexp_replace(replace(replace(replace(regexp_replace(html, '(?i)<br\s*/?>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM v_grids""", "v_grids")
+def n21(grids):
+    return grids.select(F.col("n").alias("table_id"), T.clean_html_cell("html").alias("text"))
+
+
+PAGE_TABLES = r"""WITH p AS (SELECT page_id, len(regexp_extract_all(html, '<li>')) AS items FROM pages)"""
+
+
+def spanned(pages):
+    """A table a page: a heading over two columns, a row label over two rows, values from the page."""
+    i = F.col("page_id").cast("string")
+    n = F.regexp_count("html", F.lit("<li>")).cast("string")
+    parts = ["<table><tr><th rowspan=2>भूमापन क्रमांक</th><th colspan='2'>खाते क्रमांक</th></tr><tr><td>", i, "/1</td><td>", n, "</td></tr><tr><td>", i, "</td><td>&lt;b&gt;</td><td>y<br>z</td></tr></table>"]
+    return pages.select(F.col("page_id").alias("doc_id"), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("html"))
+
+
+CELLS = PAGE_TABLES + """, cells AS (SELECT page_id AS doc_id, unnest([{'row': 0, 'col': 0, 'text': 'भूमापन क्रमांक'}, {'row': 1, 'col': 0, 'text': 'भूमापन क्रमांक'}, {'row': 0, 'col': 1, 'text': 'खाते क्रमांक'}, {'row': 0, 'col': 2, 'text': 'खाते क्रमांक'},
+ {'row': 1, 'col': 1, 'text': page_id || '/1'}, {'row': 1, 'col': 2, 'text': items::VARCHAR}, {'row': 2, 'col': 0, 'text': page_id::VARCHAR}, {'row': 2, 'col': 1, 'text': '<b>'}, {'row': 2, 'col': 2, 'text': 'y z'}]) AS c FROM p)"""
+
+
+@register("x10_html_cells", CELLS + " SELECT doc_id, c.row AS row, c.col AS col, c.text AS text FROM cells", "pages")
+def x10(pages):
+    return tables.html_table_cells(spanned(pages)).select("doc_id", "row", "col", "text")
+
+
+@register("x10_page_tables", None, "pages")
+def x10_pages(pages):
+    return tables.html_table_cells(pages.withColumnRenamed("page_id", "doc_id"))
+
+
+@register("a18_table_summary", PAGE_TABLES + " SELECT page_id AS doc_id, 1 AS tables, 3 AS rows, 3 AS columns FROM p", "pages")
+def a18(pages):
+    return tables.table_summary(tables.html_table_cells(spanned(pages)))
+
+
+@register("x11_w12_grid_lookup", PAGE_TABLES + " SELECT page_id AS doc_id, 'survey_gat_number' AS field, 1::DOUBLE AS header_score, page_id::VARCHAR AS value FROM p UNION ALL SELECT page_id, 'account_number', 1::DOUBLE, page_id || '/1' FROM p", "pages")
+def x11(pages):
+    own = tables.grid_lookup(tables.html_table_cells(spanned(pages)), {k: P.GRID_ALIASES[k] for k in ("survey_gat_number", "account_number")})
+    return own.select("doc_id", "field", "header_score", "value")
+
+
+@register("x12_header_row_lookup", PAGE_TABLES + " SELECT page_id AS doc_id, 'survey_gat_number' AS field, page_id::VARCHAR AS value FROM p UNION ALL SELECT page_id, 'account_number', page_id || '/1' FROM p", "pages")
+def x12(pages):
+    own = tables.header_row_lookup(tables.html_table_cells(spanned(pages)), {k: P.GRID_ALIASES[k] for k in ("survey_gat_number", "account_number")})
+    return own.select("doc_id", "field", "value")
+
+
+@register("x13_positional_fields", "SELECT doc_id, 'survey_number' AS field, n || '/' || doc_id AS value FROM v_grids UNION ALL SELECT doc_id, 'subdivision', (n * 3)::VARCHAR FROM v_grids", "v_grids")
+def x13(grids):
+    cells = tables.html_table_cells(grids)
+    return tables.positional_fields(cells).filter("field <> 'land_tenure'").select("doc_id", "field", "value")
+
+
+@register("w11_main_table", PAGE_TABLES + " SELECT page_id AS doc_id, 1 AS table_no, 8 AS table_score FROM p", "pages")
+def w11(pages):
+    own = spanned(pages).withColumn("html", F.concat(F.lit("<table><tr><td>खाते क्रमांक</td></tr></table>"), "html"))
+    return tables.main_table(tables.html_tables(own)).select("doc_id", "table_no", "table_score")
+
+
+@register("x14_harvest", PAGE_TABLES + """ SELECT page_id AS doc_id, 'survey_gat_number' AS field, 'x' AS candidate FROM p WHERE false UNION ALL SELECT page_id, 'sub_division', page_id || '/1' FROM p UNION ALL SELECT page_id, 'land_tenure', items::VARCHAR FROM p UNION ALL SELECT page_id, 'account_number', 'खाते क्रमांक' FROM p""", "pages")
+def x14(pages):
+    return tables.harvest_candidates(tables.html_table_cells(spanned(pages)))
+
+
+@register("w10_best_artifact", "SELECT image, file FROM (SELECT url AS image, page_id AS file, row_number() OVER (PARTITION BY regexp_extract(url, '[a-z]+\\.example', 0) ORDER BY page_id % 4 DESC, page_id % 3 DESC, page_id) AS rn FROM pages) WHERE rn = 1", "pages")
+def w10(pages):
+    own = pages.select(F.regexp_extract("url", "[a-z]+\\.example", 0).alias("image"), F.col("url"), F.col("page_id").alias("file"), (F.col("page_id") % 4).alias("n_fields"), (F.col("page_id") % 3).alias("n_tables"))
+    return tables.best_artifact(own).select(F.col("url").alias("image"), "file")
