@@ -161,9 +161,12 @@ def repeated_anchors(home: DataFrame, units: Units, buckets: int) -> DataFrame:
     return home.select("slot", "text").mapInArrow(scan, ROUTED).groupBy("slot").applyInArrow(match, ROUTED)
 
 
-def passages(home: DataFrame, repeated: DataFrame, units: Units, buckets: int, often: np.ndarray, settle: Callable, once: bool = False) -> DataFrame:
+def passages(home: DataFrame, repeated: DataFrame, units: Units, buckets: int, often: np.ndarray, settle: Callable, once: bool = False, encode: Callable | None = None) -> DataFrame:
     """(slot bucket, kind, data): kind 0 passages by bucket of their key, kind 1 verdicts for a home, whose number comes first.
 
+    ``encode(head, texts, lead, hot)`` may deal the passages otherwise: lead is where in a passage its anchor is, hot tells windows
+    that were sent one by one.
+
     ``settle(n)`` says how many of the last of n copies inside a home, in the order of document and place, are settled, all
     their windows recurring, right here. With ``once``, equal rows count as one document.
     """
@@ -180,14 +183,15 @@ def passages(home: DataFrame, repeated: DataFrame, units: Units, buckets: int, o
             h = gram[p]
             use = among(h, wanted)
             d, first, last, h = d[use], first[use], last[use], h[use]
-            hot = among(h, often)
+            lead, hot = p[use] - first, among(h, often)
             if hot.any():  # windows of common anchors go one by one
                 n = (last - first + 1)[hot]
                 w = np.repeat(first[hot] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
                 wide = gram_hashes(uh, window)
                 d = np.concatenate([d[~hot], np.repeat(d[hot], n)])
                 first, last = np.concatenate([first[~hot], w]), np.concatenate([last[~hot], w])
-                h = np.concatenate([h[~hot], mix(wide[w])])
+                h, lead = np.concatenate([h[~hot], mix(wide[w])]), np.concatenate([lead[~hot], np.zeros(len(w), np.int64)])
+                hot = np.arange(len(d)) >= len(d) - len(w)
             if not len(d):
                 continue
             data = buf.tobytes()
@@ -197,16 +201,16 @@ def passages(home: DataFrame, repeated: DataFrame, units: Units, buckets: int, o
             else:
                 ws = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 text = [b" ".join(ws[a:b]) for a, b in zip(first.tolist(), (last + window).tolist(), strict=True)]
-            for t, *x in zip(text, h.tolist(), doc[lo + d].tolist(), row[lo + d].tolist(), at.tolist(), (last - first + 1).tolist(), strict=True):
+            for t, *x in zip(text, h.tolist(), doc[lo + d].tolist(), row[lo + d].tolist(), at.tolist(), (last - first + 1).tolist(), lead.tolist(), hot.tolist(), strict=True):
                 found.setdefault(t, []).append(tuple(x))
-        head = np.zeros(len(found), PASSAGE)
+        head, lead, hot = np.zeros(len(found), PASSAGE), np.zeros(len(found), np.int64), np.zeros(len(found), bool)
         done = []
         for i, (t, copies) in enumerate(found.items()):
             copies = sorted(set(copies) if once else copies, key=lambda x: (x[1], x[3], x[2]))
-            key, d, r, at, n = copies[0]
+            key, d, r, at, n, lead[i], hot[i] = copies[0]
             head[i] = (key, me, d, r, at, n, len(copies), len(t))
-            done += [(r, d, at, at + n + window - 2) for _, d, r, at, n in copies[len(copies) - settle(len(copies)) :]]
-        out = list(routed(_spread(head["key"], buckets), 0, head, list(found)))
+            done += [(r, d, at, at + n + window - 2) for _, d, r, at, n, _, _ in copies[len(copies) - settle(len(copies)) :]]
+        out = encode(head, list(found), lead, hot) if encode else list(routed(_spread(head["key"], buckets), 0, head, list(found)))
         if done:
             v = np.array(done, VERDICT)
             out.append((me % buckets, 1, me.to_bytes(4, "little") + v.tobytes()))

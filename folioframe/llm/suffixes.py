@@ -1,14 +1,17 @@
 """Suffix-array deduplication: a distributed merge sort of front-coded suffix runs.
 
-Suffixes are compared on their first ``window`` bytes; two that agree on all of them are an exact repeat. Tasks sort
-their suffixes into runs and front-code them (the length of the prefix shared with the suffix before, then the rest).
-The runs, cut at splitters, are exchanged, and each range is merged by a loser tree whose players carry how much of
-their prefix the last winner is known to share: a match compares these lengths first and never looks at known bytes.
+The suffixes that are sorted start at anchors that recur (see ``recur``), go on to the end of the anchor's passage, and then
+hold what lies before the anchor, backwards. In sorted order equal passages are neighbours, and all passages that can share a
+window stand together, since they share the anchor. Homes sort their suffixes into runs and front-code them (the length of the
+prefix shared with the suffix before, then the rest). The runs, cut at splitters, are exchanged, and each range is merged
+by a loser tree whose players carry how much of their prefix they are known to share with the last winner: a match compares
+these lengths first and never looks at known bytes again.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,31 +23,33 @@ from folioframe.llm.arrowtext import BYTE, chunks, gram_hashes
 from folioframe.llm.common import NULL_ID, row_key
 
 WINDOW, ANCHOR = 100, 32
-#: Place of a suffix: where its document lives, the document, the row, the byte.
-PLACE = np.dtype([("home", "<i4"), ("doc", "<i8"), ("row", "<i8"), ("at", "<i8")])
+#: Place of a suffix: document, row, first byte of the passage, home, windows, bytes before the anchor.
+PLACE = np.dtype([("doc", "<i8"), ("row", "<i8"), ("at", "<i4"), ("home", "<i4"), ("windows", "<u2"), ("lead", "<u2")])
+#: Bytes of a splitter; no more than an anchor has, so that an anchor's suffixes are never parted.
 SPLIT_BYTES = 24
 
 
-def front_coded(text: np.ndarray, place: np.ndarray) -> bytes:
-    """A sorted run: count, shared prefix lengths, places and the rest of each suffix. ``text`` has a row for each suffix."""
-    n, width = text.shape
-    lcp = np.zeros(n, np.int64)
-    if n > 1:
-        differ = text[1:] != text[:-1]
-        lcp[1:] = np.where(differ.any(1), differ.argmax(1), width)
-    rest = text[np.arange(width)[None, :] >= lcp[:, None]]
-    return n.to_bytes(4, "little") + lcp.astype("<u2").tobytes() + place.tobytes() + rest.tobytes()
+def shared_prefix(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    x = int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])
+    return (8 * n - x.bit_length()) // 8
 
 
-def opened(data: bytes, width: int) -> tuple[list[int], np.ndarray, memoryview]:
+def front_coded(values: list[bytes], place: np.ndarray) -> bytes:
+    """A sorted run: count, shared prefix lengths, lengths, places and the rest of each suffix."""
+    lcp = [0, *(shared_prefix(a, b) for a, b in zip(values, values[1:], strict=False))][: len(values)]
+    rest = b"".join([v[n:] for v, n in zip(values, lcp, strict=True)])
+    return len(values).to_bytes(4, "little") + np.array(lcp, "<u2").tobytes() + np.array([len(v) for v in values], "<u2").tobytes() + place.tobytes() + rest
+
+
+def opened(data: bytes) -> tuple[list[int], list[int], np.ndarray, bytes]:
     n = int.from_bytes(data[:4], "little")
-    lcp = np.frombuffer(data, "<u2", n, 4)
-    place = np.frombuffer(data, PLACE, n, 4 + 2 * n)
-    return lcp.tolist(), place, memoryview(data)[4 + 2 * n + n * PLACE.itemsize :]
+    lcp, size = np.frombuffer(data, "<u2", n, 4), np.frombuffer(data, "<u2", n, 4 + 2 * n)
+    return lcp.tolist(), size.tolist(), np.frombuffer(data, PLACE, n, 4 + 4 * n), data[4 + 4 * n + n * PLACE.itemsize :]
 
 
-def merged(runs: list[tuple[list[int], memoryview]], width: int) -> Iterator[tuple[int, int]]:
-    """Merges front-coded runs: (run, prefix shared with the suffix before) in sorted order, by a loser tree."""
+def merged(runs: list[tuple[list[int], list[int], bytes]]) -> Iterator[tuple[int, int, bytes]]:
+    """Merges front-coded runs: (run, prefix shared with the suffix before, suffix) in sorted order, by a loser tree."""
     k = 1
     while k < len(runs):
         k *= 2
@@ -53,28 +58,28 @@ def merged(runs: list[tuple[list[int], memoryview]], width: int) -> Iterator[tup
     index, at = [0] * k, [0] * k
 
     def advance(i: int) -> None:
-        lcp, rest = runs[i]
+        lcp, size, rest = runs[i]
         j = index[i]
         if j == len(lcp):
             known[i] = -1
             return
         n, a = lcp[j], at[i]
-        value[i] = value[i][:n] + bytes(rest[a : a + width - n])
-        known[i], index[i], at[i] = n, j + 1, a + width - n
+        b = a + size[j] - n
+        value[i] = value[i][:n] + rest[a:b]
+        known[i], index[i], at[i] = n, j + 1, b
 
     def play(a: int, b: int) -> tuple[int, int]:
         """(winner, loser). All players share known bytes with the same last winner: who shares more is smaller."""
         x, y = known[a], known[b]
         if x != y:
             return (a, b) if x > y else (b, a)
-        if x < 0 or x == width:
+        if x < 0:
             return a, b
-        p, q = int.from_bytes(value[a][x:]), int.from_bytes(value[b][x:])
-        same = x + (8 * (width - x) - (p ^ q).bit_length()) // 8
+        p, q = value[a][x:], value[b][x:]
         if p <= q:
-            known[b] = same
+            known[b] = x + shared_prefix(p, q)
             return a, b
-        known[a] = same
+        known[a] = x + shared_prefix(p, q)
         return b, a
 
     for i in range(len(runs)):
@@ -85,7 +90,7 @@ def merged(runs: list[tuple[list[int], memoryview]], width: int) -> Iterator[tup
         winners[node], loser[node] = play(winners[2 * node], winners[2 * node + 1])
     top = winners[1] if k > 1 else 0
     while known[top] >= 0:
-        yield top, known[top]
+        yield top, known[top], value[top]
         advance(top)
         node = (top + k) // 2
         while node:
@@ -93,94 +98,117 @@ def merged(runs: list[tuple[list[int], memoryview]], width: int) -> Iterator[tup
             node //= 2
 
 
-def _runs(window: int, splitters: list[bytes]):
-    """In a bucket: copies of passages are settled, suffixes that may recur become sorted runs by range."""
-    split = np.array(splitters, f"S{SPLIT_BYTES}")
-
-    def run(t: pa.Table) -> pa.Table:
-        own, rows = recur.passed_on(t)
-        out = [(h % (len(split) + 1), 1, h.to_bytes(4, "little") + x) for h, _, x in rows]
-        texts: dict[bytes, list] = {}
-        for x in own:
-            head, blobs = recur.unpack(x)
-            for r, text in zip(head.tolist(), blobs, strict=True):
-                texts.setdefault(text, []).append(r)
-        done, home, firsts = [], [], {}
-        for text, copies in texts.items():
-            copies.sort(key=lambda r: (r[2], r[4], r[3]))
-            firsts.setdefault(copies[0][0], []).append((copies[0], text))
-            for _, h, d, r, at, n, _, _ in copies[1:]:
-                done.append((r, d, at, at + n + window - 2))
-                home.append(h)
-        for h, _, x in recur.verdicts_home(np.array(home, np.int32), np.array(done, recur.VERDICT)) if done else []:
-            out.append((h % (len(split) + 1), 1, h.to_bytes(4, "little") + x))
-        meet = [x for own in firsts.values() if len(own) > 1 for x in own]
-        if meet:
-            head = np.array([r for r, _ in meet], recur.PASSAGE)
-            buf = np.frombuffer(b"".join(x for _, x in meet), np.uint8)
-            n, size = head["windows"].astype(np.int64), head["size"].astype(np.int64)
-            which = np.repeat(np.arange(len(head)), n)
-            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            start = (np.cumsum(size) - size)[which] + step
-            h = gram_hashes(BYTE[buf], window)[start]
-            _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
-            use = times[inverse] > 1  # a suffix of a hash of its own has no equal
-            start, which, step = start[use], which[use], step[use]
-            if len(start):
-                place = np.zeros(len(start), PLACE)
-                place["home"], place["doc"], place["row"], place["at"] = head["home"][which], head["doc"][which], head["row"][which], head["at"][which] + step
-                text = np.lib.stride_tricks.sliding_window_view(buf, window)[start]
-                order = np.argsort(np.ascontiguousarray(text).view(f"S{window}").ravel(), kind="stable")
-                text, place = text[order], place[order]
-                part = np.searchsorted(split, np.ascontiguousarray(text[:, :SPLIT_BYTES]).view(f"S{SPLIT_BYTES}").ravel(), "right") if len(split) else np.zeros(len(text), np.int64)
-                cut = np.flatnonzero(np.diff(part, prepend=-1))
-                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=True):
-                    out.append((int(part[a]), 0, front_coded(text[a:b], place[a:b])))
-        return recur.table_of(out)
-
-    return run
-
-
-def _merge(window: int):
-    """In a range: the runs are merged; of suffixes that agree in full, all but the first place are repeats."""
+def _runs(splitters: list[bytes], slots: int):
+    """Sorts a home's suffixes into one run for each range. Windows that were sent one by one are dealt by their hash."""
+
+    def encode(head: np.ndarray, texts: list[bytes], lead: np.ndarray, hot: np.ndarray) -> list[tuple[int, int, bytes]]:
+        place = np.zeros(len(head), PLACE)
+        for k in ("doc", "row", "at", "home", "windows"):
+            place[k] = head[k]
+        place["lead"] = lead
+        values = [t[a:] + t[:a][::-1] for t, a in zip(texts, lead.tolist(), strict=True)]
+        own: dict[tuple[int, int], list[int]] = {}
+        for i, (one, key) in enumerate(zip(hot.tolist(), head["key"].tolist(), strict=True)):
+            spot = (2, (key >> 20) % slots) if one else (0, bisect_right(splitters, values[i][:SPLIT_BYTES]))
+            own.setdefault(spot, []).append(i)
+        out = []
+        for (kind, slot), rows in own.items():
+            rows.sort(key=values.__getitem__)
+            out.append((slot, kind, front_coded([values[i] for i in rows], place[rows])))
+        return out
+
+    return encode
+
+
+def _later(p: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, whether it comes after its group's first): by document and place. Equal rows have equal places, and neither comes first."""
+    o = np.lexsort((p["at"], p["doc"], group))
+    g, doc, at = group[o], p["doc"][o], p["at"][o]
+    head = np.flatnonzero(np.diff(g, prepend=-1))
+    lead = np.repeat(head, np.diff(np.append(head, len(g))))
+    return o, (doc != doc[lead]) | (at != at[lead])
+
+
+def _merge(window: int, anchor: int):
+    """In a range: merges the runs, settles equal passages, and compares the windows of passages around one anchor."""
+
+    def combine(data: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        runs = [opened(x) for x in data]
+        base = np.cumsum([0, *(len(r[0]) for r in runs)])[:-1].tolist()
+        values, lcps, rank = [], [], []
+        for i, n, v in merged([(r[0], r[1], r[3]) for r in runs]):
+            values.append(v)
+            lcps.append(n)
+            rank.append(base[i])
+            base[i] += 1
+        return values, np.array(lcps), np.concatenate([r[2] for r in runs])[np.array(rank)]
+
+    def settle(values: list[bytes], lcps: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the passage of each suffix, verdicts, their homes)."""
+        size = np.array([len(v) for v in values])
+        same = np.zeros(len(p), bool)
+        same[1:] = (lcps[1:] == size[1:]) & (size[1:] == size[:-1]) & (p["lead"][1:] == p["lead"][:-1])
+        which = np.cumsum(~same)
+        o, later = _later(p, which)
+        q = p[o[later]]
+        v = np.zeros(len(q), recur.VERDICT)
+        v["row"], v["doc"], v["from"], v["to"] = q["row"], q["doc"], q["at"], q["at"] + q["windows"] + window - 2
+        return which, v, q["home"]
+
+    def windows(values: list[bytes], p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows of passages around shared anchors that start earlier somewhere: (verdicts, homes)."""
+        lead = p["lead"].astype(np.int64).tolist()
+        buf = np.frombuffer(b"".join([v[len(v) - a :][::-1] + v[: len(v) - a] for v, a in zip(values, lead, strict=True)]), np.uint8)
+        n, size = p["windows"].astype(np.int64), np.array([len(v) for v in values])
+        which = np.repeat(np.arange(len(p)), n)
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        start = (np.cumsum(size) - size)[which] + step
+        _, inverse, times = np.unique(gram_hashes(BYTE[buf], window)[start], return_inverse=True, return_counts=True)
+        use = times[inverse] > 1  # a window whose hash is its own has no equal
+        start, which, step = start[use], which[use], step[use]
+        if not len(start):
+            return np.zeros(0, recur.VERDICT), np.zeros(0, np.int32)
+        text = np.lib.stride_tricks.sliding_window_view(buf, window)[start]
+        order = np.argsort(np.ascontiguousarray(text).view(f"S{window}").ravel(), kind="stable")
+        text, which, step = text[order], which[order], step[order]
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]).any(1)
+        q = p[which].copy()
+        q["at"] += step.astype(np.int32)
+        o, later = _later(q, np.cumsum(new))
+        q = q[o[later]]
+        q = q[np.lexsort((q["at"], q["row"], q["doc"], q["home"]))]
+        first = np.ones(len(q), bool)
+        first[1:] = (q["home"][1:] != q["home"][:-1]) | (q["row"][1:] != q["row"][:-1]) | (q["doc"][1:] != q["doc"][:-1]) | (q["at"][1:] > q["at"][:-1] + 1)
+        a = np.flatnonzero(first)
+        b = np.append(a[1:], len(q)) - 1 if len(a) else a
+        v = np.zeros(len(a), recur.VERDICT)
+        v["row"], v["doc"], v["from"], v["to"] = q["row"][a], q["doc"][a], q["at"][a], q["at"][b] + window - 1
+        return v, q["home"][a]
 
     def run(t: pa.Table) -> pa.Table:
-        own, out = recur.passed_on(t)
-        runs, places = [], []
-        for x in own:
-            lcp, place, rest = opened(x, window)
-            runs.append((lcp, rest))
-            places.append(place)
-        if runs:
-            base = np.cumsum([0, *(len(p) for p in places)])[:-1].tolist()
-            taken = [0] * len(runs)
-            ranks, lcps = [], []
-            for i, n in merged(runs, window):
-                ranks.append(base[i] + taken[i])
-                lcps.append(n)
-                taken[i] += 1
-            order = np.array(ranks)
-            place = np.concatenate(places)[order]
-            group = np.cumsum(np.array(lcps) < window)
-            o = np.lexsort((place["at"], place["doc"], group))
-            again = np.zeros(len(o), bool)
-            again[1:] = group[o][1:] == group[o][:-1]
-            p, g = place[o], group[o]
-            # Equal rows have equal places, and neither comes before the other.
-            first = np.flatnonzero(~again)
-            lead = p[first][np.searchsorted(first, np.arange(len(o)), "right") - 1]
-            again &= (p["doc"] != lead["doc"]) | (p["at"] != lead["at"])
-            del g
-            p = p[again]
-            if len(p):
-                p = p[np.lexsort((p["at"], p["row"], p["doc"], p["home"]))]
-                new = np.ones(len(p), bool)
-                new[1:] = (p["home"][1:] != p["home"][:-1]) | (p["row"][1:] != p["row"][:-1]) | (p["doc"][1:] != p["doc"][:-1]) | (p["at"][1:] != p["at"][:-1] + 1)
-                a = np.flatnonzero(new)
-                b = np.append(a[1:], len(p)) - 1
-                v = np.zeros(len(a), recur.VERDICT)
-                v["row"], v["doc"], v["from"], v["to"] = p["row"][a], p["doc"][a], p["at"][a], p["at"][b] + window - 1
-                out += recur.verdicts_home(p["home"][a], v)
+        cold, out = recur.passed_on(t)
+        single = [x for k, x in zip(t.column("kind").to_pylist(), t.column("data").to_pylist(), strict=True) if k == 2]
+        said, home = [], []
+        for data, whole in ((cold, True), (single, False)):
+            if not data:
+                continue
+            values, lcps, p = combine(data)
+            which, v, h = settle(values, lcps, p)
+            said.append(v)
+            home.append(h)
+            if whole:
+                o, _ = _later(p, which)
+                firsts = np.sort(o[np.diff(which[o], prepend=-1) != 0])
+                group = np.cumsum(lcps < anchor)[firsts]
+                _, inverse, times = np.unique(group, return_inverse=True, return_counts=True)
+                meet = firsts[times[inverse] > 1]
+                if len(meet):
+                    v, h = windows([values[i] for i in meet.tolist()], p[meet])
+                    said.append(v)
+                    home.append(h)
+        if said:
+            out += recur.verdicts_home(np.concatenate(home).astype(np.int32), np.concatenate(said))
         return recur.table_of(out)
 
     return run
@@ -214,20 +242,19 @@ def _cut(docs: pa.Table, said: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(cols, CUT_ARROW, strict=True)], schema=CUT_ARROW)
 
 
-def splitters_of(docs: DataFrame, size: int, ranges: int, sample_bytes: int = 1 << 23) -> list[bytes]:
-    """Prefixes that cut the order of suffixes into ranges, from a bounded hash sample; they only balance the merge."""
+def splitters_of(docs: DataFrame, units: recur.Units, size: int, ranges: int, sample_bytes: int = 1 << 23) -> list[bytes]:
+    """Prefixes that cut the order of anchors into ranges, from a bounded hash sample; they only balance the merge."""
     share = max(1, size // sample_bytes)
     some = docs.filter(F.pmod(row_key(), F.lit(share)) == 0).select("text")
 
     def pick(batches):
         for batch in batches:
-            for _, _, buf, _ in chunks(batch.column(0)):
+            for _, buf, _, _, _, _, _, _, (_, _, _, p) in units.read(batch.column(0)):
                 data = buf.tobytes()
-                yield pa.record_batch([pa.array([data[i : i + SPLIT_BYTES] for i in range(0, len(data) - SPLIT_BYTES, 997)], pa.binary())], names=["p"])
+                yield pa.record_batch([pa.array([data[i : i + SPLIT_BYTES] for i in p[::4].tolist()], pa.binary())], names=["p"])
 
-    picked = sorted(r.p for r in some.mapInArrow(pick, "p binary").collect())
-    cuts = [bytes(picked[len(picked) * i // ranges]) for i in range(1, ranges)] if picked else []
-    return sorted({c.rstrip(b"\0") for c in cuts} - {b""})
+    picked = sorted(bytes(r.p) for r in some.mapInArrow(pick, "p binary").collect())
+    return sorted({picked[len(picked) * i // ranges] for i in range(1, ranges)}) if picked else []
 
 
 def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -238,17 +265,16 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, anchor: int = A
     does a text shorter than the window. Null ids come before all others. Equal rows (id and text) are one document and are
     cut alike. Strings are judged on the input. Other columns are ignored.
 
-    Only suffixes near anchors that recur can have an equal (see ``recur``); copies of a whole passage are settled without
-    sorting, and the other suffixes go through the merge sort.
+    Only windows around anchors that recur can have an equal, and these are in the passages that the merge sort brings together.
+    Equal passages are settled as they come out of it; of different passages around one anchor the windows are compared.
     """
     units = recur.Units("byte", window, anchor)
     size = recur.text_bytes(docs)
     homes, buckets = recur.sizes(size)
     often = recur.frequent_anchors(docs, units, size)
-    split = splitters_of(docs, size, homes)
+    split = splitters_of(docs, units, size, homes)
     home = recur.homes(docs, homes)
     repeated = recur.repeated_anchors(home, units, buckets)
-    cut = recur.passages(home, repeated, units, buckets, often, lambda n: n - 1, once=True)
-    runs = cut.groupBy("slot").applyInArrow(_runs(window, split), recur.ROUTED)
-    said = runs.groupBy("slot").applyInArrow(_merge(window), recur.ROUTED)
+    runs = recur.passages(home, repeated, units, buckets, often, lambda n: n - 1, once=True, encode=_runs(split, buckets))
+    said = runs.groupBy("slot").applyInArrow(_merge(window, anchor), recur.ROUTED)
     return home.groupBy("slot").cogroup(said.groupBy("slot")).applyInArrow(_cut, CUT)
