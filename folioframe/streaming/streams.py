@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from folioframe.operators.review import audit_rows, valid_actions
+from folioframe.operators.review import apply_reviews, valid_actions
 
 
 def dedup_uploads(uploads: DataFrame, ts: str = "ts", within: str = "1 day", key: str = "sha256") -> DataFrame:
@@ -17,22 +17,18 @@ def review_counts(actions: DataFrame, ts: str = "ts", late: str = "10 minutes",
     return actions.withWatermark(ts, late).groupBy(F.window(ts, width), F.col("status")).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "status", "n")
 
 
-def fold_reviews(actions: DataFrame, fields: DataFrame, path: str, checkpoint: str):
-    """Starts a query that appends audit rows and writes, batch by batch, the last decision of each touched field.
+def fold_reviews(actions: DataFrame, path: str, checkpoint: str):
+    """Starts a query that appends the valid actions to a log, batch by batch; ``folded`` reads the fields' state from it.
 
-    A batch is written under its number, so one that is run again replaces itself. ``current_fields`` reads the state.
+    A batch is written under its number, so one that is run again replaces itself.
     """
 
     def batch(df: DataFrame, n: int) -> None:
-        own = valid_actions(df).select("action_id", "field_id", "action", "new_value", "reason", "ts")
-        own.write.mode("overwrite").parquet(f"{path}/batch={n}")
+        valid_actions(df).select("action_id", "field_id", "action", "new_value", "reason", "ts").write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     return actions.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def folded(fields: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """(fields, audit) after all batches that have been written."""
-    from folioframe.operators.review import apply_reviews
-
-    actions = fields.sparkSession.read.parquet(path).drop("batch")
-    return apply_reviews(fields, actions)[0], audit_rows(fields, actions)
+    return apply_reviews(fields, fields.sparkSession.read.parquet(path).drop("batch"))
