@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from folioframe import presets as P
+from folioframe.functions.text import let
 
 BOX = "struct<x: double, y: double, width: double, height: double>"
 
@@ -24,11 +25,15 @@ def normalize_bbox(json: Column) -> Column:
     get = lambda *paths: F.coalesce(*[F.get_json_object(json, p).try_cast("double") for p in paths])
     at = lambda *names: get(*[f"$.{o}{n}" for o in ("bbox.", "bounding_box.", "") for n in names])
     corner = lambda i: get(f"$[{i}]", f"$.bbox[{i}]", f"$.bounding_box[{i}]", f"$.bbox_xyxy[{i}]")
-    x1, y1, x2, y2 = (corner(i) for i in range(4))
-    x, y = F.coalesce(at("x", "left", "x1"), F.lit(0.0)), F.coalesce(at("y", "top", "y1"), F.lit(0.0))
-    w, h = F.coalesce(at("width", "w"), at("right", "x2") - x), F.coalesce(at("height", "h"), at("bottom", "y2") - y)
-    b = F.when(x1.isNotNull() & y1.isNotNull() & x2.isNotNull() & y2.isNotNull(), box(x1, y1, x2 - x1, y2 - y1)).otherwise(box(x, y, w, h))
-    return F.when(has_box(b), b)
+    parts = F.array(*[corner(i) for i in range(4)], at("x", "left", "x1"), at("y", "top", "y1"), at("width", "w"), at("height", "h"), at("right", "x2"), at("bottom", "y2"))
+
+    def shape(p: Column) -> Column:
+        x, y = F.coalesce(p[4], F.lit(0.0)), F.coalesce(p[5], F.lit(0.0))
+        named = box(x, y, F.coalesce(p[6], p[8] - x), F.coalesce(p[7], p[9] - y))
+        corners = p[0].isNotNull() & p[1].isNotNull() & p[2].isNotNull() & p[3].isNotNull()
+        return F.when(corners, box(p[0], p[1], p[2] - p[0], p[3] - p[1])).otherwise(named)
+
+    return let(let(parts, shape), lambda b: F.when(has_box(b), b))
 
 
 def right_of_same_row(a: Column, b: Column, reach: float = 1400.0) -> Column:
