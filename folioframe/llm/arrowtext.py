@@ -1,6 +1,6 @@
 """Vectorised text primitives on Arrow string columns, for use inside Spark tasks.
 
-A column is cut into chunks of whole documents of about a megabyte (a longer document is a chunk of its own),
+A column is cut into chunks of whole documents of about half a megabyte (a longer document is a chunk of its own),
 so that the working arrays stay small whatever the batch size.
 """
 
@@ -43,7 +43,7 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of runs of whole documents; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

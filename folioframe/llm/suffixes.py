@@ -27,6 +27,8 @@ WINDOW, ANCHOR = 100, 32
 PLACE = np.dtype([("doc", "<i8"), ("row", "<i8"), ("at", "<i4"), ("home", "<i4"), ("windows", "<u2"), ("lead", "<u2")])
 #: Bytes of a splitter; no more than an anchor has, so that an anchor's suffixes are never parted.
 SPLIT_BYTES = 24
+#: Windows whose bytes are spelled out and sorted at a time.
+SORTED_AT_ONCE = 100_000
 
 
 def shared_prefix(a: bytes, b: bytes) -> int:
@@ -132,6 +134,8 @@ def _later(p: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _merge(window: int, anchor: int):
     """In a range: merges the runs, settles equal passages, and compares the windows of passages around one anchor."""
 
+    most = SORTED_AT_ONCE
+
     def combine(data: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         runs = [opened(x) for x in data]
         base = np.cumsum([0, *(len(r[0]) for r in runs)])[:-1].tolist()
@@ -155,7 +159,7 @@ def _merge(window: int, anchor: int):
         v["row"], v["doc"], v["from"], v["to"] = q["row"], q["doc"], q["at"], q["at"] + q["windows"] + window - 2
         return which, v, q["home"]
 
-    def windows(values: list[bytes], p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def windows(values: list[bytes], p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Windows of passages around shared anchors that start earlier somewhere: (verdicts, homes)."""
         lead = p["lead"].astype(np.int64).tolist()
         buf = np.frombuffer(b"".join([v[len(v) - a :][::-1] + v[: len(v) - a] for v, a in zip(values, lead, strict=True)]), np.uint8)
@@ -163,18 +167,22 @@ def _merge(window: int, anchor: int):
         which = np.repeat(np.arange(len(p)), n)
         step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         start = (np.cumsum(size) - size)[which] + step
-        _, inverse, times = np.unique(gram_hashes(BYTE[buf], window)[start], return_inverse=True, return_counts=True)
+        h = gram_hashes(BYTE[buf], window)[start]
+        _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
         use = times[inverse] > 1  # a window whose hash is its own has no equal
-        start, which, step = start[use], which[use], step[use]
-        if not len(start):
-            return np.zeros(0, recur.VERDICT), np.zeros(0, np.int32)
-        text = np.lib.stride_tricks.sliding_window_view(buf, window)[start]
+        start, which, step, h = start[use], which[use], step[use], h[use]
+        parts = 1 + len(start) // most
+        for k in range(parts):  # equal windows are in one part
+            here = h % np.uint64(parts) == k
+            if here.any():
+                yield compare(np.lib.stride_tricks.sliding_window_view(buf, window)[start[here]], p[which[here]], step[here])
+
+    def compare(text: np.ndarray, q: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(np.ascontiguousarray(text).view(f"S{window}").ravel(), kind="stable")
-        text, which, step = text[order], which[order], step[order]
+        text, q = text[order], q[order]
+        q["at"] += step[order].astype(np.int32)
         new = np.ones(len(text), bool)
         new[1:] = (text[1:] != text[:-1]).any(1)
-        q = p[which].copy()
-        q["at"] += step.astype(np.int32)
         o, later = _later(q, np.cumsum(new))
         q = q[o[later]]
         q = q[np.lexsort((q["at"], q["row"], q["doc"], q["home"]))]
@@ -202,11 +210,16 @@ def _merge(window: int, anchor: int):
                 firsts = np.sort(o[np.diff(which[o], prepend=-1) != 0])
                 group = np.cumsum(lcps < anchor)[firsts]
                 _, inverse, times = np.unique(group, return_inverse=True, return_counts=True)
-                meet = firsts[times[inverse] > 1]
-                if len(meet):
-                    v, h = windows([values[i] for i in meet.tolist()], p[meet])
-                    said.append(v)
-                    home.append(h)
+                several = times[inverse] > 1
+                meet, group = firsts[several], group[several]
+                # The passages of an anchor stay together; as many anchors at a time as make a megabyte.
+                heads = np.flatnonzero(np.diff(group, prepend=-1))
+                batch = np.cumsum([len(values[i]) for i in meet.tolist()])[heads] >> 20 if len(meet) else heads
+                cuts = [*heads[np.flatnonzero(np.diff(batch, prepend=-1))].tolist(), len(meet)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    for v, h in windows([values[i] for i in meet[a:b].tolist()], p[meet[a:b]]):
+                        said.append(v)
+                        home.append(h)
         if said:
             out += recur.verdicts_home(np.concatenate(home).astype(np.int32), np.concatenate(said))
         return recur.table_of(out)

@@ -55,7 +55,9 @@ def few_groups(monkeypatch):
     monkeypatch.setattr(recur, "sizes", lambda n: (5, 7))
 
 
-def test_messy_documents(messy_docs, few_groups):
+@pytest.mark.parametrize("at_once", [3, 100_000])
+def test_messy_documents(messy_docs, few_groups, monkeypatch, at_once):
+    monkeypatch.setattr(suffixes, "SORTED_AT_ONCE", at_once)
     check_both(messy_docs)
 
 
