@@ -6,7 +6,7 @@ script), and lower-casing replaces full case folding; null counts as the empty s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from folioframe import presets as P
 
@@ -23,6 +23,15 @@ def let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once for each row.
+
+    They come out of a generator of one row, so that expressions on top of them, and filters that are pushed down, refer to
+    their values instead of repeating how they are made.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def fold_digits(c: Column | str) -> Column:
     return F.translate(text(c), P.DEVANAGARI_DIGITS, "0123456789")
 

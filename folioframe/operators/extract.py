@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from folioframe import presets as P
 from folioframe.functions.geometry import has_box, method_confidence, right_of_same_row, table_confidence
 from folioframe.functions.similarity import label_score
-from folioframe.functions.text import clean_candidate, fold_digits, looks_like_label, normalize_label, normalize_value, rename_field, valid_positive, valid_survey, valid_table_value, valid_text
+from folioframe.functions.text import clean_candidate, fold_digits, looks_like_label, normalize_label, normalize_value, pinned, rename_field, valid_positive, valid_survey, valid_table_value, valid_text
 from folioframe.operators.runs import dedup_strongest, latest_run, run_confidence, union_fields
 
 FIELDS = ("page_id", "field_name", "value", "normalized_value", "confidence", "method", "evidence_block_id", "evidence_bbox", "position")
@@ -31,7 +31,8 @@ def with_next(blocks: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, signals: dict = P.CLASS_SIGNALS, least: int = 7, text: str = "text") -> DataFrame:
     """Adds document_type, class_confidence and matched_signals: the first class of strictly highest summed weights."""
     norm = lambda c: F.trim(F.regexp_replace(F.lower(fold_digits(c)), "\\s+", " "))
-    n = norm(text)
+    docs = pinned(docs, _n=norm(text))
+    n = F.col("_n")
     cases = []
     for i, (name, phrases) in enumerate(signals.items()):
         hits = F.array_compact(F.array(*[F.when(n.contains(norm(F.lit(p))), F.struct(F.lit(p).alias("phrase"), F.lit(w).alias("weight"))) for p, w in phrases]))
@@ -39,11 +40,11 @@ def classify(docs: DataFrame, signals: dict = P.CLASS_SIGNALS, least: int = 7, t
         cases.append(F.struct(score.alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("name"), F.transform(hits, lambda h: h["phrase"]).alias("hits")))
     # Structs compare by score, then by the earlier class.
     best = F.array_max(F.array(*cases))
-    out = docs.withColumn("_best", best)
+    out = pinned(docs, _best=best)
     s = F.col("_best.score")
     kind = F.when(s < least, "UNKNOWN").otherwise(F.col("_best.name"))
     conf = F.when(s < least, F.least(F.lit(100.0), s * 8.0)).otherwise(F.least(F.lit(98.0), 55.0 + s * 4.0))
-    return out.withColumns({"document_type": kind, "class_confidence": conf, "matched_signals": F.when(s > 0, F.col("_best.hits")).otherwise(F.array().cast("array<string>"))}).drop("_best")
+    return out.withColumns({"document_type": kind, "class_confidence": conf, "matched_signals": F.when(s > 0, F.col("_best.hits")).otherwise(F.array().cast("array<string>"))}).drop("_best", "_n")
 
 
 def detect_language(text: Column, first: str = "[\\u0900-\\u097F]", second: str = "[A-Za-z]", names: tuple[str, str, str] = ("mar", "eng", "mar+eng")) -> Column:
@@ -65,13 +66,13 @@ def _normal(name: Column, value: Column) -> Column:
 def extract_inline(blocks: DataFrame, patterns: dict = P.INLINE_PATTERNS) -> DataFrame:
     """"label: value" in one block: a field's labels are alternatives of one pattern; values that aren't valid are dropped."""
     forms = {"survey": "([0-9०-९]+(?:\\s*/\\s*[0-9०-९]+)*)", "digits": "([0-9०-९]+)", "amount": f"([0-9०-९]+(?:[.,][0-9०-९]+)?)\\s*{P.AREA_UNITS}"}
-    own = blocks.withColumn("_c", clean_candidate("text")).filter(F.col("_c").rlike("[:|/-]"))
+    own = pinned(blocks.filter(F.col("text").rlike("[:|/-]")), _c=clean_candidate("text"))
     found = []
     for name, (labels, kind) in patterns.items():
         v = F.regexp_extract("_c", f"(?i)^(?:{'|'.join(labels)})\\s*[:|/-]\\s*{forms.get(kind, '(.+)')}$", 1)
         found.append(F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), v.alias("value")))
     hit = own.withColumn("_f", F.explode(F.filter(F.array(*found), lambda x: x["value"] != "")))
-    hit = hit.withColumns({"_n": F.col("_f.name"), "_k": F.col("_f.kind"), "_v": clean_candidate(F.col("_f.value"))}).filter("_v <> ''")
+    hit = pinned(hit, _n=F.col("_f.name"), _k=F.col("_f.kind"), _v=clean_candidate(F.col("_f.value"))).filter("_v <> ''")
     valid = F.when(F.col("_k") == "survey", valid_survey("_v")).when(F.col("_k") == "digits", F.lit(True)).when(F.col("_k") == "amount", valid_positive("_v")).otherwise(valid_text("_v", F.col("_n")))
     method = F.lit("regex_label")
     return _field(hit.filter(valid), F.col("_n"), F.col("_v"), _normal(F.col("_n"), F.col("_v")), method_confidence(F.col("confidence"), method), method)
@@ -88,14 +89,16 @@ def extract_adjacent(blocks: DataFrame, labels: dict = P.ADJACENT_LABELS) -> Dat
     Mutation and registration values that look like headers are kept at confidence 25, method spatial_label_value_suspect.
     """
     name = F.coalesce(*[F.when(F.col("_l").isin(*xs), F.lit(f)) for f, xs in labels.items()])
-    own = with_next(blocks).withColumn("_l", normalize_label("text")).withColumn("_name", name).filter(F.col("_name").isNotNull() & F.col("next_block").isNotNull())
-    own = own.filter(right_of_same_row(F.col("bbox"), F.col("next_block.bbox"))).withColumn("_v", clean_candidate(F.col("next_block.text"))).filter("_v <> ''")
+    own = pinned(with_next(blocks), _l=normalize_label("text"))
+    own = pinned(own, _name=name).filter(F.col("_name").isNotNull() & F.col("next_block").isNotNull())
+    own = pinned(own.filter(right_of_same_row(F.col("bbox"), F.col("next_block.bbox"))), _v=clean_candidate(F.col("next_block.text"))).filter("_v <> ''")
     n, v = F.col("_name"), F.col("_v")
     valid = F.when(n == "survey_number", valid_survey(v)).when(n == "khata_number", fold_digits(v).rlike("^[0-9]+$")).when(n == "area", valid_positive(v)).otherwise(valid_text(v, n))
-    suspect = ~valid & n.isin("mutation", "registration") & looks_like_label(v)
-    own = own.withColumn("_s", suspect).filter(valid | suspect)
-    method = F.when(F.col("_s"), "spatial_label_value_suspect").otherwise("spatial_label_value")
-    conf = F.when(F.col("_s"), 25.0).otherwise(method_confidence(F.col("next_block.confidence"), method))
+    suspect = n.isin("mutation", "registration") & looks_like_label(v)
+    own = pinned(own, _ok=valid, _s=suspect).filter("_ok OR _s")
+    method = F.when(~F.col("_ok") & F.col("_s"), "spatial_label_value_suspect").otherwise("spatial_label_value")
+    suspicious = ~F.col("_ok") & F.col("_s")
+    conf = F.when(suspicious, 25.0).otherwise(method_confidence(F.col("next_block.confidence"), method))
     return _field(own, n, v, _normal(n, v), conf, method, F.col("next_block"))
 
 
@@ -168,9 +171,9 @@ def cluster_rows_greedy(blocks: DataFrame) -> DataFrame:
 
 def score_headers(blocks: DataFrame, labels: dict = P.TABLE_LABELS, method: str = "levenshtein") -> DataFrame:
     """Every block against every label: (block columns, label_field, label, header_score). The label list is a small literal."""
-    own = blocks.withColumn("_n", normalize_label("text", "–—-")).filter("_n <> ''").withColumn("_l", F.explode(label_list(labels)))
+    own = pinned(blocks, _n=normalize_label("text", "–—-")).filter("_n <> ''").withColumn("_l", F.explode(label_list(labels)))
     own = own.select(*blocks.columns, "_n", "_l.*")
-    return own.withColumn("header_score", label_score(F.col("_n"), F.col("label"), method)).drop("_n")
+    return pinned(own, header_score=label_score(F.col("_n"), F.col("label"), method)).drop("_n")
 
 
 def best_headers(scored: DataFrame, thresholds: dict = P.TABLE_THRESHOLDS, otherwise: float = 0.70) -> DataFrame:
@@ -203,7 +206,7 @@ def resolve_header_values(headers: DataFrame, rows: DataFrame, labels: dict = P.
     known = F.exists(F.transform(label_list(labels), lambda x: x["label"]), lambda x: label_score(F.col("_vn"), x) >= 0.82)
     beside = (step == 0) & (F.col("h.row_size") <= 2) & (gap >= -10) & level & ~known
     score = F.when(under, below).when(beside, 0.65 + 0.35 * F.greatest(F.lit(0.0), 1 - gap / 1000))
-    j = j.withColumn("relation_score", score).filter("relation_score IS NOT NULL")
+    j = pinned(j, relation_score=score).filter("relation_score IS NOT NULL")
     w = W.partitionBy("page_id", "label_field").orderBy(F.col("relation_score").desc(), F.col("v.confidence").desc_nulls_last(), F.col("v.position"))
     return j.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
@@ -217,7 +220,7 @@ def extract_table_fields(blocks: DataFrame, labels: dict = P.TABLE_LABELS) -> Da
     f = F.col("label_field")
     norm = F.when(f.isin("survey_number", "account_number", "cultivable_area"), F.regexp_replace(normalize_value(v, "number"), "^[.-]+|[.-]+$", "")).when(f == "subdivision", normalize_value(v, "number")).otherwise(F.lower(clean_candidate(fold_digits(v))))
     conf = table_confidence(F.coalesce("v.confidence", "h.confidence"), F.col("header_score"), F.col("relation_score"))
-    got = got.withColumns({"_v": v, "_n": norm}).filter("_n <> ''")
+    got = pinned(got, _v=v, _n=norm).filter("_n <> ''")
     out = _field(got, rename_field("label_field"), F.col("_v"), F.col("_n"), conf, F.lit("table_header_value"), F.col("v"))
     return dedup_strongest(out.withColumn("field_id", F.col("evidence_block_id")), "page_id").drop("field_id")
 
