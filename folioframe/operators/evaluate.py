@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from folioframe.functions.similarity import cer, contained_similarity, similarity, wer
-from folioframe.functions.text import basename, eval_text, is_evaluable
+from folioframe.functions.similarity import cer, similarity, wer
+from folioframe.functions.text import basename, eval_text, is_evaluable, pinned
 
 
 def melt_truth(wide: DataFrame, fields: tuple[str, ...], key: str = "image") -> DataFrame:
@@ -16,10 +16,11 @@ def melt_truth(wide: DataFrame, fields: tuple[str, ...], key: str = "image") ->
 
 def field_visibility(truth: DataFrame, texts: DataFrame, key: str = "image", fuzzy: float = 0.80) -> DataFrame:
     """(key, field, value, exact, similarity, fuzzy) of evaluable values: are they in the page's text?"""
-    own = truth.filter(is_evaluable("status", "value"))
-    j = own.join(texts.select(key, "text"), key)
-    exact = eval_text("text").contains(eval_text("value")) & (eval_text("value") != "")
-    return j.select(key, "field", "value", exact.alias("exact"), contained_similarity(F.col("value"), F.col("text")).alias("similarity")).withColumn("fuzzy", F.col("similarity") >= fuzzy)
+    own = pinned(truth.filter(is_evaluable("status", "value")), _v=eval_text("value"))
+    j = own.join(pinned(texts.select(key, "text"), _t=eval_text("text")), key)
+    exact = F.col("_t").contains(F.col("_v")) & (F.col("_v") != "")
+    near = F.when(F.col("_v") == "", 0.0).when(exact, 1.0).otherwise(similarity(F.col("_v"), F.col("_t")))
+    return j.select(key, "field", "value", exact.alias("exact"), near.alias("similarity")).withColumn("fuzzy", F.col("similarity") >= fuzzy)
 
 
 def _per_field(df: DataFrame, *aggregates) -> DataFrame:
@@ -92,5 +93,5 @@ def report(overall: DataFrame, per_field: DataFrame, rows: DataFrame, key: str =
     """One nested row a document: its fields; with the overall and per-field summaries as small literal columns of the report's first part."""
     docs = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("field", "exact", "similarity"))).alias("fields"))
     summary = per_field.groupBy().agg(F.array_sort(F.collect_list(F.struct(*per_field.columns))).alias("field_summary"))
-    head = overall.join(summary).select(F.lit("summary").alias("part"), F.to_json(F.struct("*")).alias("content"))
+    head = overall.withColumn("_1", F.lit(1)).join(summary.withColumn("_1", F.lit(1)), "_1").drop("_1").select(F.lit("summary").alias("part"), F.to_json(F.struct("*")).alias("content"))
     return head.unionByName(docs.select(F.lit("document").alias("part"), F.to_json(F.struct("*")).alias("content")))

@@ -81,8 +81,8 @@ FOUND = f"t AS (SELECT item_id, item_id % 10 AS g, 'f' || (item_id % 5) AS field
 
 
 def visible(benchmark, documents):
-    t = truth_of(benchmark).filter(T.is_evaluable("status", "value")).withColumn("_n", T.eval_text("value"))
-    d = pages_of(documents).withColumn("_d", T.eval_text("text"))
+    t = T.pinned(truth_of(benchmark).filter(T.is_evaluable("status", "value")), _n=T.eval_text("value"))
+    d = T.pinned(pages_of(documents), _d=T.eval_text("text"))
     return t.select("item_id", "image", "field", "_n").join(d.select("image", "doc_id", "_d"), "image").select("item_id", "field", "doc_id", (F.col("_d").contains(F.col("_n")) & (F.col("_n") != "")).alias("found"))
 
 

@@ -216,3 +216,26 @@ def test_text_assembly(spark):
     w = spark.createDataFrame([(1, 0, 0, 0, 1, 50, 5, 20, 10, 80.0, "b"), (1, 0, 0, 0, 0, 0, 0, 30, 12, 60.0, "a")], "page_id int, block_num int, par_num int, line_num int, word_num int, left int, top int, width int, height int, conf double, text string")
     r = metrics.assemble_lines(w).first()
     assert (r.text, r.confidence, r.x, r.y, r.width, r.height) == ("a b", 70.0, 0, 0, 70, 15)
+
+
+def test_evaluation_of_texts(spark):
+    from folioframe.operators import evaluate
+
+    wide = spark.createDataFrame([("a/p1.png", "Old Place", "present", "12", "unreadable"), ("p2.png", "missing", "present", None, "present")], "image string, village string, village_status string, area string, area_status string")
+    truth = evaluate.melt_truth(wide, ("village", "area"))
+    assert truth.count() == 4
+    texts = spark.createDataFrame([("a/p1.png", "the OLD, place"), ("p2.png", "nothing here")], "image string, text string")
+    seen = evaluate.field_visibility(truth, texts)
+    got = {r.image: (r.exact, r.similarity) for r in seen.collect()}
+    assert got["a/p1.png"] == (True, 1.0) and got["p2.png"][0] is False and 0 < got["p2.png"][1] < 0.5
+    per = evaluate.field_benchmark(seen)
+    assert {r.field: (r.evaluable, r.exact_recall) for r in per.collect()} == {"village": (2, 0.5), "OVERALL": (2, 0.5)}
+    t = evaluate.timing_summary(spark.createDataFrame([("a", 2.0), ("b", 4.0)], "image string, seconds double")).first()
+    assert (t.pages, t.total_seconds, t.mean_seconds, t.slowest) == (2, 6.0, 3.0, 4.0)
+    rep = evaluate.report(per.filter("field = 'OVERALL'"), per, seen)
+    assert sorted(r.part for r in rep.collect()) == ["document", "document", "summary"]
+    preds = spark.createDataFrame([("x/p1.png", "village", "old place"), ("p9.png", "village", "z")], "image string, field string, value string")
+    acc = {r.field: r for r in evaluate.extraction_accuracy(evaluate.scored(preds, truth)).collect()}
+    assert acc["OVERALL"].evaluable == 1 and acc["OVERALL"].exact == 1
+    joined, lost = evaluate.join_truth(preds.select("image"), truth)
+    assert joined.count() == 2 and [r.image for r in lost.collect()] == ["p9.png"]
