@@ -169,10 +169,17 @@ def cluster_rows_greedy(blocks: DataFrame) -> DataFrame:
     return own.groupBy("page_id").applyInPandas(greedy, f"page_id {kinds['page_id']}, block_id {kinds['block_id']}, row_idx int")
 
 
-def score_headers(blocks: DataFrame, labels: dict = P.TABLE_LABELS, method: str = "levenshtein") -> DataFrame:
-    """Every block against every label: (block columns, label_field, label, header_score). The label list is a small literal."""
+def score_headers(blocks: DataFrame, labels: dict = P.TABLE_LABELS, method: str = "levenshtein", least: float = 0.0) -> DataFrame:
+    """Every block against every label: (block columns, label_field, label, header_score). The label list is a small literal.
+
+    Pairs that can't reach ``least`` by their lengths alone are left out before they are compared: an edit-distance ratio is at
+    most the shorter length over the longer.
+    """
     own = pinned(blocks, _n=normalize_label("text", "–—-")).filter("_n <> ''").withColumn("_l", F.explode(label_list(labels)))
     own = own.select(*blocks.columns, "_n", "_l.*")
+    if least > 0 and method == "levenshtein":
+        a, b = F.length("_n"), F.length("label")
+        own = own.filter((0.65 * F.least(a, b) / F.greatest(a, b) + 0.35 >= least) | F.col("_n").contains(F.col("label")) | F.col("label").contains(F.col("_n")))
     return pinned(own, header_score=label_score(F.col("_n"), F.col("label"), method)).drop("_n")
 
 
@@ -215,7 +222,7 @@ def extract_table_fields(blocks: DataFrame, labels: dict = P.TABLE_LABELS) -> Da
     """Header rows and the values under them, of pages with at least two usable blocks."""
     usable = cluster_rows(blocks.filter(F.trim(F.coalesce("text", F.lit(""))) != ""))
     usable = usable.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("page_id"))).filter("_n >= 2").drop("_n")
-    got = resolve_header_values(best_headers(score_headers(usable, labels)), usable, labels)
+    got = resolve_header_values(best_headers(score_headers(usable, labels, least=0.70)), usable, labels)
     v = clean_candidate(F.col("v.text"), " .,:;|/")
     f = F.col("label_field")
     norm = F.when(f.isin("survey_number", "account_number", "cultivable_area"), F.regexp_replace(normalize_value(v, "number"), "^[.-]+|[.-]+$", "")).when(f == "subdivision", normalize_value(v, "number")).otherwise(F.lower(clean_candidate(fold_digits(v))))
