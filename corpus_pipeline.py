@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioframe.llm import decontaminate, mixing, quality, sharding, simhash
+from folioframe.llm import decontaminate, mixing, nearcopies, quality, sharding
 from folioframe.llm.common import table
 
 
@@ -22,8 +22,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the smallest doc_id."""
-    return simhash.keep_one(docs).select(*docs.columns)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays, that of the smallest doc_id."""
+    return nearcopies.keep_one(docs).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
