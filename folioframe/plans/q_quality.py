@@ -46,7 +46,7 @@ def n13(pairs):
 
 @register("a14_error_rates", None, "v_pairs")
 def a14(pairs):
-    return evaluate.error_rates(pairs_of(pairs))
+    return evaluate.error_rates(pairs)
 
 
 @register("a14_mean_cer", f", {PAIRS} SELECT count(*) AS samples, count(*) FILTER (r = '') AS empty_references, round(avg({CER}) FILTER (r <> ''), 9) AS mean_cer FROM pp", "v_pairs")
@@ -60,6 +60,22 @@ def n9(pairs):
     return p.select("conv_id", "turn", S.similarity(T.eval_text("ref", "cer"), T.eval_text("pred", "cer")).alias("similarity"))
 
 
+# The same over all pairs as they are written; no SQL, as DuckDB's edit distance counts bytes.
+@register("n12_cer_all", None, "v_pairs")
+def n12_all(pairs):
+    return pairs.select("conv_id", "turn", S.cer(F.col("ref"), F.col("pred")).alias("cer"))
+
+
+@register("n13_wer_all", None, "v_pairs")
+def n13_all(pairs):
+    return pairs.select("conv_id", "turn", S.wer(F.col("ref"), F.col("pred")).alias("wer"))
+
+
+@register("n9_similarity_all", None, "v_pairs")
+def n9_all(pairs):
+    return pairs.select("conv_id", "turn", S.similarity(T.eval_text("ref", "cer"), T.eval_text("pred", "cer")).alias("similarity"))
+
+
 @register("n9_ratcliff", None, "v_fields")
 def n9_ratcliff(fields):
     return fields.select("field_id", S.similarity(F.col("value"), F.lit("Owner 17"), "ratcliff").alias("similarity"))
