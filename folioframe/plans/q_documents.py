@@ -170,6 +170,13 @@ def j9(docs):
     return s.filter("header_score >= 0.3").select("block_id", "label", F.round("header_score", 9).alias("score"))
 
 
+# Every block; no SQL, as DuckDB's edit distance counts bytes.
+@register("j9_label_scores_all", None, "documents")
+def j9_all(docs):
+    s = extract.score_headers(blocks_of(docs), {"holder_name": ("owner name", "holder name")}, least=0.3)
+    return s.filter("header_score >= 0.3").select("block_id", "label", F.round("header_score", 9).alias("score"))
+
+
 @register("n11_label_score", None, "v_fields")
 def n11(fields):
     return fields.select("field_id", label_score(T.normalize_label("value"), F.lit("owner name")).alias("score"))
