@@ -232,7 +232,8 @@ def calibrate(df: DataFrame) -> DataFrame:
     good, warn, bad = s.isin("PASS", "VALID", "APPROVED"), s.isin("WARNING", "WARN"), s.isin("REVIEW", "FAILED", "FAIL", "INVALID")
     clash, flagged = F.coalesce("has_conflict", F.lit(False)), F.coalesce("requires_review", F.lit(False))
     score = base + F.when(good, 0.10).when(warn, -0.10).when(bad, -0.25).otherwise(0.0) + F.when(clash, -0.35).otherwise(0.0) + F.when(flagged, -0.20).otherwise(0.0)
-    df = df.withColumn("score", F.greatest(zero, F.least(F.lit(1.0), score)))
+    # Rounded before banding: sums of tenths may miss a band's limit by their last bit.
+    df = df.withColumn("score", F.round(F.greatest(zero, F.least(F.lit(1.0), score)), 9))
     band = F.when(clash | flagged, "CONFLICT").when(F.col("score") >= 0.85, "HIGH").when(F.col("score") >= 0.65, "MEDIUM").otherwise("LOW")
     df = df.withColumn("band", band)
     reasons = F.array_compact(F.array(

@@ -119,6 +119,13 @@ def a6(results, fields):
     return validate.strongest_status(results.filter("rule_name <> 'rule_1'"), fields)
 
 
+# Over the results of all rules.
+@register("a6_strongest_status_all", """SELECT f.field_id, CASE max(CASE r.status WHEN 'WARNING' THEN 1 WHEN 'REVIEW' THEN 2 ELSE 0 END) WHEN 1 THEN 'WARNING' WHEN 2 THEN 'REVIEW' ELSE 'PASS' END AS validation_status
+ FROM v_fields f LEFT JOIN v_results r ON f.field_id = r.field_id GROUP BY 1""", "v_results", "v_fields")
+def a6_all(results, fields):
+    return validate.strongest_status(results, fields)
+
+
 @register("a7_document_status", """SELECT coalesce(o.document_id, r.document_id) AS document_id, CASE WHEN coalesce(failed, false) THEN 'FAILED' WHEN coalesce(bad, false) THEN 'VALIDATION_REQUIRED' ELSE 'PROCESSED' END AS document_status
  FROM (SELECT document_id, bool_or(status = 'FAILED') AS failed FROM v_runs GROUP BY 1) o FULL JOIN (SELECT document_id, bool_or(status IN ('REVIEW', 'WARNING', 'FAIL')) AS bad FROM v_results GROUP BY 1) r ON o.document_id = r.document_id""", "v_results", "v_runs")
 def a7(results, vruns):
@@ -377,14 +384,27 @@ def v15(fields, vruns, ref):
     return results.join(status.withColumnRenamed("validation_status", "field_status"), "field_id")
 
 
+def calibrated(fields):
+    pn, regex = F.col("page_number"), F.col("method") == "regex_label"
+    own = fields.select("field_id", F.col("confidence").alias("extraction_confidence"), F.lit(None).cast("double").alias("ocr_confidence"), F.when(pn <= 5, pn / 7).alias("entity_match_score"), "validation_status", ((pn == 3) & regex).alias("has_conflict"), ((pn == 2) & regex).alias("requires_review"))
+    return validate.calibrate(own)
+
+
+# Every row, those at the limits of the bands too: the score is rounded before it is banded.
+@register("r1_calibrate_all", """, x AS (SELECT field_id, CASE WHEN confidence IS NOT NULL THEN greatest(0.0, least(1.0, CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END)) END AS x, CASE WHEN page_number > 5 THEN NULL ELSE page_number / 7.0 END::DOUBLE AS e, validation_status AS s, page_number = 3 AND method = 'regex_label' AS c, page_number = 2 AND method = 'regex_label' AS r FROM v_fields),
+ y AS (SELECT *, (CASE WHEN x IS NOT NULL THEN 0.45 ELSE 0 END + CASE WHEN e IS NOT NULL THEN 0.20 ELSE 0 END)::DOUBLE AS w FROM x),
+ z AS (SELECT *, round(greatest(0.0, least(1.0, CASE WHEN w > 0 THEN (coalesce(x * 0.45, 0) + coalesce(e * 0.20, 0)) / w ELSE 0 END + CASE s WHEN 'PASS' THEN 0.10 WHEN 'WARNING' THEN -0.10 ELSE -0.25 END + CASE WHEN c THEN -0.35 ELSE 0 END + CASE WHEN r THEN -0.20 ELSE 0 END)), 9)::DOUBLE AS score FROM y)
+ SELECT field_id, score, CASE WHEN c OR r THEN 'CONFLICT' WHEN score >= 0.85 THEN 'HIGH' WHEN score >= 0.65 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM z""", "v_fields")
+def r1_all(fields):
+    return calibrated(fields).select("field_id", "score", "band")
+
+
 @register("r1_calibrate", """, x AS (SELECT field_id, CASE WHEN confidence IS NOT NULL THEN greatest(0.0, least(1.0, CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END)) END AS x, CASE WHEN page_number > 5 THEN NULL ELSE page_number / 7.0 END::DOUBLE AS e, validation_status AS s, page_number = 3 AND method = 'regex_label' AS c, page_number = 2 AND method = 'regex_label' AS r FROM v_fields),
  y AS (SELECT *, (CASE WHEN x IS NOT NULL THEN 0.45 ELSE 0 END + CASE WHEN e IS NOT NULL THEN 0.20 ELSE 0 END)::DOUBLE AS w FROM x),
  z AS (SELECT *, greatest(0.0, least(1.0, CASE WHEN w > 0 THEN (coalesce(x * 0.45, 0) + coalesce(e * 0.20, 0)) / w ELSE 0 END + CASE s WHEN 'PASS' THEN 0.10 WHEN 'WARNING' THEN -0.10 ELSE -0.25 END + CASE WHEN c THEN -0.35 ELSE 0 END + CASE WHEN r THEN -0.20 ELSE 0 END))::DOUBLE AS score FROM y)
  SELECT field_id, round(score, 9) AS score, CASE WHEN c OR r THEN 'CONFLICT' WHEN score >= 0.85 THEN 'HIGH' WHEN score >= 0.65 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM z WHERE abs(score - 0.85) > 1e-9 AND abs(score - 0.65) > 1e-9""", "v_fields")
 def r1(fields):
-    pn, regex = F.col("page_number"), F.col("method") == "regex_label"
-    own = fields.select("field_id", F.col("confidence").alias("extraction_confidence"), F.lit(None).cast("double").alias("ocr_confidence"), F.when(pn <= 5, pn / 7).alias("entity_match_score"), "validation_status", ((pn == 3) & regex).alias("has_conflict"), ((pn == 2) & regex).alias("requires_review"))
-    out = validate.calibrate(own)
+    out = calibrated(fields)
     return out.filter((F.abs(F.col("score") - 0.85) > 1e-9) & (F.abs(F.col("score") - 0.65) > 1e-9)).select("field_id", F.round("score", 9).alias("score"), "band")
 
 
