@@ -28,6 +28,11 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
+def doc_key(doc_id: str = "doc_id") -> Column:
+    """The id as a long; null comes before all others."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
+
+
 def word_count(text: str | Column = "text") -> Column:
     c = F.col(text) if isinstance(text, str) else text
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
@@ -38,17 +43,34 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str, total:
 
     ``right`` has one row per key and in ``weight`` how many left rows hold it. Keys with at least total/most
     rows are at most ``most`` (their weights sum to total), so that list is broadcast; the others are shuffled,
-    and rows of hot keys are spread evenly meanwhile.
+    and rows of hot keys are spread evenly meanwhile. Columns of other names may have any name, on both sides.
     """
     cols = [c for c in right.columns if c not in (key, weight)]
-    hot = F.col(weight) * most >= F.lit(max(total, 1))
-    few = right.filter(hot).select(F.col(key).alias("_hk"), *(F.col(c).alias(f"_h_{c}") for c in cols), F.lit(True).alias("_hot"))
-    rest = right.filter(~hot).select(F.col(key).alias("_rk"), F.lit(0).alias("_rs"), *(F.col(c).alias(f"_r_{c}") for c in cols))
-    spread = F.xxhash64(*[F.col(c) for c in left.columns if c != key])
-    j = left.join(F.broadcast(few), F.col(key) == F.col("_hk"), "left")
-    j = j.withColumn("_jk", F.when(F.col("_hot"), spread).otherwise(F.xxhash64(key))).withColumn("_js", F.when(F.col("_hot"), 1).otherwise(0))
-    j = j.join(rest.withColumn("_rh", F.xxhash64("_rk")), (F.col("_jk") == F.col("_rh")) & (F.col("_js") == F.col("_rs")) & (F.col(key) == F.col("_rk")), "left")
-    return j.select(*[left[c] for c in left.columns], *(F.coalesce(F.col(f"_h_{c}"), F.col(f"_r_{c}")).alias(c) for c in cols))
+    r = right.select(F.col(key).alias("rk"), F.col(weight).alias("rn"), F.struct(F.lit(True).alias("is"), *cols).alias("r"))
+    hot = F.col("rn") * most >= F.lit(max(total, 1))
+    few = r.filter(hot).select(F.col("rk").alias("hk"), F.col("r").alias("h"))
+    rest = r.filter(~hot).select("rk", F.xxhash64("rk").alias("rh"), F.lit(0).alias("rs"), "r")
+    j = left.select(F.struct("*").alias("l"), F.col(key).alias("lk")).join(F.broadcast(few), F.col("lk") == F.col("hk"), "left")
+    j = j.withColumns({"jh": F.when(F.col("h").isNotNull(), F.xxhash64("l")).otherwise(F.xxhash64("lk")), "js": F.col("h").isNotNull().cast("int")})
+    j = j.join(rest, (F.col("jh") == F.col("rh")) & (F.col("js") == F.col("rs")) & (F.col("lk") == F.col("rk")), "left").withColumn("a", F.coalesce("h", "r"))
+    return j.select("l.*", *(F.col(f"a.`{c}`").alias(c) for c in cols))
+
+
+def kept_rows(docs: DataFrame, rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``kept`` names, and one only of rows that are equal in id and text.
+
+    ``rows`` has (doc, row), that is doc_key() and row_key(), of every row of ``docs``, ``kept`` of those that stay. All columns are kept.
+    """
+    n = rows.groupBy("doc", "row").agg(F.count(F.lit(1)).alias("n"))
+    stay = kept.select("doc", "row", F.lit(True).alias("stay"))
+    state = checkpointed(n.join(stay, ["doc", "row"], "left").select(F.struct("doc", "row").alias("k"), "n", F.col("n").alias("times"), F.coalesce("stay", F.lit(False)).alias("stay")))
+    total = state.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    packed = docs.select(F.struct("*").alias("d"), F.struct(doc_key().alias("doc"), row_key().alias("row")).alias("k"))
+    j = spread_join(packed, state, "k", "n", total).filter("stay")
+    once = j.filter("times = 1").select("d.*")
+    if state.filter("stay AND times > 1").isEmpty():
+        return once
+    return once.unionByName(j.filter("times > 1").groupBy("k").agg(F.first("d").alias("d")).select("d.*"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,27 +1,39 @@
-"""Near copies by their sets of word shingles: Jaccard similarity of ``SIMILAR`` or more, found by MinHash bands and verified on the sets.
-
-Words are those of operator 2. A set's 128 minima make 32 keys of four; sets that are 0.8 alike share a key but for
-one pair in ten million, and what shares one is compared on the whole sets. Documents with equal sets are one class.
+"""Near copies at a similarity: the pipeline's form of operator 2, with a longer fingerprint and exact verification.
+
+Operator 2 links 64-bit fingerprints at two bits; near copies of similarity 0.8 are 15 % of the bits apart. Here a set of word
+shingles has a SimHash of 299 bits, thirteen segments of 23. A segment is decoded softly: the two Golay codewords that agree best with
+the signed bit sums are its indices, so unsure bits count little. Two segments in a cycle make a key, four keys a pair of segments: by
+the pigeonhole principle some of the thirteen pairs have few errors. Measured at similarities from 0.8 on: a segment shares an index with
+probability 0.6, a copy a key with 0.99. What shares a key is compared on 192 bits, then on the shingle sets themselves.
+Documents with equal sets are one class.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from folioframe.llm.arrowtext import LOWER, chunks, gram_hashes, mix, word_hashes, words
-from folioframe.llm.common import NULL_ID, checkpointed, components, spread_join
+from folioframe.llm.common import checkpointed, components, doc_key, kept_rows, row_key, spread_join
 from folioframe.llm.decontaminate import _passes, token_filter
+from folioframe.llm.simhash import golay_codewords
 
 SHINGLE = 5
-BANDS, ROWS = 32, 4
+SEGMENT, SEGMENTS, DECODED = 23, 13, 2
 #: The least similarity, as a fraction: 4 / 5.
 SIMILAR = (4, 5)
-_rng = np.random.default_rng(20240301)
-_FLIP = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-_ODD = _rng.integers(0, 2**62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: 64-bit words of the fingerprint: all that segments need, and those that candidates are compared on.
+WORDS, COMPARED = 5, 3
+#: Most compared bits in which alike sets differ: 15.2 % are expected at the least similarity, and three deviations more are let pass.
+FAR = 44
+#: Fingerprints of a key that are all compared in one task; a key of more is linked to its smallest and compared by shingles.
+CROWD = 2048
+#: Links of a fingerprint that are verified at first for each key: its nearest ones. What these don't connect is compared by shingles.
+NEAREST = 4
 
 
 def _sets(column, shingle: int):
@@ -53,28 +65,62 @@ def _classes(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(data[a:b], 42) if b > a else 0 for a, b in zip(at[:-1], at[1:], strict=True)), np.uint64, len(at) - 1)
 
 
+def bit_sums(grams: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each non-empty set and each bit: how many shingles have it set, less those that don't."""
+    out = np.zeros((len(heads), 64 * WORDS), np.int64)
+    for w in range(WORDS):
+        h = mix(grams + np.uint64(0x9E3779B97F4A7C15 * (w + 1) & 0xFFFFFFFFFFFFFFFF))
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
+        out[:, 64 * w : 64 * w + 64] = np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
+    return 2 * out - sizes[:, None]
+
+
+@lru_cache(1)
+def _signs() -> np.ndarray:
+    """The signs of half of the codewords (the all-ones word is a codeword, so the others are their complements)."""
+    return (2.0 * golay_codewords()[:2048] - 1).astype(np.float32).T.copy()
+
+
+def soft_indices(sums: np.ndarray) -> np.ndarray:
+    """(rows, DECODED): the codewords that agree best with a segment's bit sums; complements are numbered from 2048 on."""
+    c = sums.astype(np.float32) @ _signs()
+    size, at = np.abs(c), np.arange(len(c))
+    out = np.zeros((len(c), DECODED), np.int64)
+    for i in range(DECODED):
+        best = size.argmax(1)
+        out[:, i] = best + 2048 * (c[at, best] < 0)
+        size[at, best] = -1
+    return out
+
+
+def keys_of(sums: np.ndarray) -> np.ndarray:
+    """(rows, keys): the keys of bit sums, a pair of neighbouring segments' indices each."""
+    own = [soft_indices(sums[:, s * SEGMENT : (s + 1) * SEGMENT]) for s in range(SEGMENTS)]
+    return np.concatenate([(s << 24) | (own[s][:, [i]] << 12) | own[(s + 1) % SEGMENTS][:, [j]] for s in range(SEGMENTS) for i in range(DECODED) for j in range(DECODED)], 1)
+
+
+KEYS = SEGMENTS * DECODED**2
+
+
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, class, size, bands): of each row its shingle set's hash and size, and its keys (none without words)."""
+    """(doc_id, row, class, size, fp, keys): of each row its shingle set's hash and size, fingerprint and keys (none without words)."""
 
     def run(batches):
         for batch in batches:
-            cls, size = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int32)
-            bands = np.zeros((batch.num_rows, BANDS), np.uint64)
-            for lo, n, grams, bounds in _sets(batch.column(1), shingle):
-                cls[lo : lo + n], size[lo : lo + n] = _classes(grams, bounds), np.diff(bounds)
+            n = batch.num_rows
+            cls, size = np.zeros(n, np.uint64), np.zeros(n, np.int32)
+            fp, keys = np.zeros((n, 8 * COMPARED), np.uint8), np.zeros((n, KEYS), np.int32)
+            for lo, m, grams, bounds in _sets(batch.column(2), shingle):
+                cls[lo : lo + m], size[lo : lo + m] = _classes(grams, bounds), np.diff(bounds)
                 some = np.flatnonzero(np.diff(bounds))
-                if not len(some):
-                    continue
-                heads = bounds[:-1][some]
-                for b in range(BANDS):
-                    key = np.full(len(some), b, np.uint64)
-                    for j in range(b * ROWS, b * ROWS + ROWS):
-                        key = mix(key + np.minimum.reduceat((grams ^ _FLIP[j]) * _ODD[j], heads))
-                    bands[lo + some, b] = key
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64)))
-            yield pa.record_batch([batch.column(0), pa.array(cls.view(np.int64)), pa.array(size), lists], names=["doc_id", "class", "size", "bands"])
+                if len(some):
+                    sums = bit_sums(grams, bounds[:-1][some], np.diff(bounds)[some])
+                    fp[lo + some] = np.packbits(sums[:, : 64 * COMPARED] > 0, axis=1)
+                    keys[lo + some] = keys_of(sums)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * KEYS), pa.array(keys.ravel()))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(cls.view(np.int64)), pa.array(size), pa.array([x.tobytes() for x in fp], pa.binary()), lists], names=["doc_id", "row", "class", "size", "fp", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, class long, size int, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text").mapInArrow(run, "doc_id long, row long, class long, size int, fp binary, keys array<int>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -101,37 +147,71 @@ def _could(a, b):
     return SIMILAR[1] * np.minimum(a, b).astype(np.int64) >= SIMILAR[0] * np.maximum(a, b).astype(np.int64)
 
 
-def meetings(reps: DataFrame, total: int, most: int = 64, rows_a_shard: int = 4096) -> DataFrame:
-    """(a, b, key): pairs a < b of classes that share a key. Of a key with more than ``most`` classes: each with the smallest, and (class, class, key) of all of them."""
+def near_in_key(fp: np.ndarray, size: np.ndarray, nearest: int = NEAREST) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(a, b, complete): pairs of rows that may be alike, for each row the nearest earlier ones and the nearest of all; a block of rows at a time."""
+    n, out, complete = len(fp), [], True
+    for lo in range(0, n, 256):
+        hi = min(lo + 256, n)
+        gap = sum(np.bitwise_count(fp[lo:hi, None, w] ^ fp[None, :, w]).astype(np.int32) for w in range(fp.shape[1]))
+        gap[~_could(size[lo:hi, None], size[None, :])] = 999
+        me = np.arange(lo, hi)
+        gap[me - lo, me] = 999
+        for part in (gap, np.where(np.arange(n)[None, :] < me[:, None], gap, 999)):
+            few = min(nearest, n - 1)
+            at = np.argpartition(part, few - 1, axis=1)[:, :few] if few else np.zeros((hi - lo, 0), np.int64)
+            a, b = np.repeat(me, few), at.ravel()
+            ok = part[a - lo, b] <= FAR
+            out.append(np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]], 1))
+        complete &= bool(((gap <= FAR).sum(1) <= nearest).all())
+    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+    return pairs[:, 0], pairs[:, 1], complete
+
+
+def meetings(reps: DataFrame, total: int, nearest: int = NEAREST, crowd: int = CROWD, rows_a_shard: int = 4096) -> DataFrame:
+    """(a, b, key): pairs a < b of classes that share a key and may be alike, and (class, class, key) of the keys that have more such pairs.
+
+    A key of up to about ``crowd`` classes is compared in one task. Larger ones link each class to the smallest by an aggregation; they are
+    found on a sample by the class's hash, which only decides where a key is compared.
+    """
     shards = max(64, -(-total // rows_a_shard))
-
-    def spell(batches):
-        for batch in batches:
-            key = batch.column(2).values.to_numpy().view(np.uint64)
-            cls, size = (np.repeat(batch.column(i).to_numpy(), BANDS) for i in (0, 1))
-            yield pa.record_batch([pa.array((key % np.uint64(shards)).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(cls), pa.array(size)], names=["shard", "key", "class", "size"])
+    share = max(1, crowd // 32)
+    spelled = reps.filter("size > 0").select("class", "size", "fp", F.explode("keys").alias("key"))
+    some = reps.filter((F.col("size") > 0) & (F.pmod(F.xxhash64("class"), F.lit(share)) == 0)).select(F.explode("keys").alias("_k"))
+    crowded = checkpointed(some.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * share > crowd).select("_k"))
 
     def meet(t: pa.Table) -> pa.Table:
         key, cls, size = (t.column(c).to_numpy() for c in ("key", "class", "size"))
+        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, COMPARED)
         order = np.lexsort((cls, key))
-        key, cls, size = key[order], cls[order], size[order]
+        key, cls, size, fp = key[order], cls[order], size[order], fp[order]
         starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1)) if len(key) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, len(key)))
-        big = np.repeat(sizes > most, sizes)
-        head = np.repeat(starts, sizes)
-        k, c, n = key[~big], cls[~big], size[~big]
         out = []
-        for d in range(1, int(sizes[sizes <= most].max(initial=1))):
-            same = (k[d:] == k[:-d]) & _could(n[d:], n[:-d])
-            out.append((c[:-d][same], c[d:][same], np.zeros(int(same.sum()), np.int64)))
-        star = big & (np.arange(len(key)) != head) & _could(size, size[head])
-        out += [(cls[head[star]], cls[star], np.zeros(int(star.sum()), np.int64)), (cls[big], cls[big], key[big])]
-        a, b, kk = (np.concatenate(x) for x in zip(*out, strict=True))
-        pairs = np.unique(np.stack([a, b, kk], 1), axis=0)
+        small = np.repeat(sizes <= 16, sizes)
+        k, c, n, f = key[small], cls[small], size[small], fp[small]
+        for d in range(1, int(sizes[sizes <= 16].max(initial=1))):
+            at = np.flatnonzero((k[d:] == k[:-d]) & _could(n[d:], n[:-d]))
+            at = at[np.bitwise_count(f[at] ^ f[at + d]).sum(1) <= FAR]
+            out.append((c[at], c[at + d], np.zeros(len(at), np.int64)))
+        for s, m in zip(starts[sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
+            a, b, complete = near_in_key(fp[s : s + m], size[s : s + m], nearest)
+            own = cls[s : s + m]
+            out.append((own[a], own[b], np.zeros(len(a), np.int64)))
+            if not complete:
+                out.append((own, own, np.full(m, key[s])))
+        pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*out, strict=True)], 1), axis=0) if out else np.zeros((0, 3), np.int64)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "key": pairs[:, 2]})
 
-    keys = reps.filter("size > 0").select("class", "size", "bands").mapInArrow(spell, "shard int, key long, class long, size int")
-    return keys.groupBy("shard").applyInArrow(meet, "a long, b long, key long")
+    quiet, star = spelled, None
+    if not crowded.isEmpty():
+        quiet = spelled.join(crowded, F.col("key") == F.col("_k"), "left_anti")
+        among = spelled.select("key", "class").join(crowded, F.col("key") == F.col("_k"), "left_semi")
+        least = among.groupBy("key").agg(F.min("class").alias("a"))
+        star = least.join(among, "key").filter("class <> a").select("a", F.col("class").alias("b"), F.lit(0).cast("long").alias("key"))
+        star = star.unionByName(among.select(F.col("class").alias("a"), F.col("class").alias("b"), F.col("key").cast("long").alias("key")))
+    met = quiet.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).select("shard", "key", "class", "size", "fp")
+    met = met.groupBy("shard").applyInArrow(meet, "a long, b long, key long")
+    return met if star is None else met.unionByName(star)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -166,16 +246,11 @@ def alike_by_prefix(docs: DataFrame, classes: DataFrame, apart, shingle: int) ->
     return x.join(y, on & fits).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
 
 
-def near_copy_groups(docs: DataFrame, shingle: int = SHINGLE, most: int = 64) -> DataFrame:
-    """(doc_id, component_id), one row per row of ``docs``: documents whose shingle sets are alike are linked, component_id is the smallest doc_id reachable.
-
-    Texts without words are alike. Of keys with more than ``most`` classes the first round links each class to one; the
-    second compares those that are not connected yet, by their rarest shingles, so nothing is left out.
-    """
+def near_copy_labels(docs: DataFrame, shingle: int = SHINGLE, nearest: int = NEAREST, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """(rows with doc_id, row and class; classes with n, the number of their rows, and label, the smallest class that is linked)."""
     own = checkpointed(sketches(docs, shingle))
-    total = own.count()
-    reps = checkpointed(own.groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("least"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    met = checkpointed(meetings(reps, reps.count(), most))
+    reps = checkpointed(own.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    met = checkpointed(meetings(reps, reps.count(), nearest, crowd))
     links = verified(docs, met.filter("a <> b"), shingle)
     large = met.filter("a = b").select("key", F.col("a").alias("class"))
     label = components(links)
@@ -186,13 +261,29 @@ def near_copy_groups(docs: DataFrame, shingle: int = SHINGLE, most: int = 64) ->
         apart = lambda df, c: df.join(df.groupBy(c).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(c), c, "left_semi")
         more = alike_by_prefix(docs, apart(at, "key").select("class", "label", "size").distinct(), apart, shingle)
         label = components(links.unionByName(verified(docs, more, shingle)))
-    at = reps.join(label, reps["class"] == label["node"], "left").select("class", "least", "n", F.coalesce("label", "class").alias("label"))
-    root = at.groupBy("label").agg(F.min("least").alias("root"))
-    ids = checkpointed(at.join(root, "label").select("class", "n", F.when(F.col("root") != NULL_ID, F.col("root")).alias("component_id")))
-    return spread_join(own.select("doc_id", "class"), ids, "class", "n", total).select("doc_id", "component_id")
+    at = reps.join(label, reps["class"] == label["node"], "left").select("class", "n", F.coalesce("label", "class").alias("label"))
+    return own.select("doc_id", "row", "class"), checkpointed(at)
+
+
+def near_copy_groups(docs: DataFrame, shingle: int = SHINGLE, nearest: int = NEAREST, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, row, class, label, component_id), one row per row of ``docs``: documents whose shingle sets are alike are linked.
+
+    component_id is the smallest doc_id reachable that isn't null (null if there is none), label tells components apart in any case.
+    Texts without words are alike. Of a key with more near pairs than are verified at once, what is not connected yet is compared
+    again by its rarest shingles, so nothing is left out. Other columns are ignored.
+    """
+    own, at = near_copy_labels(docs, shingle, nearest, crowd)
+    labelled = checkpointed(spread_join(own, at, "class", "n", own.count()))
+    root = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    return spread_join(labelled, root, "label", "n", labelled.count())
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The documents, less all but one of each group of near copies: the row of the smallest doc_id stays (rows that repeat an id are one document)."""
-    gone = near_copy_groups(docs, shingle).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """The documents, less all but one row of each group of near copies: one of the smallest doc_id (null comes last).
+
+    Rows are judged each for itself, so rows that share an id may part; of equal rows one stays. All columns are kept, whatever their names.
+    """
+    own, at = near_copy_labels(docs, shingle)
+    labelled = spread_join(own, at, "class", "n", own.count()).select(doc_key().alias("doc"), "row", "doc_id", "label")
+    best = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc", "row")).alias("best"))
+    return kept_rows(docs, own.select(doc_key().alias("doc"), "row"), best.select("best.doc", "best.row"))

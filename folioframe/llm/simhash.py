@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from folioframe.llm.arrowtext import LOWER, chunks, words
-from folioframe.llm.common import NULL_ID, checkpointed, components, spread_join
+from folioframe.llm.common import checkpointed, components, doc_key, kept_rows, row_key, spread_join
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the (23, 12, 7) Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -32,6 +32,12 @@ def _syndrome(word: np.ndarray) -> np.ndarray:
     return r
 
 
+def golay_codewords() -> np.ndarray:
+    """(4096, 23): the bits of the codewords, in the order of their index, the upper twelve bits."""
+    upper = np.arange(4096) << 11
+    return ((upper | _syndrome(upper))[:, None] >> np.arange(23)) & 1
+
+
 @lru_cache(1)
 def near_offsets() -> np.ndarray:
     """For each syndrome, the error patterns of weight <= 4 with that syndrome, padded with -1: word ^ pattern is a codeword."""
@@ -67,12 +73,12 @@ def fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long): lower-cased A-Z, words between ASCII white space, shingles with repeats, XXH64 with seed 42."""
+    """(doc_id, row, fp long): lower-cased A-Z, words between ASCII white space, shingles with repeats, XXH64 with seed 42."""
 
     def run(batches):
         for batch in batches:
             out = np.zeros(batch.num_rows, np.uint64)
-            for lo, hi, raw, off in chunks(batch.column(1)):
+            for lo, hi, raw, off in chunks(batch.column(2)):
                 buf = LOWER[raw]
                 s, e, first = words(buf, off)
                 if not len(s):
@@ -101,9 +107,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
                     ones = np.add.reduceat(((h >> np.uint64(bit)) & np.uint64(1)).astype(np.uint8), heads, dtype=np.int64)
                     fp |= (2 * ones > half).astype(np.uint64) << np.uint64(bit)
                 out[lo + doc[heads]] = fp
-            yield pa.record_batch([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], names=["doc_id", "row", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text").mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def links_of(fp: np.ndarray, key: np.ndarray, most: int = 128) -> np.ndarray:
@@ -160,27 +166,34 @@ def near_links(distinct_fp: DataFrame, total: int, rows_a_shard: int = 4096) ->
     return keys.groupBy("shard").applyInArrow(link, "a long, b long")
 
 
+def _labelled(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, row, fp, label): label is the smallest fingerprint that is linked, directly or through others."""
+    fps = checkpointed(fingerprints(docs, shingle))
+    distinct = checkpointed(fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
+    label = components(near_links(distinct, distinct.count()))
+    at = checkpointed(distinct.join(label, distinct["fp"] == label["node"], "left").select("fp", "n", F.coalesce("label", "fp").alias("label")))
+    return checkpointed(spread_join(fps, at, "fp", "n", fps.count()))
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """Near-duplicate groups: (doc_id, fingerprint, component_id), one row per row of ``docs``.
+    """Near-duplicate groups: (doc_id, fingerprint, component_id, component), one row per row of ``docs``.
 
-    Fingerprints that differ in two bits or less are linked; component_id is the smallest doc_id reachable. A text
-    without words (null, empty, blank) has fingerprint zero and is linked like any other. Copies share a fingerprint
-    and are counted once, by a partial aggregation. A null doc_id counts as smaller than any other. Other columns are ignored.
+    Fingerprints that differ in two bits or less are linked; component_id is the smallest doc_id reachable that isn't null, and null if there
+    is none; component is the smallest fingerprint reachable, which tells components apart in any case. A text without words (null, empty,
+    blank) has fingerprint zero and is linked like any other. Copies and repeated rows share a fingerprint and are counted once, by a
+    partial aggregation. Other columns are ignored.
     """
-    fps = checkpointed(fingerprints(docs, shingle).withColumn("doc_id", F.col("doc_id").cast("long")))
-    total = fps.count()
-    distinct = checkpointed(fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("least"), F.count(F.lit(1)).alias("n")))
-    label = components(near_links(distinct, distinct.count()))
-    at = distinct.join(label, distinct["fp"] == label["node"], "left").select("fp", "least", "n", F.coalesce("label", "fp").alias("label"))
-    root = at.groupBy("label").agg(F.min("least").alias("root"))
-    ids = checkpointed(at.join(root, "label").select("fp", "n", F.when(F.col("root") != NULL_ID, F.col("root")).alias("component_id")))
-    return spread_join(fps, ids, "fp", "n", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    at = _labelled(docs, shingle)
+    root = at.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    shown = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return spread_join(at, root, "label", "n", at.count()).select("doc_id", shown("fp").alias("fingerprint"), "component_id", shown("label").alias("component"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The documents, less all but one of each near-duplicate group: the row of the smallest doc_id stays (rows that repeat an id are one document)."""
-    group = simhash_groups(docs, shingle)
-    gone = group.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-
+    """The documents, less all but one row of each near-duplicate group: one of the smallest doc_id (null comes last).
 
+    Rows are judged each for itself, so rows that share an id may part; of equal rows one stays. All columns are kept, whatever their names.
+    """
+    at = _labelled(docs, shingle).select(doc_key().alias("doc"), "row", "doc_id", "label")
+    best = at.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc", "row")).alias("best"))
+    return kept_rows(docs, at.select("doc", "row"), best.select("best.doc", "best.row"))

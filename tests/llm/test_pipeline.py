@@ -1,9 +1,9 @@
 import pytest
 
 import corpus_pipeline
-from folioframe.llm import decontaminate, mixing, quality, simhash
+from folioframe.llm import mixing, quality
 from tests.llm.test_decontaminate import brute
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_nearcopies import brute_groups
 
 
 @pytest.fixture(scope="module")
@@ -33,8 +33,8 @@ def test_quality_stage(spark, sf_dir, stages):
 
 
 def test_near_duplicates_stage(stages):
-    fps = {r.doc_id: brute_fingerprint(r.text) for r in stages["quality"].collect()}
-    assert ids(stages["near_duplicates"]) == sorted(set(brute_components(fps).values()))
+    root = brute_groups({r.doc_id: r.text for r in stages["quality"].collect()})
+    assert ids(stages["near_duplicates"]) == sorted(set(root.values()))
 
 
 def test_decontamination_stage(spark, sf_dir, stages):
@@ -58,6 +58,3 @@ def test_sharding_stage(stages):
 def test_run_is_the_stages(spark, sf_dir, stages):
     assert ids(corpus_pipeline.run(spark, sf_dir)) == ids(stages["sharding"])
 
-
-def test_stages_call_operators():
-    assert {decontaminate, simhash} and [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "mixing", "sharding"]
