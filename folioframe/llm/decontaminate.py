@@ -7,15 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from folioframe.llm.arrowtext import LOWER, chunks, gram_hashes, mix, word_hashes, words
-from folioframe.llm.common import NULL_ID, checkpointed, row_key
+from folioframe.llm.common import NULL_ID, checkpointed, doc_key, row_key
 
 WINDOW, SHINGLE = 10, 3
 #: Bits of the filter that keeps shingles of no item at home: 16 for each item shingle, 2**27 (16 MB) at most.
 FILTER_BITS, FILTER_MOST = 16, 27
-#: Most distinct item windows that are broadcast, some 40 MB.
-BROADCAST_WINDOWS = 200_000
-#: A word before lower-casing, for column expressions.
-WORDS = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: Most bytes of item windows that are broadcast; they are added up first.
+BROADCAST_BYTES = 32 << 20
 
 #: Everything but 0-9, a-z and bytes from 0x80 on separates words, once A-Z are lower-cased.
 SEPARATOR = np.ones(256, bool)
@@ -127,17 +125,19 @@ def prefix_tokens(windows: DataFrame, df: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, bits: np.ndarray, power: int, lengths: list[int], window: int) -> DataFrame:
-    """(doc, row, tokens array of (token, pos, before, around)): documents' shingles that pass the filter, with the words around."""
+    """(doc, row, n_words, tokens array of (token, pos, before, around)): documents' shingles that pass the filter, with the words around."""
     reach = window - 1
-    schema = "doc long, row long, tokens array<struct<token: long, pos: long, before: int, around: string>>"
+    schema = "doc long, row long, n_words long, tokens array<struct<token: long, pos: long, before: int, around: string>>"
     kind = pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int64()), ("before", pa.int32()), ("around", pa.string())]))
 
     def run(batches):
         for batch in batches:
             out: list[list] = [[] for _ in range(batch.num_rows)]
+            count = np.zeros(batch.num_rows, np.int64)
             for lo, hi, raw, off in chunks(batch.column(2)):
                 buf = LOWER[raw]
                 s, e, first = words(buf, off, SEPARATOR)
+                count[lo:hi] = np.diff(first)
                 h = word_hashes(buf, s, e, SEPARATOR)
                 for k in lengths:
                     at, t = _shingles(h, first, k)
@@ -148,13 +148,13 @@ def candidates(docs: DataFrame, bits: np.ndarray, power: int, lengths: list[int]
                     for p, tok, i, x, y in zip(at.tolist(), t.tolist(), d.tolist(), a.tolist(), b.tolist(), strict=True):
                         around = b" ".join([buf[u:v].tobytes() for u, v in zip(s[x:y].tolist(), e[x:y].tolist(), strict=True)])
                         out[lo + i].append({"token": tok, "pos": p - int(first[i]), "before": p - x, "around": around.decode()})
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, kind)], names=["doc", "row", "tokens"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(count), pa.array(out, kind)], names=["doc", "row", "n_words", "tokens"])
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), row_key().alias("row"), "text").mapInArrow(run, schema)
+    return docs.select(doc_key().alias("doc"), row_key().alias("row"), "text").mapInArrow(run, schema)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated), one row per row of ``docs``.
+    """(doc_id, row, n_words, n_hit, n_items, items, items_sha256, contaminated), one row per row of ``docs``; row is row_key().
 
     Words are runs of 0-9, a-z and non-ASCII after lower-casing A-Z; null has none. A window is ``window`` consecutive words
     of an item (all of a shorter one; an item without words has none), and a document word inside any occurrence of a window is hit.
@@ -164,32 +164,36 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     Item shingles are ordered by their rarity in the documents, and documents are joined on the rarest of each window.
     The place of the shingle in the window and the document's length bound where the window can lie; there its words are
     compared. Document shingles that no item has are left out early by a filter of bounded size; it only saves work.
+    Windows point to their set of items; the sets themselves are joined once for each document and set.
     """
-    windows = item_windows(items, window)
+    windows = checkpointed(item_windows(items, window))
     bits, power, lengths = token_filter(windows)
     prefix = prefix_tokens(windows, rarity(docs, bits, power, lengths))
     owner = windows.groupBy("phrase").agg(F.array_sort(F.collect_set(F.coalesce("item_id", F.lit("")))).alias("ids"))
-    wanted = checkpointed(prefix.join(owner, "phrase").select("token", "at", "n", "phrase", "ids"))
-    tok = candidates(docs, bits, power, lengths, window).select("doc", "row", F.explode("tokens").alias("t")).select("doc", "row", "t.*")
+    owner = checkpointed(owner.withColumn("owners", F.sha2(F.to_json("ids"), 256)))
+    sets = owner.groupBy("owners").agg(F.first("ids").alias("ids"))
+    wanted = checkpointed(prefix.join(owner.select("phrase", "owners"), "phrase").select("token", "at", "n", "phrase", "owners"))
+    scanned = checkpointed(candidates(docs, bits, power, lengths, window))
+    tok = scanned.select("doc", "row", F.explode("tokens").alias("t")).select("doc", "row", "t.*")
     # Few windows are sent to all executors; beyond that the join is shuffled, and hot shingles are split by Spark.
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_WINDOWS else wanted
+    small = wanted.agg(F.coalesce(F.sum(F.octet_length("phrase") + 128), F.lit(0))).first()[0] <= BROADCAST_BYTES
     left = F.col("before") - F.col("at")
     have = F.split("around", " ")
-    hit = tok.join(wanted, "token").filter((left >= 0) & (left + F.col("n") <= F.size(have)) & (F.array_join(F.slice(have, left + 1, F.col("n")), " ") == F.col("phrase")))
+    hit = tok.join(F.broadcast(wanted) if small else wanted, "token").filter((left >= 0) & (left + F.col("n") <= F.size(have)) & (F.array_join(F.slice(have, left + 1, F.col("n")), " ") == F.col("phrase")))
     span = F.struct((F.col("pos") - F.col("at")).alias("from"), (F.col("pos") - F.col("at") + F.col("n")).alias("to"))
-    per = hit.groupBy("doc", "row").agg(F.collect_set(span).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"))
+    per = checkpointed(hit.groupBy("doc", "row").agg(F.collect_set(span).alias("spans"), F.collect_set("owners").alias("owners")))
     # Union of the spans: in order of their start, each adds what lies beyond the furthest end so far.
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
     union = F.aggregate(F.array_sort("spans"), start, lambda a, s: F.struct(F.greatest(a["end"], s["to"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["to"] - F.greatest(a["end"], s["from"]))).alias("n")), lambda a: a["n"])
-    per = per.select(F.col("doc").alias("_d"), F.col("row").alias("_r"), union.alias("n_hit"), "items")
-    all_docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), row_key().alias("row"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("n_words"))
-    j = all_docs.join(per, (F.col("doc") == F.col("_d")) & (F.col("row") == F.col("_r")), "left")
+    owned = per.select("doc", "row", F.explode("owners").alias("owners")).join(sets, "owners").groupBy("doc", "row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("items"))
+    per = per.select("doc", "row", union.alias("n_hit")).join(owned, ["doc", "row"])
+    j = scanned.select("doc", "row", "n_words").join(per, ["doc", "row"], "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
-    return j.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), items_of.alias("items"), F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    return j.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), items_of.alias("items"), F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
 def clean_only(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents that hold no window of any item."""
-    bad = contamination(docs, items, window).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
-
+    """The rows that hold no window of any item, each judged for itself (equal rows alike), with all their columns, whatever these are called."""
+    bad = contamination(docs, items, window).filter("contaminated").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "row").distinct()
+    packed = docs.select(F.struct("*").alias("d"), doc_key().alias("doc"), row_key().alias("row"))
+    return packed.join(bad, ["doc", "row"], "left_anti").select("d.*")

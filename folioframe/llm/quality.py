@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from folioframe.llm.arrowtext import chunks, gram_hashes, word_hashes, words
 from folioframe.llm.common import checkpointed
@@ -159,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features:
             x = statistics(batch.column(0))
             yield pa.record_batch([pa.array(list(x), pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "y", "cal"])
 
-    own = docs.join(F.broadcast(lab), F.col("doc_id") == F.col("_l")).select("text", "y", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(10)) == 0).alias("cal"))
+    own = docs.select("doc_id", "text").join(F.broadcast(lab), F.col("doc_id") == F.col("_l")).select("text", "y", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(10)) == 0).alias("cal"))
     t = checkpointed(own.mapInArrow(stats, "x array<double>, y double, cal boolean"))
     fit, cal = t.filter("NOT cal"), t.filter("cal")
     first = _sums(fit, lambda x, y: [np.array([len(x)]), x.sum(0), (x**2).sum(0), np.array([y.sum()])])
@@ -183,31 +184,31 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features:
     return m
 
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and quality_score; columns of that name are replaced."""
-    docs = docs.drop("quality_score")
+def scores(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
+    """The columns of ``docs``, whatever their names, and behind them the score."""
     at = docs.columns.index("text")
+    own = [f"c{i}" for i in range(len(docs.columns))]
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(statistics(batch.column(at))))], names=[*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(statistics(batch.column(at))))], names=[*own, "score"])
 
-    from pyspark.sql.types import DoubleType, StructType
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("quality_score", DoubleType()))
+    schema = StructType([StructField(c, f.dataType) for c, f in zip(own, docs.schema.fields, strict=True)]).add("score", "double")
+    return docs.toDF(*own).mapInArrow(run, schema).toDF(*docs.columns, name)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row.
 
-    The statistics are of the whole text; null and empty texts have zeros and are scored like any other. Null doc_ids are in the
-    fold of the empty string. Several labels of a document count by their mean. With no labels every score is 0.5; with one class it is that class's.
+    The statistics are of the whole text; null and empty texts have zeros and are scored like any other, and equal texts alike, so repeated
+    rows get equal answers. Null doc_ids are in the fold of the empty string. Several labels of a document count by their mean, and each of
+    the rows that share its id is learned from. With no labels every score is 0.5; with one class it is that class's. Other columns are ignored.
     """
-    model = train(docs, labels)
-    s = scores(docs.select("doc_id", "text"), model)
-    return s.select("doc_id", (fold() == 0).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
+    s = scores(docs.select("doc_id", "text"), train(docs, labels), "score")
+    return s.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score at least THRESHOLD."""
-    return scores(docs, train(docs, labels)).filter(F.col("quality_score") >= THRESHOLD).drop("quality_score")
+    """The rows that score at least THRESHOLD, each judged for itself, with all their columns, whatever these are called."""
+    good = scores(docs, train(docs, labels)).toDF(*[f"c{i}" for i in range(len(docs.columns))], "score").filter(F.col("score") >= THRESHOLD)
+    return good.drop("score").toDF(*docs.columns)

@@ -31,9 +31,9 @@ def brute(docs, items):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("broadcast", [0, 200_000])
+@pytest.mark.parametrize("broadcast", [0, 1 << 25])
 def test_against_brute_force(spark, messy_docs, monkeypatch, broadcast):
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", broadcast)
     docs = [(r.doc_id, r.text) for r in messy_docs.collect()]
     long = [t for _, t in docs if t and len(t.split()) > 30]
     w = long[0].split()
@@ -51,3 +51,17 @@ def test_empty_tables(spark, messy_docs, no_docs):
     assert len(got) == messy_docs.count() and not any(r.contaminated for r in got)
     assert got[0].items_sha256 == hashlib.sha256(b"").hexdigest()
     assert decontaminate.contamination(no_docs, none).count() == 0
+
+
+def test_rows_are_judged_each_for_itself(spark):
+    """Null and repeated ids, equal rows, a long text, columns of any name, a phrase that many items share."""
+    phrase = "one two three four five six seven eight nine ten"
+    long = "lorem ipsum " * 90_000 + phrase
+    rows = [(1, phrase), (1, "clean text of the same id"), (None, phrase), (None, "clean"), (2, long), (3, None), (3, None)]
+    df = spark.createDataFrame([(*r, "a", "b", "c") for r in rows], "doc_id long, text string, _bad string, row string, d string")
+    items = spark.createDataFrame([(f"i{n}", phrase + f" and {n}") for n in range(300)], "item_id string, text string")
+    got = decontaminate.contamination(df, items).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in got), key=str) == sorted(((i, len(toks(t)), 10 * (phrase in (t or "")), 300 * (phrase in (t or ""))) for i, t in rows), key=str)
+    kept = decontaminate.clean_only(df, items)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(((i, t) for i, t in rows if phrase not in (t or "")), key=str)

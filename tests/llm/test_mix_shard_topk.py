@@ -25,26 +25,74 @@ def brute_targets(sizes, weights=(5, 2, 1), most=3):
     return target
 
 
-def test_mix_meets_targets(spark, messy_docs):
+def solved(sizes, target, most=3):
+    """The multiplier of one source by bisection on all its documents, and their rates."""
+    z = np.array(sizes) / np.mean(sizes)
+    rates = lambda m: np.minimum(most, np.exp(np.minimum(700, m * z)))
+    lo, hi = -4000.0, 4000.0
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if (rates(mid) * sizes).sum() < target else (lo, mid)
+    return rates(lo)
+
+
+def test_mix_meets_targets(messy_docs):
     df = messy_docs.union(messy_docs.filter("doc_id % 4 = 0")).withColumnRenamed("rate", "copies")
     got = mixing.mix(df).collect()
+    texts = {r.doc_id: r.text or "" for r in df.collect()}
     sizes = Counter()
     for r in got:
-        assert r.size == len(words(r.text or "")) and r.taken <= 3 * r.size and r.taken == r.copies * r.size
+        assert r.size == len(words(texts[r.doc_id])) and r.taken <= 3 * r.size and r.taken == r.copies * r.size
         sizes[r.source] += r.size
     want = brute_targets(sizes)
     for s in sizes:
         rows = [r for r in got if r.source == s]
         assert all(r.source_size == sizes[s] and abs(r.target - want[s]) < 1e-6 * max(1, want[s]) for r in rows)
         assert abs(sum(r.taken for r in rows) - want[s]) <= max(r.size for r in rows)
+        if want[s] < 3 * sizes[s]:
+            rates = solved([r.size for r in rows], want[s])
+            assert np.allclose([r.rate for r in rows], rates, atol=2e-6)
     again = mixing.mix(df.repartition(5)).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
 def test_newton_reaches_the_dual_optimum(spark):
-    rows = [(f"s{i}", 1000, float(t)) for i, t in enumerate([0.001, 1, 500, 1000, 2718, 3000])] + [("zero", 0, 0.0)]
-    got = {r.source: r.rate for r in mixing.tilts(spark.createDataFrame(rows, "source string, source_size long, target double")).collect()}
-    assert all(abs(got[s] * n - t) < 1e-5 for s, n, t in rows if n) and got["zero"] == 1
+    rng = np.random.default_rng(2)
+    ratios = {"tiny": 1e-4, "few": 0.01, "half": 0.5, "same": 1.0, "more": 2.2, "nearly": 2.999, "all": 3.0}
+    sizes = {s: rng.pareto(1.2, 400).astype(int) * 7 + 1 for s in ratios} | {"zero": np.zeros(5, int)}
+    hist = [(s, int(k), int(n)) for s, v in sizes.items() for k, n in zip(*np.unique(v, return_counts=True))]
+    goals = [(s, int(v.sum()), float(v.sum() * ratios.get(s, 0))) for s, v in sizes.items()]
+    h, g = spark.createDataFrame(hist, "source string, size long, n long"), spark.createDataFrame(goals, "source string, source_size long, target double")
+    for r in mixing.balanced(h, g).collect():
+        v = sizes[r.source]
+        if not v.any():
+            assert r.multiplier == 0
+            continue
+        rates = np.minimum(3, np.exp(np.minimum(700, r.multiplier * v / r.scale)))
+        assert abs((rates * v).sum() - r.target) <= 1e-9 * r.target, r
+
+
+def test_taken_rows_keep_columns_of_any_name(spark):
+    rows = [(i % 7 or None, "w " * (i % 11), "ab"[i % 2], i, "x", "y", "z") for i in range(60)] + [(None, None, None, 60, "", "", "")] * 2
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string, _s int, _b string, copies string, size string")
+    got = mixing.take(df)
+    assert got.columns == df.columns
+    n = Counter(tuple(r) for r in got.collect())
+    taken = Counter()
+    for r in mixing.mix(df).collect():
+        taken[(r.doc_id, r.source, r.size)] += r.copies
+    assert max(n.values()) <= 6 and set(n) <= {tuple(r) for r in df.collect()}
+    have = Counter()
+    for r, k in n.items():
+        have[(r[0], r[2], len((r[1] or "").split()))] += k
+    assert +have == +taken
+
+
+def test_sources_are_ranked_by_code_point(spark):
+    names = ["b", "a", "Z", "é", "", "ab", "😀", "\uffee", None]
+    df = spark.createDataFrame([(x,) for x in names], "source string")
+    got = {r.source: r["rank"] for r in mixing.ranked(df, "source").collect()}
+    assert got == {x: i for i, x in enumerate(sorted(names, key=lambda x: (x is None, x or "")))}
 
 
 def test_mix_and_shard_empty(no_docs):
