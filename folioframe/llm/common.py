@@ -16,13 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared checkpoint folder; sets one only where none is configured."""
+    """Cuts lineage through the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folio-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only in local mode, where one machine does all, a temporary one stands in where it is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Tells rows apart by id and text; equal rows share it, and get equal answers."""
     return F.xxhash64(F.col(doc_id), F.col(text))

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from folioframe.llm.arrowtext import LOWER, chunks, mix
 from folioframe.llm.common import row_key
 
-#: Rows learned from for each language at most (about, by hash), and for all languages together; hashed n-gram features.
-LANG_ROWS, ALL_ROWS, DIM = 1500, 30_000, 1024
+#: Rows learned from for each language at most (about, by hash), and for all languages together; hashed n-gram features; languages learned.
+LANG_ROWS, ALL_ROWS, DIM, LANGS = 1500, 30_000, 1024, 500
 FOLDS, HELD = 4, 2
 UNDETERMINED = "und"
 #: Families of languages by ISO 639-1 code; a language that isn't listed is in a family of its own.
@@ -101,7 +101,7 @@ class Model:
         sure = lambda m: 1 / (1 + np.exp(-np.clip(4 * m, -50, 50)))
         fam, score = np.zeros(n, np.int64), np.ones(n)
         if len(self.families) > 1:
-            m = np.stack([x @ self.weights[("family", f)] for f in self.families], 1)
+            m = np.stack([x @ self.weights[(None, f)] for f in self.families], 1)
             fam = m.argmax(1)
             top = np.sort(m, 1)
             score = sure(top[:, -1] - top[:, -2])
@@ -131,38 +131,41 @@ def train(docs: DataFrame, per_lang: int = LANG_ROWS, in_all: int = ALL_ROWS) ->
     """Learns from a hash sample of the documents outside the held-out fold whose text and lang aren't null.
 
     Each two-class problem (a family against the others, two languages of a family) is a group of its own, trained in one task
-    from at most about ``in_all`` rows of DIM floats.
+    from at most about ``in_all`` rows of DIM floats. The LANGS languages of most rows are learned.
     """
     own = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold() != HELD))
-    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
     if not counts:
         return Model([], {})
     model = Model(list(counts), {})
     cap = max(20, min(per_lang, in_all // len(counts)))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, max(1, -(-n // cap)))])
     rows = own.filter(F.pmod(row_key(), share[F.col("lang")]) == 0).select("lang", "text")
-    problems = {lang: [f"family\t{f}" for f in model.families if len(model.families) > 1] for lang in counts}
+    # A problem is a pair: (None, family) or two languages.
+    asked = [(None, f) for f in model.families if len(model.families) > 1]
+    problems = {lang: list(range(len(asked))) for lang in counts}
     for f in model.families:
         for a, b in combinations([x for x in model.langs if model.family[x] == f], 2):
-            problems[a].append(f"{a}\t{b}")
-            problems[b].append(f"{a}\t{b}")
+            problems[a].append(len(asked))
+            problems[b].append(len(asked))
+            asked.append((a, b))
     family = model.family
 
     def encode(batches):
         for batch in batches:
             x = ngram_features(batch.column(1))
-            yield pa.record_batch([batch.column(0), pa.array(problems[v] for v in batch.column(0).to_pylist()), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "problem", "x"])
+            yield pa.record_batch([batch.column(0), pa.array([problems[v] for v in batch.column(0).to_pylist()], pa.list_(pa.int32())), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "problem", "x"])
 
     def fit(t: pa.Table) -> pa.Table:
-        name = t.column("problem")[0].as_py()
-        a, b = name.split("\t")
+        number = t.column("problem")[0].as_py()
+        a, b = asked[number]
         x = np.frombuffer(b"".join(t.column("x").to_pylist()), np.float32).reshape(t.num_rows, -1)
-        is_a = np.array([(family[v] == b) if a == "family" else (v == a) for v in t.column("lang").to_pylist()])
-        return pa.table({"problem": [name], "w": pa.array([fit_svm(x, np.where(is_a, 1.0, -1.0)).tobytes()], pa.binary())})
+        is_a = np.array([(family[v] == b) if a is None else (v == a) for v in t.column("lang").to_pylist()])
+        return pa.table({"problem": pa.array([number], pa.int32()), "w": pa.array([fit_svm(x, np.where(is_a, 1.0, -1.0)).tobytes()], pa.binary())})
 
-    coded = rows.mapInArrow(encode, "lang string, problem array<string>, x binary").select("lang", F.explode("problem").alias("problem"), "x")
-    for r in coded.groupBy("problem").applyInArrow(fit, "problem string, w binary").collect():
-        model.weights[tuple(r.problem.split("\t"))] = np.frombuffer(r.w, np.float64)
+    coded = rows.mapInArrow(encode, "lang string, problem array<int>, x binary").select("lang", F.explode("problem").alias("problem"), "x")
+    for r in coded.groupBy("problem").applyInArrow(fit, "problem int, w binary").collect():
+        model.weights[asked[r.problem]] = np.frombuffer(r.w, np.float64)
     return model
 
 
@@ -170,7 +173,8 @@ def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text if there is nothing to learn from. Null doc_ids
-    are in the fold of the empty string. lang and source are never looked at when predicting.
+    are in the fold of the empty string. lang, source and other columns are never looked at when predicting; equal texts, and so repeated rows,
+    get equal predictions, and a tie goes to the language that sorts last. A lang may be any string; the empty one is a language like others.
     """
     model = train(docs)
 

@@ -51,7 +51,8 @@ def _sets(column, shingle: int):
             own = np.minimum(n, shingle)[doc] == size
             if own.any():
                 grams[own] = mix(gram_hashes(h, size)[at[own]] + np.uint64(size))
-        order = np.lexsort((grams, doc))
+        order = np.argsort(grams)
+        order = order[np.argsort(doc[order].astype(np.uint16) if hi - lo < 1 << 16 else doc[order], kind="stable")]
         doc, grams = doc[order], grams[order]
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (grams[1:] != grams[:-1])
@@ -65,13 +66,26 @@ def _classes(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(data[a:b], 42) if b > a else 0 for a, b in zip(at[:-1], at[1:], strict=True)), np.uint64, len(at) - 1)
 
 
+@lru_cache(1)
+def _counters() -> np.ndarray:
+    """For each byte value its bits, the highest first, as eight counters of a byte."""
+    return (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)).reshape(-1, 8).copy().view(np.uint64).ravel()
+
+
 def bit_sums(grams: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each non-empty set and each bit: how many shingles have it set, less those that don't."""
+    """For each non-empty set and each bit: how many shingles have it set, less those that don't.
+
+    Eight bits are counted at a time, in counters of a byte, over runs of 255 shingles at most.
+    """
+    runs = -(-sizes // 255)
+    owner = np.cumsum(runs) - runs
+    at = np.repeat(heads, runs) + 255 * (np.arange(int(runs.sum())) - np.repeat(owner, runs))
     out = np.zeros((len(heads), 64 * WORDS), np.int64)
     for w in range(WORDS):
-        h = mix(grams + np.uint64(0x9E3779B97F4A7C15 * (w + 1) & 0xFFFFFFFFFFFFFFFF))
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
-        out[:, 64 * w : 64 * w + 64] = np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
+        h = mix(grams + np.uint64(0x9E3779B97F4A7C15 * (w + 1) & 0xFFFFFFFFFFFFFFFF)).view(np.uint8).reshape(-1, 8)
+        for k in range(8):
+            some = np.add.reduceat(_counters()[h[:, k]], at).view(np.uint8).reshape(-1, 8).astype(np.int64)
+            out[:, 64 * w + 8 * k : 64 * w + 8 * k + 8] = np.add.reduceat(some, owner, axis=0)
     return 2 * out - sizes[:, None]
 
 
@@ -124,22 +138,20 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(class, grams): the sets of the wanted classes, and of few others that the bit map lets pass."""
-    bits, power, _ = token_filter(wanted.select(F.col("class").alias("token"), F.lit(1).alias("n")))
+    """(class, grams): the sets of the wanted classes (class, row: a row that has it), and of few others that a bit map of the rows lets pass."""
+    bits, power, _ = token_filter(wanted.select(F.col("row").alias("token"), F.lit(1).alias("n")))
 
     def run(batches):
         for batch in batches:
+            some = batch.column(1).filter(pa.array(_passes(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits, power)))
             cls, out = [], []
-            for _, _, grams, bounds in _sets(batch.column(0), shingle):
+            for _, _, grams, bounds in _sets(some, shingle):
                 c = _classes(grams, bounds)
-                keep = np.flatnonzero(_passes(c, bits, power) & (np.diff(bounds) > 0))
-                # A set once a chunk.
-                keep = keep[np.unique(c[keep], return_index=True)[1]]
-                cls += c[keep].view(np.int64).tolist()
-                out += [grams[bounds[i] : bounds[i + 1]].view(np.int64) for i in keep.tolist()]
+                cls += c.view(np.int64).tolist()
+                out += [grams[a:b].view(np.int64) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.record_batch([pa.array(cls, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["class", "grams"])
 
-    return docs.select("text").mapInArrow(run, "class long, grams array<long>").groupBy("class").agg(F.first("grams").alias("grams"))
+    return docs.select(row_key().alias("row"), "text").mapInArrow(run, "class long, grams array<long>").groupBy("class").agg(F.first("grams").alias("grams"))
 
 
 def _could(a, b):
@@ -214,11 +226,11 @@ def meetings(reps: DataFrame, total: int, nearest: int = NEAREST, crowd: int = C
     return met if star is None else met.unionByName(star)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are alike."""
+def verified(docs: DataFrame, pairs: DataFrame, rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are alike; ``rows`` has a row of each class."""
     pairs = checkpointed(pairs.select("a", "b").distinct())
     total = pairs.count()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    wanted = rows.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi")
     sets = checkpointed(sets_of(docs, wanted, shingle))
     # The smallest class of a large key is in very many pairs.
     often = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
@@ -229,7 +241,7 @@ def verified(docs: DataFrame, pairs: DataFrame, shingle: int = SHINGLE) -> DataF
 
 
 def alike_by_prefix(docs: DataFrame, classes: DataFrame, apart, shingle: int) -> DataFrame:
-    """(a, b): all pairs of classes (class, label, size) of unlike labels that can be alike.
+    """(a, b): all pairs of classes (class, row, label, size) of unlike labels that can be alike.
 
     Two alike sets share one of the rarest fifth (and one more) of their shingles, whatever order all agree on. A passage
     that very many texts hold is last in that order, so what only shares it isn't paired.
@@ -249,18 +261,19 @@ def alike_by_prefix(docs: DataFrame, classes: DataFrame, apart, shingle: int) ->
 def near_copy_labels(docs: DataFrame, shingle: int = SHINGLE, nearest: int = NEAREST, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(rows with doc_id, row and class; classes with n, the number of their rows, and label, the smallest class that is linked)."""
     own = checkpointed(sketches(docs, shingle))
-    reps = checkpointed(own.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    reps = checkpointed(own.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     met = checkpointed(meetings(reps, reps.count(), nearest, crowd))
-    links = verified(docs, met.filter("a <> b"), shingle)
+    rows = reps.select("class", "row")
+    links = verified(docs, met.filter("a <> b"), rows, shingle)
     large = met.filter("a = b").select("key", F.col("a").alias("class"))
     label = components(links)
     if not large.isEmpty():
         at = large.join(label, large["class"] == label["node"], "left").select("key", "class", F.coalesce("label", "class").alias("label"))
-        at = checkpointed(at.join(reps.select("class", "size"), "class"))
+        at = checkpointed(at.join(reps.select("class", "row", "size"), "class"))
         # Keys whose classes are one component already are done.
         apart = lambda df, c: df.join(df.groupBy(c).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(c), c, "left_semi")
-        more = alike_by_prefix(docs, apart(at, "key").select("class", "label", "size").distinct(), apart, shingle)
-        label = components(links.unionByName(verified(docs, more, shingle)))
+        more = alike_by_prefix(docs, apart(at, "key").select("class", "row", "label", "size").distinct(), apart, shingle)
+        label = components(links.unionByName(verified(docs, more, rows, shingle)))
     at = reps.join(label, reps["class"] == label["node"], "left").select("class", "n", F.coalesce("label", "class").alias("label"))
     return own.select("doc_id", "row", "class"), checkpointed(at)
 

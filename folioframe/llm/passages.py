@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -11,113 +12,160 @@ from pyspark.sql import DataFrame
 
 from folioframe.llm import recur
 from folioframe.llm.arrowtext import chunks, words
-from folioframe.llm.common import NULL_ID
+from folioframe.llm.common import NULL_ID, checkpointed
 
 WINDOW, ANCHOR = 35, 12
-#: Words of patterns in one automaton; a bucket with more compiles several, one after the other.
-AUTOMATON_WORDS = 2_000_000
+#: Words of phrases in one automaton; a home with more compiles several, one after the other.
+AUTOMATON_WORDS = 300_000
 
 
-def recurring_phrases(parts: list[tuple[np.ndarray, list[bytes]]], window: int) -> tuple[dict[bytes, tuple[int, ...]], list[tuple[int, ...]]]:
-    """(passages as word numbers, confirmed phrases as word numbers): whole passages seen twice, and windows that two passages hold."""
-    number: dict[bytes, int] = {}
+def _deal(window: int, buckets: int):
+    """Sends each passage of a home once, to the bucket of its key; one that the home holds several times is confirmed right away."""
+
+    def deal(home: int, texts: list[bytes], place: np.ndarray, lead: np.ndarray, single: np.ndarray) -> list[tuple[int, int, bytes]]:
+        first: dict[bytes, int] = {}
+        copies = np.zeros(len(texts), np.int32)
+        for i, t in enumerate(texts):
+            copies[first.setdefault(t, i)] += 1
+        own = np.fromiter(first.values(), np.int64, len(first))
+        head = place[own]
+        head["copies"], head["home"], head["size"] = copies[own], home, [len(t) for t in first]
+        out = list(recur.routed(recur._spread(head["key"], buckets), 0, head, list(first)))
+        twice = head[head["copies"] > 1]
+        if len(twice):
+            out.append((home % buckets, 1, home.to_bytes(4, "little") + _spans(twice, np.zeros(len(twice), np.int64), twice["windows"] - 1, window).tobytes()))
+        return out
+
+    return deal
+
+
+def _spans(head: np.ndarray, low: np.ndarray, high: np.ndarray, window: int) -> np.ndarray:
+    """The words of windows low to high of passages."""
+    v = np.zeros(len(head), recur.VERDICT)
+    v["row"], v["doc"], v["from"], v["to"] = head["row"], head["doc"], head["at"] + low, head["at"] + high + window - 1
+    return v
+
+
+def confirmed_runs(parts: list[tuple[np.ndarray, list[bytes]]], window: int) -> dict[bytes, list[tuple[int, int]]]:
+    """For each passage the runs (first, last) of its windows that recur, word by word: all of a passage that is seen twice, else those that
+    another passage of the same key holds as well."""
     texts: dict[bytes, int] = {}
-    for head, blobs in parts:
-        for c, t in zip(head["copies"].tolist(), blobs, strict=True):
-            texts[t] = texts.get(t, 0) + c
     keys: dict[int, set] = {}
     for head, blobs in parts:
-        for k, t in zip(head["key"].tolist(), blobs, strict=True):
+        for k, c, t in zip(head["key"].tolist(), head["copies"].tolist(), blobs, strict=True):
+            texts[t] = texts.get(t, 0) + c
             keys.setdefault(k, set()).add(t)
-    coded = {t: tuple(number.setdefault(w, len(number)) for w in t.split(b" ")) for t in texts}
-    phrases = {coded[t] for t, n in texts.items() if n > 1}
+    runs: dict[bytes, list[tuple[int, int]]] = {}
     for own in keys.values():
-        if len(own) < 2:  # equal windows have their anchor at equal places, so one passage doesn't hold a window twice
-            continue
-        seen: set[tuple] = set()
+        seen: dict[tuple, int] = {}
+        wins: dict[bytes, list[tuple]] = {}
+        if len(own) > 1:  # equal windows have their anchor at equal places, so one passage doesn't hold a window twice
+            for t in own:
+                w = t.split(b" ")
+                wins[t] = [tuple(w[i : i + window]) for i in range(len(w) - window + 1)]
+                for x in wins[t]:
+                    seen[x] = seen.get(x, 0) + 1
         for t in own:
-            w = coded[t]
-            for i in range(len(w) - window + 1):
-                x = w[i : i + window]
-                (phrases if x in seen else seen).add(x)
-    return coded, sorted(phrases)
+            n = t.count(b" ") + 2 - window
+            if texts[t] > 1:
+                runs[t] = [(0, n - 1)]
+            elif t in wins:
+                again = np.array([False, *(seen[x] > 1 for x in wins[t]), False])
+                edge = np.flatnonzero(again[1:] != again[:-1])
+                runs[t] = list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
+    return runs
 
 
-def locate(coded: dict[bytes, tuple[int, ...]], phrases: list[tuple[int, ...]]) -> dict[bytes, list[tuple[int, int]]]:
-    """Streams every passage through the automata: (first word, last word) of each occurrence of a phrase.
-
-    A word number is written as one code point, so that a phrase is a short string and the automaton has a node a word.
-    """
-    sign = lambda w: "".join(map(chr, w))
-    out: dict[bytes, list[tuple[int, int]]] = {t: [] for t in coded}
-    lines = {t: sign(w) for t, w in coded.items()}
-    at = 0
-    while at < len(phrases):
-        machine, size = ahocorasick.Automaton(), 0
-        while at < len(phrases) and size < AUTOMATON_WORDS:
-            machine.add_word(sign(phrases[at]), len(phrases[at]))
-            size += len(phrases[at])
-            at += 1
-        machine.make_automaton()
-        for t, line in lines.items():
-            out[t] += [(end - n + 1, end) for end, n in machine.iter(line)]
-    return out
-
-
-def _located(window: int):
+def _confirm(window: int):
     def run(t: pa.Table) -> pa.Table:
         own, out = recur.passed_on(t)
         parts = [recur.unpack(x) for x in own]
-        if parts:
-            coded, phrases = recurring_phrases(parts, window)
-            hits = locate(coded, phrases) if phrases else {}
-            rows, home = [], []
-            for head, blobs in parts:
-                for r, d, a, h, text in zip(head["row"].tolist(), head["doc"].tolist(), head["at"].tolist(), head["home"].tolist(), blobs, strict=True):
-                    for x, y in hits.get(text, ()):
-                        rows.append((r, d, a + x, a + y))
-                        home.append(h)
-            if rows:
-                out += recur.verdicts_home(np.array(home, np.int32), np.array(rows, recur.VERDICT))
+        runs = confirmed_runs(parts, window)
+        for head, blobs in parts:
+            at, low, high = [], [], []
+            for i, text in enumerate(blobs):
+                for a, b in runs.get(text, ()):
+                    at.append(i)
+                    low.append(a)
+                    high.append(b)
+            if at:
+                out += recur.verdicts_home(head["home"][at], _spans(head[at], np.array(low), np.array(high), window))
         return recur.table_of(out)
 
     return run
 
 
+def occurrences(words_: np.ndarray, phrases: list[np.ndarray], most: int = AUTOMATON_WORDS) -> Iterator[tuple[int, int]]:
+    """Streams a text of word numbers (-1 between documents) through the automata of phrases: (first word, last word) of every occurrence.
+
+    A word of a phrase is written as one code point, so that a phrase is a short string and its automaton has a node a word.
+    """
+    at = 0
+    while at < len(phrases):
+        till, size = at, 0
+        while till < len(phrases) and (till == at or size + len(phrases[till]) <= most):
+            size += len(phrases[till])
+            till += 1
+        letters = np.unique(np.concatenate(phrases[at:till]))
+        code = np.arange(1, len(letters) + 1, dtype=np.uint32)
+        code += (code >= 0xD800) * np.uint32(0x800)  # no surrogates
+        sign = lambda w: code[np.searchsorted(letters, w)].astype("<u4").tobytes().decode("utf-32-le")  # noqa: B023, E731
+        machine = ahocorasick.Automaton()
+        for p in phrases[at:till]:
+            machine.add_word(sign(p), len(p))
+        machine.make_automaton()
+        spot = np.minimum(np.searchsorted(letters, words_), len(letters) - 1)
+        line = np.where(letters[spot] == words_, code[spot], 0).astype("<u4").tobytes().decode("utf-32-le")
+        for end, n in machine.iter(line):
+            yield end - n + 1, end
+        at = till
+
+
 CLEANED = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
+_CLEANED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())])
 
 
-def _cleaned(window: int, with_text: bool):
-    """Rewrites the documents of a home: words in recurring windows go, the rest is joined by one space."""
+def _cleaned(with_text: bool):
+    """A home's documents without its confirmed phrases: these are read where the spans say, compiled, and all documents are streamed through."""
 
     def run(docs: pa.Table, said: pa.Table) -> pa.Table:
-        v = np.frombuffer(b"".join(said.column("data").to_pylist()), recur.VERDICT) if said.num_rows else np.zeros(0, recur.VERDICT)
-        v = np.unique(v)
-        rows: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept": [], "kept_sha256": []}
+        v = np.unique(np.frombuffer(b"".join(said.column("data").to_pylist()), recur.VERDICT)) if said.num_rows else np.zeros(0, recur.VERDICT)
         doc, row = docs.column("doc").to_numpy(), docs.column("row").to_numpy()
-        left, right = np.searchsorted(v["row"], row, "left"), np.searchsorted(v["row"], row, "right")
+        texts, count, numbers, number = [], [], [], {}
         for lo, hi, buf, off in chunks(docs.column("text")):
             starts, ends, first = words(buf, off)
             data = buf.tobytes()
+            texts.append((lo, hi, data, starts, ends, first))
+            count.append(np.diff(first))
+            if len(v):
+                ids = np.fromiter((number.setdefault(data[a:b], len(number)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(starts))
+                numbers.append(np.insert(ids, first[1:], -1))
+        # Documents lie one after the other, with one place between them.
+        base = np.cumsum(np.concatenate([[0], *(c + 1 for c in count)]))
+        gone = np.zeros(int(base[-1]), bool)
+        if len(v):
+            line = np.concatenate(numbers)
+            order = np.lexsort((doc, row))
+            place = np.zeros(len(v), np.int64)
+            where = {}
+            for i in order.tolist():
+                where.setdefault((int(row[i]), int(doc[i])), i)
+            place = base[[where[(r, d)] for r, d in zip(v["row"].tolist(), v["doc"].tolist(), strict=True)]]
+            phrases = {line[a : b + 1].tobytes() for a, b in zip((place + v["from"]).tolist(), (place + v["to"]).tolist(), strict=True)}
+            spans = np.array(list(occurrences(line, [np.frombuffer(p, np.int64) for p in sorted(phrases)])), np.int64).reshape(-1, 2)
+            edge = np.zeros(len(gone) + 1, np.int64)
+            np.add.at(edge, spans[:, 0], 1)
+            np.add.at(edge, spans[:, 1] + 1, -1)
+            gone = np.cumsum(edge[:-1]) > 0
+        rows: dict[str, list] = {c: [] for c in _CLEANED.names}
+        for lo, hi, data, starts, ends, first in texts:
             for i in range(lo, hi):
-                a, b = first[i - lo], first[i - lo + 1]
-                n = int(b - a)
-                mine = v[left[i] : right[i]]
-                mine = mine[mine["doc"] == doc[i]]
-                keep = np.ones(n, bool)
-                if len(mine):
-                    edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, mine["from"], 1)
-                    np.add.at(edge, mine["to"] + 1, -1)
-                    keep = np.cumsum(edge[:-1]) == 0
-                s, e = starts[a:b][keep], ends[a:b][keep]
-                text = b" ".join([data[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)])
-                rows["doc_id"].append(None if doc[i] == NULL_ID else int(doc[i]))
-                rows["n_words"].append(n)
-                rows["n_removed"].append(n - int(keep.sum()))
-                rows["kept"].append(text.decode() if with_text else None)
-                rows["kept_sha256"].append(hashlib.sha256(text).hexdigest())
-        return pa.table(rows, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())]))
+                a, b = int(first[i - lo]), int(first[i - lo + 1])
+                keep = ~gone[base[i] : base[i] + b - a]
+                text = b" ".join([data[x:y] for x, y in zip(starts[a:b][keep].tolist(), ends[a:b][keep].tolist(), strict=True)])
+                for c, x in zip(_CLEANED.names, (None if doc[i] == NULL_ID else int(doc[i]), b - a, b - a - int(keep.sum()), text.decode() if with_text else None, hashlib.sha256(text).hexdigest()), strict=True):
+                    rows[c].append(x)
+        return pa.table(rows, schema=_CLEANED)
 
     return run
 
@@ -129,18 +177,18 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int
     SHA-256, one row per row of ``docs``. Words lie between ASCII white space and are unchanged; null and blank texts have
     none; a text shorter than the window loses nothing. Repeated rows are occurrences of their own. Other columns are ignored.
 
-    Passages around anchors that recur are brought together by anchor (see ``recur``); there the phrases that recur are
-    confirmed word by word, compiled into the bucket's Aho-Corasick automata, and every passage of the bucket is streamed
-    through them. Each window of every document is in exactly one passage if its anchor recurs, else it is unique.
+    Passages around anchors that recur are brought together by anchor (see ``recur``), where the phrases that recur are confirmed word by word.
+    Spans of confirmed phrases go to the homes that hold them. A home compiles its phrases into Aho-Corasick automata and streams all its
+    documents, whole, through them: whatever an automaton finds is removed. A phrase is in the automata of every home that holds it.
     """
     units = recur.Units("word", window, anchor)
     size = recur.text_bytes(docs)
     homes, buckets = recur.sizes(size)
-    often = recur.frequent_anchors(docs, units, size)
-    home = recur.homes(docs, homes)
-    repeated = recur.repeated_anchors(home, units, buckets)
-    # Two copies of a passage in one home settle all of them.
-    settle = lambda n: n if n > 1 else 0
-    cut = recur.passages(home, repeated, units, buckets, often, settle)
-    hits = cut.groupBy("slot").applyInArrow(_located(window), recur.ROUTED)
-    return home.groupBy("slot").cogroup(hits.groupBy("slot")).applyInArrow(_cleaned(window, with_text), CLEANED)
+    often = recur.frequent_anchors(docs, units, size, buckets)
+    home = recur.homes(docs, homes, 2 * window - 1)
+    repeated = recur.repeated_anchors(home, units, buckets, often)
+    said = recur.passages(home, repeated, units, _deal(window, buckets)).groupBy("slot").applyInArrow(_confirm(window), recur.ROUTED)
+    if len(often):
+        common = checkpointed(recur.frequent_windows(home, units, often, once=True))
+        said = said.unionByName(recur.frequent_verdicts(common, units, first_stays=False))
+    return home.groupBy("slot").cogroup(said.groupBy("slot")).applyInArrow(_cleaned(with_text), CLEANED)

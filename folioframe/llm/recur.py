@@ -4,13 +4,15 @@ Each window chooses an anchor, the k-gram of smallest hash inside it, so equal w
 position in half a window is an anchor. Three exchanges narrow the work down, none of them by a limit:
 
 1. The hash of every anchor goes to a bucket of its hash with the home of its document; hashes seen twice or more come back.
-2. At home (documents are dealt by id) the runs of windows with such an anchor become passages. Copies inside a home are
-   settled there, and a passage is sent once from each home to the bucket of its anchor.
-3. There all passages with an anchor meet, and the caller decides which windows recur.
-
-Anchors in a very large number of passages (a common line) would meet in one bucket. Those are found on a bounded hash
-sample, which only guides the dealing: their windows are sent one by one, by the window's own hash.
-Numbers of homes and buckets follow the bytes of text, so a group stays at a few megabytes at every size.
+2. At home (documents are dealt by id and text) the runs of windows with such an anchor become passages. Each is sent once
+   from a home to the bucket of its anchor.
+3. There all passages with an anchor meet, and the caller decides which windows recur; spans of the first copy go back home.
+
+No anchor may crowd a bucket, at any size. Anchors that make up a share of 1/MOST of a sample (MOST grows with the buckets, to a
+million, and the sample with MOST) are left out of the first exchange; their windows are counted by a plain aggregation of equal
+windows, which Spark combines before it shuffles. Anchors with more than CROWD passages, counted exactly in the first exchange,
+send their windows one by one, by the window's own hash. Both only decide where windows are compared.
+Numbers of homes and buckets follow the bytes of text, so a group stays at a few megabytes.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from folioframe.llm.arrowtext import BYTE, anchors, chunks, gram_hashes, mix, word_hashes, words
-from folioframe.llm.common import NULL_ID, row_key
+from folioframe.llm.common import doc_key, row_key, spread_join
 
 ROUTED = "slot int, kind int, data binary"
 HASH_HOME = np.dtype([("h", "<u8"), ("home", "<i4")])
@@ -30,6 +32,10 @@ HASH_HOME = np.dtype([("h", "<u8"), ("home", "<i4")])
 PASSAGE = np.dtype([("key", "<u8"), ("home", "<i4"), ("doc", "<i8"), ("row", "<i8"), ("at", "<i8"), ("windows", "<i4"), ("copies", "<i4"), ("size", "<i4")])
 #: Units of a row that are covered by recurring windows.
 VERDICT = np.dtype([("row", "<i8"), ("doc", "<i8"), ("from", "<i8"), ("to", "<i8")])
+#: Entries of an anchor in its bucket beyond which its windows are sent one by one.
+CROWD = 4096
+#: Least and most anchors that are looked for in the sample, and sampled bytes for each.
+MOST, SAMPLE = (10_000, 1_000_000), 5000
 
 
 def _spread(h: np.ndarray, n: int) -> np.ndarray:
@@ -93,15 +99,21 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
-def homes(docs: DataFrame, n: int) -> DataFrame:
-    """(slot, doc, row, text): documents dealt to homes; null ids are smaller than all others."""
+def homes(docs: DataFrame, n: int, short: int) -> DataFrame:
+    """(slot, doc, row, text): documents dealt to homes by id and text, so equal rows meet, but for texts of less than ``short`` bytes.
+
+    These can't hold a window, get no verdict, and are dealt evenly, however many of them are equal.
+    """
     row = row_key()
-    return docs.select(F.pmod(row, F.lit(n)).cast("int").alias("slot"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), row.alias("row"), "text")
+    tiny = F.coalesce(F.octet_length("text"), F.lit(0)) < short
+    slot = F.pmod(F.when(tiny, F.xxhash64(F.monotonically_increasing_id())).otherwise(row), F.lit(n)).cast("int")
+    return docs.select(slot.alias("slot"), doc_key().alias("doc"), row.alias("row"), "text")
 
 
-def frequent_anchors(docs: DataFrame, units: Units, size: int, sample_bytes: int = 1 << 25, most: int = 10_000) -> np.ndarray:
-    """Hashes of at least 1/most of all anchors of a hash sample of about ``sample_bytes``: ``most`` at the most."""
-    share = max(1, size // sample_bytes)
+def frequent_anchors(docs: DataFrame, units: Units, size: int, buckets: int) -> np.ndarray:
+    """Hashes of at least 1/most of all anchors of a hash sample of documents; ``most`` follows the number of buckets."""
+    most = min(max(MOST[0], buckets), MOST[1])
+    share = max(1, size // (most * SAMPLE))
     some = docs.filter(F.pmod(row_key(), F.lit(share)) == 0).select("text")
 
     def count(batches):
@@ -112,7 +124,7 @@ def frequent_anchors(docs: DataFrame, units: Units, size: int, sample_bytes: int
 
     per = some.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     total = per.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = per.filter((F.col("n") >= 256) & (F.col("n") * most >= total)).select("h").collect()
+    rows = per.filter((F.col("n") >= 64) & (F.col("n") * most >= total)).select("h").collect()  # most rows at the most
     return np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64))
 
 
@@ -122,8 +134,10 @@ def among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)] == values
 
 
-def repeated_anchors(home: DataFrame, units: Units, buckets: int) -> DataFrame:
-    """(slot home, kind, data): for each home the hashes of anchors that occur at least twice in the corpus."""
+def repeated_anchors(home: DataFrame, units: Units, buckets: int, often: np.ndarray, crowd: int | None = None) -> DataFrame:
+    """(slot home, kind, data): for each home the hashes of anchors that occur at least twice in the corpus, those of more than ``crowd``
+    entries as kind 1; the anchors of ``often`` aren't looked at."""
+    crowd = CROWD if crowd is None else crowd
 
     def scan(batches):
         held, n = [], 0
@@ -137,7 +151,7 @@ def repeated_anchors(home: DataFrame, units: Units, buckets: int) -> DataFrame:
             for lo, _, _, _, _, _, _, gram, (d, _, _, p) in units.read(batch.column(1)):
                 r = np.zeros(len(p), HASH_HOME)
                 r["h"], r["home"] = gram[p], at[lo + d]
-                held.append(thin(r))
+                held.append(thin(r[~among(r["h"], often)]))
                 n += len(held[-1])
             if n > 2_000_000:
                 yield flush()
@@ -155,70 +169,108 @@ def repeated_anchors(home: DataFrame, units: Units, buckets: int) -> DataFrame:
     def match(t: pa.Table) -> pa.Table:
         r = np.frombuffer(b"".join(t.column("data").to_pylist()), HASH_HOME)
         u, where, n = np.unique(r["h"], return_inverse=True, return_counts=True)
-        r = np.unique(r[n[where] > 1])
-        return table_of(list(routed(r["home"].copy(), 0, r["h"].copy())))
+        out = []
+        for kind, use in ((0, (n > 1) & (n <= crowd)), (1, n > crowd)):
+            some = np.unique(r[use[where]])
+            out += routed(some["home"].copy(), kind, some["h"].copy())
+        return table_of(out)
 
     return home.select("slot", "text").mapInArrow(scan, ROUTED).groupBy("slot").applyInArrow(match, ROUTED)
 
 
-def passages(home: DataFrame, repeated: DataFrame, units: Units, buckets: int, often: np.ndarray, settle: Callable, once: bool = False, encode: Callable | None = None) -> DataFrame:
-    """(slot bucket, kind, data): kind 0 passages by bucket of their key, kind 1 verdicts for a home, whose number comes first.
+def _texts(data: bytes, starts, ends, first: np.ndarray, past: np.ndarray) -> list[bytes]:
+    """The units from first to past, words joined by one space."""
+    if starts is None:
+        return [data[a:b] for a, b in zip(first.tolist(), past.tolist(), strict=True)]
+    ws = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return [b" ".join(ws[a:b]) for a, b in zip(first.tolist(), past.tolist(), strict=True)]
 
-    ``encode(head, texts, lead, hot)`` may deal the passages otherwise: lead is where in a passage its anchor is, hot tells windows
-    that were sent one by one.
 
-    ``settle(n)`` says how many of the last of n copies inside a home, in the order of document and place, are settled, all
-    their windows recurring, right here. With ``once``, equal rows count as one document.
+def passages(home: DataFrame, repeated: DataFrame, units: Units, deal: Callable) -> DataFrame:
+    """(slot, kind, data): the passages of each home, as ``deal(home, texts, places, lead, single)`` spells them.
+
+    places are PASSAGE records (their copies, size and home are left to ``deal``), lead is where in a passage its anchor is, single tells
+    windows of crowded anchors, which go one by one under their own hash.
     """
-    window, k = units.window, units.k
+    window = units.window
 
     def cut(docs: pa.Table, seen: pa.Table) -> pa.Table:
         if not docs.num_rows or not seen.num_rows:
             return table_of([])
-        wanted = np.unique(np.frombuffer(b"".join(seen.column("data").to_pylist()), np.uint64))
-        me = docs.column("slot")[0].as_py()
+        of = lambda kind: np.unique(np.frombuffer(b"".join(x for k, x in zip(seen.column("kind").to_pylist(), seen.column("data").to_pylist(), strict=True) if k == kind), np.uint64))
+        cold, crowded = of(0), of(1)
+        wanted = np.sort(np.concatenate([cold, crowded]))
         doc, row = docs.column("doc").to_numpy(), docs.column("row").to_numpy()
-        found: dict[bytes, list] = {}
+        texts, places, leads, singles = [], [], [], []
         for lo, buf, _, starts, ends, uoff, uh, gram, (d, first, last, p) in units.read(docs.column("text")):
             h = gram[p]
             use = among(h, wanted)
             d, first, last, h = d[use], first[use], last[use], h[use]
-            lead, hot = p[use] - first, among(h, often)
-            if hot.any():  # windows of common anchors go one by one
-                n = (last - first + 1)[hot]
-                w = np.repeat(first[hot] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            lead, single = p[use] - first, among(h, crowded)
+            if single.any():
+                n = (last - first + 1)[single]
+                w = np.repeat(first[single] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
                 wide = gram_hashes(uh, window)
-                d = np.concatenate([d[~hot], np.repeat(d[hot], n)])
-                first, last = np.concatenate([first[~hot], w]), np.concatenate([last[~hot], w])
-                h, lead = np.concatenate([h[~hot], mix(wide[w])]), np.concatenate([lead[~hot], np.zeros(len(w), np.int64)])
-                hot = np.arange(len(d)) >= len(d) - len(w)
+                d = np.concatenate([d[~single], np.repeat(d[single], n)])
+                first, last = np.concatenate([first[~single], w]), np.concatenate([last[~single], w])
+                h, lead = np.concatenate([h[~single], mix(wide[w])]), np.concatenate([lead[~single], np.zeros(len(w), np.int64)])
+                single = np.arange(len(d)) >= len(d) - len(w)
             if not len(d):
                 continue
-            data = buf.tobytes()
-            at = first - uoff[d]
-            if starts is None:
-                text = [data[a:b] for a, b in zip(first.tolist(), (last + window).tolist(), strict=True)]
-            else:
-                ws = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                text = [b" ".join(ws[a:b]) for a, b in zip(first.tolist(), (last + window).tolist(), strict=True)]
-            for t, *x in zip(text, h.tolist(), doc[lo + d].tolist(), row[lo + d].tolist(), at.tolist(), (last - first + 1).tolist(), lead.tolist(), hot.tolist(), strict=True):
-                found.setdefault(t, []).append(tuple(x))
-        head, lead, hot = np.zeros(len(found), PASSAGE), np.zeros(len(found), np.int64), np.zeros(len(found), bool)
-        done = []
-        for i, (t, copies) in enumerate(found.items()):
-            copies = sorted(set(copies) if once else copies, key=lambda x: (x[1], x[3], x[2]))
-            key, d, r, at, n, lead[i], hot[i] = copies[0]
-            head[i] = (key, me, d, r, at, n, len(copies), len(t))
-            done += [(r, d, at, at + n + window - 2) for _, d, r, at, n, _, _ in copies[len(copies) - settle(len(copies)) :]]
-        out = encode(head, list(found), lead, hot) if encode else list(routed(_spread(head["key"], buckets), 0, head, list(found)))
-        if done:
-            v = np.array(done, VERDICT)
-            out.append((me % buckets, 1, me.to_bytes(4, "little") + v.tobytes()))
-        return table_of(out)
+            texts += _texts(buf.tobytes(), starts, ends, first, last + window)
+            place = np.zeros(len(d), PASSAGE)
+            place["key"], place["doc"], place["row"], place["at"], place["windows"] = h, doc[lo + d], row[lo + d], first - uoff[d], last - first + 1
+            places.append(place)
+            leads.append(lead)
+            singles.append(single)
+        if not texts:
+            return table_of([])
+        return table_of(deal(docs.column("slot")[0].as_py(), texts, np.concatenate(places), np.concatenate(leads), np.concatenate(singles)))
 
     return home.groupBy("slot").cogroup(repeated.groupBy("slot")).applyInArrow(cut, ROUTED)
 
 
+WINDOWS = "slot int, text binary, doc long, row long, at long, copies long"
+
+
+def frequent_windows(home: DataFrame, units: Units, often: np.ndarray, once: bool) -> DataFrame:
+    """(slot, text, doc, row, at, copies): the windows around frequent anchors; with ``once``, one of each home and text, at the smallest document and place."""
+    window = units.window
+
+    def run(batches):
+        for batch in batches:
+            slot, doc, row = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for lo, buf, _, starts, ends, uoff, _, gram, (d, first, last, p) in units.read(batch.column(3)):
+                use = among(gram[p], often)
+                d, first, n = d[use], first[use], (last - first + 1)[use]
+                w = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                d = np.repeat(d, n)
+                texts = _texts(buf.tobytes(), starts, ends, w, w + window)
+                yield pa.record_batch([pa.array(slot[lo + d]), pa.array(texts, pa.binary()), pa.array(doc[lo + d]), pa.array(row[lo + d]), pa.array(w - uoff[d]), pa.array(np.ones(len(d), np.int64))], names=["slot", "text", "doc", "row", "at", "copies"])
+
+    if not once:
+        return home.mapInArrow(run, WINDOWS)
+    one = home.mapInArrow(run, WINDOWS).groupBy("slot", "text").agg(F.min(F.struct("doc", "at", "row")).alias("first"), F.sum("copies").alias("copies"))
+    return one.select("slot", "text", "first.doc", "first.row", "first.at", "copies")
+
+
+def frequent_verdicts(own: DataFrame, units: Units, first_stays: bool) -> DataFrame:
+    """Spans of the windows of ``frequent_windows`` that recur, for their homes; with ``first_stays``, without that of the smallest document and place."""
+    per = own.groupBy("text").agg(F.sum("copies").alias("copies_in_all"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at")).alias("least"))
+    j = spread_join(own, per.filter("copies_in_all > 1"), "text", "n", own.count()).filter("copies_in_all IS NOT NULL")
+    if first_stays:
+        j = j.filter(F.struct("doc", "at") != F.col("least"))
+
+    def pack(batches):
+        for batch in batches:
+            slot, doc, row, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            v = np.zeros(len(slot), VERDICT)
+            v["row"], v["doc"], v["from"], v["to"] = row, doc, at, at + units.window - 1
+            yield batch_of(list(routed(slot, 1, v)))
+
+    return j.select("slot", "doc", "row", "at").mapInArrow(pack, ROUTED)
+
+
 def verdicts_home(home_of: np.ndarray, verdicts: np.ndarray) -> list[tuple[int, int, bytes]]:
     return list(routed(home_of, 1, verdicts)) if len(verdicts) else []
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 SHARDS = 16
 #: Multiplier of the 64-bit linear congruential step of jump consistent hashing.
 STEP = 2862933555777941757
-#: Blocks of a shard in which slots are numbered: three hex digits of md5(doc_id).
+#: Blocks of a shard in which slots are numbered: three hex digits of the order key.
 BLOCK_DIGITS = 3
 
 
@@ -40,10 +40,12 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     size is the UTF-8 bytes of the text plus 1 (null: 1), text_crc32 that of the text (null: of no bytes). The id and the
     number of shards decide (law ``key``); null ids share a shard. Slots number a shard's rows without gaps, ordered by
-    md5(doc_id): blocks of that order are counted first, so no task sees a whole shard. Equal rows get slots of their own.
+    md5 of id and text checksum: blocks of that order are counted first, so no task sees a whole shard, and rows of one id but different texts
+    are in different blocks. Equal rows get slots of their own. Other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_o"))
+    d = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    d = d.withColumn("_o", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"))))
     key = stable_key(F.col("doc_id"))
     d = d.withColumns({"shard": jump(key, shards), "grown_shard": jump(key, shards + 1), "_b": F.substring("_o", 1, BLOCK_DIGITS)})
     before = W.partitionBy("shard").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -60,10 +62,10 @@ def _jump_sql(n: int) -> str:
 
 
 ORACLE = f"""
-WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, md5(coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
-k AS (SELECT *, ('0x' || o[1:16])::UBIGINT::UHUGEINT AS k FROM d),
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+k AS (SELECT *, ('0x' || md5(coalesce(doc_id::VARCHAR, ''))[1:16])::UBIGINT::UHUGEINT AS k FROM d),
 tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(0, 9), lambda a, x: CASE WHEN x = 0 THEN i::BIGINT WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, i::BIGINT) AS c FROM range(0, 256) r(i))),
 c AS (SELECT rid, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: ('0x' || h)::BIGINT), lambda a, x: xor(a // 256, tab[1 + xor(a % 256, x)]), 4294967295::BIGINT), 4294967295) AS crc FROM k, tab),
-r AS (SELECT doc_id, strlen(t)::BIGINT + 1 AS size, crc AS text_crc32, o, {_jump_sql(SHARDS)} AS shard, {_jump_sql(SHARDS + 1)} AS grown_shard FROM k JOIN c USING (rid))
+r AS (SELECT doc_id, strlen(t)::BIGINT + 1 AS size, crc AS text_crc32, md5(coalesce(doc_id::VARCHAR, '') || ':' || crc) AS o, {_jump_sql(SHARDS)} AS shard, {_jump_sql(SHARDS + 1)} AS grown_shard FROM k JOIN c USING (rid))
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY o, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard FROM r
 """

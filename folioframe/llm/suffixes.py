@@ -6,6 +6,10 @@ window stand together, since they share the anchor. Homes sort their suffixes in
 prefix shared with the suffix before, then the rest). The runs, cut at splitters, are exchanged, and each range is merged
 by a loser tree whose players carry how much of their prefix they are known to share with the last winner: a match compares
 these lengths first and never looks at known bytes again.
+
+The shared lengths that come out of the merge settle all windows. A window that starts a bytes before its anchor recurs in another
+passage if both share at least window - a bytes from the anchor on and a bytes before it; so for each a the passages fall into
+classes, cut where the shared length of sorted neighbours is less, and the smallest document and place of a class keeps its window.
 """
 
 from __future__ import annotations
@@ -19,16 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from folioframe.llm import recur
-from folioframe.llm.arrowtext import BYTE, chunks, gram_hashes
-from folioframe.llm.common import NULL_ID, row_key
+from folioframe.llm.arrowtext import chunks
+from folioframe.llm.common import NULL_ID, checkpointed, row_key
 
 WINDOW, ANCHOR = 100, 32
 #: Place of a suffix: document, row, first byte of the passage, home, windows, bytes before the anchor.
 PLACE = np.dtype([("doc", "<i8"), ("row", "<i8"), ("at", "<i4"), ("home", "<i4"), ("windows", "<u2"), ("lead", "<u2")])
 #: Bytes of a splitter; no more than an anchor has, so that an anchor's suffixes are never parted.
 SPLIT_BYTES = 24
-#: Windows whose bytes are spelled out and sorted at a time.
-SORTED_AT_ONCE = 100_000
 
 
 def shared_prefix(a: bytes, b: bytes) -> int:
@@ -100,26 +102,37 @@ def merged(runs: list[tuple[list[int], list[int], bytes]]) -> Iterator[tuple[int
             node //= 2
 
 
-def _runs(splitters: list[bytes], slots: int):
-    """Sorts a home's suffixes into one run for each range. Windows that were sent one by one are dealt by their hash."""
+def _runs(splitters: list[bytes], slots: int, window: int):
+    """Sorts a home's suffixes into one run for each range; equal passages, neighbours then, are sent once, for their smallest document and
+    place, and the others are settled. Windows of crowded anchors are dealt by their hash."""
 
-    def encode(head: np.ndarray, texts: list[bytes], lead: np.ndarray, hot: np.ndarray) -> list[tuple[int, int, bytes]]:
+    def deal(home: int, texts: list[bytes], head: np.ndarray, lead: np.ndarray, single: np.ndarray) -> list[tuple[int, int, bytes]]:
+        values = [t[a:] + t[:a][::-1] for t, a in zip(texts, lead.tolist(), strict=True)]
+        keys, ones = head["key"].tolist(), single.tolist()
+        at = list(zip(head["doc"].tolist(), head["at"].tolist(), head["row"].tolist(), strict=True))
+        order = sorted(range(len(values)), key=lambda i: (ones[i], values[i], lead[i], at[i]))
+        new = np.array([True, *(values[i] != values[j] or lead[i] != lead[j] or ones[i] != ones[j] for i, j in zip(order, order[1:], strict=False))])
+        order = np.array(order)
+        first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        more = ~new & ((head["doc"][order] != head["doc"][first]) | (head["at"][order] != head["at"][first]))  # equal rows are one document
         place = np.zeros(len(head), PLACE)
-        for k in ("doc", "row", "at", "home", "windows"):
+        for k in ("doc", "row", "at", "windows"):
             place[k] = head[k]
-        place["lead"] = lead
-        values = [t[a:] + t[:a][::-1] for t, a in zip(texts, lead.tolist(), strict=True)]
+        place["home"], place["lead"] = home, lead
         own: dict[tuple[int, int], list[int]] = {}
-        for i, (one, key) in enumerate(zip(hot.tolist(), head["key"].tolist(), strict=True)):
-            spot = (2, (key >> 20) % slots) if one else (0, bisect_right(splitters, values[i][:SPLIT_BYTES]))
+        for i in order[new].tolist():
+            spot = (2, (keys[i] >> 20) % slots) if ones[i] else (0, bisect_right(splitters, values[i][:SPLIT_BYTES]))
             own.setdefault(spot, []).append(i)
-        out = []
-        for (kind, slot), rows in own.items():
-            rows.sort(key=values.__getitem__)
-            out.append((slot, kind, front_coded([values[i] for i in rows], place[rows])))
+        # Equal rows of a document have verdicts of their own only through their row, which they share.
+        out = [(slot, kind, front_coded([values[i] for i in rows], place[rows])) for (kind, slot), rows in own.items()]
+        later = order[more]
+        if len(later):
+            v = np.zeros(len(later), recur.VERDICT)
+            v["row"], v["doc"], v["from"], v["to"] = head["row"][later], head["doc"][later], head["at"][later], head["at"][later] + head["windows"][later] + window - 2
+            out.append((home % slots, 1, home.to_bytes(4, "little") + v.tobytes()))
         return out
 
-    return encode
+    return deal
 
 
 def _later(p: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,10 +144,49 @@ def _later(p: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return o, (doc != doc[lead]) | (at != at[lead])
 
 
-def _merge(window: int, anchor: int):
-    """In a range: merges the runs, settles equal passages, and compares the windows of passages around one anchor."""
+def before_anchor(values: list[bytes], lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank, shared): the order of what lies before the anchors, backwards, and the prefix that neighbours in it share."""
+    back = [v[len(v) - a :] for v, a in zip(values, lead.tolist(), strict=True)]
+    order = sorted(range(len(back)), key=back.__getitem__)
+    rank = np.zeros(len(back), np.int64)
+    rank[order] = np.arange(len(back))
+    return rank, np.array([0, *(shared_prefix(back[i], back[j]) for i, j in zip(order, order[1:], strict=False))], np.int64)[: len(back)]
+
 
-    most = SORTED_AT_ONCE
+def later_windows(values: list[bytes], shared: np.ndarray, p: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spans (as verdicts) and homes of the windows that start earlier in another of these passages.
+
+    The passages are sorted, ``shared`` is the prefix of each that the one before shares. Windows are compared by shared lengths alone.
+    """
+    lead, n = p["lead"].astype(np.int64), p["windows"].astype(np.int64)
+    rank, back = before_anchor(values, lead)
+    found = []
+    for a in range(int((lead - n + 1).min()), int(lead.max()) + 1):
+        here = np.flatnonzero((a <= lead) & (a > lead - n))
+        if len(here) < 2:
+            continue
+        right, left = np.cumsum(shared < window - a)[here], np.cumsum(back < a)[rank[here]]
+        place, doc = p["at"][here] + lead[here] - a, p["doc"][here]
+        o = np.lexsort((place, doc, left, right))
+        new = np.ones(len(o), bool)
+        new[1:] = (right[o][1:] != right[o][:-1]) | (left[o][1:] != left[o][:-1])
+        first = o[np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))]
+        later = (doc[o] != doc[first]) | (place[o] != place[first])
+        found.append(np.stack([here[o[later]], place[o[later]]], 1))
+    at = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    at = at[np.lexsort((at[:, 1], at[:, 0]))]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:, 0] != at[:-1, 0]) | (at[1:, 1] != at[:-1, 1] + 1)
+    a = np.flatnonzero(new)
+    b = np.append(a[1:], len(at)) - 1 if len(a) else a
+    q = p[at[a, 0]]
+    v = np.zeros(len(a), recur.VERDICT)
+    v["row"], v["doc"], v["from"], v["to"] = q["row"], q["doc"], at[a, 1], at[b, 1] + window - 1
+    return v, q["home"]
+
+
+def _merge(window: int, anchor: int):
+    """In a range: merges the runs, settles equal passages, and then the windows that different passages around one anchor share."""
 
     def combine(data: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         runs = [opened(x) for x in data]
@@ -159,41 +211,6 @@ def _merge(window: int, anchor: int):
         v["row"], v["doc"], v["from"], v["to"] = q["row"], q["doc"], q["at"], q["at"] + q["windows"] + window - 2
         return which, v, q["home"]
 
-    def windows(values: list[bytes], p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Windows of passages around shared anchors that start earlier somewhere: (verdicts, homes)."""
-        lead = p["lead"].astype(np.int64).tolist()
-        buf = np.frombuffer(b"".join([v[len(v) - a :][::-1] + v[: len(v) - a] for v, a in zip(values, lead, strict=True)]), np.uint8)
-        n, size = p["windows"].astype(np.int64), np.array([len(v) for v in values])
-        which = np.repeat(np.arange(len(p)), n)
-        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        start = (np.cumsum(size) - size)[which] + step
-        h = gram_hashes(BYTE[buf], window)[start]
-        _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
-        use = times[inverse] > 1  # a window whose hash is its own has no equal
-        start, which, step, h = start[use], which[use], step[use], h[use]
-        parts = 1 + len(start) // most
-        for k in range(parts):  # equal windows are in one part
-            here = h % np.uint64(parts) == k
-            if here.any():
-                yield compare(np.lib.stride_tricks.sliding_window_view(buf, window)[start[here]], p[which[here]], step[here])
-
-    def compare(text: np.ndarray, q: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(np.ascontiguousarray(text).view(f"S{window}").ravel(), kind="stable")
-        text, q = text[order], q[order]
-        q["at"] += step[order].astype(np.int32)
-        new = np.ones(len(text), bool)
-        new[1:] = (text[1:] != text[:-1]).any(1)
-        o, later = _later(q, np.cumsum(new))
-        q = q[o[later]]
-        q = q[np.lexsort((q["at"], q["row"], q["doc"], q["home"]))]
-        first = np.ones(len(q), bool)
-        first[1:] = (q["home"][1:] != q["home"][:-1]) | (q["row"][1:] != q["row"][:-1]) | (q["doc"][1:] != q["doc"][:-1]) | (q["at"][1:] > q["at"][:-1] + 1)
-        a = np.flatnonzero(first)
-        b = np.append(a[1:], len(q)) - 1 if len(a) else a
-        v = np.zeros(len(a), recur.VERDICT)
-        v["row"], v["doc"], v["from"], v["to"] = q["row"][a], q["doc"][a], q["at"][a], q["at"][b] + window - 1
-        return v, q["home"][a]
-
     def run(t: pa.Table) -> pa.Table:
         cold, out = recur.passed_on(t)
         single = [x for k, x in zip(t.column("kind").to_pylist(), t.column("data").to_pylist(), strict=True) if k == 2]
@@ -206,20 +223,19 @@ def _merge(window: int, anchor: int):
             said.append(v)
             home.append(h)
             if whole:
+                # The smallest of equal passages stands for them; what neighbours that stay share is the least shared between them.
                 o, _ = _later(p, which)
                 firsts = np.sort(o[np.diff(which[o], prepend=-1) != 0])
-                group = np.cumsum(lcps < anchor)[firsts]
+                shared = np.minimum.reduceat(lcps, np.concatenate([[0], firsts[:-1] + 1])) if len(firsts) else lcps[:0]
+                group = np.cumsum(shared < anchor)
                 _, inverse, times = np.unique(group, return_inverse=True, return_counts=True)
-                several = times[inverse] > 1
-                meet, group = firsts[several], group[several]
-                # The passages of an anchor stay together; as many anchors at a time as make a megabyte.
-                heads = np.flatnonzero(np.diff(group, prepend=-1))
-                batch = np.cumsum([len(values[i]) for i in meet.tolist()])[heads] >> 20 if len(meet) else heads
-                cuts = [*heads[np.flatnonzero(np.diff(batch, prepend=-1))].tolist(), len(meet)]
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    for v, h in windows([values[i] for i in meet[a:b].tolist()], p[meet[a:b]]):
-                        said.append(v)
-                        home.append(h)
+                meet = np.flatnonzero(times[inverse] > 1)
+                if len(meet):
+                    own = firsts[meet]
+                    # Groups that are left out share less than an anchor with their neighbours.
+                    v, h = later_windows([values[i] for i in own.tolist()], np.where(np.diff(group[meet], prepend=-1) != 0, 0, shared[meet]), p[own], window)
+                    said.append(v)
+                    home.append(h)
         if said:
             out += recur.verdicts_home(np.concatenate(home).astype(np.int32), np.concatenate(said))
         return recur.table_of(out)
@@ -279,15 +295,17 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, anchor: int = A
     cut alike. Strings are judged on the input. Other columns are ignored.
 
     Only windows around anchors that recur can have an equal, and these are in the passages that the merge sort brings together.
-    Equal passages are settled as they come out of it; of different passages around one anchor the windows are compared.
+    Equal passages are settled as they come out of it; different passages around one anchor by the lengths that neighbours share.
     """
     units = recur.Units("byte", window, anchor)
     size = recur.text_bytes(docs)
     homes, buckets = recur.sizes(size)
-    often = recur.frequent_anchors(docs, units, size)
+    often = recur.frequent_anchors(docs, units, size, buckets)
     split = splitters_of(docs, units, size, homes)
-    home = recur.homes(docs, homes)
-    repeated = recur.repeated_anchors(home, units, buckets)
-    runs = recur.passages(home, repeated, units, buckets, often, lambda n: n - 1, once=True, encode=_runs(split, buckets))
-    said = runs.groupBy("slot").applyInArrow(_merge(window, anchor), recur.ROUTED)
+    home = recur.homes(docs, homes, window)
+    repeated = recur.repeated_anchors(home, units, buckets, often)
+    said = recur.passages(home, repeated, units, _runs(split, buckets, window)).groupBy("slot").applyInArrow(_merge(window, anchor), recur.ROUTED)
+    if len(often):
+        common = checkpointed(recur.frequent_windows(home, units, often, once=False))
+        said = said.unionByName(recur.frequent_verdicts(common, units, first_stays=True))
     return home.groupBy("slot").cogroup(said.groupBy("slot")).applyInArrow(_cut, CUT)

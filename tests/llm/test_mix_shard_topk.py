@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from folioframe.llm import mixing, sharding, topk
 from tests.llm.brute import words
@@ -142,16 +143,42 @@ def brute_top(rows, k=5):
 
 
 def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 8)
-    monkeypatch.setattr(topk, "CELL_BLOCKS", 3)
-    monkeypatch.setattr(topk, "QUERIES", 2)
+    for name, size in (("BLOCK", 8), ("BOUNDS", 4), ("CELL_BLOCKS", 3), ("QUERIES", 2)):
+        monkeypatch.setattr(topk, name, size)
     rng = np.random.default_rng(8)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(-100, 150, 2)]
-    rows += [(3, None), (50 * 7, [float("nan")] * 6), (5, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (7, [float("inf")] * 6), (None, [1.0] * 6), (9, []), (400, []), (11, [0.5, 0.5]), (1001, rows[0][1]), (1003, rows[0][1]), (1005, rows[0][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    rows += [(3, None), (50 * 7, [float("nan")] * 6), (5, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (7, [float("inf")] * 6), (None, [1.0] * 6), (9, []), (400, []), (11, [0.5, 0.5]), (1001, rows[0][1]), (1003, rows[0][1]), (1005, rows[0][1]), (1005, rows[0][1])]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id long, embedding array<double>, g string, score string").repartition(3)
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_inner(df).collect())
     assert got == brute_top(rows)
-    big = [(0, [3e9, 1.0]), (1, [2e9, 1.0]), (2, [2e9, 2.0])]
-    df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
-    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_inner(df.filter("vec_id < 0")).collect())
-    assert got == []
+
+
+def test_top_k_edges(spark):
+    schema = "vec_id long, embedding array<double>"
+    assert topk.top_inner(spark.createDataFrame([], schema)).count() == 0
+    assert topk.top_inner(spark.createDataFrame([(50, [1.0])], schema)).count() == 0
+    # Repeated ids: candidates each for itself, but not of their own query, which is answered once.
+    rows = [(50, [1.0]), (50, [2.0]), (1, [1.0]), (1, [1.0]), (2, [-1.0])]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_inner(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(50, 1, 1, 512 * 256), (50, 2, 1, 512 * 256), (50, 3, 2, -512 * 256)]
+    large = [(0, [4e6, 1.0]), (1, [2e6, 1.0])]
+    assert [r.score for r in topk.top_inner(spark.createDataFrame(large, schema)).collect()] == [1024000000 * 512000000 + 65536]
+    with pytest.raises(Exception, match="too large for 64-bit scores"):
+        topk.top_inner(spark.createDataFrame([(0, [3e9, 1.0]), (1, [2e9, 1.0])], schema)).collect()
+
+
+def test_only_blocks_that_may_score_are_sent(spark, monkeypatch):
+    """Vectors whose size falls with the id: the first blocks hold all answers, and the others stay where they are."""
+    monkeypatch.setattr(topk, "BLOCK", 10)
+    sent = []
+    real = topk._searched
+
+    def counted(questions, blocks, pairs, k):
+        sent.append(pairs.count())
+        return real(questions, blocks, pairs, k)
+
+    monkeypatch.setattr(topk, "_searched", counted)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in np.abs(rng.normal(size=4)) * (100 if i < 40 else 1)]) for i in range(600)]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_inner(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == brute_top(rows) and sum(sent) <= 10

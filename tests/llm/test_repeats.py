@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioframe.llm import passages, recur, suffixes
 from tests.llm.brute import words
@@ -24,7 +25,8 @@ def brute_passages(rows, window):
 
 
 def brute_bytes(rows, window):
-    docs = sorted({(i, (t or "").encode()) for i, t in rows})
+    rank = lambda i: -(2**63) if i is None else i
+    docs = sorted({(rank(i), (t or "").encode()) for i, t in rows})
     first = {}
     for i, t in docs:
         for a in range(len(t) - window + 1):
@@ -34,7 +36,7 @@ def brute_bytes(rows, window):
     for i, t in [(i, (t or "").encode()) for i, t in rows]:
         gone = np.zeros(len(t), bool)
         for a in range(len(t) - window + 1):
-            if first[t[a : a + window]] < (i, a):
+            if first[t[a : a + window]] < (rank(i), a):
                 gone[a : a + window] = True
         spans = int(np.sum(np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1))
         kept = bytes(np.frombuffer(t, np.uint8)[~gone])
@@ -55,9 +57,9 @@ def few_groups(monkeypatch):
     monkeypatch.setattr(recur, "sizes", lambda n: (5, 7))
 
 
-@pytest.mark.parametrize("at_once", [3, 100_000])
-def test_messy_documents(messy_docs, few_groups, monkeypatch, at_once):
-    monkeypatch.setattr(suffixes, "SORTED_AT_ONCE", at_once)
+@pytest.mark.parametrize("most", [200, 300_000])
+def test_messy_documents(messy_docs, few_groups, monkeypatch, most):
+    monkeypatch.setattr(passages.occurrences, "__defaults__", (most,))
     check_both(messy_docs)
 
 
@@ -79,11 +81,9 @@ def test_common_anchors_go_window_by_window(spark, few_groups, monkeypatch):
     line = say(30)
     rows = [(i, say(20) + " " + line + " " + say(rng.choice([2, 4, 20]))) for i in range(40)] + [(100 + i, "z " * 9 + line + " tail " * 9) for i in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    real = recur.frequent_anchors
-
-    def often(docs, units, size):
-        import pyspark.sql.functions as F
+    assert len(recur.frequent_anchors(df, recur.Units("byte", 100, 32), 10, 5)) == 0
 
+    def often(docs, units, size, buckets):
         h = set()
         for batch in [docs.filter(F.col("doc_id") < 50).toArrow()]:
             for _, _, _, _, _, _, _, gram, (_, _, _, p) in units.read(batch.column("text")):
@@ -91,11 +91,39 @@ def test_common_anchors_go_window_by_window(spark, few_groups, monkeypatch):
                 h |= set(u[n > 5].tolist())
         return np.sort(np.array(list(h), np.uint64))
 
-    assert len(real(df, recur.Units("byte", 100, 32), 10)) == 0
+    check_both(df)
+    # Crowded anchors are found while their hashes are counted, frequent ones on a sample.
+    with monkeypatch.context() as m:
+        m.setattr(recur, "CROWD", 3)
+        check_both(df)
     monkeypatch.setattr(recur, "frequent_anchors", often)
     check_both(df)
 
 
+def test_a_passage_in_every_document(spark, few_groups):
+    """One passage everywhere, long texts, many equal short rows; the sample finds the passage's anchors by itself."""
+    rng = random.Random(9)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    line = say(60)
+    rows = [(i, f"{say(3)} {line} {say(3)}") for i in range(120)] + [(200, say(1500) + " " + line), (None, None), (None, None), (None, ""), (None, ""), (7, "x"), (7, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert len(recur.frequent_anchors(df, recur.Units("byte", 100, 32), 10, 5)) > 0
+    check_both(df)
+
+
+def test_very_long_text(spark, few_groups):
+    """A text of 2 MB that holds a passage of another one twice."""
+    rng = np.random.default_rng(1)
+    word = np.array(["".join(x) for x in rng.choice(list("abcdefgh"), (5000, 6))])
+    say = lambda n: " ".join(word[rng.integers(0, 5000, n)])
+    line = say(80)
+    df = spark.createDataFrame([(1, say(20) + " " + line), (2, say(150_000) + " " + line + " " + say(150_000) + " " + line)], "doc_id long, text string")
+    got = {r.doc_id: r for r in passages.remove_repeated_passages(df).collect()}
+    assert (got[1].n_words, got[1].n_removed, got[2].n_words, got[2].n_removed) == (100, 80, 300_160, 160)
+    got = {r.doc_id: r for r in suffixes.remove_repeated_bytes(df).collect()}
+    assert got[1].n_removed == 0 and 2 * len(line) <= got[2].n_removed <= 2 * len(line) + 40 and got[2].n_spans == 2
+
+
 def test_empty_table(no_docs):
     assert passages.remove_repeated_passages(no_docs).count() == 0
     assert suffixes.remove_repeated_bytes(no_docs).count() == 0
@@ -113,3 +141,12 @@ def test_loser_tree_merges_like_sorted(runs):
             assert lcp == suffixes.shared_prefix(out[-1], s)
         out.append(s)
     assert out == sorted(out) and not any(lists)
+
+
+def test_occurrences_are_those_of_a_plain_search():
+    rng = np.random.default_rng(6)
+    line = np.concatenate([rng.integers(0, 3, 400), [-1], rng.integers(0, 70_000, 400), [-1], rng.integers(0, 3, 50)])
+    phrases = [line[a : a + n].copy() for a, n in ((3, 5), (100, 8), (101, 6), (450, 30), (805, 4)) if (line[a : a + n] >= 0).all()]
+    want = sorted({(i, i + len(p) - 1) for p in phrases for i in range(len(line) - len(p) + 1) if (line[i : i + len(p)] == p).all()})
+    for most in (1, 12, 1000):
+        assert sorted(set(passages.occurrences(line, phrases, most))) == want
