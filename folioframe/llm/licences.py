@@ -54,12 +54,13 @@ TEMPLATES = {
     "proprietary": ["All rights reserved.", "No part of this publication may be reproduced, distributed, or transmitted in any form without the prior written permission of the publisher.", "Confidential and proprietary. Unauthorized copying of this file is strictly prohibited."],
 }
 NONE, UNKNOWN = "none", "unknown"
-#: Words of a window and between windows; statements are learned among corpus words and in pieces, as windows show them.
-WINDOW, STEP = 24, 8
+#: Words of windows, short ones for short statements, and between windows; statements are learned as windows show them.
+WINDOW, SHORT = 24, 8
+STEPS = {WINDOW: 8, SHORT: 3}
 #: Hashed n-grams (1 to 3 words), corpus windows learned from at most (about, by hash), variants of each statement, passes over the rows.
-DIM, GRAMS, NEGATIVES, VARIANTS, EPOCHS = 1 << 14, 3, 4000, 24, 25
-#: Share of a template's word pairs that confirm a family.
-CONFIRM = 0.8
+DIM, GRAMS, NEGATIVES, VARIANTS, EPOCHS = 1 << 17, 3, 4000, 30, 12
+#: Share of a template's word pairs that confirm a family, and that an unknown licence must share with some template to be reported.
+CONFIRM, HINT = 0.8, 0.15
 #: Models with a part of the families held out; they show how an unknown licence scores.
 FOLDS = 3
 
@@ -172,17 +173,18 @@ def _scores(model: Model, texts: list[str]) -> np.ndarray:
     return model.probabilities(grams, first[:-1], first[1:])
 
 
-def _variants(statement: str, vocab: list[str], rng: np.random.Generator, n: int) -> list[str]:
-    """A statement as windows show it: whole, in pieces if it is longer, with words lost, among words of the corpus."""
+def _variants(statement: str, corpus: list[list[str]], rng: np.random.Generator, n: int) -> list[str]:
+    """A statement as windows show it: whole, in pieces if it is longer, with words lost, in the place of words of a corpus window."""
     w, out = statement.split(), []
     for i in range(n):
+        size = SHORT if i % 3 == 1 and len(w) <= SHORT else WINDOW
         have = [x for x in w if i == 0 or rng.random() > 0.04]
-        if len(have) >= WINDOW:
-            a = int(rng.integers(-WINDOW // 2, len(have) - WINDOW // 2))
-            have = have[max(a, 0) : a + WINDOW]
-        left = int(rng.integers(0, WINDOW - len(have) + 1))
-        pad = lambda k: rng.choice(vocab, k).tolist()
-        out.append(" ".join(have if i == 0 else [*pad(left), *have, *pad(WINDOW - len(have) - left)]))
+        if len(have) >= size:
+            a = int(rng.integers(-size // 2, len(have) - size // 2)) if len(have) > size else 0
+            have = have[max(a, 0) : a + size]
+        around = corpus[int(rng.integers(len(corpus)))] if i and corpus else []
+        left = int(rng.integers(0, size - len(have) + 1))
+        out.append(" ".join([*around[:left], *have, *around[left + len(have) : size]]))
     return out
 
 
@@ -220,14 +222,15 @@ def train(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, negative
         rng = np.random.default_rng(9)
         corpus = sorted(p for p in t.column("p").to_pylist() if p)
         corpus = [p for p in corpus if max(likeness(b, p.split()) for _, b in bare) < 0.2]  # no parts of a statement either
-        vocab = sorted({w for p in corpus for w in p.split()}) or ["text"]
+        around = [p.split() for p in corpus]
         held = {f for i, f in enumerate(families) if i % FOLDS == fold}
         classes = [NONE, *(f for f in families if f not in held)]
-        texts, labels = list(corpus), [0] * len(corpus)
+        texts = [*corpus, *(" ".join(w[len(w) // 2 :][:SHORT]) for w in around)]
+        labels = [0] * len(texts)
         unknown = []
         for f in families:
             for statement in templates[f]:
-                v = _variants(statement, vocab, rng, VARIANTS)
+                v = _variants(statement, around, rng, VARIANTS)
                 if f in held:
                     unknown += v
                 else:
@@ -235,7 +238,10 @@ def train(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, negative
                     labels += [classes.index(f)] * len(v)
         licence = [w for s in templates.values() for x in s for w in tokens(x)]
         for _ in range(300):  # single licence words among others say nothing
-            texts.append(" ".join(map(str, rng.permutation([*rng.choice(vocab, WINDOW - 2), *rng.choice(licence, 2)]))))
+            own = list(around[int(rng.integers(len(around)))]) if around else []
+            for w in rng.choice(licence, 2).tolist():
+                own.insert(int(rng.integers(len(own) + 1)), w)
+            texts.append(" ".join(own))
             labels.append(0)
         labels = np.array(labels)
         cal = rng.random(len(texts)) < 0.2
@@ -257,7 +263,7 @@ def train(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, negative
 
     spark = docs.sparkSession
     some = corpus_windows(docs, negatives).unionByName(spark.createDataFrame([("",)], "p string"))
-    each = some.withColumn("fold", F.explode(F.array(*map(F.lit, range(-1, FOLDS)))))
+    each = some.withColumn("fold", F.explode(F.array(*map(F.lit, range(-1, FOLDS))))).repartition(4 * (FOLDS + 1), "fold")  # a task each
     got = {r.fold: r for r in each.groupBy("fold").applyInArrow(learn, "fold int, w binary, bias array<double>, temperature double, clean array<double>, known array<double>, unknown array<double>").collect()}
     r = got[-1]
     least = max([0.5, *r.clean]) if r.clean else 0.5
@@ -279,13 +285,17 @@ def paragraphs(buf: np.ndarray, off: np.ndarray, s: np.ndarray, doc: np.ndarray)
 
 
 def windows_of(head: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(paragraph, first word, word after the last) of the windows of paragraphs: every STEP words, the last one at the end."""
-    n = past - head
-    k = np.where(n <= WINDOW, 1, -(-(n - WINDOW) // STEP) + 1)
-    of = np.repeat(np.arange(len(head)), k)
-    at = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-    a = np.maximum(head[of], np.minimum(head[of] + at * STEP, past[of] - WINDOW))
-    return of, a, np.minimum(a + WINDOW, past[of])
+    """(paragraph, first word, word after the last) of the windows of paragraphs of both sizes, in order; the last ones are at the end."""
+    n, out = past - head, []
+    for size, step in STEPS.items():
+        k = np.where(n <= size, 1, -(-(n - size) // step) + 1)
+        of = np.repeat(np.arange(len(head)), k)
+        at = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+        a = np.maximum(head[of], np.minimum(head[of] + at * step, past[of] - size))
+        out.append((of, a, np.minimum(a + size, past[of])))
+    of, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+    o = np.lexsort((b, a))
+    return of[o], a[o], b[o]
 
 
 def named(said: np.ndarray, own: list[str], bare: list[tuple[str, str, list[str]]], classes: list[str], known: float) -> tuple[str, str | None, float]:
@@ -312,9 +322,9 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, model: Mo
     """(doc_id, n_paragraphs, found), one row per row of ``docs``: the passages of paragraphs that read like a licence.
 
     A paragraph is a run of lines with words (0-9, a-z after lower-casing A-Z, non-ASCII; comment marks are no words); it is counted from 0.
-    The classifier reads it in overlapping windows of WINDOW words. Windows that meet and are likelier a licence than ``least`` make a passage. Its
+    The classifier reads it in overlapping windows of WINDOW and of SHORT words. Windows that meet and are likelier a licence than ``least`` make a passage. Its
     windows name families; each stands if a template of it is held by these windows and as many words around them as a template has, see
-    ``named``. If no family stands, the passage is ``unknown``. Ties go to the family listed first. Null and empty texts have no paragraph. Repeated rows get equal answers, other
+    ``named``. If no family stands, the passage is ``unknown``, and reported if it shares HINT of some template. Ties go to the family listed first. Null and empty texts have no paragraph. Repeated rows get equal answers, other
     columns are ignored. A model may be given, so that it is trained once for many tables.
     """
     model = model or train(docs, templates)
@@ -341,7 +351,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, model: Mo
                 if not len(like):
                     continue
                 new = np.ones(len(like), bool)
-                new[1:] = (of[like[1:]] != of[like[:-1]]) | (a[like[1:]] > b[like[:-1]])
+                new[1:] = (of[like[1:]] != of[like[:-1]]) | (a[like[1:]] > np.maximum.accumulate(b[like])[:-1])
                 data = buf.tobytes()
                 for passage in np.split(like, np.flatnonzero(new)[1:]):
                     i = int(of[passage[0]])
@@ -350,14 +360,14 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, model: Mo
                     rows = {}
                     for c in sorted(set(best.tolist())):
                         part = passage[best == c]
-                        x, y = max(int(head[i]), int(a[part[0]]) - reach), min(int(past[i]), int(b[part[-1]]) + reach)
+                        x, y = max(int(head[i]), int(a[part[0]]) - reach), min(int(past[i]), int(b[part].max()) + reach)
                         own = [data[u:v].decode(errors="replace") for u, v in zip(s[x:y].tolist(), e[x:y].tolist(), strict=True)]
                         family, t, alike = named(p[part, 1:].max(0), own, bare, model.classes, model.known)
-                        text = raw[int(s[a[part[0]]]) : int(e[b[part[-1]] - 1])].tobytes().decode(errors="replace")
+                        text = raw[int(s[a[part[0]]]) : int(e[b[part].max() - 1])].tobytes().decode(errors="replace")
                         row = {"paragraph": i - int(start[d]), "family": family, "probability": float(1 - p[part, 0].min()), "template": t, "likeness": float(alike), "text": text}
                         if family not in rows or alike > rows[family]["likeness"]:
                             rows[family] = row
-                    if len(rows) > 1:
+                    if len(rows) > 1 or UNKNOWN in rows and rows[UNKNOWN]["likeness"] < HINT:
                         rows.pop(UNKNOWN, None)
                     found[lo + d] += rows.values()
             yield pa.record_batch([batch.column(0), pa.array(count), pa.array(found, _FOUND)], names=["doc_id", "n_paragraphs", "found"])

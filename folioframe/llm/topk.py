@@ -222,7 +222,7 @@ def _with_bounds(questions: DataFrame, ends: DataFrame, visit, schema: str) -> D
     n = ends.agg(F.collect_list("j")).first()[0]  # one number for BOUNDS * BLOCK vectors
     lanes = max(1, questions.count() // 8)
     q = questions.withColumns({"j": F.explode(F.array(*map(F.lit, n)).cast("array<long>")), "lane": F.pmod(F.xxhash64("g"), F.lit(lanes))})
-    e = ends.select("j", "bs", F.col("dim").alias("edim"), "ends", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).cast("long").alias("lane"))
+    e = ends.select("j", "bs", F.col("dim").alias("edim"), "ends", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"))
 
     def run(batches):
         for batch in batches:
@@ -239,8 +239,8 @@ def _searched(questions: DataFrame, blocks: DataFrame, pairs: DataFrame, k: int)
     """(query_id, vec_id, score): the k best of each query among the blocks that ``pairs`` (g, b) gives its query block, in cells of a bounded size."""
     cell = F.floor(F.row_number().over(W.partitionBy("g").orderBy("b")) / CELL_BLOCKS).cast("long")
     cells = checkpointed(pairs.withColumn("cell", cell))
-    asked = questions.join(cells.select("g", "cell").distinct(), "g")
-    given = blocks.select("b", "dim", "width", "ids", "data").join(cells, "b")
+    asked = questions.join(cells.select("g", F.col("cell").alias("qc")).distinct(), "g")
+    given = blocks.select("b", "dim", "width", "ids", "data").join(cells, "b").withColumnsRenamed({"g": "bg", "cell": "bc"})
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
@@ -248,7 +248,7 @@ def _searched(questions: DataFrame, blocks: DataFrame, pairs: DataFrame, k: int)
         q, who, score = search_cell(_open(a), _floors(a.to_pylist()[0]), _open(b), k)
         return pa.table({"query_id": q, "vec_id": who, "score": score})
 
-    return asked.groupBy("g", "cell").cogroup(given.groupBy("g", "cell")).applyInArrow(search, "query_id long, vec_id long, score long")
+    return asked.groupBy("g", "qc").cogroup(given.groupBy("bg", "bc")).applyInArrow(search, "query_id long, vec_id long, score long")
 
 
 ORACLE = """

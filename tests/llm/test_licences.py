@@ -48,7 +48,7 @@ def model(spark, sf_dir):
 
 
 def test_wrapped_notices(spark, model, sf_dir):
-    filler = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("length(text) between 500 and 900").first().text.replace("\n", " ")
+    filler = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("length(text) between 500 and 900 and text not like '%icense%' and text not like '%eserved%'").first().text.replace("\n", " ")
     rows = [(1, MIT), (2, GPL), (3, "int main() {}\n\n" + APACHE + "\n\nreturn 0;"), (4, filler + "\n" + MIT + "\n" + filler), (5, ISC), (6, filler), (7, MIT + "\n\n" + GPL), (8, MIT)]
     got = {r.doc_id: sorted({f.family for f in r.found}) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), model=model).collect()}
     assert got == {1: ["mit"], 2: ["gpl"], 3: ["apache"], 4: ["mit"], 5: ["unknown"], 6: [], 7: ["gpl", "mit"], 8: ["mit"]}
@@ -60,7 +60,7 @@ def test_scores_are_those_of_a_plain_sum(spark, model):
     grams, first = licences._coded([text])
     of, a, b = licences.windows_of(np.array([0]), first[1:])
     got = model.probabilities(grams, a, b)
-    assert len(a) > 5 and a[0] == 0 and b[-1] == first[-1] and (b - a <= licences.WINDOW).all()
+    assert len(a) > 5 and a[0] == 0 and b.max() == first[-1] and (b - a <= licences.WINDOW).all()
     for row, x, y in zip(got, a.tolist(), b.tolist()):
         score, n = np.zeros(len(model.classes)), 0
         for k in range(1, licences.GRAMS + 1):
