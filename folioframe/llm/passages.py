@@ -19,17 +19,38 @@ WINDOW, ANCHOR = 35, 12
 AUTOMATON_WORDS = 300_000
 
 
+#: Added to where a span starts: its passage follows the one before wherever the home holds either.
+CHAINED = 1 << 62
+
+
+def chained(number: np.ndarray, place: np.ndarray, single: np.ndarray, n: int) -> np.ndarray:
+    """For each of n passage texts: does each of its occurrences directly follow one text's, and each of these lead on to it?"""
+    order = np.lexsort((place["at"], place["doc"], place["row"]))
+    p, t, one = place[order], number[order], single[order]
+    on = (p["row"][1:] == p["row"][:-1]) & (p["doc"][1:] == p["doc"][:-1]) & (p["at"][1:] == p["at"][:-1] + p["windows"][:-1]) & ~one[1:] & ~one[:-1]
+    after, before = np.full(len(t), -1), np.full(len(t), -1)
+    after[:-1][on], before[1:][on] = t[1:][on], t[:-1][on]
+
+    def same(other: np.ndarray) -> np.ndarray:
+        low, high = np.full(n, n), np.full(n, -1)
+        np.minimum.at(low, t, other)
+        np.maximum.at(high, t, other)
+        return np.where(low == high, low, -1)
+
+    back, on_to = same(before), same(after)
+    return (back >= 0) & (on_to[np.maximum(back, 0)] == np.arange(n))
+
+
 def _deal(window: int, buckets: int):
     """Sends each passage of a home once, to the bucket of its key; one that the home holds several times is confirmed right away."""
 
     def deal(home: int, texts: list[bytes], place: np.ndarray, lead: np.ndarray, single: np.ndarray) -> list[tuple[int, int, bytes]]:
         first: dict[bytes, int] = {}
-        copies = np.zeros(len(texts), np.int32)
-        for i, t in enumerate(texts):
-            copies[first.setdefault(t, i)] += 1
-        own = np.fromiter(first.values(), np.int64, len(first))
+        number = np.fromiter((first.setdefault(t, len(first)) for t in texts), np.int64, len(texts))
+        _, own, copies = np.unique(number, return_index=True, return_counts=True)
         head = place[own]
-        head["copies"], head["home"], head["size"] = copies[own], home, [len(t) for t in first]
+        head["copies"], head["home"], head["size"] = copies, home, [len(t) for t in first]
+        head["mark"] = chained(number, place, single, len(first))
         out = list(recur.routed(recur._spread(head["key"], buckets), 0, head, list(first)))
         twice = head[head["copies"] > 1]
         if len(twice):
@@ -42,10 +63,26 @@ def _deal(window: int, buckets: int):
 def _spans(head: np.ndarray, low: np.ndarray, high: np.ndarray, window: int) -> np.ndarray:
     """The words of windows low to high of passages."""
     v = np.zeros(len(head), recur.VERDICT)
-    v["row"], v["doc"], v["from"], v["to"] = head["row"], head["doc"], head["at"] + low, head["at"] + high + window - 1
+    v["row"], v["doc"], v["from"], v["to"] = head["row"], head["doc"], head["at"] + low + CHAINED * ((head["mark"] > 0) & (low == 0)), head["at"] + high + window - 1
     return v
 
 
+def joined(v: np.ndarray, window: int) -> np.ndarray:
+    """Spans whose passages are chained are one phrase; so a home's automata hold little more than its recurring words."""
+    mark, v = v["from"] >= CHAINED, v.copy()
+    v["from"][mark] -= CHAINED
+    order = np.lexsort((~mark, v["from"], v["doc"], v["row"]))
+    v, mark = v[order], mark[order]
+    if not len(v):
+        return v
+    new = np.ones(len(v), bool)
+    new[1:] = ~mark[1:] | (v["row"][1:] != v["row"][:-1]) | (v["doc"][1:] != v["doc"][:-1]) | (v["from"][1:] != v["to"][:-1] - window + 2)
+    head = np.flatnonzero(new)
+    out = v[head]
+    out["to"] = v["to"][np.append(head[1:], len(v)) - 1]
+    return np.unique(out)
+
+
 def confirmed_runs(parts: list[tuple[np.ndarray, list[bytes]]], window: int) -> dict[bytes, list[tuple[int, int]]]:
     """For each passage the runs (first, last) of its windows that recur, word by word: all of a passage that is seen twice, else those that
     another passage of the same key holds as well."""
@@ -125,11 +162,12 @@ CLEANED = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 s
 _CLEANED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())])
 
 
-def _cleaned(with_text: bool):
+def _cleaned(window: int, with_text: bool):
     """A home's documents without its confirmed phrases: these are read where the spans say, compiled, and all documents are streamed through."""
 
     def run(docs: pa.Table, said: pa.Table) -> pa.Table:
         v = np.unique(np.frombuffer(b"".join(said.column("data").to_pylist()), recur.VERDICT)) if said.num_rows else np.zeros(0, recur.VERDICT)
+        v = joined(v, window)
         doc, row = docs.column("doc").to_numpy(), docs.column("row").to_numpy()
         texts, count, numbers, number = [], [], [], {}
         for lo, hi, buf, off in chunks(docs.column("text")):
@@ -191,4 +229,4 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int
     if len(often):
         common = checkpointed(recur.frequent_windows(home, units, often, once=True))
         said = said.unionByName(recur.frequent_verdicts(common, units, first_stays=False))
-    return home.groupBy("slot").cogroup(said.groupBy("slot")).applyInArrow(_cleaned(with_text), CLEANED)
+    return home.groupBy("slot").cogroup(said.groupBy("slot")).applyInArrow(_cleaned(window, with_text), CLEANED)

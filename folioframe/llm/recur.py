@@ -8,10 +8,11 @@ position in half a window is an anchor. Three exchanges narrow the work down, no
    from a home to the bucket of its anchor.
 3. There all passages with an anchor meet, and the caller decides which windows recur; spans of the first copy go back home.
 
-No anchor may crowd a bucket, at any size. Anchors that make up a share of 1/MOST of a sample (MOST grows with the buckets, to a
-million, and the sample with MOST) are left out of the first exchange; their windows are counted by a plain aggregation of equal
-windows, which Spark combines before it shuffles. Anchors with more than CROWD passages, counted exactly in the first exchange,
-send their windows one by one, by the window's own hash. Both only decide where windows are compared.
+No anchor may crowd a bucket, at any size. Anchors that occur more than CROWD times, counted exactly in the first exchange,
+send their windows one by one, by the window's own hash; equal windows come from a home once, so a bucket gets one from each home
+at most. Beyond CROWD homes that may be too many: then anchors that make up a share of 1/MOST of a sample (MOST grows with the buckets,
+to a million, and the sample with MOST) are left out of the exchanges, and their windows are counted by an aggregation of equal
+windows, which Spark combines before it shuffles. Both only decide where windows are compared.
 Numbers of homes and buckets follow the bytes of text, so a group stays at a few megabytes.
 """
 
@@ -27,12 +28,13 @@ from folioframe.llm.arrowtext import BYTE, anchors, chunks, gram_hashes, mix, wo
 from folioframe.llm.common import doc_key, row_key, spread_join
 
 ROUTED = "slot int, kind int, data binary"
-HASH_HOME = np.dtype([("h", "<u8"), ("home", "<i4")])
-#: A passage: routing key, home, document, row, first window, windows, copies seen at home, bytes.
-PASSAGE = np.dtype([("key", "<u8"), ("home", "<i4"), ("doc", "<i8"), ("row", "<i8"), ("at", "<i8"), ("windows", "<i4"), ("copies", "<i4"), ("size", "<i4")])
+#: An anchor's hash, a home that holds it, and how often.
+HASH_HOME = np.dtype([("h", "<u8"), ("home", "<i4"), ("n", "<i4")])
+#: A passage: routing key, home, document, row, first window, windows, copies seen at home, bytes, a mark for the caller.
+PASSAGE = np.dtype([("key", "<u8"), ("home", "<i4"), ("doc", "<i8"), ("row", "<i8"), ("at", "<i8"), ("windows", "<i4"), ("copies", "<i4"), ("size", "<i4"), ("mark", "u1")])
 #: Units of a row that are covered by recurring windows.
 VERDICT = np.dtype([("row", "<i8"), ("doc", "<i8"), ("from", "<i8"), ("to", "<i8")])
-#: Entries of an anchor in its bucket beyond which its windows are sent one by one.
+#: Occurrences of an anchor beyond which its windows are sent one by one, and homes beyond which even equal windows are combined before.
 CROWD = 4096
 #: Least and most anchors that are looked for in the sample, and sampled bytes for each.
 MOST, SAMPLE = (10_000, 1_000_000), 5000
@@ -111,7 +113,9 @@ def homes(docs: DataFrame, n: int, short: int) -> DataFrame:
 
 
 def frequent_anchors(docs: DataFrame, units: Units, size: int, buckets: int) -> np.ndarray:
-    """Hashes of at least 1/most of all anchors of a hash sample of documents; ``most`` follows the number of buckets."""
+    """Hashes of at least 1/most of all anchors of a hash sample of documents; ``most`` follows the number of buckets. None up to CROWD buckets."""
+    if buckets <= CROWD:
+        return np.zeros(0, np.uint64)
     most = min(max(MOST[0], buckets), MOST[1])
     share = max(1, size // (most * SAMPLE))
     some = docs.filter(F.pmod(row_key(), F.lit(share)) == 0).select("text")
@@ -136,7 +140,7 @@ def among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
 
 def repeated_anchors(home: DataFrame, units: Units, buckets: int, often: np.ndarray, crowd: int | None = None) -> DataFrame:
     """(slot home, kind, data): for each home the hashes of anchors that occur at least twice in the corpus, those of more than ``crowd``
-    entries as kind 1; the anchors of ``often`` aren't looked at."""
+    occurrences as kind 1; the anchors of ``often`` aren't looked at."""
     crowd = CROWD if crowd is None else crowd
 
     def scan(batches):
@@ -150,7 +154,7 @@ def repeated_anchors(home: DataFrame, units: Units, buckets: int, often: np.ndar
             at = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, _, _, _, _, _, _, gram, (d, _, _, p) in units.read(batch.column(1)):
                 r = np.zeros(len(p), HASH_HOME)
-                r["h"], r["home"] = gram[p], at[lo + d]
+                r["h"], r["home"], r["n"] = gram[p], at[lo + d], 1
                 held.append(thin(r[~among(r["h"], often)]))
                 n += len(held[-1])
             if n > 2_000_000:
@@ -160,19 +164,24 @@ def repeated_anchors(home: DataFrame, units: Units, buckets: int, often: np.ndar
             yield flush()
 
     def thin(r: np.ndarray) -> np.ndarray:
-        """Two of each (hash, home) tell as much as more do."""
-        r = r[np.argsort(r, order=("h", "home"), kind="stable")]
-        same = np.zeros(len(r), bool)
-        same[2:] = (r[2:] == r[1:-1]) & (r[2:] == r[:-2])
-        return r[~same]
+        """One entry for each (hash, home)."""
+        r = r[np.lexsort((r["home"], r["h"]))]
+        head = np.flatnonzero((np.diff(r["h"], prepend=~r["h"][:1]) != 0) | (np.diff(r["home"], prepend=-1) != 0))
+        out = r[head]
+        out["n"] = np.add.reduceat(r["n"], head) if len(head) else 0
+        return out
 
     def match(t: pa.Table) -> pa.Table:
         r = np.frombuffer(b"".join(t.column("data").to_pylist()), HASH_HOME)
-        u, where, n = np.unique(r["h"], return_inverse=True, return_counts=True)
+        r = r[np.lexsort((r["home"], r["h"]))]
+        head = np.flatnonzero(np.diff(r["h"], prepend=~r["h"][:1]) != 0)
+        n = np.add.reduceat(r["n"].astype(np.int64), head) if len(head) else np.zeros(0, np.int64)
+        n = np.repeat(n, np.diff(np.append(head, len(r))))
+        new = np.ones(len(r), bool)
+        new[1:] = (r["h"][1:] != r["h"][:-1]) | (r["home"][1:] != r["home"][:-1])
         out = []
-        for kind, use in ((0, (n > 1) & (n <= crowd)), (1, n > crowd)):
-            some = np.unique(r[use[where]])
-            out += routed(some["home"].copy(), kind, some["h"].copy())
+        for kind, use in ((0, new & (n > 1) & (n <= crowd)), (1, new & (n > crowd))):
+            out += routed(r["home"][use].copy(), kind, r["h"][use].copy())
         return table_of(out)
 
     return home.select("slot", "text").mapInArrow(scan, ROUTED).groupBy("slot").applyInArrow(match, ROUTED)
@@ -282,5 +291,5 @@ def passed_on(t: pa.Table) -> tuple[list[bytes], list[tuple[int, int, bytes]]]:
 
 
 def sizes(total_bytes: int) -> tuple[int, int]:
-    """Homes and buckets: about four megabytes of text each, at least 512."""
-    return (max(512, total_bytes >> 22),) * 2
+    """Homes and buckets: about four megabytes of text each, at least 96."""
+    return (max(96, total_bytes >> 22),) * 2

@@ -81,8 +81,6 @@ def test_common_anchors_go_window_by_window(spark, few_groups, monkeypatch):
     line = say(30)
     rows = [(i, say(20) + " " + line + " " + say(rng.choice([2, 4, 20]))) for i in range(40)] + [(100 + i, "z " * 9 + line + " tail " * 9) for i in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert len(recur.frequent_anchors(df, recur.Units("byte", 100, 32), 10, 5)) == 0
-
     def often(docs, units, size, buckets):
         h = set()
         for batch in [docs.filter(F.col("doc_id") < 50).toArrow()]:
@@ -100,14 +98,16 @@ def test_common_anchors_go_window_by_window(spark, few_groups, monkeypatch):
     check_both(df)
 
 
-def test_a_passage_in_every_document(spark, few_groups):
-    """One passage everywhere, long texts, many equal short rows; the sample finds the passage's anchors by itself."""
+@pytest.mark.parametrize("crowd", [4, 4096])
+def test_a_passage_in_every_document(spark, few_groups, monkeypatch, crowd):
+    """One passage everywhere, long texts, many equal short rows; beyond so many homes the sample finds the passage's anchors by itself."""
+    monkeypatch.setattr(recur, "CROWD", crowd)
     rng = random.Random(9)
     say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
     line = say(60)
     rows = [(i, f"{say(3)} {line} {say(3)}") for i in range(120)] + [(200, say(1500) + " " + line), (None, None), (None, None), (None, ""), (None, ""), (7, "x"), (7, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert len(recur.frequent_anchors(df, recur.Units("byte", 100, 32), 10, 5)) > 0
+    assert (len(recur.frequent_anchors(df, recur.Units("byte", 100, 32), 10, 5)) > 0) == (crowd == 4)
     check_both(df)
 
 
@@ -150,3 +150,22 @@ def test_occurrences_are_those_of_a_plain_search():
     want = sorted({(i, i + len(p) - 1) for p in phrases for i in range(len(line) - len(p) + 1) if (line[i : i + len(p)] == p).all()})
     for most in (1, 12, 1000):
         assert sorted(set(passages.occurrences(line, phrases, most))) == want
+
+
+def test_joined_spans():
+    window = 5
+    rows = [(1, 1, 0, 8), (1, 1, 5 + passages.CHAINED, 12), (1, 1, 9 + passages.CHAINED, 14), (1, 1, 30, 40), (1, 1, 38 + passages.CHAINED, 50), (2, 1, 15, 20)]
+    got = passages.joined(np.array(rows, recur.VERDICT), window)
+    assert got.tolist() == [(1, 1, 0, 14), (1, 1, 30, 40), (1, 1, 38, 50), (2, 1, 15, 20)]
+
+
+def test_chains_need_equal_neighbours_everywhere():
+    # Texts 0 1 2 in row 1 and row 2; text 3 follows 2 in row 2 only; text 1 alone in row 3 breaks its chain.
+    at = [(1, 0, 0), (1, 3, 1), (1, 6, 2), (2, 0, 0), (2, 3, 1), (2, 6, 2), (2, 9, 3)]
+    place = np.zeros(len(at), recur.PASSAGE)
+    place["row"], place["at"], place["windows"] = [r for r, _, _ in at], [a for _, a, _ in at], 3
+    number, single = np.array([t for _, _, t in at]), np.zeros(len(at), bool)
+    assert passages.chained(number, place, single, 4).tolist() == [False, True, True, False]
+    alone = np.zeros(1, recur.PASSAGE)
+    alone["row"], alone["windows"] = 3, 3
+    assert passages.chained(np.append(number, 1), np.concatenate([place, alone]), np.zeros(8, bool), 4).tolist() == [False] * 4
