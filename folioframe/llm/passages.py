@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from folioframe.llm import recur
-from folioframe.llm.arrowtext import chunks, words
+from folioframe.llm.arrowtext import chunks, word_hashes, words
 from folioframe.llm.common import NULL_ID, checkpointed
 
 WINDOW, ANCHOR = 35, 12
@@ -132,8 +132,8 @@ def _confirm(window: int):
     return run
 
 
-def occurrences(words_: np.ndarray, phrases: list[np.ndarray], most: int = AUTOMATON_WORDS) -> Iterator[tuple[int, int]]:
-    """Streams a text of word numbers (-1 between documents) through the automata of phrases: (first word, last word) of every occurrence.
+def occurrences(words_: np.ndarray, phrases: list[np.ndarray], most: int = AUTOMATON_WORDS) -> Iterator[np.ndarray]:
+    """Streams a text of word numbers (-1 between documents) through the automata of phrases: rows (first word, last word) of every occurrence.
 
     A word of a phrase is written as one code point, so that a phrase is a short string and its automaton has a node a word.
     """
@@ -146,18 +146,34 @@ def occurrences(words_: np.ndarray, phrases: list[np.ndarray], most: int = AUTOM
         letters = np.unique(np.concatenate(phrases[at:till]))
         code = np.arange(1, len(letters) + 1, dtype=np.uint32)
         code += (code >= 0xD800) * np.uint32(0x800)  # no surrogates
-        sign = lambda w: code[np.searchsorted(letters, w)].astype("<u4").tobytes().decode("utf-32-le")  # noqa: B023, E731
+        sheet = np.zeros(max(int(words_.max(initial=0)), int(letters[-1])) + 2, "<u4")  # other words, and the place between documents, are 0
+        sheet[letters] = code
+        sign = lambda w: sheet[w].tobytes().decode("utf-32-le")  # noqa: B023, E731
         machine = ahocorasick.Automaton()
         for p in phrases[at:till]:
             machine.add_word(sign(p), len(p))
         machine.make_automaton()
-        spot = np.minimum(np.searchsorted(letters, words_), len(letters) - 1)
-        line = np.where(letters[spot] == words_, code[spot], 0).astype("<u4").tobytes().decode("utf-32-le")
-        for end, n in machine.iter(line):
-            yield end - n + 1, end
+        hits = np.array(list(machine.iter(sign(words_))), np.int64).reshape(-1, 2)
+        yield np.stack([hits[:, 0] - hits[:, 1] + 1, hits[:, 0]], 1)
         at = till
 
 
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number for each word, equal for equal words only: by their hashes, if all words of a hash have the same bytes, else one by one."""
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    like = first[number]
+    size = ends - starts
+    same = bool((size == size[like]).all())
+    for a in range(0, len(starts), 100_000):
+        n = size[a : a + 100_000]
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        same = same and bool((data[np.repeat(starts[a : a + 100_000], n) + inner] == data[np.repeat(starts[like[a : a + 100_000]], n) + inner]).all())
+    if same:
+        return number.astype(np.int64)
+    text, own = data.tobytes(), {}
+    return np.fromiter((own.setdefault(text[a:b], len(own)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(starts))
+
+
 CLEANED = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
 _CLEANED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())])
 
@@ -169,20 +185,22 @@ def _cleaned(window: int, with_text: bool):
         v = np.unique(np.frombuffer(b"".join(said.column("data").to_pylist()), recur.VERDICT)) if said.num_rows else np.zeros(0, recur.VERDICT)
         v = joined(v, window)
         doc, row = docs.column("doc").to_numpy(), docs.column("row").to_numpy()
-        texts, count, numbers, number = [], [], [], {}
+        texts, count, hashes = [], [], []
         for lo, hi, buf, off in chunks(docs.column("text")):
             starts, ends, first = words(buf, off)
-            data = buf.tobytes()
-            texts.append((lo, hi, data, starts, ends, first))
+            texts.append((lo, hi, buf, starts, ends, first))
             count.append(np.diff(first))
             if len(v):
-                ids = np.fromiter((number.setdefault(data[a:b], len(number)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(starts))
-                numbers.append(np.insert(ids, first[1:], -1))
+                hashes.append(word_hashes(buf, starts, ends))
         # Documents lie one after the other, with one place between them.
         base = np.cumsum(np.concatenate([[0], *(c + 1 for c in count)]))
         gone = np.zeros(int(base[-1]), bool)
         if len(v):
-            line = np.concatenate(numbers)
+            at = np.cumsum([0, *(len(t[2]) for t in texts)])
+            ids = numbered(np.concatenate([t[2] for t in texts]), np.concatenate([t[3] + x for t, x in zip(texts, at, strict=False)]), np.concatenate([t[4] + x for t, x in zip(texts, at, strict=False)]), np.concatenate(hashes))
+            line = np.full(len(gone), -1, np.int64)
+            n = np.concatenate(count)
+            line[np.repeat(base[:-1], n) + np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)] = ids
             order = np.lexsort((doc, row))
             place = np.zeros(len(v), np.int64)
             where = {}
@@ -190,13 +208,14 @@ def _cleaned(window: int, with_text: bool):
                 where.setdefault((int(row[i]), int(doc[i])), i)
             place = base[[where[(r, d)] for r, d in zip(v["row"].tolist(), v["doc"].tolist(), strict=True)]]
             phrases = {line[a : b + 1].tobytes() for a, b in zip((place + v["from"]).tolist(), (place + v["to"]).tolist(), strict=True)}
-            spans = np.array(list(occurrences(line, [np.frombuffer(p, np.int64) for p in sorted(phrases)])), np.int64).reshape(-1, 2)
+            spans = np.concatenate([np.zeros((0, 2), np.int64), *occurrences(line, [np.frombuffer(p, np.int64) for p in sorted(phrases)])])
             edge = np.zeros(len(gone) + 1, np.int64)
             np.add.at(edge, spans[:, 0], 1)
             np.add.at(edge, spans[:, 1] + 1, -1)
             gone = np.cumsum(edge[:-1]) > 0
         rows: dict[str, list] = {c: [] for c in _CLEANED.names}
-        for lo, hi, data, starts, ends, first in texts:
+        for lo, hi, buf, starts, ends, first in texts:
+            data = buf.tobytes()
             for i in range(lo, hi):
                 a, b = int(first[i - lo]), int(first[i - lo + 1])
                 keep = ~gone[base[i] : base[i] + b - a]

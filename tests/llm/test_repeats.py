@@ -149,7 +149,7 @@ def test_occurrences_are_those_of_a_plain_search():
     phrases = [line[a : a + n].copy() for a, n in ((3, 5), (100, 8), (101, 6), (450, 30), (805, 4)) if (line[a : a + n] >= 0).all()]
     want = sorted({(i, i + len(p) - 1) for p in phrases for i in range(len(line) - len(p) + 1) if (line[i : i + len(p)] == p).all()})
     for most in (1, 12, 1000):
-        assert sorted(set(passages.occurrences(line, phrases, most))) == want
+        assert sorted({tuple(x) for part in passages.occurrences(line, phrases, most) for x in part.tolist()}) == want
 
 
 def test_joined_spans():
@@ -169,3 +169,11 @@ def test_chains_need_equal_neighbours_everywhere():
     alone = np.zeros(1, recur.PASSAGE)
     alone["row"], alone["windows"] = 3, 3
     assert passages.chained(np.append(number, 1), np.concatenate([place, alone]), np.zeros(8, bool), 4).tolist() == [False] * 4
+
+
+def test_words_are_numbered_by_their_bytes():
+    data = np.frombuffer(b"ab cd ab abc cd", np.uint8)
+    starts, ends = np.array([0, 3, 6, 9, 13]), np.array([2, 5, 8, 12, 15])
+    for hashes in ([7, 9, 7, 8, 9], [1, 1, 1, 1, 1], [7, 7, 7, 8, 7]):  # as they are, and with collisions
+        got = passages.numbered(data, starts, ends, np.array(hashes, np.uint64)).tolist()
+        assert got[0] == got[2] and got[1] == got[4] and len(set(got)) == 3
