@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 from folioframe.functions.text import eval_text
 
@@ -17,14 +17,6 @@ def ratcliff(a, b):
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf(StringType())
-def nfkc(a):
-    """Unicode compatibility composition; Spark has no built-in for it."""
-    import unicodedata
-
-    return a.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
-
-
 def similarity(a: Column, b: Column, method: str = "levenshtein") -> Column:
     """1 for equal, 0 if either is empty, else a ratio in [0, 1]."""
     a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))

@@ -7,6 +7,7 @@ script), and lower-casing replaces full case folding; null counts as the empty s
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from folioframe import presets as P
 
@@ -63,8 +64,17 @@ def normalize_value(c: Column | str, kind: str = "text") -> Column:
     return F.lower(strip(squeeze(x), ".,;:()[]{}"))
 
 
-def entity_text(c: Column | str) -> Column:
-    x = F.lower(text(c))
+@F.pandas_udf(StringType())
+def nfkc(a):
+    """Unicode compatibility composition, batch-wise; Spark has no built-in for it."""
+    import unicodedata
+
+    return a.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
+def entity_text(c: Column | str, compose: bool = False) -> Column:
+    """Folded text of an entity; with ``compose`` compatibility characters (full-width, ligatures) are composed first."""
+    x = F.lower(nfkc(text(c)) if compose else text(c))
     x = F.regexp_replace(x, "\\u0964", ".")
     x = F.regexp_replace(x, "[\\u200B-\\u200F\\u202A-\\u202E]", "")
     x = squeeze(F.regexp_replace(x, "[^\\p{L}\\p{M}\\p{N}_\\s./-]", " "))
@@ -114,11 +124,21 @@ def date_from_text(c: Column | str) -> Column:
     return F.when(x.rlike(dmy), F.try_to_date(part(dmy, 3, 2, 1), "yyyy-MM-dd")).when(x.rlike(ymd), F.try_to_date(part(ymd, 1, 2, 3), "yyyy-MM-dd"))
 
 
+def char_references(c: Column) -> Column:
+    """Numeric (&#8377; &#x20B9;) and named (&eacute;) references as characters, once; text without any stays in the JVM."""
+    return F.when(c.rlike("&#?[A-Za-z0-9]+;"), unescaped(F.when(c.rlike("&#?[A-Za-z0-9]+;"), c))).otherwise(c)
+
+
+@F.pandas_udf(StringType())
+def unescaped(a):
+    """HTML character references, batch-wise."""
+    import html
+
+    return a.map(lambda x: None if x is None else html.unescape(x))
+
+
 def clean_html_cell(c: Column | str) -> Column:
-    x = F.regexp_replace(text(c), "(?i)<br\\s*/?>", " ")
-    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("amp", "&")):
-        x = F.replace(x, F.lit(f"&{name};"), F.lit(char))
-    return squeeze(x)
+    return squeeze(char_references(F.regexp_replace(text(c), "(?i)<br\\s*/?>", " ")))
 
 
 def blank_to_null(c: Column | str) -> Column:

@@ -23,6 +23,35 @@ def field_visibility(truth: DataFrame, texts: DataFrame, key: str = "image", fuz
     return j.select(key, "field", "value", exact.alias("exact"), near.alias("similarity")).withColumn("fuzzy", F.col("similarity") >= fuzzy)
 
 
+def values_in_texts(values: DataFrame, texts: DataFrame, value: str = "value", text: str = "text", short_block: int = 500) -> DataFrame:
+    """(value columns, text columns but the texts) of every value that occurs in a text, both normalised: all values against all texts.
+
+    A value of three words or more holds a whole word other than its first and last, and texts that hold the value hold that word: values
+    are joined on such a word, the one that is in fewest texts, and confirmed. Shorter values are looked for in each text, a block of
+    them at a time. Normalised values that are empty occur nowhere.
+    """
+    v = pinned(values.select(F.struct("*").alias("v")), n=eval_text(F.col(f"v.`{value}`"))).filter("n <> ''")
+    v = pinned(v, w=F.split("n", " "))
+    keep = [c for c in texts.columns if c != text]
+    t = pinned(texts.select(F.struct(*keep).alias("t"), F.col(text).alias("x")), d=eval_text("x")).drop("x")
+    inner = F.array_distinct(F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))))
+    long = v.filter(F.size("w") > 2).select("v", "n", F.explode(inner).alias("word"))
+    wanted = long.select("word").distinct()
+    held = t.select("t", "d", F.explode(F.array_distinct(F.split("d", " "))).alias("word")).join(wanted, "word", "left_semi")
+    often = held.groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
+    rarest = long.groupBy("v", "n").agg(F.count(F.lit(1)).alias("words"))
+    # A value with a word that no text holds occurs nowhere.
+    known = long.join(often, "word").groupBy("v", "n").agg(F.count(F.lit(1)).alias("have"), F.min_by("word", F.struct("texts", "word")).alias("word"))
+    rarest = rarest.join(known, ["v", "n"]).filter("have = words").select("v", "n", "word")
+    found = held.join(rarest, "word").filter(F.col("d").contains(F.col("n"))).select("v.*", "t.*")
+    short = [r.n for r in v.filter(F.size("w") <= 2).select("n").distinct().orderBy("n").toLocalIterator()]
+    for i in range(0, len(short), short_block):
+        block = F.array(*map(F.lit, short[i : i + short_block]))
+        hit = t.select("t", F.explode(F.filter(block, lambda n: F.col("d").contains(n))).alias("n"))
+        found = found.unionByName(hit.join(v.select("v", "n"), "n").select("v.*", "t.*"))
+    return found
+
+
 def _per_field(df: DataFrame, *aggregates) -> DataFrame:
     """Aggregates for each field, and for all under the name OVERALL."""
     return df.rollup("field").agg(*aggregates, F.grouping("field").alias("_g")).withColumn("field", F.when(F.col("_g") == 1, "OVERALL").otherwise(F.col("field"))).drop("_g")

@@ -63,19 +63,43 @@ def _normal(name: Column, value: Column) -> Column:
     return F.when(name.isin("survey_number", "khata_number", "area"), normalize_value(value, "number")).otherwise(normalize_value(value))
 
 
-def extract_inline(blocks: DataFrame, patterns: dict = P.INLINE_PATTERNS) -> DataFrame:
-    """"label: value" in one block: a field's labels are alternatives of one pattern; values that aren't valid are dropped."""
-    forms = {"survey": "([0-9०-९]+(?:\\s*/\\s*[0-9०-९]+)*)", "digits": "([0-9०-९]+)", "amount": f"([0-9०-९]+(?:[.,][0-9०-९]+)?)\\s*{P.AREA_UNITS}"}
+def inline_value(name: Column, label: Column, v: Column, units: dict = P.AREA_UNITS) -> Column:
+    """What a field takes from the text behind its label, null if that isn't of its form: numbers joined by slashes, a number, an amount with a unit
+    of its label or without, or any text."""
+    d = fold_digits(v)
+    parts = F.transform(F.split(d, "/"), lambda x: F.trim(x))
+    unit = F.trim(F.regexp_replace(d, "^[0-9]+([.,][0-9]+)?", ""))
+    tight = lambda c: F.regexp_replace(F.lower(c), "\\s+", "")
+    allowed = F.create_map(*[x for k, us in units.items() for x in (F.lit(k), F.array(*[tight(F.lit(u)) for u in us]))])[label]
+    amount = F.trim(F.substring(v, F.lit(1), F.length(v) - F.length(unit)))
+    return (
+        F.when(name == "survey_number", F.when(F.forall(parts, lambda x: x.rlike("^[0-9]+$")), v))
+        .when(name == "khata_number", F.when(d.rlike("^[0-9]+$"), v))
+        .when(name == "area", F.when(fold_digits(amount).rlike("^[0-9]+([.,][0-9]+)?$") & ((unit == "") | F.array_contains(allowed, tight(unit))), amount))
+        .otherwise(v)
+    )
+
+
+def extract_inline(blocks: DataFrame, labels: dict = P.INLINE_LABELS, units: dict = P.AREA_UNITS) -> DataFrame:
+    """"label: value" in one block.
+
+    What stands before a separator (the second one first, as a label may hold one) is looked up among the labels; what follows is read by the
+    form of its field, and dropped if it isn't a valid value.
+    """
+    tight = lambda c: F.regexp_replace(F.lower(c), "\\s+", "")
+    known = {"".join(x.split()).lower(): f for f, xs in labels.items() for x in xs}
     own = pinned(blocks.filter(F.col("text").rlike("[:|/-]")), _c=clean_candidate("text"))
-    found = []
-    for name, (labels, kind) in patterns.items():
-        v = F.regexp_extract("_c", f"(?i)^(?:{'|'.join(labels)})\\s*[:|/-]\\s*{forms.get(kind, '(.+)')}$", 1)
-        found.append(F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), v.alias("value")))
-    hit = own.withColumn("_f", F.explode(F.filter(F.array(*found), lambda x: x["value"] != "")))
-    hit = pinned(hit, _n=F.col("_f.name"), _k=F.col("_f.kind"), _v=clean_candidate(F.col("_f.value"))).filter("_v <> ''")
-    valid = F.when(F.col("_k") == "survey", valid_survey("_v")).when(F.col("_k") == "digits", F.lit(True)).when(F.col("_k") == "amount", valid_positive("_v")).otherwise(valid_text("_v", F.col("_n")))
+    own = pinned(own, _one=F.regexp_extract("_c", "^[^:|/-]*", 0), _two=F.regexp_extract("_c", "^[^:|/-]*[:|/-][^:|/-]*(?=[:|/-])", 0))
+    said = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    split = lambda c: F.when(F.length(c) < F.length("_c"), F.struct(tight(F.col(c)).alias("label"), F.trim(F.substring(F.col("_c"), F.length(c) + 2, F.length("_c"))).alias("rest")))
+    hit = pinned(own, _s=F.array_compact(F.array(F.when(F.col("_two") != "", split("_two")), split("_one"))))
+    hit = hit.withColumn("_h", F.filter("_s", lambda x: said[x["label"]].isNotNull() & (x["rest"] != ""))).filter(F.size("_h") > 0)
+    hit = pinned(hit, _n=said[F.col("_h")[0]["label"]], _l=F.col("_h")[0]["label"], _r=F.col("_h")[0]["rest"])
+    hit = pinned(hit, _v=clean_candidate(inline_value(F.col("_n"), F.col("_l"), F.col("_r"), units))).filter("_v <> ''")
+    n, v = F.col("_n"), F.col("_v")
+    valid = F.when(n == "survey_number", valid_survey(v)).when(n == "khata_number", F.lit(True)).when(n == "area", valid_positive(v)).otherwise(valid_text(v, n))
     method = F.lit("regex_label")
-    return _field(hit.filter(valid), F.col("_n"), F.col("_v"), _normal(F.col("_n"), F.col("_v")), method_confidence(F.col("confidence"), method), method)
+    return _field(hit.filter(valid), n, v, _normal(n, v), method_confidence(F.col("confidence"), method), method)
 
 
 def label_list(labels: dict) -> Column:

@@ -14,43 +14,79 @@ from folioframe.functions.text import clean_html_cell, eval_text
 CELLS = ("doc_id", "table_no", "row", "col", "text", "header")
 
 
+#: Most columns of a grid; a span reaches no further, nor below the table's last row.
+MOST_COLUMNS = 1000
+
+
 def html_tables(docs: DataFrame, html: str = "html") -> DataFrame:
-    """(doc_id, table_no, table_html) of each <table>."""
-    found = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit("(?is)<table\\b.*?</table>"), F.lit(0))
-    return docs.select("doc_id", F.posexplode(found).alias("table_no", "table_html"))
+    """(doc_id, table_no, table_html) of each <table>, in the order they start; a nested table is one of its own, and left out of the outer one.
+
+    Tags are numbered by depth with a running count, so an inner table doesn't tear the outer one.
+    """
+    tag = "(?i)</?table\\b[^>]*>"
+    h = F.coalesce(F.col(html), F.lit(""))
+    # Pieces of text, each behind a table tag: the tag opens (1) or closes (-1) a table.
+    parts = docs.select("doc_id", F.split(h, tag).alias("_text"), F.concat(F.array(F.lit("")), F.regexp_extract_all(h, F.lit(tag), F.lit(0))).alias("_tag"))
+    step = lambda t: F.when(t == "", 0).when(t.startswith("</"), -1).otherwise(1)
+    start = F.struct(F.array().cast("array<int>").alias("open"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("of"))
+
+    def walk(a: Column, s: Column) -> Column:
+        here = F.when(s == 1, F.concat(a["open"], F.array(a["n"]))).when((s == -1) & (F.size(a["open"]) > 0), F.slice(a["open"], 1, F.size(a["open"]) - 1)).otherwise(a["open"])
+        top = F.when(F.size(here) > 0, F.element_at(here, -1)).otherwise(-1)
+        return F.struct(here.alias("open"), (a["n"] + (s == 1).cast("int")).alias("n"), F.concat(a["of"], F.array(top)).alias("of"))
+
+    parts = parts.withColumn("_w", F.aggregate(F.transform("_tag", step), start, walk)).filter("_w.n > 0")
+    pieces = F.arrays_zip(F.col("_w.of").alias("no"), F.col("_text").alias("text"))
+    one = lambda k: F.concat(F.lit("<table>"), F.array_join(F.transform(F.filter(pieces, lambda p: p["no"] == k), lambda p: p["text"]), " "), F.lit("</table>"))
+    return parts.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("_w.n") - 1), one)).alias("table_no", "table_html"))
 
 
 def raw_cells(tables: DataFrame) -> DataFrame:
-    """(doc_id, table_no, row, n, text, header, rowspan, colspan): cells in source order; a span that isn't a positive number is 1."""
-    rows = tables.select("doc_id", "table_no", F.posexplode(F.regexp_extract_all("table_html", F.lit("(?is)<tr\\b.*?(?=</tr>|<tr\\b|</table>)"), F.lit(0))).alias("row", "tr"))
-    cells = rows.select("doc_id", "table_no", "row", F.posexplode(F.regexp_extract_all("tr", F.lit("(?is)<t[dh]\\b.*?(?=</t[dh]>|<t[dh]\\b|$)"), F.lit(0))).alias("n", "td"))
-    span = lambda k: F.greatest(F.lit(1), F.coalesce(F.regexp_extract("td", f"(?is)^<t[dh]\\b[^>]*\\b{k}\\s*=\\s*[\"']?([0-9]+)", 1).try_cast("int"), F.lit(1)))
+    """(doc_id, table_no, row, n, text, header, rowspan, colspan): cells in source order.
+
+    A span that isn't a positive number is 1; one of rows ends with the table, one of columns at MOST_COLUMNS.
+    """
+    found = F.regexp_extract_all("table_html", F.lit("(?is)<tr\\b.*?(?=</tr>|<tr\\b|</table>)"), F.lit(0))
+    rows = tables.select("doc_id", "table_no", F.size(found).alias("_rows"), F.posexplode(found).alias("row", "tr"))
+    cells = rows.select("doc_id", "table_no", "_rows", "row", F.posexplode(F.regexp_extract_all("tr", F.lit("(?is)<t[dh]\\b.*?(?=</t[dh]>|<t[dh]\\b|$)"), F.lit(0))).alias("n", "td"))
+    span = lambda k, most: F.least(most, F.greatest(F.lit(1), F.coalesce(F.regexp_extract("td", f"(?is)^<t[dh]\\b[^>]*\\b{k}\\s*=\\s*[\"']?([0-9]+)", 1).try_cast("int"), F.lit(1)))).cast("int")
     body = F.regexp_replace(F.regexp_replace(F.regexp_replace("td", "(?is)^<t[dh]\\b[^>]*>", ""), "(?i)<br\\s*/?>", " "), "<[^>]*>", " ")
-    return cells.select("doc_id", "table_no", "row", "n", clean_html_cell(body).alias("text"), F.col("td").rlike("(?is)^<th\\b").alias("header"), span("rowspan").alias("rowspan"), span("colspan").alias("colspan"))
+    return cells.select("doc_id", "table_no", "row", "n", clean_html_cell(body).alias("text"), F.col("td").rlike("(?is)^<th\\b").alias("header"), span("rowspan", F.col("_rows") - F.col("row")).alias("rowspan"), span("colspan", F.lit(MOST_COLUMNS)).alias("colspan"))
 
 
 def html_table_cells(docs: DataFrame, html: str = "html") -> DataFrame:
-    """The cell grid of every table, spans filled. Placing spans is sequential in a table, so each table with a span is one group."""
+    """The cell grid of every table, spans filled. Placing spans is sequential in a table, so each table with a span is one group; cells
+    beyond MOST_COLUMNS are left out there, as a browser does."""
     import pandas as pd
 
     raw = raw_cells(html_tables(docs, html))
     wide = F.max((F.col("rowspan") > 1) | (F.col("colspan") > 1)).over(W.partitionBy("doc_id", "table_no"))
     raw = raw.withColumn("_w", wide)
     plain = raw.filter("NOT _w").select("doc_id", "table_no", "row", F.col("n").alias("col"), "text", "header")
+    most = MOST_COLUMNS
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: dict[tuple[int, int], tuple[str, bool]] = {}
-        for r, group in pdf.sort_values(["row", "n"]).groupby("row"):
-            col = 0
+        out: list[tuple[int, int, str, bool]] = []
+        below: dict[int, tuple[int, str, bool]] = {}  # column -> rows still covered from above, and what covers them
+        at = pdf.sort_values(["row", "n"]).groupby("row")
+        for r in range(int(pdf["row"].max()) + 1):
+            now = {c: v for c, v in below.items() if v[0] > 0}
+            below = {c: (v[0] - 1, *v[1:]) for c, v in now.items()}
+            out += [(r, c, v[1], v[2]) for c, v in sorted(now.items())]
+            if r not in at.groups:
+                continue
+            group, col = at.get_group(r), 0
             for text, header, down, across in zip(group["text"], group["header"], group["rowspan"], group["colspan"], strict=True):
-                while (r, col) in taken:
+                while col in now:
                     col += 1
-                for y in range(r, r + down):
-                    for x in range(col, col + across):
-                        taken[(y, x)] = (text, header)
+                for x in range(col, min(col + across, most)):
+                    if x not in now:
+                        now[x] = (0, text, header)
+                        out.append((r, x, text, header))
+                        below[x] = (down - 1, text, header)
                 col += across
-        at = list(taken)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "table_no": pdf["table_no"].iloc[0], "row": [a for a, _ in at], "col": [b for _, b in at], "text": [taken[a][0] for a in at], "header": [taken[a][1] for a in at]})
+        rows, cols, texts, headers = zip(*out, strict=True)
+        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "table_no": pdf["table_no"].iloc[0], "row": rows, "col": cols, "text": texts, "header": headers})
 
     kind = dict(raw.dtypes)["doc_id"]
     spanned = raw.filter("_w").drop("_w").groupBy("doc_id", "table_no").applyInPandas(place, f"doc_id {kind}, table_no int, row int, col int, text string, header boolean")

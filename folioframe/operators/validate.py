@@ -84,13 +84,17 @@ def suspicious_fields(fields: DataFrame) -> DataFrame:
     return apply_rules(fields, (suspicious_value,))
 
 
-def area_checks(fields: DataFrame) -> DataFrame:
+def area_value() -> Column:
     n = first_number(_given())
     shown = F.regexp_replace(F.format_string("%.4f", n), "\\.?0+$", "")
     ok = n > 0
     rule = F.when(n.isNull(), "consistency_area_numeric").otherwise("consistency_area_positive")
     message = F.when(n.isNull(), "Area could not be interpreted as a numeric value.").when(ok, F.concat(F.lit("Area value "), shown, F.lit(" is positive and numerically valid."))).otherwise(F.concat(F.lit("Area value "), shown, F.lit(" is not positive.")))
-    return apply_rules(fields.filter("field_name = 'area'"), (lambda: outcome(rule, F.when(ok, "PASS").otherwise("REVIEW"), message, F.col("confidence")),))
+    return F.when(F.col("field_name") == "area", outcome(rule, F.when(ok, "PASS").otherwise("REVIEW"), message, F.col("confidence")))
+
+
+def area_checks(fields: DataFrame) -> DataFrame:
+    return apply_rules(fields.filter("field_name = 'area'"), (area_value,))
 
 
 def _cluster_results(clusters: DataFrame) -> DataFrame:
@@ -148,16 +152,20 @@ def duplicate_consistency_fuzzy(fields: DataFrame, names: tuple[str, ...] = P.SI
     return _cluster_results(clusters)
 
 
-def _firsts(fields: DataFrame, *names: str) -> DataFrame:
-    """Per document the first field with a value of each name: structs of id, value, confidence."""
-    own = fields.withColumn("_v", _given()).filter(F.col("_v") != "").filter(F.col("field_name").isin(*names))
+#: Fields whose first value in a document other checks need; all are found in one pass.
+FIRSTS = ("mutation", "registration", "village", "taluka", "district")
+
+
+def _firsts(fields: DataFrame) -> DataFrame:
+    """Per document the first field with a value of each of FIRSTS: structs of id, value, confidence."""
+    own = fields.withColumn("_v", _given()).filter(F.col("_v") != "").filter(F.col("field_name").isin(*FIRSTS))
     pick = lambda n: F.min_by(F.when(F.col("field_name") == n, F.struct("field_id", F.col("_v").alias("value"), "confidence")), F.when(F.col("field_name") == n, F.struct("created_at", "field_id"))).alias(n)
-    return own.groupBy("document_id").agg(*map(pick, names))
+    return own.groupBy("document_id").agg(*map(pick, FIRSTS))
 
 
-def date_order(fields: DataFrame) -> DataFrame:
+def date_order(fields: DataFrame, firsts: DataFrame | None = None) -> DataFrame:
     """The first mutation's date must not lie before the first registration's."""
-    f = _firsts(fields, "mutation", "registration").withColumns({"_m": date_from_text("mutation.value"), "_r": date_from_text("registration.value")}).filter("_m IS NOT NULL AND _r IS NOT NULL")
+    f = (_firsts(fields) if firsts is None else firsts).withColumns({"_m": date_from_text("mutation.value"), "_r": date_from_text("registration.value")}).filter("_m IS NOT NULL AND _r IS NOT NULL")
     early = F.col("_m") < F.col("_r")
     day = lambda c: F.date_format(c, "dd/MM/yyyy")
     message = F.when(early, F.concat(F.lit("Mutation date "), day("_m"), F.lit(" occurs before registration date "), day("_r"), F.lit(". Review the source record."))).otherwise("Mutation date is on or after the registration date.")
@@ -176,9 +184,9 @@ def village_rules(fields: DataFrame, ref: DataFrame) -> DataFrame:
     return apply_rules(m, (lambda: outcome("village_reference_match", status, name, conf), lambda: outcome("location_hierarchy", status, place, conf)))
 
 
-def location_consistency(fields: DataFrame, ref: DataFrame) -> DataFrame:
+def location_consistency(fields: DataFrame, ref: DataFrame, firsts: DataFrame | None = None) -> DataFrame:
     """The first village with taluka and district as context; a resolved village's parents are compared with the extracted ones."""
-    f = _firsts(fields, "village", "taluka", "district").filter("village IS NOT NULL")
+    f = (_firsts(fields) if firsts is None else firsts).filter("village IS NOT NULL")
     f = f.withColumns({"village_name": F.col("village.value"), "taluka_name": F.col("taluka.value"), "district_name": F.col("district.value")})
     m = match_reference(f, ref, name="village_name", parent="taluka_name", grandparent="district_name", key="document_id")
     s = F.col("match_status")
@@ -216,8 +224,12 @@ def strongest_status(results: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def validate_documents(fields: DataFrame, ref: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(results, status of fields, mean confidence of documents) of the fields of one run a document."""
-    results = distinct_results(all_results(apply_rules(fields), suspicious_fields(fields), village_rules(fields, ref), duplicate_consistency(fields), area_checks(fields), date_order(fields), location_consistency(fields, ref)))
+    """(results, status of fields, mean confidence of documents) of the fields of one run a document.
+
+    All rules of a field are one pass over the fields; the firsts of a document, one aggregation, serve dates and places alike.
+    """
+    firsts = _firsts(fields)
+    results = distinct_results(all_results(apply_rules(fields, (*RULES, suspicious_value, area_value)), village_rules(fields, ref), duplicate_consistency(fields), date_order(fields, firsts), location_consistency(fields, ref, firsts)))
     return results, strongest_status(results, fields), results.groupBy("document_id").agg(F.avg("confidence").alias("confidence"))
 
 

@@ -161,18 +161,9 @@ def x9(docs):
     return per.join(fields.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_fields")), "run_id", "left")
 
 
-@register("j9_label_scores", b(r""", n AS (SELECT block_id, trim(regexp_replace(regexp_replace(lower(trim(text)), '[/|.:,;()\[\]{}#\\]', ' ', 'g'), '[\s]+', ' ', 'g')) AS n FROM blocks WHERE length(text) < 40 AND regexp_full_match(text, '[ -~]*') AND NOT contains(text, '-')), lab AS (SELECT unnest(['owner name', 'holder name']) AS label),
- s AS (SELECT block_id, label, CASE WHEN n = label THEN 1.0 WHEN contains(n, label) OR contains(label, n) THEN 0.94 ELSE 0.65 * (1 - levenshtein(n, label)::DOUBLE / greatest(length(n), length(label))) + 0.35 * len(list_intersect(list_distinct(string_split(n, ' ')), string_split(label, ' ')))::DOUBLE / len(list_distinct(list_concat(string_split(n, ' '), string_split(label, ' ')))) END AS score FROM n, lab WHERE n <> '')
- SELECT block_id, label, round(score, 9) AS score FROM s WHERE score >= 0.3"""), "documents")
-def j9(docs):
-    own = blocks_of(docs).filter((F.length("text") < 40) & F.col("text").rlike("^[ -~]*$") & ~F.col("text").contains("-"))
-    s = extract.score_headers(own, {"holder_name": ("owner name", "holder name")})
-    return s.filter("header_score >= 0.3").select("block_id", "label", F.round("header_score", 9).alias("score"))
-
-
 # Every block; no SQL, as DuckDB's edit distance counts bytes.
-@register("j9_label_scores_all", None, "documents")
-def j9_all(docs):
+@register("j9_label_scores", None, "documents")
+def j9(docs):
     s = extract.score_headers(blocks_of(docs), {"holder_name": ("owner name", "holder name")}, least=0.3)
     return s.filter("header_score >= 0.3").select("block_id", "label", F.round("header_score", 9).alias("score"))
 
@@ -254,68 +245,83 @@ def j5(incoming):
     return runs.split_new_existing(hashed.filter("file_id % 3 <> 0"), hashed.filter("file_id % 3 = 0")).select("file_id", "outcome")
 
 
-@register("n21_clean_html", r"""SELECT n AS table_id, trim(regexp_replace(replace(replace(replace(regexp_replace(html, '(?i)<br\s*/?>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM v_grids""", "v_grids")
+@register("n21_clean_html", r"""SELECT doc_id AS table_id, trim(regexp_replace(replace(replace(regexp_replace(html, '(?i)<br\s*/?>', ' ', 'g'), '&#8377;', '₹'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM v_grids""", "v_grids")
 def n21(grids):
-    return grids.select(F.col("n").alias("table_id"), T.clean_html_cell("html").alias("text"))
+    return grids.select(F.col("doc_id").alias("table_id"), T.clean_html_cell("html").alias("text"))
 
 
-PAGE_TABLES = r"""WITH p AS (SELECT page_id, len(regexp_extract_all(html, '<li>')) AS items FROM pages)"""
+def order_tables(lineitem):
+    """A table an order: a heading over two columns, a row a line; the first line's flag spans two rows."""
+    own = lineitem.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag"))).alias("r"))
+    flag = lambda x, i: F.when(i == 0, F.concat(F.lit('<td rowspan="2">'), x["l_returnflag"], F.lit("</td>"))).when(i == 1, "").otherwise(F.concat(F.lit("<td>&lt;"), x["l_returnflag"], F.lit("&gt;<br></td>")))
+    row = lambda x, i: F.concat(F.lit("<tr><td>"), x["l_partkey"].cast("string"), F.lit("/"), x["l_linenumber"].cast("string"), F.lit("</td><td>"), x["l_suppkey"].cast("string"), F.lit("</td>"), flag(x, i), F.lit("</tr>"))
+    head = "<table><tr><th>भूमापन क्रमांक</th><th colspan='2'>खाते क्रमांक</th></tr>"
+    return own.select("doc_id", F.concat(F.lit(head), F.array_join(F.transform("r", row), ""), F.lit("</table>")).alias("html"))
 
 
-def spanned(pages):
-    """A table a page: a heading over two columns, a row label over two rows, values from the page."""
-    i = F.col("page_id").cast("string")
-    n = F.regexp_count("html", F.lit("<li>")).cast("string")
-    parts = ["<table><tr><th rowspan=2>भूमापन क्रमांक</th><th colspan='2'>खाते क्रमांक</th></tr><tr><td>", i, "/1</td><td>", n, "</td></tr><tr><td>", i, "</td><td>&lt;b&gt;</td><td>y<br>z</td></tr></table>"]
-    return pages.select(F.col("page_id").alias("doc_id"), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("html"))
+LINES = """r AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag) AS i, l_partkey || '/' || l_linenumber AS a, l_suppkey::VARCHAR AS b, l_returnflag AS f FROM lineitem)"""
 
 
-CELLS = PAGE_TABLES + """, cells AS (SELECT page_id AS doc_id, unnest([{'row': 0, 'col': 0, 'text': 'भूमापन क्रमांक'}, {'row': 1, 'col': 0, 'text': 'भूमापन क्रमांक'}, {'row': 0, 'col': 1, 'text': 'खाते क्रमांक'}, {'row': 0, 'col': 2, 'text': 'खाते क्रमांक'},
- {'row': 1, 'col': 1, 'text': page_id || '/1'}, {'row': 1, 'col': 2, 'text': items::VARCHAR}, {'row': 2, 'col': 0, 'text': page_id::VARCHAR}, {'row': 2, 'col': 1, 'text': '<b>'}, {'row': 2, 'col': 2, 'text': 'y z'}]) AS c FROM p)"""
+@register("x10_html_cells", f"""WITH {LINES}, h AS (SELECT DISTINCT doc_id FROM r) SELECT doc_id, 0 AS row, 0 AS col, 'भूमापन क्रमांक' AS text FROM h UNION ALL SELECT doc_id, 0, c, 'खाते क्रमांक' FROM h, (VALUES (1), (2)) v(c) UNION ALL SELECT doc_id, i::INT, 0, a FROM r UNION ALL SELECT doc_id, i::INT, 1, b FROM r
+ UNION ALL SELECT doc_id, i::INT, 2, CASE WHEN i = 1 THEN f WHEN i = 2 THEN lag(f) OVER (PARTITION BY doc_id ORDER BY i) ELSE '<' || f || '>' END FROM r""", "lineitem")
+def x10(lineitem):
+    return tables.html_table_cells(order_tables(lineitem)).select("doc_id", "row", "col", "text")
 
 
-@register("x10_html_cells", CELLS + " SELECT doc_id, c.row AS row, c.col AS col, c.text AS text FROM cells", "pages")
-def x10(pages):
-    return tables.html_table_cells(spanned(pages)).select("doc_id", "row", "col", "text")
-
-
-@register("x10_page_tables", None, "pages")
+# The navigation lists of the pages as tables, a list entry a row, with an outer table around all of the page.
+@register("x10_page_tables", r"""WITH p AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1)) AS li, generate_subscripts(regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1), 1) - 1 AS row FROM pages)
+ SELECT doc_id, 1 AS table_no, row::INT AS row, 0 AS col, trim(regexp_replace(regexp_replace(li, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM p""", "pages")
 def x10_pages(pages):
-    return tables.html_table_cells(pages.withColumnRenamed("page_id", "doc_id"))
+    html = F.col("html")
+    for old, new in (("<ul>", "<table>"), ("</ul>", "</table>"), ("<li>", "<tr><td>"), ("</li>", "</td></tr>")):
+        html = F.replace(html, F.lit(old), F.lit(new))
+    own = pages.select(F.col("page_id").alias("doc_id"), F.concat(F.lit("<TABLE class=page><tr><td>x</td>"), html, F.lit("</tr></TABLE>")).alias("html"))
+    return tables.html_table_cells(own).filter("table_no = 1").select("doc_id", "table_no", "row", "col", "text")
 
 
-@register("a18_table_summary", PAGE_TABLES + " SELECT page_id AS doc_id, 1 AS tables, 3 AS rows, 3 AS columns FROM p", "pages")
-def a18(pages):
-    return tables.table_summary(tables.html_table_cells(spanned(pages)))
+@register("a18_table_summary", "SELECT l_orderkey AS doc_id, 1 AS tables, count(*) + 1 AS rows, 3 AS columns FROM lineitem GROUP BY 1", "lineitem")
+def a18(lineitem):
+    return tables.table_summary(tables.html_table_cells(order_tables(lineitem)))
 
 
-@register("x11_w12_grid_lookup", PAGE_TABLES + " SELECT page_id AS doc_id, 'survey_gat_number' AS field, 1::DOUBLE AS header_score, page_id::VARCHAR AS value FROM p UNION ALL SELECT page_id, 'account_number', 1::DOUBLE, page_id || '/1' FROM p", "pages")
-def x11(pages):
-    own = tables.grid_lookup(tables.html_table_cells(spanned(pages)), {k: P.GRID_ALIASES[k] for k in ("survey_gat_number", "account_number")})
+@register("x11_w12_grid_lookup", f"WITH {LINES} SELECT doc_id, 'survey_gat_number' AS field, 1::DOUBLE AS header_score, a AS value FROM r WHERE i = 1 UNION ALL SELECT doc_id, 'account_number', 1::DOUBLE, b FROM r WHERE i = 1", "lineitem")
+def x11(lineitem):
+    own = tables.grid_lookup(tables.html_table_cells(order_tables(lineitem)), {k: P.GRID_ALIASES[k] for k in ("survey_gat_number", "account_number")})
     return own.select("doc_id", "field", "header_score", "value")
 
 
-@register("x12_header_row_lookup", PAGE_TABLES + " SELECT page_id AS doc_id, 'survey_gat_number' AS field, page_id::VARCHAR AS value FROM p UNION ALL SELECT page_id, 'account_number', page_id || '/1' FROM p", "pages")
-def x12(pages):
-    own = tables.header_row_lookup(tables.html_table_cells(spanned(pages)), {k: P.GRID_ALIASES[k] for k in ("survey_gat_number", "account_number")})
+@register("x12_header_row_lookup", f"WITH {LINES} SELECT doc_id, 'survey_gat_number' AS field, a AS value FROM r WHERE i = 1 UNION ALL SELECT doc_id, 'account_number', b FROM r WHERE i = 1", "lineitem")
+def x12(lineitem):
+    own = tables.header_row_lookup(tables.html_table_cells(order_tables(lineitem)), {k: P.GRID_ALIASES[k] for k in ("survey_gat_number", "account_number")})
     return own.select("doc_id", "field", "value")
 
 
-@register("x13_positional_fields", "SELECT doc_id, 'survey_number' AS field, n || '/' || doc_id AS value FROM v_grids UNION ALL SELECT doc_id, 'subdivision', (n * 3)::VARCHAR FROM v_grids", "v_grids")
+@register("x13_positional_fields", "SELECT doc_id, 'survey_number' AS field, n || '/' || doc_id % 9 AS value FROM v_grids UNION ALL SELECT doc_id, 'subdivision', (n * 3)::VARCHAR FROM v_grids UNION ALL SELECT doc_id, 'land_tenure', trim(tenure) || ' c' FROM v_grids", "v_grids")
 def x13(grids):
-    cells = tables.html_table_cells(grids)
-    return tables.positional_fields(cells).filter("field <> 'land_tenure'").select("doc_id", "field", "value")
+    return tables.positional_fields(tables.html_table_cells(grids)).select("doc_id", "field", "value")
 
 
-@register("w11_main_table", PAGE_TABLES + " SELECT page_id AS doc_id, 1 AS table_no, 8 AS table_score FROM p", "pages")
-def w11(pages):
-    own = spanned(pages).withColumn("html", F.concat(F.lit("<table><tr><td>खाते क्रमांक</td></tr></table>"), "html"))
+@register("w11_main_table", "SELECT DISTINCT l_orderkey AS doc_id, 1 AS table_no, 8 AS table_score FROM lineitem", "lineitem")
+def w11(lineitem):
+    own = order_tables(lineitem).withColumn("html", F.concat(F.lit("<table><tr><td>खाते क्रमांक</td></tr></table>"), "html"))
     return tables.main_table(tables.html_tables(own)).select("doc_id", "table_no", "table_score")
 
 
-@register("x14_harvest", PAGE_TABLES + """ SELECT page_id AS doc_id, 'survey_gat_number' AS field, 'x' AS candidate FROM p WHERE false UNION ALL SELECT page_id, 'sub_division', page_id || '/1' FROM p UNION ALL SELECT page_id, 'land_tenure', items::VARCHAR FROM p UNION ALL SELECT page_id, 'account_number', 'खाते क्रमांक' FROM p""", "pages")
-def x14(pages):
-    return tables.harvest_candidates(tables.html_table_cells(spanned(pages)))
+@register("x14_harvest", f"WITH {LINES} SELECT doc_id, 'survey_gat_number' AS field, a AS candidate FROM r WHERE i = 1 UNION ALL SELECT doc_id, 'sub_division', b FROM r WHERE i = 1 UNION ALL SELECT doc_id, 'land_tenure', f FROM r WHERE i = 1 UNION ALL SELECT DISTINCT doc_id, 'account_number', 'खाते क्रमांक' FROM r", "lineitem")
+def x14(lineitem):
+    return tables.harvest_candidates(tables.html_table_cells(order_tables(lineitem)))
+
+
+# Truth of an order: its first part number and its customer; every third truth isn't among the candidates but in the text.
+@register("x14_improved_match", f"""WITH {LINES}, t AS (SELECT doc_id, 'survey_gat_number' AS field, a AS v FROM r WHERE i = 1), k AS (SELECT *, doc_id % 3 AS k FROM t)
+ SELECT doc_id, field, CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 0.95 ELSE 0.0 END::DOUBLE AS score, k < 2 AS matched FROM k""", "lineitem")
+def x14_match(lineitem):
+    cells = tables.html_table_cells(order_tables(lineitem))
+    own = tables.harvest_candidates(cells).filter("field = 'survey_gat_number'")
+    k = F.col("doc_id") % 3
+    truth = own.select("doc_id", "field", F.col("candidate").alias("variant"))
+    texts = own.select("doc_id", F.concat(F.lit("no. "), F.when(k == 1, F.regexp_replace("candidate", "[^0-9]", "")).otherwise("-"), F.lit(" of it")).alias("text"))
+    return tables.improved_match(truth, own.filter(k == 0), texts).select("doc_id", "field", "score", "matched")
 
 
 @register("w10_best_artifact", "SELECT image, file FROM (SELECT url AS image, page_id AS file, row_number() OVER (PARTITION BY regexp_extract(url, '[a-z]+\\.example', 0) ORDER BY page_id % 4 DESC, page_id % 3 DESC, page_id) AS rn FROM pages) WHERE rn = 1", "pages")

@@ -114,15 +114,8 @@ def a5(fields):
 
 
 @register("a6_strongest_status", """SELECT f.field_id, CASE max(CASE r.status WHEN 'WARNING' THEN 1 WHEN 'REVIEW' THEN 2 ELSE 0 END) WHEN 1 THEN 'WARNING' WHEN 2 THEN 'REVIEW' ELSE 'PASS' END AS validation_status
- FROM v_fields f LEFT JOIN (SELECT * FROM v_results WHERE rule_name <> 'rule_1') r ON f.field_id = r.field_id GROUP BY 1""", "v_results", "v_fields")
-def a6(results, fields):
-    return validate.strongest_status(results.filter("rule_name <> 'rule_1'"), fields)
-
-
-# Over the results of all rules.
-@register("a6_strongest_status_all", """SELECT f.field_id, CASE max(CASE r.status WHEN 'WARNING' THEN 1 WHEN 'REVIEW' THEN 2 ELSE 0 END) WHEN 1 THEN 'WARNING' WHEN 2 THEN 'REVIEW' ELSE 'PASS' END AS validation_status
  FROM v_fields f LEFT JOIN v_results r ON f.field_id = r.field_id GROUP BY 1""", "v_results", "v_fields")
-def a6_all(results, fields):
+def a6(results, fields):
     return validate.strongest_status(results, fields)
 
 
@@ -391,31 +384,23 @@ def calibrated(fields):
 
 
 # Every row, those at the limits of the bands too: the score is rounded before it is banded.
-@register("r1_calibrate_all", """, x AS (SELECT field_id, CASE WHEN confidence IS NOT NULL THEN greatest(0.0, least(1.0, CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END)) END AS x, CASE WHEN page_number > 5 THEN NULL ELSE page_number / 7.0 END::DOUBLE AS e, validation_status AS s, page_number = 3 AND method = 'regex_label' AS c, page_number = 2 AND method = 'regex_label' AS r FROM v_fields),
+@register("r1_calibrate", """, x AS (SELECT field_id, CASE WHEN confidence IS NOT NULL THEN greatest(0.0, least(1.0, CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END)) END AS x, CASE WHEN page_number > 5 THEN NULL ELSE page_number / 7.0 END::DOUBLE AS e, validation_status AS s, page_number = 3 AND method = 'regex_label' AS c, page_number = 2 AND method = 'regex_label' AS r FROM v_fields),
  y AS (SELECT *, (CASE WHEN x IS NOT NULL THEN 0.45 ELSE 0 END + CASE WHEN e IS NOT NULL THEN 0.20 ELSE 0 END)::DOUBLE AS w FROM x),
  z AS (SELECT *, round(greatest(0.0, least(1.0, CASE WHEN w > 0 THEN (coalesce(x * 0.45, 0) + coalesce(e * 0.20, 0)) / w ELSE 0 END + CASE s WHEN 'PASS' THEN 0.10 WHEN 'WARNING' THEN -0.10 ELSE -0.25 END + CASE WHEN c THEN -0.35 ELSE 0 END + CASE WHEN r THEN -0.20 ELSE 0 END)), 9)::DOUBLE AS score FROM y)
  SELECT field_id, score, CASE WHEN c OR r THEN 'CONFLICT' WHEN score >= 0.85 THEN 'HIGH' WHEN score >= 0.65 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM z""", "v_fields")
-def r1_all(fields):
-    return calibrated(fields).select("field_id", "score", "band")
-
-
-@register("r1_calibrate", """, x AS (SELECT field_id, CASE WHEN confidence IS NOT NULL THEN greatest(0.0, least(1.0, CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END)) END AS x, CASE WHEN page_number > 5 THEN NULL ELSE page_number / 7.0 END::DOUBLE AS e, validation_status AS s, page_number = 3 AND method = 'regex_label' AS c, page_number = 2 AND method = 'regex_label' AS r FROM v_fields),
- y AS (SELECT *, (CASE WHEN x IS NOT NULL THEN 0.45 ELSE 0 END + CASE WHEN e IS NOT NULL THEN 0.20 ELSE 0 END)::DOUBLE AS w FROM x),
- z AS (SELECT *, greatest(0.0, least(1.0, CASE WHEN w > 0 THEN (coalesce(x * 0.45, 0) + coalesce(e * 0.20, 0)) / w ELSE 0 END + CASE s WHEN 'PASS' THEN 0.10 WHEN 'WARNING' THEN -0.10 ELSE -0.25 END + CASE WHEN c THEN -0.35 ELSE 0 END + CASE WHEN r THEN -0.20 ELSE 0 END))::DOUBLE AS score FROM y)
- SELECT field_id, round(score, 9) AS score, CASE WHEN c OR r THEN 'CONFLICT' WHEN score >= 0.85 THEN 'HIGH' WHEN score >= 0.65 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM z WHERE abs(score - 0.85) > 1e-9 AND abs(score - 0.65) > 1e-9""", "v_fields")
 def r1(fields):
-    out = calibrated(fields)
-    return out.filter((F.abs(F.col("score") - 0.85) > 1e-9) & (F.abs(F.col("score") - 0.65) > 1e-9)).select("field_id", F.round("score", 9).alias("score"), "band")
+    return calibrated(fields).select("field_id", "score", "band")
 
 
 ENTITY = r"trim(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[^\p{{L}}\p{{M}}\p{{N}}_\s./-]', ' ', 'g'), '\s+', ' ', 'g'))"
 DIGITS = r"regexp_replace(regexp_replace(coalesce({x}, ''), '[^0-9./]', '', 'g'), '\.+$', '')"
-NORMED = "nr AS (SELECT record_id, village AS kv, taluka AS kt, " + ", ".join(f"{(DIGITS if f in P.ENTITY_NUMERIC else ENTITY).format(x=f)} AS {f}" for f in P.ENTITY_WEIGHTS) + " FROM v_records)"
+NORMED = "nr AS (SELECT record_id, " + ", ".join(f"{(DIGITS if f in P.ENTITY_NUMERIC else ENTITY).format(x=f)} AS {f}" for f in P.ENTITY_WEIGHTS) + " FROM v_records)"
 SIMS = ", ".join(f"CASE WHEN a.{f} <> '' AND b.{f} <> '' THEN CASE WHEN a.{f} = b.{f} THEN 1.0 ELSE 1 - levenshtein(a.{f}, b.{f})::DOUBLE / greatest(length(a.{f}), length(b.{f})) END END::DOUBLE AS {f}" for f in P.ENTITY_WEIGHTS)
 HAVE = " + ".join(f"CASE WHEN {f} IS NOT NULL THEN {w} ELSE 0 END" for f, w in P.ENTITY_WEIGHTS.items())
 TOTAL = " + ".join(f"coalesce({f} * {w}, 0)" for f, w in P.ENTITY_WEIGHTS.items())
-MATCHES = f"{NORMED}, s AS (SELECT a.record_id AS record_a, b.record_id AS record_b, {SIMS} FROM nr a JOIN nr b ON a.kv = b.kv AND a.kt = b.kt AND a.record_id < b.record_id), t AS (SELECT record_a, record_b, round(({TOTAL})::DOUBLE / ({HAVE})::DOUBLE, 9) AS score FROM s), mt AS (SELECT *, CASE WHEN score >= 0.82 THEN 'POSSIBLE_DUPLICATE' WHEN score >= 0.62 THEN 'POSSIBLE_MATCH' ELSE 'NO_MATCH' END AS decision FROM t)"
-BLOCKS = ("village", "taluka")
+BLOCKS = (("survey_number", "khata_number"), ("survey_number", "village"), ("khata_number", "village"), ("village", "taluka", "area"))
+ON = " OR ".join("(" + " AND ".join(f"a.{k} = b.{k} AND a.{k} <> ''" for k in keys) + ")" for keys in BLOCKS)
+MATCHES = f"{NORMED}, s AS (SELECT a.record_id AS record_a, b.record_id AS record_b, {SIMS} FROM nr a JOIN nr b ON a.record_id < b.record_id AND ({ON})), t AS (SELECT record_a, record_b, round(({TOTAL})::DOUBLE / ({HAVE})::DOUBLE, 9) AS score FROM s), mt AS (SELECT *, CASE WHEN score >= 0.82 THEN 'POSSIBLE_DUPLICATE' WHEN score >= 0.62 THEN 'POSSIBLE_MATCH' ELSE 'NO_MATCH' END AS decision FROM t)"
 
 
 @register("r3_resolve_entities", f", {MATCHES} SELECT record_a, record_b, score, decision FROM mt WHERE decision <> 'NO_MATCH'", "v_records")
@@ -435,4 +420,4 @@ def a17(records):
 
 @register("j10_block_sizes", "SELECT village, taluka, count(*) AS records, count(*) * (count(*) - 1) // 2 AS pairs FROM v_records GROUP BY 1, 2", "v_records")
 def j10(records):
-    return match.block_sizes(records, BLOCKS)
+    return match.block_sizes(records, ("village", "taluka"))

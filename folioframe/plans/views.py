@@ -53,9 +53,9 @@ VIEWS = {
     "v_pairs": """SELECT conv_id, turn, lower(text) AS ref, lower(lead(text) OVER (PARTITION BY conv_id ORDER BY turn)) AS pred FROM {conversations}""",
     "v_uploads": """SELECT page_id AS file_id, CASE page_id % 8 WHEN 0 THEN '' WHEN 1 THEN 'a.exe' WHEN 2 THEN 'scan.PDF' WHEN 3 THEN 'scan.jpeg' ELSE concat('p', page_id, '.pdf') END AS name,
         CASE WHEN page_id % 11 = 0 THEN 'text/html' ELSE 'application/pdf' END AS content_type, CASE WHEN page_id % 13 = 0 THEN '' WHEN page_id % 3 = 0 THEN html ELSE concat('%PDF-1.7 ', html) END AS body FROM {pages}""",
-    "v_incoming": "SELECT doc_id AS file_id, text AS body FROM {documents} WHERE text IS NOT NULL",
-    "v_grids": """SELECT n_regionkey AS doc_id, concat('<p>x</p><table><tr><th>भूमापन क्रमांक</th><th>खाते क्रमांक</th><th>holder &amp; name</th></tr><tr><td>', n_nationkey, '/', n_regionkey, '</td><td>', n_nationkey * 3, '</td><td>', n_name, '<br/>', n_comment_, '</td></tr></table>') AS html, n_nationkey AS n
-        FROM (SELECT *, 'c' AS n_comment_ FROM {nation}) s""",
+    "v_incoming": "SELECT doc_id AS file_id, text AS body FROM {documents}",
+    "v_grids": """SELECT o_orderkey AS doc_id, concat('<p>x</p><table><tr><th>भूमापन क्रमांक</th><th>खाते क्रमांक</th><th>holder &amp; name &#8377;</th></tr><tr><td>', o_custkey, '/', o_orderkey % 9, '</td><td>', o_custkey * 3, '</td><td>', o_orderpriority, '<br/>', 'c', '</td></tr></table>') AS html, o_custkey AS n, o_orderpriority AS tenure
+        FROM {orders}""",
 }
 
 

@@ -67,12 +67,15 @@ def read_word_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str, required: tuple[str, ...]) -> DataFrame:
-    """A CSV with a header (a UTF-8 mark before it is ignored); rows without an image are dropped, missing columns are an error."""
+    """A CSV with a header (a UTF-8 mark before it is ignored), and ``manifest_order``, which ascends with the lines of a file.
+
+    Rows without an image are dropped, missing columns are an error. Values may hold quoted line breaks, so a file is read by one task.
+    """
     df = spark.read.csv(path, header=True, multiLine=True, escape='"')
     df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
     if missing := [c for c in required if c not in df.columns]:
         raise ValueError(f"columns missing in {path}: {', '.join(missing)}")
-    return df.filter("trim(coalesce(image, '')) <> ''")
+    return df.withColumn("manifest_order", F.monotonically_increasing_id()).filter("trim(coalesce(image, '')) <> ''")
 
 
 def import_reference(spark: SparkSession, path: str, mapping: dict[str, str] = REFERENCE) -> DataFrame:

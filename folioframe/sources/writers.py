@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, functions as F
 
 
 def load_table(df: DataFrame, path: str, replace: bool = False) -> int:
-    """Writes rows to a new place, or over the old with ``replace``; what can be read back must be as many as were written."""
+    """Writes rows to a new place, or over the old with ``replace``; what can be read back must be as many as were written.
+
+    The new rows are written beside the old and counted there; only then do they take their place, by renaming.
+    """
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at(path)) and not replace:
+        raise FileExistsError(f"{path} exists")
+    tag = uuid.uuid4().hex
+    new, old = f"{path.rstrip('/')}.new-{tag}", f"{path.rstrip('/')}.old-{tag}"
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite" if replace else "errorifexists").parquet(path)
-    there = df.sparkSession.read.schema(df.schema).parquet(path).count()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(new)
+    there = spark.read.schema(df.schema).parquet(new).count()
     if there != seen.get["n"]:
-        raise RuntimeError(f"{there} rows in {path}, {seen.get['n']} were written")
+        fs.delete(at(new), True)
+        raise RuntimeError(f"{there} rows could be read back for {path}, {seen.get['n']} were written; what was there stays")
+    if fs.exists(at(path)):
+        fs.rename(at(path), at(old))
+    fs.rename(at(new), at(path))
+    fs.delete(at(old), True)
     return there
 
 

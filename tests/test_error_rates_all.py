@@ -34,9 +34,9 @@ def got(df):
 
 
 def test_each(pairs):
-    assert got(Q.n12_all(pairs)) == plain(rate)
-    assert got(Q.n13_all(pairs)) == plain(lambda r, p: rate(r.split(), p.split()))
-    assert got(Q.n9_all(pairs)) == plain(lambda r, p: 0.0 if not r or not p else 1 - edits(r, p) / max(len(r), len(p)))
+    assert got(Q.n12(pairs)) == plain(rate)
+    assert got(Q.n13(pairs)) == plain(lambda r, p: rate(r.split(), p.split()))
+    assert got(Q.n9(pairs)) == plain(lambda r, p: 0.0 if not r or not p else 1 - edits(r, p) / max(len(r), len(p)))
 
 
 def test_mean(pairs):

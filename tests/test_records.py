@@ -169,12 +169,12 @@ def test_reference_match_and_locations(spark):
 def test_entity_resolution(spark):
     rows = [(1, 1, "Ram Rao", "124/3", "5", "W", "H", "P", "1.5"), (2, 2, "Ram Rao", "124/3", "5", "W", "H", "P", "1.5"), (3, 3, "Zz", "9", "7", "W", "Q", "P", "8"), (4, 4, None, "", None, None, None, None, None)]
     rec = spark.createDataFrame(rows, "record_id int, document_id int, owner string, survey_number string, khata_number string, village string, taluka string, district string, area string").withColumn("k", F.lit(1))
-    every = {(r.record_a, r.record_b): r for r in match.resolve_entities(rec, ("k",), include_no_match=True).collect()}
+    every = {(r.record_a, r.record_b): r for r in match.resolve_entities(rec, (("k",),), include_no_match=True).collect()}
     assert len(every) == 6 and every[(1, 2)].decision == "POSSIBLE_DUPLICATE" and every[(1, 2)].score == pytest.approx(1.0) and len(every[(1, 2)].reasons) == 6
     assert every[(1, 3)].decision == "NO_MATCH" and every[(1, 4)].decision == "INSUFFICIENT_DATA" and every[(1, 4)].compared_fields == {}
-    kept = match.resolve_entities(rec, ("k",))
+    kept = match.resolve_entities(rec, (("k",),))
     assert kept.filter("decision = 'NO_MATCH'").count() == 0
-    c = match.match_counters(rec, match.resolve_entities(rec, ("k",), include_no_match=True)).first()
+    c = match.match_counters(rec, match.resolve_entities(rec, (("k",),), include_no_match=True)).first()
     assert (c.records, c.comparisons, c.flagged) == (4, 6, 1)
 
 

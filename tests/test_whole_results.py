@@ -6,7 +6,7 @@ from folioframe.plans import q_fields as Q
 
 def test_strongest_of_all_rules_and_default(spark):
     results = spark.createDataFrame([(1, "rule_1", "REVIEW"), (1, "rule_0", "WARNING"), (2, "rule_1", "WARNING")], "field_id int, rule_name string, status string")
-    got = Q.a6_all(results, spark.createDataFrame([(1,), (2,), (3,)], "field_id int")).collect()
+    got = Q.a6(results, spark.createDataFrame([(1,), (2,), (3,)], "field_id int")).collect()
     assert {r.field_id: r.validation_status for r in got} == {1: "REVIEW", 2: "WARNING", 3: "PASS"}
 
 
