@@ -33,6 +33,13 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library wrote."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Tells rows apart by id and text; equal rows share it, and get equal answers."""
     return F.xxhash64(F.col(doc_id), F.col(text))
