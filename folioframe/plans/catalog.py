@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioframe.plans import q_documents, q_fields, q_quality
+from folioframe.plans import q_documents, q_fields, q_quality, q_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
-    return {**q_fields.QUERIES, **q_documents.QUERIES, **q_quality.QUERIES}
+    return {**q_fields.QUERIES, **q_documents.QUERIES, **q_quality.QUERIES, **q_sources.QUERIES}
 
 
 def queries() -> dict[str, Query]:

@@ -45,9 +45,12 @@ def content_hash(c: Column | str) -> Column:
     return F.sha2(F.col(c) if isinstance(c, str) else c, 256)
 
 
-def read_layout_json(spark: SparkSession, path: str) -> DataFrame:
-    """(image, block_order, label, type, bbox, conf, text) of layout-OCR files; malformed files are skipped, images are file names."""
-    raw = spark.read.schema(LAYOUT).json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+def read_layout_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(image, block_order, label, type, bbox, conf, text) of layout-OCR files; malformed files are skipped, images are file names.
+
+    A file is one record, or with ``lines`` holds one a line, so that many small records are read in parallel.
+    """
+    raw = spark.read.schema(LAYOUT).json(path, multiLine=not lines, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
     b = raw.filter("_corrupt_record IS NULL AND image IS NOT NULL").select(F.regexp_extract("image", "[^/\\\\]+$", 0).alias("image"), F.explode("blocks").alias("b"))
     corner = lambda i: F.try_element_at("b.bbox_xyxy", F.lit(i))
     box = F.struct(corner(1).alias("x"), corner(2).alias("y"), (corner(3) - corner(1)).alias("width"), (corner(4) - corner(2)).alias("height"))
@@ -78,9 +81,9 @@ def read_manifest(spark: SparkSession, path: str, required: tuple[str, ...]) ->
     return df.withColumn("manifest_order", F.monotonically_increasing_id()).filter("trim(coalesce(image, '')) <> ''")
 
 
-def import_reference(spark: SparkSession, path: str, mapping: dict[str, str] = REFERENCE) -> DataFrame:
-    """The records of hierarchy files whose status is success: renamed, trimmed, blanks null."""
+def import_reference(spark: SparkSession, path: str, mapping: dict[str, str] = REFERENCE, lines: bool = False) -> DataFrame:
+    """The records of hierarchy files whose status is success: renamed, trimmed, blanks null. A file is one object, or with ``lines`` holds one a line."""
     record = ", ".join(f"{k}: string" for k in mapping)
-    raw = spark.read.schema(f"status string, data array<struct<{record}>>").json(path, multiLine=True)
+    raw = spark.read.schema(f"status string, data array<struct<{record}>>").json(path, multiLine=not lines)
     rows = raw.filter("status = 'success'").select(F.inline("data"))
     return rows.select(*[blank_to_null(k).alias(v) for k, v in mapping.items()])
