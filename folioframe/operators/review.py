@@ -26,15 +26,26 @@ def audit_rows(fields: DataFrame, actions: DataFrame) -> DataFrame:
     return own.select("action_id", "field_id", "action", before.alias("old_value"), after.alias("new_value"), decision.alias("decision"), "reason", "ts")
 
 
+def last_decisions(actions: DataFrame) -> DataFrame:
+    """(field_id, decision, edited) of each field with a valid action: what its last action decided, and the value of its last EDIT.
+
+    On a stream this is a keyed state: one row a field, whatever the number of actions.
+    """
+    edit = F.col("action") == "EDIT"
+    status = F.create_map(*[F.lit(x) for kv in DECISIONS.items() for x in kv])
+    last = valid_actions(actions).groupBy("field_id").agg(F.max_by("action", F.struct("ts", "action_id")).alias("_a"), F.max_by(F.when(edit, F.trim("new_value")), F.when(edit, F.struct("ts", "action_id"))).alias("edited"))
+    return last.select("field_id", status[F.col("_a")].alias("decision"), "edited")
+
+
+def with_decisions(fields: DataFrame, decisions: DataFrame) -> DataFrame:
+    out = fields.join(decisions.withColumnsRenamed({"decision": "_d", "edited": "_v"}), "field_id", "left")
+    out = out.withColumns({"value": F.coalesce("_v", "value"), "normalized_value": F.coalesce(F.lower("_v"), "normalized_value"), "validation_status": F.coalesce("_d", "validation_status")})
+    return out.select(*fields.columns)
+
+
 def apply_reviews(fields: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(fields, audit): the last action decides a field's status, the last EDIT its value; normalised is the lower-cased value."""
-    own = valid_actions(actions)
-    edit = F.col("action") == "EDIT"
-    last = own.groupBy("field_id").agg(F.max_by("action", F.struct("ts", "action_id")).alias("_a"), F.max_by(F.when(edit, F.trim("new_value")), F.when(edit, F.struct("ts", "action_id"))).alias("_v"))
-    status = F.create_map(*[F.lit(x) for kv in DECISIONS.items() for x in kv])[F.col("_a")]
-    out = fields.join(last, "field_id", "left")
-    out = out.withColumns({"value": F.coalesce("_v", "value"), "normalized_value": F.coalesce(F.lower("_v"), "normalized_value"), "validation_status": F.coalesce(status, "validation_status")}).drop("_a", "_v")
-    return out.select(*fields.columns), audit_rows(fields, actions)
+    return with_decisions(fields, last_decisions(actions)), audit_rows(fields, actions)
 
 
 def review_policy(actions: DataFrame) -> DataFrame:

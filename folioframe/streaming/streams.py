@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from folioframe.operators.review import apply_reviews, valid_actions
+from folioframe.operators.review import apply_reviews, last_decisions, valid_actions
 
 
 def dedup_uploads(uploads: DataFrame, ts: str = "ts", within: str = "1 day", key: str = "sha256") -> DataFrame:
@@ -17,6 +17,14 @@ def review_counts(actions: DataFrame, ts: str = "ts", late: str = "10 minutes",
     return actions.withWatermark(ts, late).groupBy(F.window(ts, width), F.col("status")).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "status", "n")
 
 
+def live_decisions(actions: DataFrame) -> DataFrame:
+    """The last decision and edit of each field, kept as the query's state; in update mode a batch gives the fields that it changed.
+
+    ``review.with_decisions`` puts them on the fields.
+    """
+    return last_decisions(actions)
+
+
 def fold_reviews(actions: DataFrame, path: str, checkpoint: str):
     """Starts a query that appends the valid actions to a log, batch by batch; ``folded`` reads the fields' state from it.
 

@@ -98,6 +98,15 @@ def test_review_fold_equals_the_batch(spark, tmp_path):
     assert sorted(map(str, audit.collect())) == sorted(map(str, want_audit.collect()))
 
 
+def test_live_decisions_equal_the_batch(spark, tmp_path):
+    df = actions(spark)
+    fields = spark.createDataFrame([(f"f{i}", f"S{i}", f"s{i}", "PENDING") for i in range(5)], "field_id string, value string, normalized_value string, validation_status string")
+    q = streams.live_decisions(stream_of(spark, df, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("decisions").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = review.with_decisions(fields, spark.table("decisions"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, review.apply_reviews(fields, df)[0].collect()))
+
+
 def test_upload_dedup(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     df = spark.createDataFrame([(i, f"h{i % 4}", t + dt.timedelta(minutes=i)) for i in range(20)], "file_id long, sha256 string, ts timestamp")
