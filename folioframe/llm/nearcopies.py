@@ -240,21 +240,27 @@ def verified(docs: DataFrame, pairs: DataFrame, rows: DataFrame, shingle: int =
     return checkpointed(both.filter(inter * (SIMILAR[0] + SIMILAR[1]) >= SIMILAR[0] * (F.size("ga") + F.size("gb"))).select("a", "b"))
 
 
-def alike_by_prefix(docs: DataFrame, classes: DataFrame, apart, shingle: int) -> DataFrame:
+def alike_by_prefix(docs: DataFrame, classes: DataFrame, shingle: int, part_rows: int = 32) -> DataFrame:
     """(a, b): all pairs of classes (class, row, label, size) of unlike labels that can be alike.
 
     Two alike sets share one of the rarest fifth (and one more) of their shingles, whatever order all agree on. A passage
-    that very many texts hold is last in that order, so what only shares it isn't paired.
+    that very many texts hold is last in that order, so what only shares it isn't paired. The classes of a shingle are
+    compared in parts of about ``part_rows``, each with all the others, so that a frequent one isn't one task's.
     """
     classes = checkpointed(classes)
     tok = checkpointed(classes.join(sets_of(docs, classes, shingle), "class").select("class", "label", "size", F.explode("grams").alias("gram")))
-    often = tok.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    order = W.partitionBy("class").orderBy(F.coalesce("n", F.lit(1)), "gram")
-    first = tok.join(often, "gram", "left").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.floor(F.col("size") * (SIMILAR[1] - SIMILAR[0]) / SIMILAR[1]) + 1)
-    own = apart(checkpointed(first.filter("n > 1").select("gram", "class", "label", "size")), "gram")
-    x, y = own.alias("x"), own.alias("y")
+    often = tok.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("times", F.col("n"))
+    order = W.partitionBy("class").orderBy(F.coalesce("times", F.lit(1)), "gram")
+    first = spread_join(tok, often, "gram", "n", tok.count()).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.floor(F.col("size") * (SIMILAR[1] - SIMILAR[0]) / SIMILAR[1]) + 1)
+    own = checkpointed(first.filter("times > 1").select("gram", "class", "label", "size"))
+    # Shingles whose classes are one component already are done.
+    marks = own.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
+    marks = marks.select("gram", "n", F.ceil(F.col("n") / part_rows).cast("int").alias("parts"))
+    own = checkpointed(spread_join(own, marks, "gram", "n", own.count()).filter("parts IS NOT NULL"))
+    x = own.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).alias("x")
+    y = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
     fits = SIMILAR[1] * F.least("x.size", "y.size") >= SIMILAR[0] * F.greatest("x.size", "y.size")
-    on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.label") != F.col("y.label"))
+    on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.label") != F.col("y.label"))
     return x.join(y, on & fits).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
 
 
@@ -272,7 +278,7 @@ def near_copy_labels(docs: DataFrame, shingle: int = SHINGLE, nearest: int = NEA
         at = checkpointed(at.join(reps.select("class", "row", "size"), "class"))
         # Keys whose classes are one component already are done.
         apart = lambda df, c: df.join(df.groupBy(c).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(c), c, "left_semi")
-        more = alike_by_prefix(docs, apart(at, "key").select("class", "row", "label", "size").distinct(), apart, shingle)
+        more = alike_by_prefix(docs, apart(at, "key").select("class", "row", "label", "size").distinct(), shingle)
         label = components(links.unionByName(verified(docs, more, rows, shingle)))
     at = reps.join(label, reps["class"] == label["node"], "left").select("class", "n", F.coalesce("label", "class").alias("label"))
     return own.select("doc_id", "row", "class"), checkpointed(at)
