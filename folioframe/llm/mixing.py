@@ -119,8 +119,13 @@ def _placed(sized: DataFrame, bare: DataFrame, weights: tuple[int, ...], most: i
         return df.withColumn("part", F.col("rate") % UNIT)
 
     block = rated(bare).groupBy("source", "kind", "b").agg(F.sum("part").alias("sum"))
-    before = W.partitionBy("source").orderBy("kind", "b").rowsBetween(W.unboundedPreceding, -1)
-    block = block.select(F.col("source").alias("_s"), F.col("kind").alias("_k"), F.col("b").alias("_b"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"))
+    # Sums before a size class of the source, a few hundred, and before a block of the class, 4,096 at most: no task holds all of a source.
+    earlier = lambda keys, by, c: F.coalesce(F.sum(c).over(W.partitionBy(*keys).orderBy(by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    kinds = block.groupBy("source", "kind").agg(F.sum("sum").alias("sum"))
+    kinds = kinds.select(F.col("source").alias("_s"), F.col("kind").alias("_k"), earlier(["source"], "kind", "sum").alias("kind_before"))
+    block = block.withColumn("block_before", earlier(["source", "kind"], "b", "sum"))
+    block = block.join(kinds, F.col("source").eqNullSafe(F.col("_s")) & (F.col("kind") == F.col("_k")))
+    block = block.select("_s", "_k", F.col("b").alias("_b"), (F.col("kind_before") + F.col("block_before")).alias("before"))
     walk = W.partitionBy("source", "kind", "b").orderBy("o", F.col("id").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
     j = rated(sized).withColumn("own", F.coalesce(F.sum("part").over(walk), F.lit(0)))
     j = j.join(block, F.col("source").eqNullSafe(F.col("_s")) & (F.col("kind") == F.col("_k")) & (F.col("b") == F.col("_b")))
