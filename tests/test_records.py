@@ -101,7 +101,7 @@ def test_similarities_and_error_rates(spark):
     df = spark.createDataFrame([("kitten", "sitting"), ("", "x"), ("same", "same")], "a string, b string")
     got = [r[0] for r in df.select(S.similarity(F.col("a"), F.col("b"), "ratcliff")).collect()]
     assert got == [SequenceMatcher(None, "kitten", "sitting").ratio(), 0.0, 1.0]
-    assert df.select(S.nfkc(F.lit("ﬁ")).alias("x")).first().x == "fi"
+    assert df.select(T.nfkc(F.lit("ﬁ")).alias("x")).first().x == "fi"
     assert lit(spark, S.label_score, "owner name", "owner name") == 1 and lit(spark, S.label_score, "the owner name", "owner name") == 0.94
     assert lit(spark, S.identity_match, "12", "x12", "") and lit(spark, S.identity_match, "12", "", "a 12 b") and not lit(spark, S.identity_match, "12", "", "a 123 b")
 
