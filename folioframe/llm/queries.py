@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioframe.llm import decontaminate, language, licences, mixing, passages, quality, sharding, simhash, suffixes, topk
+from folioframe.llm import decontaminate, exact, language, licences, mixing, passages, quality, sharding, simhash, suffixes, topk
 from folioframe.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner(table(spark, sf_dir, "embeddings"))
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"), largest=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licences": op1_licences,
@@ -62,8 +66,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_suffixes": op9_suffixes,
         "op10_topk": op10_topk,
+        "op11_exact": op11_exact,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE, "op6_sharding": sharding.ORACLE, "op10_topk": topk.ORACLE}
+    return {"op3_mixing": mixing.ORACLE, "op6_sharding": sharding.ORACLE, "op10_topk": topk.ORACLE, "op11_exact": exact.ORACLE}
