@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioframe.llm import decontaminate, exact, language, licences, mixing, passages, quality, sharding, simhash, suffixes, topk
+from folioframe.llm import decontaminate, exact, language, licences, mixing, passages, quality, sharding, simhash, suffixes, topk, variants
 from folioframe.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"), largest=True)
 
 
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(variants.vocabulary(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licences": op1_licences,
@@ -67,8 +71,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffixes": op9_suffixes,
         "op10_topk": op10_topk,
         "op11_exact": op11_exact,
+        "op13_variants": op13_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE, "op6_sharding": sharding.ORACLE, "op10_topk": topk.ORACLE, "op11_exact": exact.ORACLE}
+    return {"op3_mixing": mixing.ORACLE, "op6_sharding": sharding.ORACLE, "op10_topk": topk.ORACLE, "op11_exact": exact.ORACLE, "op13_variants": variants.ORACLE}
