@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioframe.llm import decontaminate, exact, language, licences, mixing, passages, quality, sharding, simhash, suffixes, topk, variants
+from folioframe.llm import decontaminate, exact, language, licences, mixing, negatives, passages, quality, sharding, simhash, suffixes, topk, variants
 from folioframe.llm.common import table
 
 
@@ -54,6 +54,11 @@ def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"), largest=True)
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    return negatives.hard_negatives(v.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
 def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(variants.vocabulary(table(spark, sf_dir, "documents")))
 
@@ -71,9 +76,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffixes": op9_suffixes,
         "op10_topk": op10_topk,
         "op11_exact": op11_exact,
+        "op12_negatives": op12_negatives,
         "op13_variants": op13_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE, "op6_sharding": sharding.ORACLE, "op10_topk": topk.ORACLE, "op11_exact": exact.ORACLE, "op13_variants": variants.ORACLE}
+    return {"op3_mixing": mixing.ORACLE, "op6_sharding": sharding.ORACLE, "op10_topk": topk.ORACLE, "op11_exact": exact.ORACLE, "op12_negatives": negatives.ORACLE, "op13_variants": variants.ORACLE}
