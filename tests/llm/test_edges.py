@@ -34,7 +34,7 @@ def tables(spark, odd_docs, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", sorted(q for q in queries.queries() if q != "op10_topk"))
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - {"op10_topk", "op12_negatives", "op13_variants"}))
 def test_operators_return_a_row_for_each_row(spark, tables, name):
     docs = spark.read.parquet(f"{tables}/odd/documents.parquet")
     got = queries.queries()[name](spark, f"{tables}/odd").collect()
