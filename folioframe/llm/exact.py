@@ -35,13 +35,13 @@ def _runs(docs: DataFrame, normalise: Callable[[Column], Column] | None, largest
     d = d.join(F.broadcast(many), F.col("_h") == F.col("_mh"), "left").drop("_mh")
     part = F.pmod(F.xxhash64("_id", F.spark_partition_id()), F.ceil(F.col("_mn") * most / F.lit(total)).cast("long"))
     d = d.withColumns({"_part": F.when(F.col("_mn").isNotNull(), part), "_lead": F.substring("_t", 1, LEAD)}).drop("_mn")
-    run = W.partitionBy("_lead", "_h", "_t", "_part")
-    led = F.col("_id").desc_nulls_last() if largest else F.col("_id").asc_nulls_last()
+    run = W.partitionBy("_lead", "_h", "_t", "_part").orderBy(F.col("_id").desc_nulls_last() if largest else F.col("_id").asc_nulls_last())
+    whole = run.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     # The window's keys hold the range partitioning's, so that it sorts what is there and exchanges nothing.
     return d.repartitionByRange("_lead", "_h", "_part").withColumns({
-        "_n": F.count(F.lit(1)).over(run),
-        "_best": (F.max if largest else F.min)("_id").over(run),
-        "_first": F.row_number().over(run.orderBy(led)) == 1,
+        "_n": F.count(F.lit(1)).over(whole),
+        "_best": F.first("_id").over(whole),
+        "_first": F.row_number().over(run) == 1,
     })
 
 
