@@ -400,12 +400,18 @@ HAVE = " + ".join(f"CASE WHEN {f} IS NOT NULL THEN {w} ELSE 0 END" for f, w in P
 TOTAL = " + ".join(f"coalesce({f} * {w}, 0)" for f, w in P.ENTITY_WEIGHTS.items())
 BLOCKS = (("survey_number", "khata_number"), ("survey_number", "village"), ("khata_number", "village"), ("village", "taluka", "area"))
 ON = " OR ".join("(" + " AND ".join(f"a.{k} = b.{k} AND a.{k} <> ''" for k in keys) + ")" for keys in BLOCKS)
-MATCHES = f"{NORMED}, s AS (SELECT a.record_id AS record_a, b.record_id AS record_b, {SIMS} FROM nr a JOIN nr b ON a.record_id < b.record_id AND ({ON})), t AS (SELECT record_a, record_b, round(({TOTAL})::DOUBLE / ({HAVE})::DOUBLE, 9) AS score FROM s), mt AS (SELECT *, CASE WHEN score >= 0.82 THEN 'POSSIBLE_DUPLICATE' WHEN score >= 0.62 THEN 'POSSIBLE_MATCH' ELSE 'NO_MATCH' END AS decision FROM t)"
+MATCHES = f"{NORMED}, s AS (SELECT a.record_id AS record_a, b.record_id AS record_b, {SIMS} FROM nr a JOIN nr b ON a.record_id < b.record_id), t AS (SELECT record_a, record_b, round(({TOTAL})::DOUBLE / ({HAVE})::DOUBLE, 9) AS score FROM s), mt AS (SELECT *, CASE WHEN score >= 0.82 THEN 'POSSIBLE_DUPLICATE' WHEN score >= 0.62 THEN 'POSSIBLE_MATCH' ELSE 'NO_MATCH' END AS decision FROM t)"
 
 
 @register("r3_resolve_entities", f", {MATCHES} SELECT record_a, record_b, score, decision FROM mt WHERE decision <> 'NO_MATCH'", "v_records")
 def r3(records):
-    return match.rank_matches(match.resolve_entities(records, BLOCKS)).select("record_a", "record_b", F.round("score", 9).alias("score"), "decision")
+    return match.rank_matches(match.resolve_entities(records)).select("record_a", "record_b", "score", "decision")
+
+
+@register("r3_duplicates", f", {MATCHES} SELECT record_a, record_b, score FROM mt WHERE decision = 'POSSIBLE_DUPLICATE'", "v_records")
+def r3_duplicates(records):
+    """No pairs but those that agree in a field that two duplicates must share."""
+    return match.resolve_entities(records, least=P.DUPLICATE_SCORE).select("record_a", "record_b", "score")
 
 
 @register("r2_compare_pairs_ratcliff", None, "v_records")
@@ -413,7 +419,7 @@ def r2(records):
     return match.resolve_entities(records, BLOCKS, include_no_match=True, method="ratcliff")
 
 
-@register("a17_match_counters", f", {MATCHES} SELECT (SELECT count(*) FROM v_records) AS records, count(*) AS comparisons, count(*) FILTER (decision <> 'NO_MATCH') AS flagged FROM mt", "v_records")
+@register("a17_match_counters", f", {MATCHES.replace('a.record_id < b.record_id', f'a.record_id < b.record_id AND ({ON})')} SELECT (SELECT count(*) FROM v_records) AS records, count(*) AS comparisons, count(*) FILTER (decision <> 'NO_MATCH') AS flagged FROM mt", "v_records")
 def a17(records):
     return match.match_counters(records, match.resolve_entities(records, BLOCKS, include_no_match=True))
 
