@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from folioframe import presets as P
 from folioframe.functions.similarity import identity_match, label_score
-from folioframe.functions.text import clean_html_cell, eval_text
+from folioframe.functions.text import clean_html_cell, eval_text, let, pinned
 
 CELLS = ("doc_id", "table_no", "row", "col", "text", "header")
 
@@ -41,56 +41,72 @@ def html_tables(docs: DataFrame, html: str = "html") -> DataFrame:
     return parts.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("_w.n") - 1), one)).alias("table_no", "table_html"))
 
 
-def raw_cells(tables: DataFrame) -> DataFrame:
-    """(doc_id, table_no, row, n, text, header, rowspan, colspan): cells in source order.
+def _span(td: Column, kind: str) -> Column:
+    """A cell's rowspan or colspan; what isn't a positive number is 1."""
+    tag = F.lower(F.substring_index(td, ">", 1))
+    said = F.regexp_extract(tag, f"\\b{kind}\\s*=\\s*[\"']?([0-9]+)", 1).try_cast("int")
+    return F.when(tag.contains(kind), F.greatest(F.lit(1), F.coalesce(said, F.lit(1)))).otherwise(1)
 
-    A span that isn't a positive number is 1; one of rows ends with the table, one of columns at MOST_COLUMNS.
+
+def _places(spans: Column) -> Column:
+    """array of (row, col, src): where the cells of a table come to stand, src their number in source order, from rows of (down, across).
+
+    A fold over rows, and over the cells of a row inside. Its state has, for each column, how many rows it is still covered from above
+    and by which cell; a cell takes the first columns from its place on that nothing covers. One task holds one table, whatever its spans.
     """
-    found = F.regexp_extract_all("table_html", F.lit("(?is)<tr\\b.*?(?=</tr>|<tr\\b|</table>)"), F.lit(0))
-    rows = tables.select("doc_id", "table_no", F.size(found).alias("_rows"), F.posexplode(found).alias("row", "tr"))
-    cells = rows.select("doc_id", "table_no", "_rows", "row", F.posexplode(F.regexp_extract_all("tr", F.lit("(?is)<t[dh]\\b.*?(?=</t[dh]>|<t[dh]\\b|$)"), F.lit(0))).alias("n", "td"))
-    span = lambda k, most: F.least(most, F.greatest(F.lit(1), F.coalesce(F.regexp_extract("td", f"(?is)^<t[dh]\\b[^>]*\\b{k}\\s*=\\s*[\"']?([0-9]+)", 1).try_cast("int"), F.lit(1)))).cast("int")
-    body = F.regexp_replace(F.regexp_replace(F.regexp_replace("td", "(?is)^<t[dh]\\b[^>]*>", ""), "(?i)<br\\s*/?>", " "), "<[^>]*>", " ")
-    return cells.select("doc_id", "table_no", "row", "n", clean_html_cell(body).alias("text"), F.col("td").rlike("(?is)^<th\\b").alias("header"), span("rowspan", F.col("_rows") - F.col("row")).alias("rowspan"), span("colspan", F.lit(MOST_COLUMNS)).alias("colspan"))
+    none = F.array().cast("array<int>")
+    start = F.struct(none.alias("left"), none.alias("src"), F.lit(0).alias("k"), F.array().cast("array<array<struct<row:int,col:int,src:int>>>").alias("out"))
+
+    def cell(s: Column, c: Column) -> Column:
+        wide = F.size(s["now"])
+        free = F.array_position(F.slice(s["now"], s["col"] + 1, F.greatest(wide - s["col"], F.lit(0))), False).cast("int")
+        at = F.when(free > 0, s["col"] + free - 1).otherwise(F.greatest(s["col"], wide))
+
+        def put(col: Column) -> Column:
+            end = F.least(col + c["across"], F.lit(MOST_COLUMNS))
+            taken = lambda i: F.coalesce(F.get(s["now"], i), F.lit(False))
+            new = lambda i: (i >= col) & (i < end) & ~taken(i)
+            at_each = lambda f: F.transform(F.sequence(F.lit(0), F.greatest(wide, end) - 1), f)
+            return F.struct(
+                at_each(lambda i: taken(i) | new(i)).alias("now"), at_each(lambda i: F.when(new(i), c["down"] - 1).otherwise(F.coalesce(F.get(s["left"], i), F.lit(0)))).alias("left"),
+                at_each(lambda i: F.when(new(i), s["k"]).otherwise(F.coalesce(F.get(s["src"], i), F.lit(0)))).alias("src"), (col + c["across"]).alias("col"), (s["k"] + 1).alias("k"),
+            )
+
+        return let(at, put)
+
+    def row(a: Column, cells: Column) -> Column:
+        begun = F.struct(F.transform(a["left"], lambda x: x > 0).alias("now"), F.transform(a["left"], lambda x: F.greatest(x - 1, F.lit(0))).alias("left"), a["src"].alias("src"), F.lit(0).alias("col"), a["k"].alias("k"))
+        number = F.size(a["out"])
+
+        def ended(s: Column) -> Column:
+            held = F.filter(F.transform(s["now"], lambda on, i: F.struct(number.alias("row"), F.when(on, i).otherwise(-1).alias("col"), F.get(s["src"], i).alias("src"))), lambda p: p["col"] >= 0)
+            return F.struct(s["left"].alias("left"), s["src"].alias("src"), s["k"].alias("k"), F.concat(a["out"], F.array(held)).alias("out"))
+
+        return let(F.aggregate(cells, begun, cell), ended)
+
+    return F.flatten(F.aggregate(spans, start, row)["out"])
 
 
 def html_table_cells(docs: DataFrame, html: str = "html") -> DataFrame:
-    """The cell grid of every table, spans filled. Placing spans is sequential in a table, so each table with a span is one group; cells
-    beyond MOST_COLUMNS are left out there, as a browser does."""
-    import pandas as pd
-
-    raw = raw_cells(html_tables(docs, html))
-    wide = F.max((F.col("rowspan") > 1) | (F.col("colspan") > 1)).over(W.partitionBy("doc_id", "table_no"))
-    raw = raw.withColumn("_w", wide)
-    plain = raw.filter("NOT _w").select("doc_id", "table_no", "row", F.col("n").alias("col"), "text", "header")
-    most = MOST_COLUMNS
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, str, bool]] = []
-        below: dict[int, tuple[int, str, bool]] = {}  # column -> rows still covered from above, and what covers them
-        at = pdf.sort_values(["row", "n"]).groupby("row")
-        for r in range(int(pdf["row"].max()) + 1):
-            now = {c: v for c, v in below.items() if v[0] > 0}
-            below = {c: (v[0] - 1, *v[1:]) for c, v in now.items()}
-            out += [(r, c, v[1], v[2]) for c, v in sorted(now.items())]
-            if r not in at.groups:
-                continue
-            group, col = at.get_group(r), 0
-            for text, header, down, across in zip(group["text"], group["header"], group["rowspan"], group["colspan"], strict=True):
-                while col in now:
-                    col += 1
-                for x in range(col, min(col + across, most)):
-                    if x not in now:
-                        now[x] = (0, text, header)
-                        out.append((r, x, text, header))
-                        below[x] = (down - 1, text, header)
-                col += across
-        rows, cols, texts, headers = zip(*out, strict=True)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "table_no": pdf["table_no"].iloc[0], "row": rows, "col": cols, "text": texts, "header": headers})
-
-    kind = dict(raw.dtypes)["doc_id"]
-    spanned = raw.filter("_w").drop("_w").groupBy("doc_id", "table_no").applyInPandas(place, f"doc_id {kind}, table_no int, row int, col int, text string, header boolean")
-    return plain.unionByName(spanned)
+    """The cell grid of every table, spans filled, in the JVM but for character references.
+
+    A span of rows ends with the last row that has a cell, one of columns at MOST_COLUMNS, and cells beyond those are left out, as a browser does.
+    """
+    t = html_tables(docs, html)
+    found = F.regexp_extract_all("table_html", F.lit("(?is)<tr\\b.*?(?=</tr>|<tr\\b|</table>)"), F.lit(0))
+    rows = F.transform(found, lambda tr: F.regexp_extract_all(tr, F.lit("(?is)<t[dh]\\b.*?(?=</t[dh]>|<t[dh]\\b|$)"), F.lit(0)))
+    t = pinned(t.select("doc_id", "table_no", "table_html"), _rows=rows).select("doc_id", "table_no", "_rows")
+    most = F.size("_rows")
+    spans = F.transform("_rows", lambda r, i: F.transform(r, lambda td: F.struct(F.least(most - i, _span(td, "rowspan")).alias("down"), F.least(F.lit(MOST_COLUMNS), _span(td, "colspan")).alias("across"))))
+    last = F.array_max(F.transform("_rows", lambda r, i: F.when(F.size(r) > 0, i + 1).otherwise(0)))
+    t = pinned(t, _tds=F.flatten("_rows"), _spans=F.slice(spans, F.lit(1), last)).filter(F.size("_tds") > 0).select("doc_id", "table_no", "_tds", "_spans")
+    spanned = F.exists("_spans", lambda r: F.exists(r, lambda c: (c["down"] > 1) | (c["across"] > 1)))
+    plain = F.flatten(F.transform("_spans", lambda r, i: F.transform(r, lambda c, j: F.struct(i.alias("row"), j.alias("col"), F.lit(0).alias("src")))))
+    numbered = F.transform(plain, lambda p, k: F.struct(p["row"].alias("row"), p["col"].alias("col"), k.alias("src")))
+    t = pinned(t, _places=F.when(spanned, _places(F.col("_spans"))).otherwise(numbered))
+    c = t.select("doc_id", "table_no", F.inline(F.transform("_places", lambda p: F.struct(p["row"].alias("row"), p["col"].alias("col"), F.get("_tds", p["src"]).alias("td")))))
+    body = F.regexp_replace(F.regexp_replace(F.regexp_replace("td", "(?is)^<t[dh]\\b[^>]*>", ""), "(?i)<br\\s*/?>", " "), "<[^>]*>", " ")
+    return c.filter(F.col("col") < MOST_COLUMNS).select("doc_id", "table_no", "row", "col", clean_html_cell(body).alias("text"), F.col("td").rlike("(?is)^<th\\b").alias("header"))
 
 
 def table_summary(cells: DataFrame) -> DataFrame:
@@ -167,16 +183,22 @@ def positional_fields(cells: DataFrame, names: tuple[str, ...] = ("survey_number
 
 
 def harvest_candidates(cells: DataFrame, account: str = "खाते क्रमांक", local: str = "शेताचे स्थानिक नाव", units: tuple[str, ...] = ("हेक्टर", "आर"), words: tuple[str, ...] = P.VALUE_ALIASES["जिरायत"]) -> DataFrame:
-    """(doc_id, field, candidate): positional cells, the cell right of an account label, all cells right of a local-name label, and cells with a land word."""
-    at = lambda i, name, ok=F.lit(True): cells.filter((F.col("row") == 1) & (F.col("col") == i) & (F.col("text") != "") & ok).select("doc_id", F.lit(name).alias("field"), F.col("text").alias("candidate"))
-    out = at(0, "survey_gat_number", eval_text("text", "digits") != "").unionByName(at(1, "sub_division")).unionByName(at(2, "land_tenure"))
-    keys = ["doc_id", "table_no", "row"]
-    lab = lambda phrase: cells.filter(F.lower("text").contains(phrase)).select(*keys, F.col("col").alias("_c"))
-    right = cells.join(lab(account), keys).filter("col = _c + 1 AND text <> ''").select("doc_id", F.lit("account_number").alias("field"), F.col("text").alias("candidate"))
-    every = cells.join(lab(local), keys).filter(F.col("col") > F.col("_c")).filter((F.col("text") != "") & ~F.lower("text").isin(*units) & ~F.col("text").startswith("Not for legal purpose"))
-    every = every.select("doc_id", F.lit("local_field_name").alias("field"), F.col("text").alias("candidate"))
+    """(doc_id, field, candidate): positional cells, the cell right of an account label, all cells right of a local-name label, and cells with a land word.
+
+    The cells are read once: a window along each row tells what stands to the left, and a cell comes out once for each of its roles, once
+    more for every further local-name label to its left.
+    """
+    at = W.partitionBy("doc_id", "table_no", "row").orderBy("col")
+    low = F.lower("text")
+    c = cells.select("doc_id", "table_no", "row", "col", "text").withColumns({"_account": (F.lag(low.contains(account)).over(at) & (F.lag("col").over(at) == F.col("col") - 1)), "_local": F.count_if(low.contains(local)).over(at.rowsBetween(W.unboundedPreceding, -1))})
+    full = F.col("text") != ""
+    first = lambda i, ok=full: (F.col("row") == 1) & (F.col("col") == i) & ok
+    named = full & ~low.isin(*units) & ~F.col("text").startswith("Not for legal purpose")
     held = F.exists(F.array(*map(F.lit, words)), lambda w: F.col("text").contains(w))
-    return out.unionByName(right).unionByName(every).unionByName(cells.filter(held).select("doc_id", F.lit("local_field_name").alias("field"), F.col("text").alias("candidate")))
+    times = {"survey_gat_number": [first(0, full & (eval_text("text", "digits") != ""))], "sub_division": [first(1)], "land_tenure": [first(2)], "account_number": [F.col("_account") & full], "local_field_name": [held]}
+    roles = [F.when(F.coalesce(ok, F.lit(False)), F.array(F.lit(f))).otherwise(F.array().cast("array<string>")) for f, oks in times.items() for ok in oks]
+    roles.append(F.array_repeat(F.lit("local_field_name"), F.when(named, F.col("_local")).otherwise(0).cast("int")))
+    return c.select("doc_id", F.explode(F.concat(*roles)).alias("field"), F.col("text").alias("candidate"))
 
 
 def improved_match(truth: DataFrame, candidates: DataFrame, texts: DataFrame, numeric: tuple[str, ...] = ("survey_gat_number", "account_number")) -> DataFrame:
