@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from folioframe.functions.similarity import cer, similarity, wer
 from folioframe.functions.text import basename, eval_text, is_evaluable, pinned
+from folioframe.operators.store import stored
 
 
 def melt_truth(wide: DataFrame, fields: tuple[str, ...], key: str = "image") -> DataFrame:
@@ -23,33 +24,62 @@ def field_visibility(truth: DataFrame, texts: DataFrame, key: str = "image", fuz
     return j.select(key, "field", "value", exact.alias("exact"), near.alias("similarity")).withColumn("fuzzy", F.col("similarity") >= fuzzy)
 
 
-def values_in_texts(values: DataFrame, texts: DataFrame, value: str = "value", text: str = "text", short_block: int = 500) -> DataFrame:
+def word_positions(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(at, pos, word, t): the words of every normalised text with their places; ``at`` is a key of 128 bits of the row, t its other columns, with the first word only."""
+    keep = [F.col(f"`{c}`") for c in texts.columns if c != text]
+    t = pinned(texts, _d=eval_text(F.col(f"`{text}`")))
+    key = F.struct(F.xxhash64(*keep).alias("a") if keep else F.lit(0).cast("long").alias("a"), F.xxhash64("_d", F.lit(1)).alias("b"))
+    t = t.select(key.alias("at"), F.struct(*keep).alias("_t"), F.posexplode(F.split("_d", " ")).alias("pos", "word"))
+    return t.select("at", "pos", "word", F.when(F.col("pos") == 0, F.col("_t")).alias("t"))
+
+
+def _matching_words(pieces: DataFrame, words: DataFrame) -> DataFrame:
+    """(kind, piece, word, n): the words that a value's piece can stand in: ``all`` of a word, its ``end``, its ``start``, or ``any`` part of it.
+
+    Words spell their parts of the lengths that pieces have, and parts and pieces are joined as they are; words are those of the texts, each once.
+    """
+    of = lambda kind: pieces.filter(F.col("kind") == kind).select("piece").distinct()
+    spelled = {
+        "all": lambda w, n: F.array(w), "end": lambda w, n: F.transform(n, lambda x: F.right(w, x)), "start": lambda w, n: F.transform(n, lambda x: F.left(w, x)),
+        "any": lambda w, n: F.array_distinct(F.flatten(F.transform(n, lambda x: F.transform(F.sequence(F.lit(1), F.length(w) - x + 1), lambda s: F.substring(w, s, x))))),
+    }
+    out = None
+    for kind, parts in spelled.items():
+        lengths = of(kind).agg(F.collect_set(F.length("piece")).alias("lengths"))  # one row, of at most as many numbers as a word is long
+        own = words.join(F.broadcast(lengths)) if kind != "all" else words.withColumn("lengths", F.array(F.length("word")))
+        own = pinned(own, _n=F.filter("lengths", lambda x: x <= F.length("word"))).select("word", "n", F.explode(parts(F.col("word"), F.col("_n"))).alias("piece"))
+        found = own.join(of(kind), "piece").select(F.lit(kind).alias("kind"), "piece", "word", "n")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def values_in_texts(values: DataFrame, texts: DataFrame, value: str = "value", text: str = "text") -> DataFrame:
     """(value columns, text columns but the texts) of every value that occurs in a text, both normalised: all values against all texts.
 
-    A value of three words or more holds a whole word other than its first and last, and texts that hold the value hold that word: values
-    are joined on such a word, the one that is in fewest texts, and confirmed. Shorter values are looked for in each text, a block of
-    them at a time. Normalised values that are empty occur nowhere.
+    An index of words with their places answers a value by its rarest piece: the value's inner words are words of the text, its first and
+    last are the end and the start of one, and a single word is part of one. Where the rarest piece stands tells where the others have to; they
+    are looked up there, by text and place. Texts are not exchanged, only words, and what is exchanged grows with them, whatever the values'
+    lengths. Normalised values that are empty occur nowhere; a text that holds a value several times comes out once, repeated rows as often as they are there.
     """
     v = pinned(values.select(F.struct("*").alias("v")), n=eval_text(F.col(f"v.`{value}`"))).filter("n <> ''")
-    v = pinned(v, w=F.split("n", " "))
-    keep = [c for c in texts.columns if c != text]
-    t = pinned(texts.select(F.struct(*keep).alias("t"), F.col(text).alias("x")), d=eval_text("x")).drop("x")
-    inner = F.array_distinct(F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))))
-    long = v.filter(F.size("w") > 2).select("v", "n", F.explode(inner).alias("word"))
-    wanted = long.select("word").distinct()
-    held = t.select("t", "d", F.explode(F.array_distinct(F.split("d", " "))).alias("word")).join(wanted, "word", "left_semi")
-    often = held.groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
-    rarest = long.groupBy("v", "n").agg(F.count(F.lit(1)).alias("words"))
-    # A value with a word that no text holds occurs nowhere.
-    known = long.join(often, "word").groupBy("v", "n").agg(F.count(F.lit(1)).alias("have"), F.min_by("word", F.struct("texts", "word")).alias("word"))
-    rarest = rarest.join(known, ["v", "n"]).filter("have = words").select("v", "n", "word")
-    found = held.join(rarest, "word").filter(F.col("d").contains(F.col("n"))).select("v.*", "t.*")
-    short = [r.n for r in v.filter(F.size("w") <= 2).select("n").distinct().orderBy("n").toLocalIterator()]
-    for i in range(0, len(short), short_block):
-        block = F.array(*map(F.lit, short[i : i + short_block]))
-        hit = t.select("t", F.explode(F.filter(block, lambda n: F.col("d").contains(n))).alias("n"))
-        found = found.unionByName(hit.join(v.select("v", "n"), "n").select("v.*", "t.*"))
-    return found
+    v = pinned(v, q=F.md5("n"))
+    q = pinned(v.select("q", "n").distinct(), w=F.split("n", " ")).withColumn("k", F.size("w"))
+    kind = F.when(F.col("k") == 1, "any").when(F.col("i") == 0, "end").when(F.col("i") == F.col("k") - 1, "start").otherwise("all")
+    pieces = q.select("q", "k", F.posexplode("w").alias("i", "piece")).withColumn("kind", kind)
+    rows = stored(word_positions(texts, text))
+    index = rows.select("at", "pos", "word")
+    match = stored(_matching_words(pieces, index.groupBy("word").agg(F.count(F.lit(1)).alias("n"))))
+    often = match.groupBy("kind", "piece").agg(F.sum("n").alias("n"))
+    # A value with a piece that no text holds occurs nowhere.
+    anchor = pieces.join(often, ["kind", "piece"]).groupBy("q", "k").agg(F.count(F.lit(1)).alias("have"), F.min_by(F.struct("kind", "piece", "i"), F.struct("n", "i")).alias("r")).filter("have = k").select("q", "k", "r.*")
+    begun = anchor.join(match.select("kind", "piece", "word"), ["kind", "piece"]).select("q", "k", "i", "word").join(index, "word").select("q", "k", "at", (F.col("pos") - F.col("i")).alias("begin"), "i").filter("begin >= 0")
+    single = begun.filter("k = 1").select("q", "at")
+    # What else the value needs, at its place.
+    rest = begun.filter("k > 1").withColumnRenamed("i", "known").join(pieces.select("q", "i", "piece", "kind"), "q").filter("i <> known").withColumn("pos", F.col("begin") + F.col("i"))
+    ok = F.when(F.col("kind") == "all", F.col("word") == F.col("piece")).when(F.col("kind") == "end", F.endswith("word", "piece")).otherwise(F.startswith("word", "piece"))
+    whole = rest.join(index, ["at", "pos"]).filter(ok).groupBy("q", "k", "at", "begin").agg(F.count(F.lit(1)).alias("have")).filter("have = k - 1").select("q", "at")
+    found = single.unionByName(whole).distinct()
+    return v.join(found, "q").join(rows.filter("pos = 0").select("at", "t"), "at").select("v.*", "t.*")
 
 
 def _per_field(df: DataFrame, *aggregates) -> DataFrame:
