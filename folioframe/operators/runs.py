@@ -44,6 +44,15 @@ def split_new_existing(incoming: DataFrame, existing: DataFrame, key: str = "sha
     return incoming.join(known, F.col(key) == F.col("_k"), "left").withColumn("_n", first).withColumn("outcome", out).drop("_k", "_known", "_n")
 
 
+def upload_status(uploads: DataFrame, before: DataFrame, key: str = "sha256", order: str = "file_id") -> DataFrame:
+    """Adds status and first_id: ALREADY_EXISTS and the id it came with, if the hash is among ``before`` (one row a hash, with first_id) or on an earlier upload, else NEW and its own id."""
+    b = before.select(F.col(key).alias("_k"), F.col("first_id").alias("_before"))
+    w = W.partitionBy(key).orderBy(order)
+    j = uploads.join(b, F.col(key) == F.col("_k"), "left").withColumns({"_n": F.row_number().over(w), "_first": F.first(order).over(w)})
+    new = F.col("_before").isNull() & (F.col("_n") == 1)
+    return j.withColumns({"status": F.when(new, "NEW").otherwise("ALREADY_EXISTS"), "first_id": F.coalesce("_before", "_first")}).drop("_k", "_before", "_n", "_first")
+
+
 def first_values(fields: DataFrame, names: tuple[str, ...], key: str = "run_id") -> DataFrame:
     """First non-blank value of each named field in creation order, one column a name."""
     value = F.trim(F.coalesce(F.nullif(F.trim("value"), F.lit("")), "normalized_value", F.lit("")))

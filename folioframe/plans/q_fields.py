@@ -226,6 +226,20 @@ def t3(actions):
     return actions.groupBy(F.window("ts", "30 seconds"), F.col("action").alias("status")).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "status", "n")
 
 
+# The batch twins of streams: counts by current status after all reviews, and each upload against all that came before.
+@register("t3_status_counts", f""", {VALID_ACTIONS}, l AS (SELECT field_id, arg_max(action, (ts, action_id)) AS a FROM ok GROUP BY 1)
+ SELECT coalesce({DECIDED.format(a='a')}, validation_status) AS status, count(*) AS n FROM v_review_fields f LEFT JOIN l ON f.field_id = l.field_id GROUP BY 1""", "v_review_fields", "v_actions")
+def t3_status(fields, actions):
+    return review.apply_reviews(fields, actions)[0].groupBy(F.col("validation_status").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("t1_upload_status", """, u AS (SELECT file_id, sha256(coalesce(body, '')) AS sha256 FROM v_incoming)
+ SELECT file_id, sha256, CASE WHEN row_number() OVER (PARTITION BY sha256 ORDER BY file_id) = 1 THEN 'NEW' ELSE 'ALREADY_EXISTS' END AS status, min(file_id) OVER (PARTITION BY sha256) AS first_id FROM u""", "v_incoming")
+def t1_status(incoming):
+    own = incoming.select("file_id", F.sha2(F.coalesce("body", F.lit("")), 256).alias("sha256"))
+    return runs.upload_status(own, own.select("sha256", F.col("file_id").alias("first_id")).limit(0))
+
+
 @register("p9_status_buckets", "SELECT document_id, CASE WHEN upper(status) IN ('PROCESSED', 'VALIDATED', 'COMPLETED', 'VERIFIED', 'VALIDATION_REQUIRED') THEN 'processed' WHEN upper(status) IN ('FAILED', 'ERROR') THEN 'failed' ELSE 'pending' END AS bucket FROM v_documents", "v_documents")
 def p9(docs):
     return docs.select("document_id", T.status_bucket("status").alias("bucket"))
