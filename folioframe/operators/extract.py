@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from folioframe import presets as P
 from folioframe.functions.geometry import has_box, method_confidence, right_of_same_row, table_confidence
 from folioframe.functions.similarity import label_score
-from folioframe.functions.text import clean_candidate, fold_digits, looks_like_label, normalize_label, normalize_value, pinned, rename_field, valid_positive, valid_survey, valid_table_value, valid_text
+from folioframe.functions.text import clean_candidate, fold_digits, let, looks_like_label, normalize_label, normalize_value, pinned, rename_field, valid_positive, valid_survey, valid_table_value, valid_text
 from folioframe.operators.runs import dedup_strongest, latest_run, run_confidence, union_fields
 
 FIELDS = ("page_id", "field_name", "value", "normalized_value", "confidence", "method", "evidence_block_id", "evidence_bbox", "position")
@@ -164,44 +164,59 @@ def cluster_rows(blocks: DataFrame) -> DataFrame:
 
 
 def cluster_rows_greedy(blocks: DataFrame) -> DataFrame:
-    """(page_id, block_id, row_idx): a block joins the nearest row centre within max(18, 0.9 x the smaller height); centres are running means.
+    """Adds row_idx (in the order in which rows begin) and row_size: from the top, a block joins the nearest row centre within max(18, 0.9 x the smaller height); centres are running means.
 
-    One page at a time, whose blocks a page's size bounds.
+    A fold over a page's sorted blocks, in the JVM. Its state has the rows that are open: one that a block is too far below takes none of the later ones. Of two equally near rows the
+    earlier takes the block. One task holds a page's blocks. Blocks without a box are left out.
     """
-    import pandas as pd
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cy", "x", "block_id"])
-        centre, height, size, rows = [], [], [], []
-        for cy, h in zip(pdf["cy"], pdf["height"], strict=True):
-            near = min(((abs(cy - c), i) for i, c in enumerate(centre) if abs(cy - c) <= max(18.0, 0.9 * min(h, height[i]))), default=None)
-            if near is None:
-                centre.append(cy)
-                height.append(h)
-                size.append(1)
-                rows.append(len(centre) - 1)
-            else:
-                i = near[1]
-                size[i] += 1
-                centre[i] += (cy - centre[i]) / size[i]
-                height[i] = max(height[i], h)
-                rows.append(i)
-        return pd.DataFrame({"page_id": pdf["page_id"], "block_id": pdf["block_id"], "row_idx": rows})
-
-    own = blocks.filter(has_box(F.col("bbox"))).select("page_id", "block_id", "bbox.x", (F.col("bbox.y") + F.col("bbox.height") / 2).alias("cy"), "bbox.height")
-    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
-    return own.groupBy("page_id").applyInPandas(greedy, f"page_id {kinds['page_id']}, block_id {kinds['block_id']}, row_idx int")
+    own = blocks.filter(has_box(F.col("bbox")))
+    b = F.struct((F.col("bbox.y") + F.col("bbox.height") / 2).cast("double").alias("cy"), F.col("bbox.x").alias("x"), F.col("block_id").alias("id"), F.col("bbox.height").cast("double").alias("h"), F.struct(*own.columns).alias("b"))
+    pages = own.groupBy(F.col("page_id").alias("_page")).agg(F.array_sort(F.collect_list(b)).alias("_b"))
+    start = F.struct(F.array().cast("array<struct<c:double,h:double,n:int,i:int>>").alias("open"), F.lit(0).alias("rows"), F.array().cast("array<int>").alias("of"))
+
+    def step(s: Column, x: Column) -> Column:
+        reach = lambda h: F.greatest(F.lit(18.0), 0.9 * h)
+        still = F.filter(s["open"], lambda r: x["cy"] - r["c"] <= reach(r["h"]))
+
+        def put(still: Column) -> Column:
+            near = F.filter(F.transform(still, lambda r: F.struct(F.abs(x["cy"] - r["c"]).alias("d"), r["i"].alias("i"), F.least(x["h"], r["h"]).alias("h"))), lambda r: r["d"] <= reach(r["h"]))
+
+            def joined(at: Column) -> Column:
+                grown = F.transform(still, lambda r: F.when(r["i"] == at, F.struct((r["c"] + (x["cy"] - r["c"]) / (r["n"] + 1)).alias("c"), F.greatest(r["h"], x["h"]).alias("h"), (r["n"] + 1).alias("n"), r["i"].alias("i"))).otherwise(r))
+                fresh = F.concat(still, F.array(F.struct(x["cy"].alias("c"), x["h"].alias("h"), F.lit(1).alias("n"), s["rows"].alias("i"))))
+                return F.struct(F.when(at.isNull(), fresh).otherwise(grown).alias("open"), (s["rows"] + at.isNull().cast("int")).alias("rows"), F.concat(s["of"], F.array(F.coalesce(at, s["rows"]))).alias("of"))
+
+            return let(F.array_min(near)["i"], joined)
+
+        return let(still, put)
+
+    pages = pinned(pages, _of=F.aggregate("_b", start, step)["of"])
+    sizes = F.transform("_of", lambda i: F.size(F.filter("_of", lambda k: k == i)))
+    return pages.select(F.inline(F.arrays_zip(F.transform("_b", lambda x: x["b"]).alias("b"), F.col("_of").alias("row_idx"), sizes.alias("row_size")))).toDF("b", "row_idx", "row_size").select("b.*", "row_idx", "row_size")
+
+
+def _named_labels(text: Column, labels: dict) -> Column:
+    """The labels that ``text`` may reach more than 0.65 with: those that share a word with it, hold it or are in it.
+
+    A score is 0.65 of the likeness and 0.35 of the shared words, so above 0.65 one word at least is shared, unless one holds the other.
+    """
+    every = F.transform(label_list(labels), lambda x: F.struct(x["label_field"].alias("label_field"), x["label"].alias("label"), x["label_rank"].alias("label_rank"), F.split(x["label"], " ").alias("words")))
+    words = F.array_distinct(F.flatten(F.transform(every, lambda x: x["words"])))
+    shared = F.array_intersect(F.split(text, " "), words)
+    hit = lambda got: F.filter(every, lambda x: F.arrays_overlap(x["words"], got) | text.contains(x["label"]) | x["label"].contains(text))
+    return F.transform(let(shared, hit), lambda x: F.struct(x["label_field"].alias("label_field"), x["label"].alias("label"), x["label_rank"].alias("label_rank")))
 
 
 def score_headers(blocks: DataFrame, labels: dict = P.TABLE_LABELS, method: str = "levenshtein", least: float = 0.0) -> DataFrame:
-    """Every block against every label: (block columns, label_field, label, header_score). The label list is a small literal.
+    """Every block against every label: (block columns, label_field, label, label_rank, header_score). The label list is a small literal.
 
-    Pairs that can't reach ``least`` by their lengths alone are left out before they are compared: an edit-distance ratio is at
-    most the shorter length over the longer.
+    Pairs that can't reach ``least`` are left out before they are compared: above 0.65 they have to share a word or hold each other, which an index
+    of the labels' words tells; below, an edit-distance ratio is at most the shorter length over the longer.
     """
-    own = pinned(blocks, _n=normalize_label("text", "–—-")).filter("_n <> ''").withColumn("_l", F.explode(label_list(labels)))
+    own = pinned(blocks, _n=normalize_label("text", "–—-")).filter("_n <> ''")
+    own = own.withColumn("_l", F.explode(_named_labels(F.col("_n"), labels) if least > 0.65 else label_list(labels)))
     own = own.select(*blocks.columns, "_n", "_l.*")
-    if least > 0 and method == "levenshtein":
+    if 0 < least <= 0.65 and method == "levenshtein":
         a, b = F.length("_n"), F.length("label")
         own = own.filter((0.65 * F.least(a, b) / F.greatest(a, b) + 0.35 >= least) | F.col("_n").contains(F.col("label")) | F.col("label").contains(F.col("_n")))
     return pinned(own, header_score=label_score(F.col("_n"), F.col("label"), method)).drop("_n")
@@ -223,7 +238,9 @@ def resolve_header_values(headers: DataFrame, rows: DataFrame, labels: dict = P.
     and the block isn't a header itself.
     """
     h = headers.select("page_id", "label_field", "header_score", F.struct("block_id", "bbox", "row_idx", "row_size", "confidence").alias("h"))
-    v = rows.select("page_id", F.struct("block_id", "text", "bbox", "row_idx", "confidence", "position").alias("v"), normalize_label("text", "–—-").alias("_vn"))
+    named = pinned(rows, _vn=normalize_label("text", "–—-"))
+    named = pinned(named, _known=F.exists(_named_labels(F.col("_vn"), labels), lambda x: label_score(F.col("_vn"), x["label"]) >= 0.82))
+    v = named.select("page_id", F.struct("block_id", "text", "bbox", "row_idx", "confidence", "position").alias("v"), "_known")
     j = h.join(v, "page_id").filter((F.col("h.block_id") != F.col("v.block_id")) & (F.col("v.row_idx") - F.col("h.row_idx")).between(0, 4))
     j = j.filter(valid_table_value(F.col("label_field"), F.col("v.text")))
     hb, vb = F.col("h.bbox"), F.col("v.bbox")
@@ -234,8 +251,7 @@ def resolve_header_values(headers: DataFrame, rows: DataFrame, labels: dict = P.
     below = 0.55 * (1 - step / 5) + 0.45 * (1 - dx / limit)
     gap = vb["x"] - (hb["x"] + hb["width"])
     level = F.abs((vb["y"] + vb["height"] / 2) - (hb["y"] + hb["height"] / 2)) <= F.greatest(F.lit(24.0), F.least(hb["height"], vb["height"]))
-    known = F.exists(F.transform(label_list(labels), lambda x: x["label"]), lambda x: label_score(F.col("_vn"), x) >= 0.82)
-    beside = (step == 0) & (F.col("h.row_size") <= 2) & (gap >= -10) & level & ~known
+    beside = (step == 0) & (F.col("h.row_size") <= 2) & (gap >= -10) & level & ~F.col("_known")
     score = F.when(under, below).when(beside, 0.65 + 0.35 * F.greatest(F.lit(0.0), 1 - gap / 1000))
     j = pinned(j, relation_score=score).filter("relation_score IS NOT NULL")
     w = W.partitionBy("page_id", "label_field").orderBy(F.col("relation_score").desc(), F.col("v.confidence").desc_nulls_last(), F.col("v.position"))
@@ -244,7 +260,7 @@ def resolve_header_values(headers: DataFrame, rows: DataFrame, labels: dict = P.
 
 def extract_table_fields(blocks: DataFrame, labels: dict = P.TABLE_LABELS) -> DataFrame:
     """Header rows and the values under them, of pages with at least two usable blocks."""
-    usable = cluster_rows(blocks.filter(F.trim(F.coalesce("text", F.lit(""))) != ""))
+    usable = cluster_rows_greedy(blocks.filter(F.trim(F.coalesce("text", F.lit(""))) != ""))
     usable = usable.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("page_id"))).filter("_n >= 2").drop("_n")
     got = resolve_header_values(best_headers(score_headers(usable, labels, least=0.70)), usable, labels)
     v = clean_candidate(F.col("v.text"), " .,:;|/")

@@ -89,7 +89,7 @@ def w5(docs):
 
 @register("w5_row_clusters_greedy", None, "documents")
 def w5_greedy(docs):
-    return extract.cluster_rows_greedy(blocks_of(docs))
+    return extract.cluster_rows_greedy(blocks_of(docs)).select("page_id", "block_id", "row_idx")
 
 
 @register("j7_l6_area_rows", b(r""", h AS (SELECT * FROM blocks WHERE lower(trim(text)) = 'area'), v AS (SELECT *, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '^[ .,:;|/\-]+|[ .,:;|/\-]+$', '', 'g') AS c FROM blocks),
