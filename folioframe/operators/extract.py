@@ -5,13 +5,14 @@ Blocks are rows (page_id, block_id, block_number, text, confidence, bbox). Every
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from folioframe import presets as P
 from folioframe.functions.geometry import has_box, method_confidence, right_of_same_row, table_confidence
 from folioframe.functions.similarity import label_score
 from folioframe.functions.text import clean_candidate, fold_digits, let, looks_like_label, normalize_label, normalize_value, pinned, rename_field, valid_positive, valid_survey, valid_table_value, valid_text
 from folioframe.operators.runs import dedup_strongest, latest_run, run_confidence, union_fields
+from folioframe.operators.store import stored
 
 FIELDS = ("page_id", "field_name", "value", "normalized_value", "confidence", "method", "evidence_block_id", "evidence_bbox", "position")
 
@@ -200,8 +201,10 @@ def _named_labels(text: Column, labels: dict) -> Column:
 
     A score is 0.65 of the likeness and 0.35 of the shared words, so above 0.65 one word at least is shared, unless one holds the other.
     """
-    every = F.transform(label_list(labels), lambda x: F.struct(x["label_field"].alias("label_field"), x["label"].alias("label"), x["label_rank"].alias("label_rank"), F.split(x["label"], " ").alias("words")))
-    words = F.array_distinct(F.flatten(F.transform(every, lambda x: x["words"])))
+    # Worked out once, so that the list and its words are literals for each block.
+    known = SparkSession.active().range(1).select(F.inline(label_list(labels))).collect()
+    every = F.array(*[F.struct(F.lit(r.label_field).alias("label_field"), F.lit(r.label).alias("label"), F.lit(r.label_rank).alias("label_rank"), F.array(*map(F.lit, r.label.split(" "))).alias("words")) for r in known])
+    words = F.array(*map(F.lit, dict.fromkeys(w for r in known for w in r.label.split(" "))))
     shared = F.array_intersect(F.split(text, " "), words)
     hit = lambda got: F.filter(every, lambda x: F.arrays_overlap(x["words"], got) | text.contains(x["label"]) | x["label"].contains(text))
     return F.transform(let(shared, hit), lambda x: F.struct(x["label_field"].alias("label_field"), x["label"].alias("label"), x["label_rank"].alias("label_rank")))
@@ -261,7 +264,7 @@ def resolve_header_values(headers: DataFrame, rows: DataFrame, labels: dict = P.
 def extract_table_fields(blocks: DataFrame, labels: dict = P.TABLE_LABELS) -> DataFrame:
     """Header rows and the values under them, of pages with at least two usable blocks."""
     usable = cluster_rows_greedy(blocks.filter(F.trim(F.coalesce("text", F.lit(""))) != ""))
-    usable = usable.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("page_id"))).filter("_n >= 2").drop("_n")
+    usable = stored(usable.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("page_id"))).filter("_n >= 2").drop("_n"))
     got = resolve_header_values(best_headers(score_headers(usable, labels, least=0.70)), usable, labels)
     v = clean_candidate(F.col("v.text"), " .,:;|/")
     f = F.col("label_field")
@@ -273,8 +276,8 @@ def extract_table_fields(blocks: DataFrame, labels: dict = P.TABLE_LABELS) -> Da
 
 
 def extract_fields(blocks: DataFrame) -> DataFrame:
-    """All extractors, the strongest evidence of each value, in reading order."""
-    b = in_reading_order(blocks)
+    """All extractors, the strongest evidence of each value, in reading order. The ordered blocks are stored once for all of them."""
+    b = stored(in_reading_order(blocks))
     parts = [f(b).select(*FIELDS) for f in (extract_table_fields, extract_inline, extract_adjacent, extract_owner_rows, extract_area_rows)]
     every = union_fields(*parts).withColumn("field_id", F.col("evidence_block_id"))
     return dedup_strongest(every, "page_id").drop("field_id")
