@@ -8,6 +8,7 @@ from folioframe import presets as P
 from folioframe.functions import text as T
 from folioframe.functions.geometry import method_confidence, table_confidence, unit_confidence
 from folioframe.operators import match, metrics, review, runs, validate
+from folioframe.operators.store import stored
 from folioframe.plans.views import frame, sql
 
 QUERIES: dict = {}
@@ -419,7 +420,8 @@ MATCHES = f"{NORMED}, s AS (SELECT a.record_id AS record_a, b.record_id AS recor
 
 @register("r3_resolve_entities", f", {MATCHES} SELECT record_a, record_b, score, decision FROM mt WHERE decision <> 'NO_MATCH'", "v_records")
 def r3(records):
-    return match.rank_matches(match.resolve_entities(records)).select("record_a", "record_b", "score", "decision")
+    # Stored, as a sort would work its rows out twice.
+    return match.rank_matches(stored(match.resolve_entities(records).select("record_a", "record_b", "score", "decision")))
 
 
 @register("r3_duplicates", f", {MATCHES} SELECT record_a, record_b, score FROM mt WHERE decision = 'POSSIBLE_DUPLICATE'", "v_records")
