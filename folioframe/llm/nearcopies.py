@@ -243,25 +243,34 @@ def verified(docs: DataFrame, pairs: DataFrame, rows: DataFrame, shingle: int =
 def alike_by_prefix(docs: DataFrame, classes: DataFrame, shingle: int, part_rows: int = 32) -> DataFrame:
     """(a, b): all pairs of classes (class, row, label, size) of unlike labels that can be alike.
 
-    Two alike sets share one of the rarest fifth (and one more) of their shingles, whatever order all agree on. A passage
-    that very many texts hold is last in that order, so what only shares it isn't paired. The classes of a shingle are
-    compared in parts of about ``part_rows``, each with all the others, so that a frequent one isn't one task's.
+    All sets are in one order, rarest shingles first. Of two alike sets, the first shingle that both hold has a rank in each;
+    what ranks before it is not shared, so 9 * (size - rank + 1) is at least 4 * (sum of both sizes) on either side. That leaves the
+    first ninth (and one) of the smaller set and the first fifth (and one) of the larger, and ties both ranks to both sizes.
+    A set whose own shingles fill its first ninth meets nobody from the smaller side. Smaller sides are dealt, by shingle, size band
+    and label, to parts of about ``part_rows``; larger sides go to the parts of the band and of the one below that have another label.
     """
+    near, far = SIMILAR
     classes = checkpointed(classes)
     tok = checkpointed(classes.join(sets_of(docs, classes, shingle), "class").select("class", "label", "size", F.explode("grams").alias("gram")))
     often = tok.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("times", F.col("n"))
     order = W.partitionBy("class").orderBy(F.coalesce("times", F.lit(1)), "gram")
-    first = spread_join(tok, often, "gram", "n", tok.count()).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.floor(F.col("size") * (SIMILAR[1] - SIMILAR[0]) / SIMILAR[1]) + 1)
-    own = checkpointed(first.filter("times > 1").select("gram", "class", "label", "size"))
+    first = spread_join(tok, often, "gram", "n", tok.count()).withColumn("rest", F.col("size") - F.row_number().over(order) + 1)
+    # The least and the most size of a partner that what is left of the set allows.
+    own = first.filter((F.col("times") > 1) & (far * F.col("rest") >= near * F.col("size"))).select("gram", "class", "label", "size", "rest")
+    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(far / near)) + 1e-9).cast("int")
+    own = checkpointed(own.withColumns({"band": band, "small": (near + far) * F.col("rest") >= 2 * near * F.col("size")}))
     # Shingles whose classes are one component already are done.
-    marks = own.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
-    marks = marks.select("gram", "n", F.ceil(F.col("n") / part_rows).cast("int").alias("parts"))
-    own = checkpointed(spread_join(own, marks, "gram", "n", own.count()).filter("parts IS NOT NULL"))
-    x = own.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).alias("x")
-    y = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
-    fits = SIMILAR[1] * F.least("x.size", "y.size") >= SIMILAR[0] * F.greatest("x.size", "y.size")
-    on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.label") != F.col("y.label"))
-    return x.join(y, on & fits).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+    marks = own.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count_if("small").alias("least"), F.count(F.lit(1)).alias("n")).filter("lo <> hi AND least > 0")
+    own = checkpointed(spread_join(own, marks.select("gram", "n", F.lit(True).alias("open")), "gram", "n", own.count()).filter("open").drop("open"))
+    small = own.filter("small")
+    held = small.groupBy("gram", "band", "label").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
+    to = own.select("gram", F.col("class").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"), F.col("rest").alias("rb"), F.explode(F.array("band", F.col("band") - 1)).alias("band"))
+    to = to.join(held, ["gram", "band"]).filter("label <> lb").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    x = small.join(held, ["gram", "band", "label"]).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).select("gram", "band", "label", "part", F.col("class").alias("a"), F.col("size").alias("sa"), F.col("rest").alias("ra"))
+    first = (F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")))
+    fits = (far * F.col("sa") >= near * F.col("sb")) & ((near + far) * F.least("ra", "rb") >= near * (F.col("sa") + F.col("sb")))
+    met = x.join(to, ["gram", "band", "label", "part"]).filter(first & fits)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def near_copy_labels(docs: DataFrame, shingle: int = SHINGLE, nearest: int = NEAREST, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folioframe.llm import nearcopies, simhash
@@ -97,3 +98,25 @@ def test_stage_drops_near_copies(spark):
     got = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()}
     want = set(brute_groups(texts).values())
     assert want <= got and len(got) <= len(want) + 2
+
+
+def test_prefix_join_loses_no_alike_pair(spark):
+    """Sets of all sizes from one shingle on, with shared passages and rare words of their own, each with a label of its own."""
+    rng = random.Random(8)
+    texts = []
+    for base in range(60):
+        w = [f"b{base % 20}_{i}" for i in range(rng.randrange(1, 70))]
+        for _ in range(8):
+            own = list(w)
+            for _ in range(rng.randrange(3)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own + [f"t{i}" for i in range(rng.choice([0, 0, 6, 30]))] + [f"y{rng.randrange(10**6)}"] * rng.randrange(4)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    classes = nearcopies.sketches(docs).groupBy("class").agg(F.min("row").alias("row"), F.min("size").alias("size"), F.min("doc_id").alias("doc_id"))
+    classes = classes.withColumn("label", classes["class"])
+    ids = {r["class"]: r.doc_id for r in classes.collect()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))} for i in ids.values() for w in [texts[i].split()]}
+    want = {(a, b) for a in sets for b in sets if a < b and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))}
+    for part_rows in (1, 32):
+        got = {tuple(sorted((ids[r.a], ids[r.b]))) for r in nearcopies.alike_by_prefix(docs, classes.drop("doc_id"), 5, part_rows).distinct().collect()}
+        assert len(want) > 150 and want <= got
