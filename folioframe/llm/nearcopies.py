@@ -32,8 +32,8 @@ WORDS, COMPARED = 5, 3
 FAR = 44
 #: Fingerprints of a key that are all compared in one task; a key of more is linked to its smallest and compared by shingles.
 CROWD = 2048
-#: Links of a fingerprint that are verified at first for each key: its nearest ones. What these don't connect is compared by shingles.
-NEAREST = 4
+#: Links of a fingerprint that are verified at first for each key: its nearest earlier ones. What these don't connect is compared by shingles.
+NEAREST = 1
 
 
 def _sets(column, shingle: int):
@@ -160,20 +160,19 @@ def _could(a, b):
 
 
 def near_in_key(fp: np.ndarray, size: np.ndarray, nearest: int = NEAREST) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(a, b, complete): pairs of rows that may be alike, for each row the nearest earlier ones and the nearest of all; a block of rows at a time."""
+    """(a, b, complete): pairs a < b of rows that may be alike, for each row the nearest earlier ones; whether these are all; a block of rows at a time."""
     n, out, complete = len(fp), [], True
     for lo in range(0, n, 256):
         hi = min(lo + 256, n)
         gap = sum(np.bitwise_count(fp[lo:hi, None, w] ^ fp[None, :, w]).astype(np.int32) for w in range(fp.shape[1]))
         gap[~_could(size[lo:hi, None], size[None, :])] = 999
         me = np.arange(lo, hi)
-        gap[me - lo, me] = 999
-        for part in (gap, np.where(np.arange(n)[None, :] < me[:, None], gap, 999)):
-            few = min(nearest, n - 1)
-            at = np.argpartition(part, few - 1, axis=1)[:, :few] if few else np.zeros((hi - lo, 0), np.int64)
-            a, b = np.repeat(me, few), at.ravel()
-            ok = part[a - lo, b] <= FAR
-            out.append(np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]], 1))
+        gap[np.arange(n)[None, :] >= me[:, None]] = 999
+        few = min(nearest, n - 1)
+        at = np.argpartition(gap, few - 1, axis=1)[:, :few] if few else np.zeros((hi - lo, 0), np.int64)
+        a, b = at.ravel(), np.repeat(me, few)
+        ok = gap[b - lo, a] <= FAR
+        out.append(np.stack([a[ok], b[ok]], 1))
         complete &= bool(((gap <= FAR).sum(1) <= nearest).all())
     pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
     return pairs[:, 0], pairs[:, 1], complete
@@ -230,7 +229,7 @@ def verified(docs: DataFrame, pairs: DataFrame, rows: DataFrame, shingle: int =
     """The pairs (a, b) of classes whose sets are alike; ``rows`` has a row of each class."""
     pairs = checkpointed(pairs.select("a", "b").distinct())
     total = pairs.count()
-    wanted = rows.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi")
+    wanted = checkpointed(rows.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi"))
     sets = checkpointed(sets_of(docs, wanted, shingle))
     # The smallest class of a large key is in very many pairs.
     often = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
