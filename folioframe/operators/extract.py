@@ -64,6 +64,13 @@ def _normal(name: Column, value: Column) -> Column:
     return F.when(name.isin("survey_number", "khata_number", "area"), normalize_value(value, "number")).otherwise(normalize_value(value))
 
 
+def _by_field(given: dict | None, name: Column, value: Column, otherwise: Column) -> Column:
+    """What the callback of a field's name makes of its value, for the fields that have one."""
+    for field, make in (given or {}).items():
+        otherwise = F.when(name == field, make(value)).otherwise(otherwise)
+    return otherwise
+
+
 def inline_value(name: Column, label: Column, v: Column, units: dict = P.AREA_UNITS) -> Column:
     """What a field takes from the text behind its label, null if that isn't of its form: numbers joined by slashes, a number, an amount with a unit
     of its label or without, or any text."""
@@ -81,11 +88,12 @@ def inline_value(name: Column, label: Column, v: Column, units: dict = P.AREA_UN
     )
 
 
-def extract_inline(blocks: DataFrame, labels: dict = P.INLINE_LABELS, units: dict = P.AREA_UNITS) -> DataFrame:
+def extract_inline(blocks: DataFrame, labels: dict = P.INLINE_LABELS, units: dict = P.AREA_UNITS, normalize: dict | None = None, validate: dict | None = None) -> DataFrame:
     """"label: value" in one block.
 
     What stands before a separator (the second one first, as a label may hold one) is looked up among the labels; what follows is read by the
-    form of its field, and dropped if it isn't a valid value.
+    form of its field, and dropped if it isn't a valid value. ``normalize`` and ``validate`` map a field to a function of its value's column that
+    stands in for the preset's; a value without a normalised form, or not valid or null for its validator, is dropped.
     """
     tight = lambda c: F.regexp_replace(F.lower(c), "\\s+", "")
     known = {"".join(x.split()).lower(): f for f, xs in labels.items() for x in xs}
@@ -99,8 +107,9 @@ def extract_inline(blocks: DataFrame, labels: dict = P.INLINE_LABELS, units: dic
     hit = pinned(hit, _v=clean_candidate(inline_value(F.col("_n"), F.col("_l"), F.col("_r"), units))).filter("_v <> ''")
     n, v = F.col("_n"), F.col("_v")
     valid = F.when(n == "survey_number", valid_survey(v)).when(n == "khata_number", F.lit(True)).when(n == "area", valid_positive(v)).otherwise(valid_text(v, n))
+    hit = pinned(hit.filter(_by_field(validate, n, v, valid)), _norm=_by_field(normalize, n, v, _normal(n, v))).filter("_norm <> ''")
     method = F.lit("regex_label")
-    return _field(hit.filter(valid), n, v, _normal(n, v), method_confidence(F.col("confidence"), method), method)
+    return _field(hit, n, v, F.col("_norm"), method_confidence(F.col("confidence"), method), method)
 
 
 def label_list(labels: dict) -> Column:
@@ -108,10 +117,11 @@ def label_list(labels: dict) -> Column:
     return F.array(*[F.struct(F.lit(f).alias("label_field"), F.lit(i).alias("label_rank"), normalize_label(F.lit(x), "–—-").alias("label")) for i, (f, xs) in enumerate(labels.items()) for x in xs])
 
 
-def extract_adjacent(blocks: DataFrame, labels: dict = P.ADJACENT_LABELS) -> DataFrame:
+def extract_adjacent(blocks: DataFrame, labels: dict = P.ADJACENT_LABELS, normalize: dict | None = None, validate: dict | None = None) -> DataFrame:
     """A block that is a label, and its successor on the same row to the right.
 
     Mutation and registration values that look like headers are kept at confidence 25, method spatial_label_value_suspect.
+    ``normalize`` and ``validate`` are callbacks by field, as in ``extract_inline``.
     """
     name = F.coalesce(*[F.when(F.col("_l").isin(*xs), F.lit(f)) for f, xs in labels.items()])
     own = pinned(with_next(blocks), _l=normalize_label("text"))
@@ -120,11 +130,11 @@ def extract_adjacent(blocks: DataFrame, labels: dict = P.ADJACENT_LABELS) -> Dat
     n, v = F.col("_name"), F.col("_v")
     valid = F.when(n == "survey_number", valid_survey(v)).when(n == "khata_number", fold_digits(v).rlike("^[0-9]+$")).when(n == "area", valid_positive(v)).otherwise(valid_text(v, n))
     suspect = n.isin("mutation", "registration") & looks_like_label(v)
-    own = pinned(own, _ok=valid, _s=suspect).filter("_ok OR _s")
+    own = pinned(own, _ok=F.coalesce(_by_field(validate, n, v, valid), F.lit(False)), _s=suspect, _norm=_by_field(normalize, n, v, _normal(n, v))).filter("(_ok OR _s) AND _norm <> ''")
     method = F.when(~F.col("_ok") & F.col("_s"), "spatial_label_value_suspect").otherwise("spatial_label_value")
     suspicious = ~F.col("_ok") & F.col("_s")
     conf = F.when(suspicious, 25.0).otherwise(method_confidence(F.col("next_block.confidence"), method))
-    return _field(own, n, v, _normal(n, v), conf, method, F.col("next_block"))
+    return _field(own, n, v, F.col("_norm"), conf, method, F.col("next_block"))
 
 
 def values_below(headers: DataFrame, blocks: DataFrame, dy: float, width: float, left: float = 20.0, right: float = 40.0) -> DataFrame:
@@ -275,10 +285,14 @@ def extract_table_fields(blocks: DataFrame, labels: dict = P.TABLE_LABELS) -> Da
     return dedup_strongest(out.withColumn("field_id", F.col("evidence_block_id")), "page_id").drop("field_id")
 
 
-def extract_fields(blocks: DataFrame) -> DataFrame:
-    """All extractors, the strongest evidence of each value, in reading order. The ordered blocks are stored once for all of them."""
+def extract_fields(blocks: DataFrame, normalize: dict | None = None, validate: dict | None = None) -> DataFrame:
+    """All extractors, the strongest evidence of each value, in reading order. The ordered blocks are stored once for all of them.
+
+    ``normalize`` and ``validate`` go to the label extractors.
+    """
     b = stored(in_reading_order(blocks))
-    parts = [f(b).select(*FIELDS) for f in (extract_table_fields, extract_inline, extract_adjacent, extract_owner_rows, extract_area_rows)]
+    labelled = [f(b, normalize=normalize, validate=validate) for f in (extract_inline, extract_adjacent)]
+    parts = [d.select(*FIELDS) for d in (extract_table_fields(b), *labelled, extract_owner_rows(b), extract_area_rows(b))]
     every = union_fields(*parts).withColumn("field_id", F.col("evidence_block_id"))
     return dedup_strongest(every, "page_id").drop("field_id")
 

@@ -48,6 +48,14 @@ def b(body: str) -> str:
     return f"WITH {BLOCKS} {body}"
 
 
+def squeezed(c: str) -> str:
+    return rf"regexp_replace(trim(regexp_replace({c}, '\s+', ' ', 'g')), '^[ .,:;|/\-]+|[ .,:;|/\-]+$', '', 'g')"
+
+
+def tight_list(labels) -> str:
+    return ", ".join(f"'{x}'" for x in sorted({"".join(l.split()).lower() for l in labels}))
+
+
 @register("p8_valid_boxes", b("SELECT block_id, width > 100 AND height > 21 AS ok FROM blocks"), "documents")
 def p8(docs):
     own = blocks_of(docs)
@@ -101,6 +109,24 @@ def x6(docs):
     return own.select("evidence_block_id", "value")
 
 
+def columns_of_numbers(docs):
+    """Blocks under one another, a word each: every fortieth is an area header, two of three others are amounts, from 0.0 to 99.6."""
+    words = docs.select(F.col("doc_id").alias("page_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), " ")).alias("p", "word"))
+    p = F.col("p")
+    amount = F.concat(((F.col("page_id") + p * p) % 100).cast("string"), F.when(p % 2 == 0, ".").otherwise(","), (p % 7).cast("string"))
+    text = F.when(p % 40 == 0, F.when(p % 80 == 0, "Area").otherwise("Extent :")).when(p % 3 == 0, F.col("word")).otherwise(amount)
+    return words.select("page_id", (F.col("page_id") * 1000000 + p).alias("block_id"), p.alias("block_number"), text.alias("text"), F.lit(70.0).alias("confidence"), box(p % 5 * 12, p * 14, F.lit(60), F.lit(12)).alias("bbox"))
+
+
+@register("x6_l6_area_columns", rf"""WITH w AS (SELECT doc_id AS page_id, unnest(string_split(coalesce(text, ''), ' ')) AS word, generate_subscripts(string_split(coalesce(text, ''), ' '), 1) - 1 AS p FROM documents),
+ k AS (SELECT page_id, p, page_id * 1000000 + p AS block_id, p % 5 * 12 AS x, p * 14 AS y, p % 40 = 0 AS header, CASE WHEN p % 3 = 0 THEN word ELSE ((page_id + p * p) % 100) || CASE WHEN p % 2 = 0 THEN '.' ELSE ',' END || (p % 7) END AS text FROM w),
+ v AS (SELECT *, {squeezed('text')} AS value FROM k WHERE NOT header), g AS (SELECT * FROM v WHERE regexp_full_match(value, '[0-9]+([.,][0-9]+)?') AND replace(value, ',', '.')::DOUBLE > 0),
+ j AS (SELECT g.block_id, value, row_number() OVER (PARTITION BY h.block_id ORDER BY g.y, g.x, g.p) AS rn FROM k h JOIN g ON h.page_id = g.page_id AND g.p BETWEEN h.p + 1 AND h.p + 30 AND g.y - (h.y + 12) BETWEEN 1 AND 280 WHERE h.header)
+ SELECT block_id AS evidence_block_id, value FROM j WHERE rn <= 10""", "documents")
+def x6_columns(docs):
+    return extract.extract_area_rows(extract.in_reading_order(columns_of_numbers(docs))).select("evidence_block_id", "value")
+
+
 def _numbers_below(docs):
     own = blocks_of(docs)
     headers = own.filter(F.lower(F.trim("text")) == "khata no")
@@ -115,13 +141,62 @@ def j7(docs):
     return _numbers_below(docs)
 
 
-@register("x3_extract_inline_survey", b(r""", x AS (SELECT block_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '^[ .,:;|/\-]+|[ .,:;|/\-]+$', '', 'g') AS c FROM blocks)
- SELECT block_id AS evidence_block_id, 'survey_number' AS field_name, regexp_extract(c, '(?i)^survey\s*(?:number|no\.?|#)\s*[:|/\-]\s*([0-9]+(?:\s*/\s*[0-9]+)*)$', 1) AS value FROM x WHERE regexp_matches(c, '(?i)^survey\s*(?:number|no\.?|#)\s*[:|/\-]\s*([0-9]+(?:\s*/\s*[0-9]+)*)$')"""), "documents")
+# A block's text, cut at its first separator.
+CUT = rf"""x AS (SELECT block_id, {squeezed('text')} AS c FROM blocks), y AS (SELECT *, strpos(translate(c, '|/-', ':::'), ':') AS cut FROM x),
+ z AS (SELECT block_id, lower(replace(substr(c, 1, cut - 1), ' ', '')) AS label, trim(substr(c, cut + 1)) AS rest FROM y WHERE cut > 0)"""
+
+
+@register("x3_extract_inline_survey", b(rf""", {CUT} SELECT block_id AS evidence_block_id, 'survey_number' AS field_name, rest AS value FROM z WHERE label IN ({tight_list(P.INLINE_LABELS['survey_number'])})
+ AND len(list_filter(string_split(rest, '/'), lambda part: NOT regexp_full_match(trim(part), '[0-9]+'))) = 0"""), "documents")
 def x3(docs):
     own = extract.extract_inline(extract.in_reading_order(blocks_of(docs)))
     return own.filter("field_name = 'survey_number'").select("evidence_block_id", "field_name", "value")
 
 
+@register("e2_own_callbacks", b(rf""", {CUT}, s AS (SELECT block_id, 'survey_number' AS field_name, rest AS value, replace(rest, '/', '-') AS normalized_value FROM z WHERE label IN ({tight_list(P.INLINE_LABELS['survey_number'])})
+ AND len(list_filter(string_split(rest, '/'), lambda part: NOT regexp_full_match(trim(part), '[0-9]+'))) = 0 AND NOT ends_with(rest, '/0')),
+ v AS (SELECT block_id, 'village' AS field_name, {squeezed('rest')} AS value FROM z WHERE label IN ({tight_list(P.INLINE_LABELS['village'])}))
+ SELECT block_id AS evidence_block_id, * EXCLUDE (block_id) FROM (SELECT * FROM s UNION ALL SELECT *, substr(replace(value, ' ', '_'), 1, 12) FROM v WHERE length(value) BETWEEN 30 AND 60)"""), "documents")
+def e2(docs):
+    """Two fields with validators and normalisers of the caller's own in place of the preset's."""
+    normalize = {"survey_number": lambda v: F.translate(v, "/", "-"), "village": lambda v: F.substring(F.translate(v, " ", "_"), 1, 12)}
+    check = {"survey_number": lambda v: ~v.endswith("/0"), "village": lambda v: F.length(v).between(30, 60)}
+    own = extract.extract_inline(extract.in_reading_order(blocks_of(docs)), normalize=normalize, validate=check)
+    return own.filter(F.col("field_name").isin(*check)).select("evidence_block_id", "field_name", "value", "normalized_value")
+
+
+# Every field as it stands on a form of its own, with the label of its name.
+FORM_LABELS = {"village": "Village", "taluka": "Tehsil Name", "district": "Dist", "survey_number": "Gat No", "khata_number": "Account No", "area": "Extent", "mutation": "Ferfar No", "registration": "Document No", "owner": "Holder Name"}
+# UNIT: an area may lose its unit. SUSPECT: numbers of entries that read like labels are kept.
+FORM_SQL = rf""", f AS (SELECT field_id, CASE WHEN field_name = 'registration' AND run_id % 2 = 0 THEN 'classification' ELSE field_name END AS field_name, {squeezed("coalesce(value, '')")} AS c FROM v_fields),
+ g AS (SELECT *, CASE WHEN field_name = 'area' AND UNIT THEN trim(regexp_replace(c, ' ha$', '')) ELSE c END AS v FROM f),
+ h AS (SELECT field_id, field_name, v AS value, lower(v) AS n FROM g WHERE v <> '')
+ SELECT field_id AS page_id, field_name, value FROM h WHERE CASE field_name WHEN 'survey_number' THEN regexp_full_match(value, '[0-9]+( */ *[0-9]+)*') WHEN 'khata_number' THEN regexp_full_match(value, '[0-9]+')
+ WHEN 'area' THEN coalesce(try_cast(replace(value, ',', '.') AS DOUBLE), 0) > 0 WHEN 'mutation' THEN SUSPECT OR n NOT IN ('name', 'number', 'no') WHEN 'registration' THEN SUSPECT OR n NOT IN ('name', 'number', 'no') ELSE n NOT IN ('name', 'number', 'no') AND regexp_matches(value, '[A-Za-z]') END"""
+
+
+def _forms(fields):
+    """(page_id, name, label, value): a page a field; of even runs, registrations are classifications."""
+    name = F.when((F.col("field_name") == "registration") & (F.col("run_id") % 2 == 0), "classification").otherwise(F.col("field_name"))
+    labels = F.create_map(*[F.lit(x) for kv in (FORM_LABELS | {"classification": "Land Use"}).items() for x in kv])
+    return fields.select(F.col("field_id").alias("page_id"), name.alias("name"), "value").withColumn("label", labels[F.col("name")])
+
+
+@register("x3_extract_inline_fields", FORM_SQL.replace("UNIT", "true").replace("SUSPECT", "false"), "v_fields")
+def x3_fields(fields):
+    text = F.concat("label", F.lit(" : "), F.coalesce("value", F.lit("")))
+    own = _forms(fields).select("page_id", F.lit(1).alias("block_id"), F.lit(0).alias("block_number"), text.alias("text"), F.lit(80.0).alias("confidence"), box(F.lit(0), F.lit(0), F.lit(300), F.lit(20)).alias("bbox"))
+    return extract.extract_inline(extract.in_reading_order(own)).select("page_id", "field_name", "value")
+
+
+@register("x4_extract_adjacent_fields", FORM_SQL.replace("UNIT", "false").replace("SUSPECT", "true") + " AND field_name <> 'owner'", "v_fields")
+def x4_fields(fields):
+    """Owners have no adjacent labels; they stand below their headers."""
+    two = F.posexplode(F.array("label", "value")).alias("pos", "text")
+    own = _forms(fields).select("page_id", two).select("page_id", F.col("pos").alias("block_id"), F.col("pos").alias("block_number"), "text", F.lit(80.0).alias("confidence"), box(F.col("pos") * 400, F.lit(0), F.lit(300), F.lit(20)).alias("bbox"))
+    return extract.extract_adjacent(extract.in_reading_order(own)).select("page_id", "field_name", "value")
+
+
 @register("x4_extract_adjacent_survey", b(r""", o AS (SELECT *, lead(struct_pack(id := block_id, t := text, x := x, y := y, h := height)) OVER (PARTITION BY page_id ORDER BY y, x, block_number) AS n FROM blocks),
  x AS (SELECT n.id AS evidence_block_id, regexp_replace(trim(regexp_replace(n.t, '\s+', ' ', 'g')), '^[ .,:;|/\-]+|[ .,:;|/\-]+$', '', 'g') AS value FROM o WHERE lower(trim(text)) = 'survey no' AND n.x - (x + width) BETWEEN 0 AND 1400 AND abs(n.y + n.h / 2 - (y + height / 2)) <= greatest(18.0, 0.9 * least(height, n.h)))
  SELECT * FROM x WHERE regexp_matches(value, '^[0-9]+(\s*/\s*[0-9]+)*$')"""), "documents")
@@ -296,6 +371,45 @@ def x12(lineitem):
     return own.select("doc_id", "field", "value")
 
 
+# What the seven fields of an order read, by field.
+GRID_VALUES = {"survey_gat_number": "o_custkey || '/' || o_orderkey % 9", "sub_division": "(o_orderkey % 40)::VARCHAR", "account_number": "(o_custkey * 3)::VARCHAR", "land_tenure": "o_orderpriority", "holder_name": "'Holder ' || o_custkey % 70", "local_field_name": "'Plot ' || o_orderkey % 300", "cultivable_area": "(o_orderkey % 12) || '.' || o_custkey % 9"}
+GRID_ROWS = " UNION ALL ".join(f"SELECT o_orderkey AS doc_id, '{k}' AS field, {v} AS value FROM orders" for k, v in GRID_VALUES.items())
+
+
+def _grid_html(orders, place):
+    """(doc_id, html) with the cells that ``place`` makes of a field's heading (the last of its aliases but for the survey number's) and its value."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    said = {"survey_gat_number": F.concat_ws("/", c, o % 9), "sub_division": (o % 40).cast("string"), "account_number": (c * 3).cast("string"), "land_tenure": F.col("o_orderpriority"), "holder_name": F.concat(F.lit("Holder "), c % 70), "local_field_name": F.concat(F.lit("Plot "), o % 300), "cultivable_area": F.concat_ws(".", o % 12, c % 9)}
+    heads = {k: P.GRID_ALIASES[k][0 if k == "survey_gat_number" else -1] for k in said}
+    row = lambda *cells: [F.lit("<tr>"), *[x for cell in cells for x in (F.lit("<td>"), F.lit(cell) if isinstance(cell, str) else cell, F.lit("</td>"))], F.lit("</tr>")]
+    parts = [x for table in place(heads, said) for x in (F.lit("<table>"), *[y for r in table for y in row(*r)], F.lit("</table>"))]
+    return orders.select(o.alias("doc_id"), F.concat(*parts).alias("html"))
+
+
+def _scattered(heads, said):
+    """Four fields over their values, a holder to the right of its heading, a field's name two columns on and one row down, an area under a blank cell."""
+    top = ("survey_gat_number", "sub_division", "account_number", "land_tenure")
+    yield [[heads[k] for k in top], [said[k] for k in top]]
+    yield [[heads["holder_name"], said["holder_name"]]]
+    yield [[heads["local_field_name"], "", ""], ["", "", said["local_field_name"]]]
+    yield [[heads["cultivable_area"]], [""], [said["cultivable_area"]]]
+
+
+def _in_a_row(heads, said):
+    """A title, all headings in one row, a blank row, the values."""
+    yield [["7/12"], list(heads.values()), [""] * len(heads), list(said.values())]
+
+
+@register("x11_w12_grid_all_fields", GRID_ROWS, "orders")
+def x11_all(orders):
+    return tables.grid_lookup(tables.html_table_cells(_grid_html(orders, _scattered))).select("doc_id", "field", "value")
+
+
+@register("x12_header_row_all_fields", GRID_ROWS, "orders")
+def x12_all(orders):
+    return tables.header_row_lookup(tables.html_table_cells(_grid_html(orders, _in_a_row))).select("doc_id", "field", "value")
+
+
 @register("x13_positional_fields", "SELECT doc_id, 'survey_number' AS field, n || '/' || doc_id % 9 AS value FROM v_grids UNION ALL SELECT doc_id, 'subdivision', (n * 3)::VARCHAR FROM v_grids UNION ALL SELECT doc_id, 'land_tenure', trim(tenure) || ' c' FROM v_grids", "v_grids")
 def x13(grids):
     return tables.positional_fields(tables.html_table_cells(grids)).select("doc_id", "field", "value")

@@ -330,6 +330,16 @@ def v14(fields):
     return validate.apply_rules(fields).select("field_id", "rule_name", "status", "confidence")
 
 
+# The format rules read the normalised value first; whether a required value is there is asked of the value as read.
+FIRST_RULE, *OTHER_RULES = RULE_SQL.split(" UNION ALL ")
+NORMALIZED_SQL = " UNION ALL ".join([FIRST_RULE, *(r.replace("coalesce(value, '')", "coalesce(nullif(normalized_value, ''), value, '')") for r in OTHER_RULES)]).replace("FROM v_fields", "FROM v_normalized")
+
+
+@register("v2_v5_normalized_rules", NORMALIZED_SQL, "v_normalized")
+def v2_normalized(fields):
+    return validate.apply_rules(fields).select("field_id", "rule_name", "status", "confidence")
+
+
 @register("v6_confidence_messages", """SELECT field_id, CASE WHEN confidence IS NULL THEN 'No extraction confidence is available.' WHEN confidence < 50 THEN printf('Extraction confidence is low (%.2f%%). Human review is recommended.', confidence) WHEN confidence < 75 THEN printf('Extraction confidence is moderate (%.2f%%).', confidence) ELSE printf('Extraction confidence is high (%.2f%%).', confidence) END AS message FROM v_fields""", "v_fields")
 def v6(fields):
     return validate.apply_rules(fields, (validate.confidence_threshold,)).select("field_id", "message")

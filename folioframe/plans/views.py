@@ -36,6 +36,10 @@ VIEWS = {
         CASE WHEN l_partkey % 17 = 0 THEN 'spatial_label_value_suspect' WHEN l_partkey % 3 = 0 THEN 'regex_label' ELSE 'owner_table_row' END AS method,
         CASE l_returnflag WHEN 'R' THEN 'REVIEW' WHEN 'A' THEN 'WARNING' ELSE 'PASS' END AS validation_status,
         l_shipdate AS created_at FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
+    # What a field reads as once its marks are out of the way: absent in a quarter of the runs, blank in another.
+    "v_normalized": """SELECT field_id, document_id, run_id, field_name, value, CASE run_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE
+        CASE field_name WHEN 'survey_number' THEN replace(value, '-', '/') WHEN 'khata_number' THEN replace(value, ' x', '') WHEN 'area' THEN replace(value, ' ha', '')
+          WHEN 'owner' THEN CASE WHEN document_id % 5 = 0 THEN 'name' ELSE lower(value) END ELSE lower(value) END END AS normalized_value, confidence, method, created_at FROM {v_fields}""",
     "v_results": """SELECT field_id, document_id, run_id, field_name, concat('rule_', page_number % 3) AS rule_name,
         CASE WHEN page_number = 6 THEN 'FAIL' ELSE validation_status END AS status, 'as read' AS message, confidence FROM {v_fields}""",
     "v_reference": """SELECT concat('D', r_regionkey) AS district_code, r_name AS district_name, concat('T', n_nationkey) AS taluka_code, n_name AS taluka_name, c_mktsegment AS village_name,
