@@ -149,7 +149,7 @@ def grid_lookup(cells: DataFrame, aliases: dict = P.GRID_ALIASES, **how) -> Data
 def header_row_lookup(cells: DataFrame, aliases: dict = P.GRID_ALIASES, least: float = 0.72, method: str = "levenshtein") -> DataFrame:
     """The row of the first eight that names most aliases is the header; a field's column is its best header cell, its value the first of the four cells below."""
     keys = ["doc_id", "table_no"]
-    h = cells.filter("row < 8").withColumn("_n", eval_text("text", "html")).withColumn("_a", F.explode(_aliases(aliases)))
+    h = cells.filter("row < 8").withColumn("_n", eval_text("text", "html")).filter("_n <> ''").withColumn("_a", F.explode(_aliases(aliases)))
     named = h.groupBy(*keys, "row").agg(F.count_distinct(F.when(F.col("_n").contains(F.col("_a.alias")), F.struct("col", "_a.field"))).alias("n")).filter("n > 0")
     w = W.partitionBy(*keys).orderBy(F.col("n").desc(), "row")
     head = named.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(*keys, F.col("row").alias("header_row"))

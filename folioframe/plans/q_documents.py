@@ -9,6 +9,7 @@ from folioframe.functions import text as T
 from folioframe.functions.geometry import box, has_box, normalize_bbox, right_of_same_row
 from folioframe.functions.similarity import label_score
 from folioframe.operators import extract, metrics, runs, tables
+from folioframe.operators.store import stored
 from folioframe.plans.views import frame, sql
 from folioframe.sources import readers
 
@@ -402,12 +403,12 @@ def _in_a_row(heads, said):
 
 @register("x11_w12_grid_all_fields", GRID_ROWS, "orders")
 def x11_all(orders):
-    return tables.grid_lookup(tables.html_table_cells(_grid_html(orders, _scattered))).select("doc_id", "field", "value")
+    return tables.grid_lookup(stored(tables.html_table_cells(_grid_html(orders, _scattered)))).select("doc_id", "field", "value")
 
 
 @register("x12_header_row_all_fields", GRID_ROWS, "orders")
 def x12_all(orders):
-    return tables.header_row_lookup(tables.html_table_cells(_grid_html(orders, _in_a_row))).select("doc_id", "field", "value")
+    return tables.header_row_lookup(stored(tables.html_table_cells(_grid_html(orders, _in_a_row)))).select("doc_id", "field", "value")
 
 
 @register("x13_positional_fields", "SELECT doc_id, 'survey_number' AS field, n || '/' || doc_id % 9 AS value FROM v_grids UNION ALL SELECT doc_id, 'subdivision', (n * 3)::VARCHAR FROM v_grids UNION ALL SELECT doc_id, 'land_tenure', trim(tenure) || ' c' FROM v_grids", "v_grids")
