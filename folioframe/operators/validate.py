@@ -175,7 +175,7 @@ def date_order(fields: DataFrame, firsts: DataFrame | None = None) -> DataFrame:
 def village_rules(fields: DataFrame, ref: DataFrame) -> DataFrame:
     """village_reference_match and location_hierarchy: the village by its name alone."""
     own = fields.filter("field_name = 'village' AND value IS NOT NULL AND value <> ''")
-    m = match_reference(own, ref, name="value", key="field_id")
+    m = match_reference(own, ref, name="value")
     s, quoted = F.col("match_status"), F.concat(F.lit("Village '"), F.col("value"), F.lit("'"))
     status, conf = F.when(s == "MATCHED", "PASS").otherwise("REVIEW"), F.when(s == "MATCHED", 100.0).when(s == "AMBIGUOUS", 50.0).otherwise(0.0)
     name = F.concat(quoted, F.when(s == "MATCHED", " matched the reference dataset.").when(s == "AMBIGUOUS", " matched multiple reference records. Additional location context is required.").otherwise(" was not found in the available reference dataset."))
@@ -188,7 +188,7 @@ def location_consistency(fields: DataFrame, ref: DataFrame, firsts: DataFrame |
     """The first village with taluka and district as context; a resolved village's parents are compared with the extracted ones."""
     f = (_firsts(fields) if firsts is None else firsts).filter("village IS NOT NULL")
     f = f.withColumns({"village_name": F.col("village.value"), "taluka_name": F.col("taluka.value"), "district_name": F.col("district.value")})
-    m = match_reference(f, ref, name="village_name", parent="taluka_name", grandparent="district_name", key="document_id")
+    m = match_reference(f, ref, name="village_name", parent="taluka_name", grandparent="district_name")
     s = F.col("match_status")
     quoted = F.concat(F.lit("Village '"), F.col("village_name"), F.lit("'"))
     lost = F.when(s != "MATCHED", F.struct(F.col("village.field_id").alias("field_id"), F.lit("village").alias("field_name"), outcome("consistency_reference_location", "REVIEW", F.concat(quoted, F.when(s == "AMBIGUOUS", " matched multiple reference records. Additional location context is required.").otherwise(" was not found in the available reference dataset.")), F.when(s == "AMBIGUOUS", 50.0).otherwise(0.0)).alias("o")))
