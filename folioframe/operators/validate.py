@@ -126,30 +126,44 @@ def duplicate_consistency(fields: DataFrame, names: tuple[str, ...] = P.SINGLE_V
 
 def duplicate_consistency_fuzzy(fields: DataFrame, names: tuple[str, ...] = P.SINGLE_VALUED, least: float = 0.92) -> DataFrame:
     """As above, but values at least ``least`` similar to the first of a cluster join it. Distinct values of one document's field are a group."""
-    import pandas as pd
-    from difflib import SequenceMatcher
 
-    own = _single_valued(fields, names)
-    kinds = dict(own.dtypes)
-    distinct = own.groupBy("document_id", "field_name", "_k").agg(F.min(F.struct("created_at", "field_id")).alias("ord"))
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["created_at", "field_id"])
-        heads: list[str] = []
-        at = []
-        for name, k in zip(pdf["field_name"], pdf["_k"], strict=True):
-            near = next((i for i, h in enumerate(heads) if h == k or (name != "khata_number" and SequenceMatcher(None, k, h).ratio() >= least)), None)
-            if near is None:
-                heads.append(k)
-                near = len(heads) - 1
-            at.append(near)
-        return pd.DataFrame({"document_id": pdf["document_id"], "field_name": pdf["field_name"], "_k": pdf["_k"], "_c": at})
-
-    put = distinct.select("document_id", "field_name", "_k", "ord.*").groupBy("document_id", "field_name").applyInPandas(cluster, f"document_id {kinds['document_id']}, field_name string, _k string, _c int")
-    own = own.join(put, ["document_id", "field_name", "_k"])
+    @F.pandas_udf("array<int>")
+    def cluster(groups):
+        import pandas as pd
+        from difflib import SequenceMatcher
+
+        known: dict[tuple[str, str], bool] = {}
+
+        def near(k: str, h: str) -> bool:
+            if (k, h) not in known:
+                m = SequenceMatcher(None, k, h)  # the quick ratios are upper bounds
+                if len(known) > 100_000:
+                    known.clear()
+                known[k, h] = m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
+            return known[k, h]
+
+        def put(keys) -> list[int]:
+            heads: list[str] = []
+            at = []
+            for k in keys:
+                i = next((i for i, h in enumerate(heads) if near(k, h)), len(heads))
+                heads += [k] if i == len(heads) else []
+                at.append(i)
+            return at
+
+        return pd.Series([None if keys is None else put(keys) for keys in groups])
+
     first = lambda c: F.min_by(c, F.struct("created_at", "field_id"))
-    clusters = own.groupBy("document_id", "field_name", "_c").agg(F.min(F.struct("created_at", "field_id")).alias("ord"), first("field_id").alias("field_id"), first("_v").alias("value"), F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("confidence"))
-    return _cluster_results(clusters)
+    sums = (F.sum("n").alias("n"), F.sum("_s").alias("_s"), F.sum("_m").alias("_m"))
+    each = _single_valued(fields, names).withColumns({"n": F.lit(1), "_s": F.col("confidence").cast("double"), "_m": F.col("confidence").isNotNull().cast("int")})
+    each = each.groupBy("document_id", "field_name", "_k").agg(F.min(F.struct("created_at", "field_id")).alias("ord"), first("field_id").alias("field_id"), first("_v").alias("value"), *sums)
+    groups = each.groupBy("document_id", "field_name").agg(F.array_sort(F.collect_list(F.struct(F.col("ord.created_at").isNull().alias("last"), "ord", "_k", "field_id", "value", "n", "_s", "_m"))).alias("_g"))
+    # Numbers of accounts are equal or not, and one value is a cluster; only the others are compared in Python.
+    compared = (F.col("field_name") != "khata_number") & (F.size("_g") > 1)
+    at = F.coalesce(cluster(F.when(compared, F.transform("_g", lambda g: g["_k"]))), F.transform("_g", lambda g, i: i))
+    put = groups.withColumn("_c", at).select("document_id", "field_name", F.inline(F.arrays_zip("_g", "_c"))).select("document_id", "field_name", "_c", "_g.*")
+    put = put.groupBy("document_id", "field_name", "_c").agg(F.min("ord").alias("ord"), F.min_by("field_id", "ord").alias("field_id"), F.min_by("value", "ord").alias("value"), *sums)
+    return _cluster_results(put.withColumn("confidence", F.when(F.col("_m") > 0, F.col("_s") / F.col("_m"))))
 
 
 #: Fields whose first value in a document other checks need; all are found in one pass.

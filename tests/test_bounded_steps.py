@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from folioframe.operators import match
+from folioframe.operators import match, validate
 
 
 def plan(df):
@@ -17,3 +17,12 @@ def test_claims_of_one_name_are_not_multiplied(spark):
     assert [(r.match_status, r["count"]) for r in got.groupBy("match_status").count().orderBy("match_status").collect()] == [("AMBIGUOUS", 500), ("MATCHED", 500)]
     seen = "\n".join(x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines())
     assert seen.count("Aggregate") >= 2  # the names of claims are made distinct before the join
+
+
+def test_clusters_need_no_pandas_group(spark):
+    rows = [(1, f"f{i}", "village", v, None, c, None) for i, (v, c) in enumerate([("Anandpur Khurd", 1), ("Anandpur Khurde", 2), ("Borivali", 3)])]
+    rows += [(2, "k1", "khata_number", "12345678901234567890", None, 1, 4.0), (2, "k2", "khata_number", "12345678901234567891", None, 2, 6.0), (2, "k3", "khata_number", "12345678901234567891", None, 3, None)]
+    df = spark.createDataFrame(rows, "document_id int, field_id string, field_name string, value string, normalized_value string, created_at int, confidence double")
+    out = validate.duplicate_consistency_fuzzy(df)
+    assert "FlatMapGroupsInPandas" not in plan(out)
+    assert sorted((r.field_id, r.status, r.confidence) for r in out.collect()) == [("f0", "REVIEW", None), ("f2", "REVIEW", None), ("k1", "REVIEW", 4.0), ("k2", "REVIEW", 6.0)]
