@@ -432,7 +432,7 @@ def x14(lineitem):
  SELECT doc_id, field, CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 0.95 ELSE 0.0 END::DOUBLE AS score, k < 2 AS matched FROM k""", "lineitem")
 def x14_match(lineitem):
     cells = tables.html_table_cells(order_tables(lineitem))
-    own = tables.harvest_candidates(cells).filter("field = 'survey_gat_number'")
+    own = stored(tables.harvest_candidates(cells).filter("field = 'survey_gat_number'"))
     k = F.col("doc_id") % 3
     truth = own.select("doc_id", "field", F.col("candidate").alias("variant"))
     texts = own.select("doc_id", F.concat(F.lit("no. "), F.when(k == 1, F.regexp_replace("candidate", "[^0-9]", "")).otherwise("-"), F.lit(" of it")).alias("text"))
