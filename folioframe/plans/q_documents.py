@@ -9,7 +9,7 @@ from folioframe.functions import text as T
 from folioframe.functions.geometry import box, has_box, normalize_bbox, right_of_same_row
 from folioframe.functions.similarity import label_score
 from folioframe.operators import extract, metrics, runs, tables
-from folioframe.operators.store import stored
+from folioframe.operators.store import spread, stored
 from folioframe.plans.views import frame, sql
 from folioframe.sources import readers
 
@@ -362,13 +362,13 @@ def a18(lineitem):
 
 @register("x11_w12_grid_lookup", f"WITH {LINES} SELECT doc_id, 'survey_gat_number' AS field, 1::DOUBLE AS header_score, a AS value FROM r WHERE i = 1 UNION ALL SELECT doc_id, 'account_number', 1::DOUBLE, b FROM r WHERE i = 1", "lineitem")
 def x11(lineitem):
-    own = tables.grid_lookup(tables.html_table_cells(order_tables(lineitem)), {k: P.GRID_ALIASES[k] for k in ("survey_gat_number", "account_number")})
+    own = tables.grid_lookup(stored(tables.html_table_cells(order_tables(lineitem))), {k: P.GRID_ALIASES[k] for k in ("survey_gat_number", "account_number")})
     return own.select("doc_id", "field", "header_score", "value")
 
 
 @register("x12_header_row_lookup", f"WITH {LINES} SELECT doc_id, 'survey_gat_number' AS field, a AS value FROM r WHERE i = 1 UNION ALL SELECT doc_id, 'account_number', b FROM r WHERE i = 1", "lineitem")
 def x12(lineitem):
-    own = tables.header_row_lookup(tables.html_table_cells(order_tables(lineitem)), {k: P.GRID_ALIASES[k] for k in ("survey_gat_number", "account_number")})
+    own = tables.header_row_lookup(stored(tables.html_table_cells(order_tables(lineitem))), {k: P.GRID_ALIASES[k] for k in ("survey_gat_number", "account_number")})
     return own.select("doc_id", "field", "value")
 
 
@@ -384,7 +384,7 @@ def _grid_html(orders, place):
     heads = {k: P.GRID_ALIASES[k][0 if k == "survey_gat_number" else -1] for k in said}
     row = lambda *cells: [F.lit("<tr>"), *[x for cell in cells for x in (F.lit("<td>"), F.lit(cell) if isinstance(cell, str) else cell, F.lit("</td>"))], F.lit("</tr>")]
     parts = [x for table in place(heads, said) for x in (F.lit("<table>"), *[y for r in table for y in row(*r)], F.lit("</table>"))]
-    return orders.select(o.alias("doc_id"), F.concat(*parts).alias("html"))
+    return spread(orders.select("o_orderkey", "o_custkey", "o_orderpriority")).select(o.alias("doc_id"), F.concat(*parts).alias("html"))
 
 
 def _scattered(heads, said):

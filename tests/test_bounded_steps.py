@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from folioframe.operators import match, validate
+from folioframe.operators import match, tables, validate
 
 
 def plan(df):
@@ -26,3 +26,15 @@ def test_clusters_need_no_pandas_group(spark):
     out = validate.duplicate_consistency_fuzzy(df)
     assert "FlatMapGroupsInPandas" not in plan(out)
     assert sorted((r.field_id, r.status, r.confidence) for r in out.collect()) == [("f0", "REVIEW", None), ("f2", "REVIEW", None), ("k1", "REVIEW", 4.0), ("k2", "REVIEW", 6.0)]
+
+
+def test_headings_are_scored_once(spark):
+    """Aliases are literals (no Python call for each of them), and the results are those of every cell against every alias."""
+    texts = ["खाते क्रमांक", "खाता क्रमाक", "एकूण खाते क्रमांक आहे", "17", "&amp;#2326;", "खा", "", None, "भूमापन क्रमाक", "x" * 40]
+    cells = spark.createDataFrame([(1, 0, i // 5, i % 5, t, False) for i, t in enumerate(texts)], "doc_id int, table_no int, row int, col int, text string, header boolean")
+    aliases = {"account_number": ("खाते क्रमांक", "खाता क्रमांक"), "survey_gat_number": ("भूमापन क्रमांक",)}
+    every = cells.select("text").withColumn("_n", tables.eval_text("text", "html")).filter("_n <> ''").withColumn("_a", F.explode(tables._aliases(aliases)))
+    want = {(r.text, r.f, round(r.s, 9)) for r in every.select("text", F.col("_a.field").alias("f"), tables.label_score(F.col("_n"), F.col("_a.alias"), contained=0.93, ratio_only=True).alias("s")).collect() if r.s >= 0.6}
+    named = tables._named_cells(cells, tables._known(aliases), 0.6, "levenshtein", 0.93)
+    assert {(r.text, r.field, round(r.header_score, 9)) for r in named.collect() if r.header_score >= 0.6} == want and len(want) >= 6
+    assert plan(named).count("unescaped") <= 4
