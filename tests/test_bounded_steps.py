@@ -38,3 +38,25 @@ def test_headings_are_scored_once(spark):
     named = tables._named_cells(cells, tables._known(aliases), 0.6, "levenshtein", 0.93)
     assert {(r.text, r.field, round(r.header_score, 9)) for r in named.collect() if r.header_score >= 0.6} == want and len(want) >= 6
     assert plan(named).count("unescaped") <= 4
+
+
+def test_equal_pairs_are_compared_once(monkeypatch):
+    """A batch of a few values thousands of times over costs a comparison for each two different values."""
+    import difflib
+
+    import pandas as pd
+
+    from folioframe.functions.similarity import ratcliff
+
+    made = []
+
+    class Counted(difflib.SequenceMatcher):
+        def ratio(self):
+            made.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(difflib, "SequenceMatcher", Counted)
+    a, b = ["Owner 1", "Owner 2", None, "", "Onwer 17"] * 1000, ["Owner 17"] * 5000
+    got = list(ratcliff.func(pd.Series(a), pd.Series(b)))
+    assert len(made) <= 5
+    assert got == [difflib.SequenceMatcher(None, x or "", y).ratio() for x, y in zip(a, b, strict=True)]
