@@ -284,7 +284,8 @@ def s4(docs):
 
 @register("a8_assemble_lines", f"WITH {WORDS} SELECT page_id, block_num, par_num, line_num, string_agg(text, ' ' ORDER BY word_num) AS text, avg(conf) AS confidence, min(l) AS x, min(t) AS y, max(l + wd) - min(l) AS width, max(t + ht) - min(t) AS height FROM ok GROUP BY 1, 2, 3, 4", "documents")
 def a8(docs):
-    return metrics.assemble_lines(readers.usable_words(words_of(docs)))
+    # Documents are dealt by their ids before they become words, so that the words of a line are in one task already and none is shuffled.
+    return metrics.assemble_lines(readers.usable_words(words_of(docs.select("doc_id", "text").repartition("doc_id"))))
 
 
 @register("a9_assemble_text", b("SELECT page_id, md5(string_agg(text, chr(10) ORDER BY block_number)) AS digest, avg(confidence) AS confidence FROM blocks GROUP BY 1"), "documents")
