@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from folioframe import presets as P
 from folioframe.functions.geometry import has_box, method_confidence, right_of_same_row, table_confidence
 from folioframe.functions.similarity import label_score
-from folioframe.functions.text import clean_candidate, fold_digits, let, looks_like_label, normalize_label, normalize_value, pinned, rename_field, valid_positive, valid_survey, valid_table_value, valid_text
+from folioframe.functions.text import any_of, clean_candidate, fold_digits, let, looks_like_label, may_be_label, may_be_number, may_begin_with_label, may_share_label, normalize_label, normalize_value, pinned, positive, rename_field, valid_positive, valid_survey, valid_table_value, valid_text
 from folioframe.operators.runs import dedup_strongest, latest_run, run_confidence, union_fields
 from folioframe.operators.store import stored
 
@@ -97,7 +97,7 @@ def extract_inline(blocks: DataFrame, labels: dict = P.INLINE_LABELS, units: dic
     """
     tight = lambda c: F.regexp_replace(F.lower(c), "\\s+", "")
     known = {"".join(x.split()).lower(): f for f, xs in labels.items() for x in xs}
-    own = pinned(blocks.filter(F.col("text").rlike("[:|/-]")), _c=clean_candidate("text"))
+    own = pinned(blocks.filter(may_begin_with_label("text", known)), _c=clean_candidate("text"))
     own = pinned(own, _one=F.regexp_extract("_c", "^[^:|/-]*", 0), _two=F.regexp_extract("_c", "^[^:|/-]*[:|/-][^:|/-]*(?=[:|/-])", 0))
     said = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
     split = lambda c: F.when(F.length(c) < F.length("_c"), F.struct(tight(F.col(c)).alias("label"), F.trim(F.substring(F.col("_c"), F.length(c) + 2, F.length("_c"))).alias("rest")))
@@ -106,7 +106,7 @@ def extract_inline(blocks: DataFrame, labels: dict = P.INLINE_LABELS, units: dic
     hit = pinned(hit, _n=said[F.col("_h")[0]["label"]], _l=F.col("_h")[0]["label"], _r=F.col("_h")[0]["rest"])
     hit = pinned(hit, _v=clean_candidate(inline_value(F.col("_n"), F.col("_l"), F.col("_r"), units))).filter("_v <> ''")
     n, v = F.col("_n"), F.col("_v")
-    valid = F.when(n == "survey_number", valid_survey(v)).when(n == "khata_number", F.lit(True)).when(n == "area", valid_positive(v)).otherwise(valid_text(v, n))
+    valid = F.when(n == "survey_number", valid_survey(v)).when(n == "khata_number", F.lit(True)).when(n == "area", valid_positive(v)).when(F.length(v) > 120, F.lit(False)).otherwise(valid_text(v, n))
     hit = pinned(hit.filter(_by_field(validate, n, v, valid)), _norm=_by_field(normalize, n, v, _normal(n, v))).filter("_norm <> ''")
     method = F.lit("regex_label")
     return _field(hit, n, v, F.col("_norm"), method_confidence(F.col("confidence"), method), method)
@@ -124,7 +124,8 @@ def extract_adjacent(blocks: DataFrame, labels: dict = P.ADJACENT_LABELS, normal
     ``normalize`` and ``validate`` are callbacks by field, as in ``extract_inline``.
     """
     name = F.coalesce(*[F.when(F.col("_l").isin(*xs), F.lit(f)) for f, xs in labels.items()])
-    own = pinned(with_next(blocks), _l=normalize_label("text"))
+    followed = blocks if "next_block" in blocks.columns else with_next(blocks)
+    own = pinned(followed.filter(may_be_label("text", [x for xs in labels.values() for x in xs])), _l=normalize_label("text"))
     own = pinned(own, _name=name).filter(F.col("_name").isNotNull() & F.col("next_block").isNotNull())
     own = pinned(own.filter(right_of_same_row(F.col("bbox"), F.col("next_block.bbox"))), _v=clean_candidate(F.col("next_block.text"))).filter("_v <> ''")
     n, v = F.col("_name"), F.col("_v")
@@ -137,13 +138,24 @@ def extract_adjacent(blocks: DataFrame, labels: dict = P.ADJACENT_LABELS, normal
     return _field(own, n, v, F.col("_norm"), conf, method, F.col("next_block"))
 
 
+def _headers(blocks: DataFrame, headers: tuple[str, ...]) -> DataFrame:
+    return blocks.filter(may_be_label("text", headers) & normalize_label("text").isin(*headers))
+
+
 def values_below(headers: DataFrame, blocks: DataFrame, dy: float, width: float, left: float = 20.0, right: float = 40.0) -> DataFrame:
-    """(header columns as h, block columns): blocks at most ``dy`` under a header whose x is in its column, on the same page."""
+    """(header columns as h, block columns): blocks at most ``dy`` under a header whose x is in its column, on the same page.
+
+    A page is cut into bands of height ``dy``; a header meets the blocks of its own band and of the next two (one for rounding), so that the pairs
+    that are looked at grow with a page's blocks.
+    """
     h = headers.filter(has_box(F.col("bbox"))).select("page_id", F.struct("block_id", "bbox").alias("h"))
     bottom = F.col("h.bbox.y") + F.col("h.bbox.height")
+    band = lambda y: F.floor(y / dy).cast("double")
+    h = h.withColumn("_band", F.explode(F.array_distinct(F.transform(F.array(*[F.lit(float(k)) for k in range(3)]), lambda k: band(bottom) + k))))
     gap = F.col("bbox.y") - bottom
     inside = F.col("bbox.x").between(F.col("h.bbox.x") - left, F.col("h.bbox.x") + F.greatest(F.col("h.bbox.width"), F.lit(width)) + right)
-    return blocks.filter(has_box(F.col("bbox"))).join(h, "page_id").filter((gap > 0) & (gap <= dy) & inside & (F.col("h.block_id") != F.col("block_id")))
+    own = blocks.filter(has_box(F.col("bbox"))).withColumn("_band", band(F.col("bbox.y")))
+    return own.join(h, ["page_id", "_band"]).filter((gap > 0) & (gap <= dy) & inside & (F.col("h.block_id") != F.col("block_id"))).drop("_band")
 
 
 def top_below(found: DataFrame, k: int) -> DataFrame:
@@ -152,17 +164,22 @@ def top_below(found: DataFrame, k: int) -> DataFrame:
 
 
 def extract_owner_rows(blocks: DataFrame, headers: tuple[str, ...] = P.OWNER_HEADERS, dy: float = 260, width: float = 240, k: int = 2) -> DataFrame:
-    v = clean_candidate("text")
-    own = values_below(blocks.filter(normalize_label("text").isin(*headers)), blocks.filter(valid_text(v, "owner") & ~looks_like_label(v)), dy, width)
+    """Values are read only where they stand below a header."""
+    found = pinned(values_below(_headers(blocks, headers), blocks, dy, width), _v=clean_candidate("text"))
+    v = F.col("_v")
+    own = pinned(found, _ok=valid_text(v, "owner") & ~looks_like_label(v)).filter("_ok")
     method = F.lit("owner_table_row")
     return _field(top_below(own, k), "owner", v, normalize_value(v), method_confidence(F.col("confidence"), method), method)
 
 
 def extract_area_rows(blocks: DataFrame, headers: tuple[str, ...] = P.AREA_HEADERS, dy: float = 280, width: float = 180, k: int = 10) -> DataFrame:
-    v = clean_candidate("text")
-    own = values_below(blocks.filter(normalize_label("text").isin(*headers)), blocks.filter(valid_positive(v)), dy, width)
+    plain = lambda c: c.rlike("^[0-9]+([.,][0-9]+)?\\z")  # noqa: E731  # such a number is clean and normal as it is
+    numbers = pinned(blocks.filter(may_be_number("text")), _v=F.when(plain(F.col("text")), F.col("text")).otherwise(clean_candidate("text")))
+    v, n = F.col("_v"), F.col("_n")
+    numbers = pinned(numbers, _n=F.when(plain(v), v).otherwise(normalize_value(v, "number"))).filter(positive(n))
+    own = values_below(_headers(blocks, headers), numbers, dy, width)
     method = F.lit("area_table_row")
-    return _field(top_below(own, k), "area", v, normalize_value(v, "number"), method_confidence(F.col("confidence"), method), method)
+    return _field(top_below(own, k), "area", v, n, method_confidence(F.col("confidence"), method), method)
 
 
 def cluster_rows(blocks: DataFrame) -> DataFrame:
@@ -174,15 +191,15 @@ def cluster_rows(blocks: DataFrame) -> DataFrame:
     return own.withColumn("row_size", F.count(F.lit(1)).over(W.partitionBy("page_id", "row_idx"))).drop("_cy", "_new")
 
 
-def cluster_rows_greedy(blocks: DataFrame) -> DataFrame:
+def cluster_rows_greedy(blocks: DataFrame, least: int = 1) -> DataFrame:
     """Adds row_idx (in the order in which rows begin) and row_size: from the top, a block joins the nearest row centre within max(18, 0.9 x the smaller height); centres are running means.
 
     A fold over a page's sorted blocks, in the JVM. Its state has the rows that are open: one that a block is too far below takes none of the later ones. Of two equally near rows the
-    earlier takes the block. One task holds a page's blocks. Blocks without a box are left out.
+    earlier takes the block. One task holds a page's blocks. Blocks without a box are left out, and so are pages with fewer than ``least`` others.
     """
     own = blocks.filter(has_box(F.col("bbox")))
     b = F.struct((F.col("bbox.y") + F.col("bbox.height") / 2).cast("double").alias("cy"), F.col("bbox.x").alias("x"), F.col("block_id").alias("id"), F.col("bbox.height").cast("double").alias("h"), F.struct(*own.columns).alias("b"))
-    pages = own.groupBy(F.col("page_id").alias("_page")).agg(F.array_sort(F.collect_list(b)).alias("_b"))
+    pages = own.groupBy(F.col("page_id").alias("_page")).agg(F.array_sort(F.collect_list(b)).alias("_b")).filter(F.size("_b") >= least)
     start = F.struct(F.array().cast("array<struct<c:double,h:double,n:int,i:int>>").alias("open"), F.lit(0).alias("rows"), F.array().cast("array<int>").alias("of"))
 
     def step(s: Column, x: Column) -> Column:
@@ -202,22 +219,32 @@ def cluster_rows_greedy(blocks: DataFrame) -> DataFrame:
         return let(still, put)
 
     pages = pinned(pages, _of=F.aggregate("_b", start, step)["of"])
-    sizes = F.transform("_of", lambda i: F.size(F.filter("_of", lambda k: k == i)))
-    return pages.select(F.inline(F.arrays_zip(F.transform("_b", lambda x: x["b"]).alias("b"), F.col("_of").alias("row_idx"), sizes.alias("row_size")))).toDF("b", "row_idx", "row_size").select("b.*", "row_idx", "row_size")
+    # Rows stay with their page, so they are counted where they are.
+    out = pages.select("_page", F.inline(F.arrays_zip(F.transform("_b", lambda x: x["b"]).alias("b"), F.col("_of").alias("row_idx")))).toDF("_page", "b", "row_idx")
+    return out.select("b.*", "row_idx", F.count(F.lit(1)).over(W.partitionBy("_page", "row_idx")).cast("int").alias("row_size"))
+
+
+def _known_labels(labels: dict) -> list:
+    """The rows of ``label_list``, worked out once, so that the list and its words are literals for each block."""
+    return SparkSession.active().range(1).select(F.inline(label_list(labels))).collect()
 
 
-def _named_labels(text: Column, labels: dict) -> Column:
-    """The labels that ``text`` may reach more than 0.65 with: those that share a word with it, hold it or are in it.
+def _named_labels(text: Column, known: list, least: float) -> tuple[Column, Column]:
+    """(may there be any, the labels) that ``text`` may reach ``least`` with, above 0.65: those that share a word with it, hold it or are in it.
 
-    A score is 0.65 of the likeness and 0.35 of the shared words, so above 0.65 one word at least is shared, unless one holds the other.
+    A score is 0.65 of the likeness and 0.35 of the shared words, so above 0.65 one word at least is shared, unless one holds the other. A text that is
+    too long to be alike enough has to hold a label. Whether there may be any is told without a list.
     """
-    # Worked out once, so that the list and its words are literals for each block.
-    known = SparkSession.active().range(1).select(F.inline(label_list(labels))).collect()
     every = F.array(*[F.struct(F.lit(r.label_field).alias("label_field"), F.lit(r.label).alias("label"), F.lit(r.label_rank).alias("label_rank"), F.array(*map(F.lit, r.label.split(" "))).alias("words")) for r in known])
     words = F.array(*map(F.lit, dict.fromkeys(w for r in known for w in r.label.split(" "))))
     shared = F.array_intersect(F.split(text, " "), words)
     hit = lambda got: F.filter(every, lambda x: F.arrays_overlap(x["words"], got) | text.contains(x["label"]) | x["label"].contains(text))
-    return F.transform(let(shared, hit), lambda x: F.struct(x["label_field"].alias("label_field"), x["label"].alias("label"), x["label_rank"].alias("label_rank")))
+    # A likeness of r, of whichever method, needs lengths a <= b * (2 / r - 1).
+    longest = max(len(r.label) for r in known) * (2 * 0.65 / (least - 0.35) - 1)
+    every_label = list(dict.fromkeys(r.label for r in known))
+    held = F.arrays_overlap(F.split(text, " "), words) | any_of([F.lit(x).contains(text) for x in every_label])
+    may = ((F.length(text) <= int(longest) + 1) & held) | any_of([text.contains(F.lit(x)) for x in every_label])
+    return may, F.transform(let(shared, hit), lambda x: F.struct(x["label_field"].alias("label_field"), x["label"].alias("label"), x["label_rank"].alias("label_rank")))
 
 
 def score_headers(blocks: DataFrame, labels: dict = P.TABLE_LABELS, method: str = "levenshtein", least: float = 0.0) -> DataFrame:
@@ -226,8 +253,14 @@ def score_headers(blocks: DataFrame, labels: dict = P.TABLE_LABELS, method: str
     Pairs that can't reach ``least`` are left out before they are compared: above 0.65 they have to share a word or hold each other, which an index
     of the labels' words tells; below, an edit-distance ratio is at most the shorter length over the longer.
     """
-    own = pinned(blocks, _n=normalize_label("text", "–—-")).filter("_n <> ''")
-    own = own.withColumn("_l", F.explode(_named_labels(F.col("_n"), labels) if least > 0.65 else label_list(labels)))
+    known = _known_labels(labels) if least > 0.65 else []
+    own = blocks.filter(may_share_label("text", [r.label for r in known])) if known else blocks
+    own = pinned(own, _n=normalize_label("text", "–—-")).filter("_n <> ''")
+    if known:
+        may, named = _named_labels(F.col("_n"), known, least)
+        own = own.filter(may).withColumn("_l", F.explode(named))
+    else:
+        own = own.withColumn("_l", F.explode(label_list(labels)))
     own = own.select(*blocks.columns, "_n", "_l.*")
     if 0 < least <= 0.65 and method == "levenshtein":
         a, b = F.length("_n"), F.length("label")
@@ -251,11 +284,8 @@ def resolve_header_values(headers: DataFrame, rows: DataFrame, labels: dict = P.
     and the block isn't a header itself.
     """
     h = headers.select("page_id", "label_field", "header_score", F.struct("block_id", "bbox", "row_idx", "row_size", "confidence").alias("h"))
-    named = pinned(rows, _vn=normalize_label("text", "–—-"))
-    named = pinned(named, _known=F.exists(_named_labels(F.col("_vn"), labels), lambda x: label_score(F.col("_vn"), x["label"]) >= 0.82))
-    v = named.select("page_id", F.struct("block_id", "text", "bbox", "row_idx", "confidence", "position").alias("v"), "_known")
+    v = rows.select("page_id", F.struct("block_id", "text", "bbox", "row_idx", "confidence", "position").alias("v"))
     j = h.join(v, "page_id").filter((F.col("h.block_id") != F.col("v.block_id")) & (F.col("v.row_idx") - F.col("h.row_idx")).between(0, 4))
-    j = j.filter(valid_table_value(F.col("label_field"), F.col("v.text")))
     hb, vb = F.col("h.bbox"), F.col("v.bbox")
     step = F.col("v.row_idx") - F.col("h.row_idx")
     dx = F.abs((vb["x"] + vb["width"] / 2) - (hb["x"] + hb["width"] / 2))
@@ -264,8 +294,13 @@ def resolve_header_values(headers: DataFrame, rows: DataFrame, labels: dict = P.
     below = 0.55 * (1 - step / 5) + 0.45 * (1 - dx / limit)
     gap = vb["x"] - (hb["x"] + hb["width"])
     level = F.abs((vb["y"] + vb["height"] / 2) - (hb["y"] + hb["height"] / 2)) <= F.greatest(F.lit(24.0), F.least(hb["height"], vb["height"]))
-    beside = (step == 0) & (F.col("h.row_size") <= 2) & (gap >= -10) & level & ~F.col("_known")
-    score = F.when(under, below).when(beside, 0.65 + 0.35 * F.greatest(F.lit(0.0), 1 - gap / 1000))
+    beside = (step == 0) & (F.col("h.row_size") <= 2) & (gap >= -10) & level
+    # Texts are read only where they stand right.
+    j = pinned(j.filter(under | beside), _fine=valid_table_value(F.col("label_field"), F.col("v.text"))).filter("_fine")
+    j = pinned(j, _vn=F.when(~under, normalize_label("v.text", "–—-")))
+    may, named = _named_labels(F.col("_vn"), _known_labels(labels), 0.82)
+    j = pinned(j, _known=F.when(~under & may, F.exists(named, lambda x: label_score(F.col("_vn"), x["label"]) >= 0.82)).otherwise(F.lit(False)))
+    score = F.when(under, below).when(beside & ~F.col("_known"), 0.65 + 0.35 * F.greatest(F.lit(0.0), 1 - gap / 1000))
     j = pinned(j, relation_score=score).filter("relation_score IS NOT NULL")
     w = W.partitionBy("page_id", "label_field").orderBy(F.col("relation_score").desc(), F.col("v.confidence").desc_nulls_last(), F.col("v.position"))
     return j.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
@@ -273,8 +308,7 @@ def resolve_header_values(headers: DataFrame, rows: DataFrame, labels: dict = P.
 
 def extract_table_fields(blocks: DataFrame, labels: dict = P.TABLE_LABELS) -> DataFrame:
     """Header rows and the values under them, of pages with at least two usable blocks."""
-    usable = cluster_rows_greedy(blocks.filter(F.trim(F.coalesce("text", F.lit(""))) != ""))
-    usable = stored(usable.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("page_id"))).filter("_n >= 2").drop("_n"))
+    usable = stored(cluster_rows_greedy(blocks.filter(F.trim(F.coalesce("text", F.lit(""))) != ""), least=2))
     got = resolve_header_values(best_headers(score_headers(usable, labels, least=0.70)), usable, labels)
     v = clean_candidate(F.col("v.text"), " .,:;|/")
     f = F.col("label_field")
@@ -286,12 +320,14 @@ def extract_table_fields(blocks: DataFrame, labels: dict = P.TABLE_LABELS) -> Da
 
 
 def extract_fields(blocks: DataFrame, normalize: dict | None = None, validate: dict | None = None) -> DataFrame:
-    """All extractors, the strongest evidence of each value, in reading order. The ordered blocks are stored once for all of them.
+    """All extractors, the strongest evidence of each value, in reading order. The ordered blocks are stored once for all of them,
+    those that may be labels with the block that follows.
 
     ``normalize`` and ``validate`` go to the label extractors.
     """
-    b = stored(in_reading_order(blocks))
-    labelled = [f(b, normalize=normalize, validate=validate) for f in (extract_inline, extract_adjacent)]
+    followed = stored(with_next(in_reading_order(blocks)).withColumn("next_block", F.when(may_be_label("text", [x for xs in P.ADJACENT_LABELS.values() for x in xs]), F.col("next_block"))))
+    b = followed.drop("next_block")
+    labelled = (extract_inline(b, normalize=normalize, validate=validate), extract_adjacent(followed, normalize=normalize, validate=validate))
     parts = [d.select(*FIELDS) for d in (extract_table_fields(b), *labelled, extract_owner_rows(b), extract_area_rows(b))]
     every = union_fields(*parts).withColumn("field_id", F.col("evidence_block_id"))
     return dedup_strongest(every, "page_id").drop("field_id")
