@@ -29,7 +29,8 @@ def word_positions(texts: DataFrame, text: str = "text") -> DataFrame:
     keep = [F.col(f"`{c}`") for c in texts.columns if c != text]
     t = pinned(texts, _d=eval_text(F.col(f"`{text}`")))
     key = F.struct(F.xxhash64(*keep).alias("a") if keep else F.lit(0).cast("long").alias("a"), F.xxhash64("_d", F.lit(1)).alias("b"))
-    t = t.select(key.alias("at"), F.struct(*keep).alias("_t"), F.posexplode(F.split("_d", " ")).alias("pos", "word"))
+    # A text is hashed once, before it becomes words.
+    t = t.select(F.inline(F.array(F.struct(key.alias("at"), F.struct(*keep).alias("_t"), F.split("_d", " ").alias("_w"))))).select("at", "_t", F.posexplode("_w").alias("pos", "word"))
     return t.select("at", "pos", "word", F.when(F.col("pos") == 0, F.col("_t")).alias("t"))
 
 
@@ -72,12 +73,15 @@ def values_in_texts(values: DataFrame, texts: DataFrame, value: str = "value", t
     often = match.groupBy("kind", "piece").agg(F.sum("n").alias("n"))
     # A value with a piece that no text holds occurs nowhere.
     anchor = pieces.join(often, ["kind", "piece"]).groupBy("q", "k").agg(F.count(F.lit(1)).alias("have"), F.min_by(F.struct("kind", "piece", "i"), F.struct("n", "i")).alias("r")).filter("have = k").select("q", "k", "r.*")
-    begun = anchor.join(match.select("kind", "piece", "word"), ["kind", "piece"]).select("q", "k", "i", "word").join(index, "word").select("q", "k", "at", (F.col("pos") - F.col("i")).alias("begin"), "i").filter("begin >= 0")
+    # Stored, so that the words are not exchanged where few of them, or few texts, are asked for.
+    asked = stored(anchor.join(match.select("kind", "piece", "word"), ["kind", "piece"]).select("q", "k", "i", "word"))
+    begun = stored(index.join(asked, "word").select("q", "k", "at", (F.col("pos") - F.col("i")).alias("begin"), "i").filter("begin >= 0"))
     single = begun.filter("k = 1").select("q", "at")
     # What else the value needs, at its place.
     rest = begun.filter("k > 1").withColumnRenamed("i", "known").join(pieces.select("q", "i", "piece", "kind"), "q").filter("i <> known").withColumn("pos", F.col("begin") + F.col("i"))
     ok = F.when(F.col("kind") == "all", F.col("word") == F.col("piece")).when(F.col("kind") == "end", F.endswith("word", "piece")).otherwise(F.startswith("word", "piece"))
-    whole = rest.join(index, ["at", "pos"]).filter(ok).groupBy("q", "k", "at", "begin").agg(F.count(F.lit(1)).alias("have")).filter("have = k - 1").select("q", "at")
+    near = index.join(begun.filter("k > 1").select("at").distinct(), "at", "left_semi")
+    whole = rest.join(near, ["at", "pos"]).filter(ok).groupBy("q", "k", "at", "begin").agg(F.count(F.lit(1)).alias("have")).filter("have = k - 1").select("q", "at")
     found = single.unionByName(whole).distinct()
     return v.join(found, "q").join(rows.filter("pos = 0").select("at", "t"), "at").select("v.*", "t.*")
 

@@ -17,3 +17,9 @@ def test_all_values_in_all_texts(spark):
     want = sorted((i, x, q, a, w) for i, x, q in values for a, d, w in texts if norm(x) and norm(x) in norm(d))
     assert sorted(map(tuple, evaluate.values_in_texts(v, t).collect())) == want
     assert evaluate.values_in_texts(v, t.limit(0)).count() == 0 and evaluate.values_in_texts(v.limit(0), t).count() == 0
+
+
+def test_a_text_is_hashed_before_it_becomes_words(spark):
+    texts = spark.createDataFrame([(1, "a b a")], "doc_id int, text string")
+    plan = evaluate.word_positions(texts)._jdf.queryExecution().optimizedPlan().toString()  # from the last step down
+    assert plan.index("posexplode") < plan.index("xxhash64")
