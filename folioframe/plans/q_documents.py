@@ -369,7 +369,7 @@ def x11(lineitem):
 
 @register("x12_header_row_lookup", f"WITH {LINES} SELECT doc_id, 'survey_gat_number' AS field, a AS value FROM r WHERE i = 1 UNION ALL SELECT doc_id, 'account_number', b FROM r WHERE i = 1", "lineitem")
 def x12(lineitem):
-    own = tables.header_row_lookup(stored(tables.html_table_cells(order_tables(lineitem))), {k: P.GRID_ALIASES[k] for k in ("survey_gat_number", "account_number")})
+    own = tables.html_header_row_lookup(order_tables(lineitem), {k: P.GRID_ALIASES[k] for k in ("survey_gat_number", "account_number")})
     return own.select("doc_id", "field", "value")
 
 
