@@ -363,7 +363,7 @@ def a18(lineitem):
 
 @register("x11_w12_grid_lookup", f"WITH {LINES} SELECT doc_id, 'survey_gat_number' AS field, 1::DOUBLE AS header_score, a AS value FROM r WHERE i = 1 UNION ALL SELECT doc_id, 'account_number', 1::DOUBLE, b FROM r WHERE i = 1", "lineitem")
 def x11(lineitem):
-    own = tables.grid_lookup(stored(tables.html_table_cells(order_tables(lineitem))), {k: P.GRID_ALIASES[k] for k in ("survey_gat_number", "account_number")})
+    own = tables.html_grid_lookup(order_tables(lineitem), {k: P.GRID_ALIASES[k] for k in ("survey_gat_number", "account_number")})
     return own.select("doc_id", "field", "header_score", "value")
 
 
