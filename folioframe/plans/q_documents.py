@@ -409,7 +409,7 @@ def x11_all(orders):
 
 @register("x12_header_row_all_fields", GRID_ROWS, "orders")
 def x12_all(orders):
-    return tables.header_row_lookup(stored(tables.html_table_cells(_grid_html(orders, _in_a_row)))).select("doc_id", "field", "value")
+    return tables.html_header_row_lookup(_grid_html(orders, _in_a_row)).select("doc_id", "field", "value")
 
 
 @register("x13_positional_fields", "SELECT doc_id, 'survey_number' AS field, n || '/' || doc_id % 9 AS value FROM v_grids UNION ALL SELECT doc_id, 'subdivision', (n * 3)::VARCHAR FROM v_grids UNION ALL SELECT doc_id, 'land_tenure', trim(tenure) || ' c' FROM v_grids", "v_grids")
