@@ -404,7 +404,7 @@ def _in_a_row(heads, said):
 
 @register("x11_w12_grid_all_fields", GRID_ROWS, "orders")
 def x11_all(orders):
-    return tables.grid_lookup(stored(tables.html_table_cells(_grid_html(orders, _scattered)))).select("doc_id", "field", "value")
+    return tables.html_grid_lookup(_grid_html(orders, _scattered)).select("doc_id", "field", "value")
 
 
 @register("x12_header_row_all_fields", GRID_ROWS, "orders")
