@@ -57,3 +57,34 @@ def test_edits_of_texts_of_any_length():
 
         said = edit_similarities(a, b, np.array(i), np.array(j))
         assert [None if np.isnan(s) else s for s in said] == [1 - sequence_edits(a[p], b[q]) / max(len(a[p]), len(b[q])) if a[p] and b[q] else None for p, q in zip(i, j, strict=True)]
+
+
+def test_matching_blocks_of_many_pairs_are_difflibs():
+    from difflib import SequenceMatcher
+
+    import numpy as np
+
+    from folioframe.functions.similarity import ratcliff_ratios
+
+    rng = random.Random(2)
+    for letters, most in (("01", 9), ("01", 40), ("ab😀é ", 20), ("abc", 260)):
+        texts = ["", *[rng.choice(["", "customer "]) + "".join(rng.choices(letters, k=rng.randint(0, most))) for _ in range(14)]]
+        i, j = (at.ravel() for at in np.meshgrid(range(15), range(15)))
+        said = ratcliff_ratios(texts, texts)(i, j)
+        assert [None if np.isnan(s) else s for s in said] == [SequenceMatcher(None, texts[p], texts[q]).ratio() if texts[p] and texts[q] else None for p, q in zip(i, j, strict=True)]
+
+
+def test_pairs_of_blocks_meet_as_arrays(spark, monkeypatch):
+    """Every pair of a block once, with all that compare_pairs gives, though owners are compared in no Python call a pair."""
+    # Ids in no order of the rows, and texts whose matching blocks are others the other way round.
+    rng = random.Random(3)
+    ids = rng.sample(range(5000), 1100)
+    own = spark.createDataFrame([(k, "".join(rng.choices("ab c", k=9)), *r[2:]) for k, r in zip(ids, people(9, 1100), strict=True)], FIELDS)
+    blocks = (("survey_number", "khata_number", "area"), ("village", "khata_number", "taluka"))
+    want = match.compare_pairs(match.candidate_pairs(match.normalized_records(own), blocks), method="ratcliff")
+    met, real = [], match.pairs_in_blocks
+    monkeypatch.setattr(match, "pairs_in_blocks", lambda *a, **k: met.append(1) or real(*a, **k, crowd=30))
+    got = match.resolve_entities(own, blocks, include_no_match=True, method="ratcliff", few=20)
+    rows = lambda df: sorted((r.record_a, r.record_b, r.score, r.decision, tuple(r.reasons), tuple(sorted((k, round(v, 9)) for k, v in r.compared_fields.items()))) for r in df.collect())
+    said = rows(got)
+    assert met and said == rows(want) and len(said) > 1000
